@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,7 +87,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def text_slices(batch: pa.RecordBatch, column: int, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch so that no piece holds much more text than max_bytes (a single longer
     text is a piece of its own)."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     begin, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if total and total + n > max_bytes:
