@@ -118,7 +118,10 @@ def scan(docs: DataFrame, ratio: list[float] | None = None, id_col: str = "doc_i
 
 def ordered(kinds: list[str], names: list[str]) -> Column:
     """All spans of the given columns by start, then kind as listed."""
-    every = F.concat(*[F.transform(F.col(k), lambda x, i=i, k=k: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e"), F.lit(names[i]).alias("kind"))) for i, k in enumerate(kinds)])
+    def labelled(i: int) -> Column:
+        return F.transform(F.col(kinds[i]), lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e"), F.lit(names[i]).alias("kind")))
+
+    every = F.concat(*[labelled(i) for i in range(len(kinds))])
     return F.array_sort(every)
 
 
