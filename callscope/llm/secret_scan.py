@@ -23,7 +23,9 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ["assign", "access", "hex", "model"]
 
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
-IDENTIFIER = r"(?<![A-Za-z0-9+/_-])[A-Za-z_][A-Za-z0-9_-]{7,}+"
+#: Ordinary identifiers, as labelled samples: letters, with at most a few digits at the end, so that
+#: keys which no rule names hardly ever enter the ordinary class.
+IDENTIFIER = r"(?<![A-Za-z0-9+/_-])[A-Za-z_][A-Za-z_-]{7,}+[0-9]{0,4}+(?![A-Za-z0-9+/_=-])"
 
 #: Transition table over the ASCII codes from '+' to 'z'.
 FIRST, CODES = ord("+"), ord("z") - ord("+") + 1
