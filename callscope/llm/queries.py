@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import bpe, fingerprint, mixing, near_dup, neighbours, pii, secret_scan, substring_dedup, toxicity
+from . import bpe, fingerprint, licenses, mixing, near_dup, neighbours, pii, secret_scan, substring_dedup, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -55,6 +55,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.scan(table(spark, sf_dir, "documents")))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents carry no path: ids are laid out as <source>/<thousand>/<twenty>/<id>."""
+    tree = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 20).cast("string"), F.col("doc_id").cast("string"))
+    return licenses.scan(table(spark, sf_dir, "documents").withColumn("path", tree))
+
+
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.report(table(spark, sf_dir, "documents"))
 
@@ -69,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": op6_mixing,
         "op7_minhash": op7_minhash,
         "op8_pii": op8_pii,
+        "op9_licenses": op9_licenses,
         "op10_imatch": op10_imatch,
     }
 
