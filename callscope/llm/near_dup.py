@@ -9,7 +9,7 @@
 4. The components of all confirmed links give the groups.
 
 At the threshold of 0.75 a pair shares none of 48 bands of 5 with a chance of 2e-6, and a sketch of
-480 coordinates falls under the cut with a chance of about 1e-6; links found are exact.
+1024 coordinates falls under the cut with a chance of about 1e-6; links found are exact.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -28,7 +27,7 @@ from .shingles import band_keys, shingle_set, sketch
 
 WIDTH = 5
 ROWS, BANDS = 5, 48
-LONG_SKETCH = 480
+LONG_SKETCH = 1024
 NUM, DEN = 75, 100
 #: 4.75 standard deviations under the threshold.
 SKETCH_CUT = 0.75 - 4.75 * (0.75 * 0.25 / LONG_SKETCH) ** 0.5
@@ -144,31 +143,62 @@ def _across(members: DataFrame) -> DataFrame:
     places = F.when(F.col("other") == 0, led).otherwise(F.concat(to_lead, low, high))
     dealt = m.select("key", "band", "pivot", "nid", "comp", "n", "keys", "sign", F.explode(places).alias("at")).select("*", "at.*").drop("at")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        band, pivot, kind = int(pdf["band"].iloc[0]), int(pdf["pivot"].iloc[0]), int(pdf["kind"].iloc[0])
-        alone = kind == 1 and pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        nid, comp, n, side = (pdf[c].to_numpy() for c in ("nid", "comp", "n", "side"))
-        keys = np.frombuffer(b"".join(pdf["keys"]), dtype="<u8").reshape(len(pdf), -1)
-        sign = np.frombuffer(b"".join(pdf["sign"]), dtype=np.uint8).reshape(len(pdf), -1)
-        left = np.arange(len(pdf)) if alone else np.flatnonzero(side == 0)
-        right = left if alone else np.flatnonzero(side == 1)
+    names = ["key", "kind", "i", "j"]
+
+    def compare(part: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+        """The pairs of one group that come near the threshold."""
+        nid, comp, n, keys, sign = (part[c] for c in ("nid", "comp", "n", "keys", "sign"))
+        band, pivot = part["band"][0], part["pivot"][0]
+        alone = part["kind"][0] == 1 and part["i"][0] == part["j"][0]
+        left = np.arange(len(nid)) if alone else np.flatnonzero(part["side"] == 0)
+        right = left if alone else np.flatnonzero(part["side"] == 1)
         if len(left) > len(right):
             left, right = right, left
         found = []
-        for y in left:
-            near = right[(comp[right] != comp[y]) & (nid[right] != pivot)]
+        for y in left.tolist():
+            # pairs with the pivot are settled, and a pair counts in the first bucket it shares
             if nid[y] == pivot:
                 continue
-            if alone:
-                near = near[near > y]
-            small, large = np.minimum(n[near], n[y]), np.maximum(n[near], n[y])
-            near = near[small * DEN >= large * NUM]
+            near = right[right > y] if alone else right
+            near = near[(comp[near] != comp[y]) & (nid[near] != pivot)]
+            near = near[np.minimum(n[near], n[y]) * DEN >= np.maximum(n[near], n[y]) * NUM]
             near = near[(keys[near] == keys[y]).argmax(axis=1) == band]
             near = near[(sign[near] == sign[y]).mean(axis=1) >= SKETCH_CUT]
-            found += [(min(nid[x], nid[y]), max(nid[x], nid[y])) for x in near]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            found += [(min(nid[x], nid[y]), max(nid[x], nid[y])) for x in near.tolist()]
+        return found
 
-    return dealt.groupBy("key", "kind", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups as they come in key order; the last of a batch waits for the next one."""
+        held = None
+        for batch in _with_end(batches):
+            whole = batch if held is None else held if batch is None else pa.concat_batches([held, batch])
+            if whole is None:
+                break
+            ids = [np.asarray(whole.column(c)) for c in names]
+            change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
+            ends = [*change.tolist(), *([whole.num_rows] if batch is None else [])]
+            done = ends[-1] if ends else 0
+            held = whole.slice(done)
+            if not done:
+                continue
+            part = {c: np.asarray(whole.column(c)[:done]) for c in [*names, "band", "pivot", "nid", "comp", "n", "side"]}
+            part["keys"] = np.frombuffer(b"".join(whole.column("keys")[:done].to_pylist()), dtype="<u8").reshape(done, -1)
+            part["sign"] = np.frombuffer(b"".join(whole.column("sign")[:done].to_pylist()), dtype=np.uint8).reshape(done, -1)
+            found = []
+            for b, e in zip([0, *ends[:-1]], ends, strict=True):
+                if e - b > 1:
+                    found += compare({c: x[b:e] for c, x in part.items()})
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+    # groups are bounded by 2 * BLOCK rows, so a sorted stream holds one at a time
+    dealt = dealt.repartition(*names).sortWithinPartitions(*names)
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from (b for b in batches if b.num_rows)
+    yield None
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
