@@ -1,7 +1,7 @@
 """Substring dedup: a count-min prefilter, then exact grouping of what it lets through.
 
 Pass 1 hashes every window of `width` words. Each task adds its windows to a count-min sketch whose
-counters saturate at two, all the next pass asks, and ships it as compressed blocks; the blocks are
+counters saturate at two, all the next pass asks, and ships it as packed blocks; the blocks are
 merged by groupings in two levels. A merged counter never underestimates, so no repeated window is
 lost. The sketch follows the input up to MAX_LOG2 counters a row, so what is broadcast is at most
 2^MAX_LOG2 / 8 bytes a row; beyond that more windows pass, and the result stays exact.
@@ -15,7 +15,6 @@ Pass 3 brings a bucket's texts and its repeated windows together and removes the
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +30,8 @@ WIDTH = 35
 DEPTH = 2
 MIN_LOG2, MAX_LOG2 = 20, 28
 BLOCK_LOG2 = 19
+#: Partition sketches merged at once.
+MERGE = 256
 #: Windows that a task gathers before it ships.
 FLUSH = 3_000_000
 #: Bytes of text per bucket, and per shard.
@@ -52,25 +53,31 @@ def counters(h: np.ndarray, row: int, log2: int) -> np.ndarray:
     return (mix64(h + np.uint64((row + 1) * 0x632BE59BD9B4E019 & (2**64 - 1))) >> np.uint64(64 - log2)).astype(np.int64)
 
 
-def _planes(counter: np.ndarray, log2: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """Per touched block: compressed bits of counters seen at least once, and at least twice."""
+def pack(places: np.ndarray) -> bytes:
+    """Sorted distinct places as gaps, a byte each; a gap of 255 or more takes a 255 for every 255."""
+    gaps = np.diff(places, prepend=0)
+    ends = np.cumsum(gaps // 255 + 1)
+    out = np.full(ends[-1] if len(ends) else 0, 255, dtype=np.uint8)
+    out[ends - 1] = gaps % 255
+    return out.tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    gaps = np.frombuffer(packed, dtype=np.uint8)
+    return np.cumsum(gaps, dtype=np.int64)[gaps != 255]
+
+
+def _blocks(counter: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """Per touched block: the counters seen at least once, and at least twice."""
     counter = np.sort(counter)
     first = np.ones(len(counter), dtype=bool)
     first[1:] = counter[1:] != counter[:-1]
-    twice = np.unique(counter[~first])
-    once = counter[first]
-    size = 1 << BLOCK_LOG2
-    for block in range(1 << max(0, log2 - BLOCK_LOG2)):
-        lo, hi = np.searchsorted(once, [block * size, (block + 1) * size])
-        if lo == hi:
-            continue
-        lo2, hi2 = np.searchsorted(twice, [block * size, (block + 1) * size])
-        planes = []
-        for part in (once[lo:hi], twice[lo2:hi2]):
-            bits = np.zeros(size, dtype=np.uint8)
-            bits[part - block * size] = 1
-            planes.append(zlib.compress(np.packbits(bits).tobytes(), 1))
-        yield block, *planes
+    once, twice = counter[first], np.unique(counter[~first])
+    touched = np.unique(once >> BLOCK_LOG2)
+    edges = [touched << BLOCK_LOG2, (touched + 1) << BLOCK_LOG2]
+    spans = [np.searchsorted(x, e).tolist() for x in (once, twice) for e in edges]
+    for block, lo, hi, lo2, hi2 in zip(touched.tolist(), *spans, strict=True):
+        yield block, pack(once[lo:hi] - (block << BLOCK_LOG2)), pack(twice[lo2:hi2] - (block << BLOCK_LOG2))
 
 
 def sketch(texts: DataFrame, width: int, log2: int) -> DataFrame:
@@ -84,8 +91,11 @@ def sketch(texts: DataFrame, width: int, log2: int) -> DataFrame:
             h = np.concatenate(gathered)
             gathered.clear()
             for row in range(DEPTH):
-                for block, once, twice in _planes(counters(h, row, log2), log2):
-                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([task % 16], pa.int32()), pa.array([once], pa.binary()), pa.array([twice], pa.binary())], ["row", "block", "part", "once", "twice"])
+                found = list(_blocks(counters(h, row, log2)))
+                for i in range(0, len(found), 64):
+                    block, once, twice = zip(*found[i : i + 64], strict=True)
+                    n = len(block)
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int32()), pa.array(block, pa.int32()), pa.array([task // MERGE] * n, pa.int32()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["row", "block", "part", "once", "twice"])
 
         for batch in batches:
             for part in text_slices(batch, 0):
@@ -101,17 +111,20 @@ def sketch(texts: DataFrame, width: int, log2: int) -> DataFrame:
             yield from ship()
 
     def merge(group: pa.Table) -> pa.Table:
-        once = twice = np.zeros((1 << BLOCK_LOG2) // 8, dtype=np.uint8)
+        once, twice = np.zeros((2, 1 << BLOCK_LOG2), dtype=bool)
         for a, b in zip(group["once"], group["twice"], strict=True):
-            a, b = (np.frombuffer(zlib.decompress(x.as_py()), dtype=np.uint8) for x in (a, b))
-            twice = twice | b | (once & a)
-            once = once | a
+            seen = unpack(a.as_py())
+            twice[seen] |= once[seen]
+            once[seen] = True
+            twice[unpack(b.as_py())] = True
         head = group.slice(0, 1)
-        return pa.table([head["row"], head["block"], head["part"], pa.array([zlib.compress(once.tobytes(), 1)], pa.binary()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], names=["row", "block", "part", "once", "twice"])
+        return pa.table([head["row"], head["block"], head["part"], *[pa.array([pack(np.flatnonzero(x))], pa.binary()) for x in (once, twice)]], names=["row", "block", "part", "once", "twice"])
 
     schema = "row int, block int, part int, once binary, twice binary"
     parts = texts.select("text").mapInArrow(run, schema)
-    parts = parts.groupBy("row", "block", "part").applyInArrow(merge, schema)
+    if texts.rdd.getNumPartitions() > MERGE:
+        # the parts of a group are bounded by MERGE, then by the number of groups
+        parts = parts.groupBy("row", "block", "part").applyInArrow(merge, schema)
     return parts.groupBy("row", "block").applyInArrow(merge, schema)
 
 
@@ -194,11 +207,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     log2 = min(max_log2, max(MIN_LOG2, int(total // 4).bit_length()))
     buckets, shards = int(max(16, total // BUCKET_BYTES)), int(max(16, total // SHARD_BYTES))
 
-    size = (1 << log2) // 8
-    planes = np.zeros((DEPTH, size), dtype=np.uint8)
+    planes = np.zeros((DEPTH, (1 << log2) // 8), dtype=np.uint8)
     step = (1 << BLOCK_LOG2) // 8
-    for row, block, bits in sketch(picked, width, log2).select("row", "block", "twice").toLocalIterator():
-        planes[row, block * step : (block + 1) * step] = np.frombuffer(zlib.decompress(bits), dtype=np.uint8)
+    for row, block, twice in sketch(picked, width, log2).select("row", "block", "twice").collect():
+        bits = np.zeros(1 << BLOCK_LOG2, dtype=np.uint8)
+        bits[unpack(twice)] = 1
+        planes[row, block * step : (block + 1) * step] = np.packbits(bits)
     shared = spark.sparkContext.broadcast(planes)
 
     keyed = picked.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int"))
