@@ -94,7 +94,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     is_query is a condition on id_col. Returns query_id, rank (from 1), vec_id, score; nearest first,
     ties to the smaller id; the query's own row takes no part. Vectors that are null, zero, of
     another length than most, or hold null or non-finite components take no part, nor do null ids.
-    Repeated rows count once. Fewer candidates than k give fewer rows, an empty table none.
+    Repeated rows count once. A query whose probes meet fewer than k candidates is compared with all of
+    them; fewer candidates than k give fewer rows, an empty table none.
     """
     part = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec"), is_query.alias("asks"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
@@ -149,7 +150,21 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     keys = ["t", "bucket", "c", "q"]
     met = stored.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(compare, "qv bigint, cv bigint, score double")
     best = Window.partitionBy("qv").orderBy(F.desc("score"), "cv")
-    near = met.groupBy("qv", "cv").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
+    found = lambda df: df.groupBy("qv", "cv").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
+    near = checkpointed(found(met))
+    # a query that met fewer than k candidates is compared with every class, in blocks
+    total = classes.count()
+    short = wanted.join(near.groupBy("qv").agg(F.count("*").alias("n")), F.col("vid") == F.col("qv"), "left").where(F.coalesce("n", F.lit(0)) < min(k, total - 1)).select("vid", "vec")
+    short = checkpointed(short)
+    lacking = short.count()
+    if lacking:
+        cut = lambda n: F.pmod(F.xxhash64("vid"), F.lit(-(-n // BLOCK))).cast("int")
+        copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(-(-n // BLOCK) - 1)))
+        place = [F.lit(-1).alias("t"), F.lit(-1).alias("bucket")]
+        all_rows = classes.select(*place, cut(total).alias("c"), copies(lacking).alias("q"), "vid", "vec")
+        all_short = short.select(*place, copies(total).alias("c"), cut(lacking).alias("q"), "vid", "vec")
+        rest = all_rows.groupBy(*keys).cogroup(all_short.groupBy(*keys)).applyInArrow(compare, "qv bigint, cv bigint, score double")
+        near = found(near.unionByName(rest))
     own = classes.join(asking.select("vid").distinct(), "vid", "left_semi").select(F.col("vid").alias("qv"), F.col("vid").alias("cv"), (F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("score"))
     shown = near.unionByName(own).join(classes.select(F.col("vid").alias("cv"), "ids"), "cv").select("qv", "score", F.explode("ids").alias("vec_id"))
     top = Window.partitionBy("qv").orderBy(F.desc("score"), "vec_id")
