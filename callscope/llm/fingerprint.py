@@ -25,7 +25,7 @@ from .shingles import LOWER
 
 MIN_SHARE, MAX_SHARE = 0.0005, 0.1
 SUBSETS = 24
-#: Chance that a lexicon holds a term, in turn.
+#: Chance that a lexicon holds a term, in turn; the very first lexicon is whole.
 RATES = (1 / 4, 1 / 16, 1 / 32, 1 / 64, 1 / 128, 1 / 256)
 FLUSH = 2_000_000
 #: Bytes of text in one range of ids, sampled ids per range, and most ranges.
@@ -79,7 +79,7 @@ class Fingerprints:
         out = np.zeros((SUBSETS, len(words)), dtype=bool)
         for k in range(SUBSETS):
             drawn = mix64(words + np.uint64((k + 1) * 0x9FB21C651E98DF25 & (2**64 - 1)))
-            out[k] = drawn < np.uint64(int(RATES[k % len(RATES)] * 2**64))
+            out[k] = (drawn < np.uint64(int(RATES[k % len(RATES)] * 2**64))) | (k == 0)
         return out
 
     def of(self, text: bytes) -> list[str]:
