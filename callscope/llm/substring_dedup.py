@@ -67,21 +67,22 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.int64)[gaps != 255]
 
 
-def _blocks(counter: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+def _blocks(counter: np.ndarray, block_log2: int) -> Iterator[tuple[int, bytes, bytes]]:
     """Per touched block: the counters seen at least once, and at least twice."""
     counter = np.sort(counter)
     first = np.ones(len(counter), dtype=bool)
     first[1:] = counter[1:] != counter[:-1]
     once, twice = counter[first], np.unique(counter[~first])
-    touched = np.unique(once >> BLOCK_LOG2)
-    edges = [touched << BLOCK_LOG2, (touched + 1) << BLOCK_LOG2]
+    touched = np.unique(once >> block_log2)
+    edges = [touched << block_log2, (touched + 1) << block_log2]
     spans = [np.searchsorted(x, e).tolist() for x in (once, twice) for e in edges]
     for block, lo, hi, lo2, hi2 in zip(touched.tolist(), *spans, strict=True):
-        yield block, pack(once[lo:hi] - (block << BLOCK_LOG2)), pack(twice[lo2:hi2] - (block << BLOCK_LOG2))
+        yield block, pack(once[lo:hi] - (block << block_log2)), pack(twice[lo2:hi2] - (block << block_log2))
 
 
 def sketch(texts: DataFrame, width: int, log2: int) -> DataFrame:
     """(row, block, once, twice): the merged sketch of all windows."""
+    block_log2 = min(BLOCK_LOG2, log2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, gathered, n = WordHashes(), [], 0
@@ -91,7 +92,7 @@ def sketch(texts: DataFrame, width: int, log2: int) -> DataFrame:
             h = np.concatenate(gathered)
             gathered.clear()
             for row in range(DEPTH):
-                found = list(_blocks(counters(h, row, log2)))
+                found = list(_blocks(counters(h, row, log2), block_log2))
                 for i in range(0, len(found), 64):
                     block, once, twice = zip(*found[i : i + 64], strict=True)
                     n = len(block)
@@ -111,7 +112,7 @@ def sketch(texts: DataFrame, width: int, log2: int) -> DataFrame:
             yield from ship()
 
     def merge(group: pa.Table) -> pa.Table:
-        once, twice = np.zeros((2, 1 << BLOCK_LOG2), dtype=bool)
+        once, twice = np.zeros((2, 1 << block_log2), dtype=bool)
         for a, b in zip(group["once"], group["twice"], strict=True):
             seen = unpack(a.as_py())
             twice[seen] |= once[seen]
@@ -208,9 +209,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets, shards = int(max(16, total // BUCKET_BYTES)), int(max(16, total // SHARD_BYTES))
 
     planes = np.zeros((DEPTH, (1 << log2) // 8), dtype=np.uint8)
-    step = (1 << BLOCK_LOG2) // 8
+    block_size = 1 << min(BLOCK_LOG2, log2)
+    step = block_size // 8
     for row, block, twice in sketch(picked, width, log2).select("row", "block", "twice").collect():
-        bits = np.zeros(1 << BLOCK_LOG2, dtype=np.uint8)
+        bits = np.zeros(block_size, dtype=np.uint8)
         bits[unpack(twice)] = 1
         planes[row, block * step : (block + 1) * step] = np.packbits(bits)
     shared = spark.sparkContext.broadcast(planes)
