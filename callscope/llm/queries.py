@@ -82,5 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_substring_dedup": substring_dedup.ORACLE,
         "op6_mixing": mixing.ORACLE,
+        "op7_minhash": near_dup.ORACLE,
     }

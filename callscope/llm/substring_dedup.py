@@ -246,3 +246,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     done = keyed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(prune, f"id {kind}, n_words bigint, n_removed bigint, kept string")
     return done.withColumnRenamed("id", id_col)
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 34, 0) + 1)) AS i FROM w),
+h AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h FROM s),
+r AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM h JOIN r USING (h)),
+g AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1),
+p AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
+k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.p) AS kept FROM p ANTI JOIN c ON p.doc_id = c.doc_id AND p.p = c.p GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
