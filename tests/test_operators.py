@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callscope.functions import text as ft
-from callscope.operators import attempts, audio, judge, order, provenance, quality, report, retrieval, sequence, state, text_rules, tickets, values
+from callscope.operators import attempts, audio, contracts, facets, judge, order, provenance, quality, report, retrieval, search, sequence, state, text_rules, tickets, values
 from callscope.sources import records
 
 
@@ -265,3 +265,57 @@ def test_sources(spark, tmp_path):
     records.write_results(m.where("metric_id = 'M01'").withColumn("score", F.lit(0.0)), out)
     assert rows(spark.read.parquet(out).select("metric_id", "score")) == [("M01", 0.0), ("M02", 0.5)]
     assert records.markdown(m.select("metric_id", "score")).first().line == "| M01 | 1.000 |"
+
+
+def test_filtered_search(spark):
+    cells = spark.createDataFrame([(1, "t", i, c, v) for i, row in (("r1", ("10", "x")), ("r2", ("9", "x")), ("r3", ("100", "y"))) for c, v in zip(("n", "s"), row, strict=True)], "run_id long, tbl string, identity string, column string, value string")
+    filters = spark.createDataFrame([("find", "a", "n", "gte", "least", None, "integer"), ("find", "b", "s", "eq", None, "x", "string")], "tool string, rule string, column string, op string, arg string, constant string, type string")
+    calls = spark.createDataFrame([(1, 5, "find", "t"), (1, 6, "find", "t"), (1, 7, "find", "t")], "run_id long, call_seq long, tool string, tbl string")
+    args = spark.createDataFrame([(1, 5, "least", "10"), (1, 6, "least", "many")], "run_id long, call_seq long, name string, value string")
+    limits = spark.createDataFrame([("find", 1)], "tool string, most int")
+    got = search.filtered_search(calls, args, filters, cells, limits)
+    assert rows(got.select("call_seq", "identity")) == [(5, "r1"), (7, "r1")]
+
+
+def test_argument_facets(spark):
+    e = spark.createDataFrame([(1, 0, "t", "a", "1", None), (1, 0, "t", "b", " x", "string"), (1, 1, "t", None, None, None), (1, 2, "u", "a", "1", None)], "run_id long, idx int, tool string, name string, value string, type string")
+    args = spark.createDataFrame([(1, 5, "a", "1.0"), (1, 5, "b", "x"), (1, 4, "a", "2"), (1, 4, "b", "x")], "run_id long, call_seq long, name string, value string")
+    tried = spark.createDataFrame([(1, "t", 4, "ok"), (1, "t", 5, "ok"), (1, "u", 9, "error")], "run_id long, tool string, call_seq long, outcome string")
+    m = facets.argument_match(e, args, tried)
+    assert rows(m.select("idx", "matched")) == [(0, True), (1, True), (2, False)] and m.where("idx = 0").first().call_seq == 5
+    runs = spark.createDataFrame([(1,), (2,)], "run_id long")
+    f = facets.combine([("argument_value", m.select("run_id", F.col("matched").alias("passed"))), ("error_recovery", m.limit(0).select("run_id", F.col("matched").alias("passed")))], runs)
+    assert rows(facets.pass_rate(f).select("run_id", "status")) == [(1, "measured"), (2, "N/A")]
+
+
+def test_contract_tables(spark):
+    turns = spark.sql("SELECT 's' AS scenario_id, array(named_struct('kind','utterance','actor','user','text','hi','tool',cast(null as string)), named_struct('kind','tool_call','actor','operator','text',null,'tool','a'), named_struct('kind','tool_result','actor','tool','text',null,'tool','a'), named_struct('kind','utterance','actor','operator','text','fee','tool',null), named_struct('kind','tool_call','actor','operator','text',null,'tool','b')) AS turns")
+    ideal = contracts.ideal_conversation(turns)
+    assert rows(ideal.select("turn", "idx")) == [(0, 0), (1, 1), (3, 2), (4, 3)]
+    d = contracts.disclosure_deadline(ideal, spark.createDataFrame([("s", "d", 3), ("s", "e", 4)], "scenario_id string, disclosure_id string, turn int"))
+    assert {r.disclosure_id: (r.deadline_idx, r.deadline_tool) for r in d.collect()} == {"d": (3, "b"), "e": (None, None)}
+    gold = spark.sql("SELECT 's' AS scenario_id, array(named_struct('tool','a','arguments','{}'), named_struct('tool','b','arguments','{}')) AS calls")
+    trace = contracts.expected_trace(gold, spark.createDataFrame([("s", 1, "boom")], "scenario_id string, idx int, error string"))
+    assert rows(trace.select("idx", "tool", "outcome")) == [(0, "a", "ok"), (1, "b", "error")]
+    f = spark.createDataFrame([("t", "x", "o", "c1"), ("t", "y", "o", "c1"), ("t", "y", "o", "c2")], "tool string, name string, tbl string, column string")
+    cols = spark.createDataFrame([("o", "c1", "date"), ("o", "c2", "string")], "tbl string, column string, type string")
+    own = spark.createDataFrame([("t", "x", "string"), ("t", "y", "string"), ("t", "z", "integer")], "tool string, name string, type string")
+    good, clash = contracts.argument_contracts(f, f.limit(0), cols, own)
+    assert rows(good) == [("t", "x", "c1", "date"), ("t", "z", "z", "integer")] and rows(clash) == [("t", "y")]
+    ids = contracts.measurement_contract(spark.createDataFrame([("s",), ("r",)], "scenario_id string"), spark.createDataFrame([("M01",), ("M04",)], "metric_id string"), "text")
+    assert ids.select("instance_id").distinct().count() == 4
+    own = contracts.owners(spark.createDataFrame([(1, "x", 5, 2), (1, "x", 9, 1), (1, "x", 8, 1)], "run_id long, alias string, seq long, priority int"))
+    assert own.first().seq == 8
+    q = spark.createDataFrame([(1, "yes", i, f"q{i}") for i in range(5)] + [(1, "decoy", 0, "d")], "run_id long, kind string, priority int, question_id string")
+    assert contracts.first_wins(q, 3).count() == 4
+    clocks = contracts.clock_receipt(spark.createDataFrame([(1, "a", 5), (1, "a", 9), (2, "a", 1), (2, "b", 2), (3, None, 1)], "run_id long, clock_id string, monotonic_ns long"))
+    assert rows(clocks.select("run_id", F.coalesce("reason", F.lit("")))) == [(1, ""), (2, "several clocks"), (3, "clock missing")]
+
+
+def test_typed_containment(spark):
+    checks = [("会議は2024年2月3日です", "2024-02-03", "date", True), ("２月３日に", "2024-02-03", "date", True), ("2月13日に", "2024-02-03", "date", False), ("14:05から", "14:05", "time", True), ("１４時５分", "14:05", "time", True), ("14時", "14:00", "time", True), ("114:05", "14:05", "time", False), ("合計1,200円", "1200", "integer", True), ("12000円", "1200", "integer", False), ("tel 03-1234-5678", "0312345678", "phone", True), ("plan_a now", "plan", "text", False)]
+    for text, value, kind, want in checks:
+        got = spark.createDataFrame([(text, value)], "t string, v string").select(ft.contains_typed(F.col("t"), F.col("v"), kind).alias("x")).first().x
+        assert got == want, (text, value)
+    k = spark.createDataFrame([("キャンセルは３日前まで、手数料500円",)], "t string").select(ft.core_keywords(F.col("t")).alias("k")).first().k
+    assert k == ["3日", "500円", "キャンセル", "手数料"]
