@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
 
-MODULES = ["trace_queries", "table_queries"]
+MODULES = ["trace_queries", "table_queries", "contract_queries"]
 
 
 def _modules():
