@@ -9,7 +9,7 @@
 4. The components of all confirmed links give the groups.
 
 At the threshold of 0.75 a pair shares none of 48 bands of 5 with a chance of 2e-6, and a sketch of
-1024 coordinates falls under the cut with a chance of about 1e-6; links found are exact.
+2048 coordinates falls under the cut with a chance of about 1e-6; links found are exact.
 """
 
 from __future__ import annotations
@@ -27,10 +27,12 @@ from .shingles import band_keys, shingle_set, sketch
 
 WIDTH = 5
 ROWS, BANDS = 5, 48
-LONG_SKETCH = 1024
 NUM, DEN = 75, 100
-#: 4.75 standard deviations under the threshold.
-SKETCH_CUT = 0.75 - 4.75 * (0.75 * 0.25 / LONG_SKETCH) ** 0.5
+#: Coordinates of the longer sketch, kept to two bits each: unequal ones agree once in four.
+LONG_SKETCH = 2048
+AGREE = 0.75 + 0.25 / 4
+#: 4.75 standard deviations under the agreement of a pair at the threshold.
+SKETCH_CUT = AGREE - 4.75 * (AGREE * (1 - AGREE) / LONG_SKETCH) ** 0.5
 BLOCK = 1024
 #: Most document ids that are broadcast to pick texts; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
@@ -67,8 +69,8 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
 
 
 def sets_of(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Full set and long sketch of the classes in needed (nid, cls, id), from the text of the row
-    that each names."""
+    """Full set, long sketch and short band tags of the classes in needed (nid, cls, id), from the text
+    of the row that each names."""
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ids = needed.select(F.col("id").alias("_id")).distinct()
     ids = F.broadcast(ids) if needed.count() <= BROADCAST_IDS else ids
@@ -78,12 +80,13 @@ def sets_of(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, widt
         for _, sets in _sets(batches, width):
             sets = [s for s in sets if len(s)]
             if sets:
-                # one byte of each coordinate: unequal ones agree by chance once in 256
-                signs = [row.tobytes() for row in (sketch(sets, LONG_SKETCH) & np.uint64(255)).astype(np.uint8)]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(signs, pa.binary())], ["cls", "shingles", "sign"])
+                two = (sketch(sets, LONG_SKETCH) & np.uint64(3)).astype(np.uint8).reshape(len(sets), -1, 4)
+                packed = two[:, :, 0] | two[:, :, 1] << 2 | two[:, :, 2] << 4 | two[:, :, 3] << 6
+                tags = band_keys(sketch(sets, ROWS * BANDS), ROWS).astype("<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), *[pa.array([row.tobytes() for row in x], pa.binary()) for x in (packed, tags)]], ["cls", "shingles", "sign", "tags"])
 
-    made = picked.mapInArrow(run, "cls binary, shingles array<bigint>, sign binary")
-    return made.join(needed.select("nid", "cls"), "cls").groupBy("nid").agg(F.first("shingles").alias("shingles"), F.first("sign").alias("sign"))
+    made = picked.mapInArrow(run, "cls binary, shingles array<bigint>, sign binary, tags binary")
+    return made.join(needed.select("nid", "cls"), "cls").groupBy("nid").agg(*[F.first(c).alias(c) for c in ("shingles", "sign", "tags")])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -119,12 +122,12 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)
 
 
-def _across(members: DataFrame) -> DataFrame:
+def _across(members: DataFrame, signs: DataFrame) -> DataFrame:
     """Candidate pairs between components within mixed buckets.
 
-    members: key, band, pivot, nid, comp, n, keys, sign. The pivot's component is one side; it is
-    never compared within itself. Both sides are cut into blocks of about BLOCK rows; a group holds
-    one pair of blocks.
+    members: key, band, pivot, nid, comp, lead, n; signs: nid, sign, tags. The leading component is one
+    side; it is never compared within itself. Both sides are cut into blocks of about BLOCK rows; a
+    group holds one pair of blocks. Sketches join the narrow rows last and are shuffled once.
     """
     members = members.withColumn("other", (F.col("comp") != F.col("lead")).cast("int"))
     sizes = members.groupBy("key").agg(F.sum("other").alias("n_other"), F.sum(1 - F.col("other")).alias("n_lead"))
@@ -141,13 +144,13 @@ def _across(members: DataFrame) -> DataFrame:
     low = F.transform(F.filter(upto(F.col("b_other")), lambda j: j >= F.col("own")), lambda j: group(1, F.col("own"), j, 0))
     high = F.transform(F.filter(upto(F.col("b_other")), lambda j: j < F.col("own")), lambda j: group(1, j, F.col("own"), 1))
     places = F.when(F.col("other") == 0, led).otherwise(F.concat(to_lead, low, high))
-    dealt = m.select("key", "band", "pivot", "nid", "comp", "n", "keys", "sign", F.explode(places).alias("at")).select("*", "at.*").drop("at")
+    dealt = m.select("key", "band", "pivot", "nid", "comp", "n", F.explode(places).alias("at")).select("*", "at.*").drop("at").join(signs, "nid")
 
     names = ["key", "kind", "i", "j"]
 
     def compare(part: dict[str, np.ndarray]) -> list[tuple[int, int]]:
         """The pairs of one group that come near the threshold."""
-        nid, comp, n, keys, sign = (part[c] for c in ("nid", "comp", "n", "keys", "sign"))
+        nid, comp, n, tags, sign = (part[c] for c in ("nid", "comp", "n", "tags", "sign"))
         band, pivot = part["band"][0], part["pivot"][0]
         alone = part["kind"][0] == 1 and part["i"][0] == part["j"][0]
         left = np.arange(len(nid)) if alone else np.flatnonzero(part["side"] == 0)
@@ -162,7 +165,7 @@ def _across(members: DataFrame) -> DataFrame:
             near = right[right > y] if alone else right
             near = near[(comp[near] != comp[y]) & (nid[near] != pivot)]
             near = near[np.minimum(n[near], n[y]) * DEN >= np.maximum(n[near], n[y]) * NUM]
-            near = near[(keys[near] == keys[y]).argmax(axis=1) == band]
+            near = near[(tags[near] == tags[y]).argmax(axis=1) == band]
             near = near[(sign[near] == sign[y]).mean(axis=1) >= SKETCH_CUT]
             found += [(min(nid[x], nid[y]), max(nid[x], nid[y])) for x in near.tolist()]
         return found
@@ -182,8 +185,9 @@ def _across(members: DataFrame) -> DataFrame:
             if not done:
                 continue
             part = {c: np.asarray(whole.column(c)[:done]) for c in [*names, "band", "pivot", "nid", "comp", "n", "side"]}
-            part["keys"] = np.frombuffer(b"".join(whole.column("keys")[:done].to_pylist()), dtype="<u8").reshape(done, -1)
-            part["sign"] = np.frombuffer(b"".join(whole.column("sign")[:done].to_pylist()), dtype=np.uint8).reshape(done, -1)
+            part["tags"] = np.frombuffer(b"".join(whole.column("tags")[:done].to_pylist()), dtype="<u4").reshape(done, -1)
+            packed = np.frombuffer(b"".join(whole.column("sign")[:done].to_pylist()), dtype=np.uint8).reshape(done, -1)
+            part["sign"] = np.stack([packed >> shift & 3 for shift in (0, 2, 4, 6)], axis=2).reshape(done, -1)
             found = []
             for b, e in zip([0, *ends[:-1]], ends, strict=True):
                 if e - b > 1:
@@ -228,8 +232,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
     placed = shared.join(first.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lead"), F.max("comp").alias("top")).where("lead < top").select("key", "lead")
-    signs = sets.select("nid", "sign").join(classes.select("nid", "keys"), "nid")
-    across = _across(placed.join(mixed, "key").join(signs, "nid"))
+    across = _across(placed.join(mixed, "key"), sets.select("nid", "sign", "tags"))
     more = confirmed(across, sets)
     label = first.withColumnRenamed("node", "a")
     ends = more.join(label, "a", "left").select(F.coalesce("comp", "a").alias("a"), "b")
