@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import WordHashes, as_bytes, checkpointed, hash_words, mix64, text_slices
+from .common import WordHashes, as_bytes, hash_words, mix64, text_slices
 from .shingles import EMPTY, ODD, windows
 
 WIDTH = 35
@@ -219,7 +219,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     keyed = picked.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int"))
     suspects = _suspects(keyed.select("text", "bucket"), width, log2, shared, shards)
-    answers = checkpointed(suspects.groupBy("shard").applyInArrow(_answers, "bucket int, keys binary"))
+    answers = suspects.groupBy("shard").applyInArrow(_answers, "bucket int, keys binary")
 
     def prune(texts: pa.Table, found: pa.Table) -> pa.Table:
         repeated = np.unique(np.frombuffer(b"".join(found["keys"].to_pylist()), dtype="<u8"))
