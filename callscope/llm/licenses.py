@@ -54,8 +54,7 @@ TEMPLATES: dict[str, list[str]] = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 STATEMENT, FILE = 0.75, 0.75
-#: A segment is looked at if it has a template term that under this share of the documents hold.
-RARE_SHARE = 0.02
+CUT = min(STATEMENT, FILE)
 
 #: Lower case for ASCII letters; everything else in ASCII but digits is a gap.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -66,8 +65,8 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(PLAIN).split()
 
 
-def inverse_frequencies(docs: DataFrame, text_col: str, templates: dict[str, list[str]]) -> tuple[dict[bytes, float], float, int]:
-    """Weight of every template term, the weight of an unseen term, and the number of documents."""
+def inverse_frequencies(docs: DataFrame, text_col: str, templates: dict[str, list[str]]) -> tuple[dict[bytes, float], float]:
+    """Weight of every template term, and the weight of an unseen term."""
     vocabulary = frozenset(t for group in templates.values() for text in group for t in tokens(text.encode()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,15 +80,32 @@ def inverse_frequencies(docs: DataFrame, text_col: str, templates: dict[str, lis
     total = docs.count()
     seen = {bytes(t): n for t, n in docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term binary, n bigint").groupBy("term").agg(F.sum("n")).collect()}
     weight = lambda n: math.log((1 + total) / (1 + n)) + 1.0
-    return {t: weight(seen.get(t, 0)) for t in sorted(vocabulary)}, weight(0), total
+    return {t: weight(seen.get(t, 0)) for t in sorted(vocabulary)}, weight(0)
 
 
 class Matcher:
-    def __init__(self, templates: dict[str, list[str]], idf: dict[bytes, float], unseen: float, total: int):
+    def __init__(self, templates: dict[str, list[str]], idf: dict[bytes, float], unseen: float):
         self.idf, self.unseen = idf, unseen
-        rarest = math.log((1 + total) / (1 + RARE_SHARE * total)) + 1.0
-        self.rare = frozenset(t for t, w in idf.items() if w >= min(rarest, unseen))
         self.templates = [(name, self.unit(tokens(text.encode()))) for name, group in templates.items() for text in group]
+        self.opens: dict[bytes, list[int]] = {}
+        for i, (_, template) in enumerate(self.templates):
+            for t in self.needed(template):
+                self.opens.setdefault(t, []).append(i)
+
+    def needed(self, template: dict[bytes, float]) -> list[bytes]:
+        """Its rarest terms, so many that a vector with none of them stays under the cut: a cosine is
+        at most the length of the template's part on the terms it shares."""
+        out, rest = [], 1.0
+        for t in sorted(template, key=lambda t: (-self.idf[t], t)):
+            if rest < CUT * CUT - 1e-9:
+                break
+            out.append(t)
+            rest -= template[t] ** 2
+        return out
+
+    def near(self, words: list[bytes]) -> list[int]:
+        """The templates whose cosine can reach the cut, and perhaps others."""
+        return sorted({i for t in self.opens.keys() & words for i in self.opens[t]})
 
     def unit(self, words: list[bytes]) -> dict[bytes, float]:
         vector = {t: n * self.idf.get(t, self.unseen) for t, n in Counter(words).items()}
@@ -97,11 +113,12 @@ class Matcher:
         return {t: x / length for t, x in vector.items()}
 
     def best(self, words: list[bytes]) -> tuple[float, str]:
-        """(cosine, licence) of the nearest template; ties to the first name."""
-        if self.rare.isdisjoint(words):
+        """(cosine, licence) of the nearest template, where one reaches the cut; ties to the first name."""
+        near = self.near(words)
+        if not near:
             return 0.0, ""
         vector = self.unit(words)
-        scores = [(math.fsum(x * vector[t] for t, x in template.items() if t in vector), name) for name, template in self.templates]
+        scores = [(math.fsum(x * vector[t] for t, x in template.items() if t in vector), name) for name, template in map(self.templates.__getitem__, near)]
         return min(scores, key=lambda s: (-round(s[0], 9), s[1]))
 
 
@@ -109,13 +126,13 @@ def statements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """What each whole text itself says: id_col, path_col, license (null if nothing), score, offset
     (bytes before the best statement), n_statements, is_file."""
     templates = templates or TEMPLATES
-    idf, unseen, total = inverse_frequencies(docs, text_col, templates)
+    idf, unseen = inverse_frequencies(docs, text_col, templates)
     picked = docs.select(F.col(text_col).alias("_text"), F.col(id_col), F.col(path_col))
     carried = picked.schema.fields[1:]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(templates, idf, unseen, total)
+        matcher = Matcher(templates, idf, unseen)
         for batch in batches:
             for part in text_slices(batch, 0):
                 rows = []
@@ -124,7 +141,7 @@ def statements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     found: list[tuple[float, int, str]] = []
                     whole = (0.0, "")
                     words = tokens(text)
-                    if not matcher.rare.isdisjoint(words):
+                    if not matcher.opens.keys().isdisjoint(words):
                         whole = matcher.best(words)
                         for m in SEGMENT.finditer(text):
                             score, name = matcher.best(tokens(m[0]))

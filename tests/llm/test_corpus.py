@@ -279,3 +279,27 @@ def test_licenses_and_inheritance(spark):
     assert got[4] == got[6] == got[7] == got[150] == (None, None, None)
     assert got[5] == ("GPL-3.0", "statement", None)
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_licenses_that_many_documents_have(spark):
+    filler = "the quick brown fox jumps over lazy dogs while rain keeps falling on tin roofs"
+    header = "Licensed under the Apache License, Version 2.0."
+    for n in (3, 30, 600):
+        rows = [(i, f"d{i}/x", f"{filler} number{i}\n{header if i % 3 == 0 else 'nothing'}\n{filler}") for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+        got = {r.doc_id: r.license for r in licenses.scan(df).collect()}
+        assert got == {i: None if i % 3 else "Apache-2.0" for i in range(n)}
+
+
+def test_license_gate_is_exact():
+    r = random.Random(8)
+    vocabulary = sorted({t for g in licenses.TEMPLATES.values() for x in g for t in licenses.tokens(x.encode())})
+    for _ in range(5):
+        matcher = licenses.Matcher(licenses.TEMPLATES, {t: r.uniform(1, 12) for t in vocabulary}, 12.0)
+        for _, template in matcher.templates:
+            for _ in range(20):
+                words = r.sample(sorted(template), r.randint(1, len(template))) + r.sample(vocabulary, r.randint(0, 5))
+                vector = matcher.unit(words)
+                for i, (_, other) in enumerate(matcher.templates):
+                    if sum(x * vector.get(t, 0) for t, x in other.items()) >= licenses.CUT:
+                        assert i in matcher.near(words)
