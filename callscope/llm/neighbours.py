@@ -6,8 +6,9 @@ bucket of each table; a query probes the PROBES nearest signed axes of each. Buc
 blocks of bounded size: a hot bucket is cut by salt on both sides, so no task holds it whole.
 
 Equal vectors are searched once: a class keeps its k + 1 smallest ids, all that any list can show.
-Vectors of unequal length are lifted by one coordinate that makes all candidates equally long, so
-the largest inner product is the nearest direction.
+Vectors are hashed by direction. Where their lengths differ, every query is also compared with the
+LONGEST longest ones: any other candidate of a list is among the k nearest directions of at least
+LONGEST vectors that are no shorter, so it's met as surely as in a table of that many equal lengths.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import checkpointed
 TABLES, PROBES, ROUNDS = 24, 4, 3
 #: Rows of each side in one comparison.
 BLOCK = 2048
+#: Longest vectors that every query is compared with where lengths differ.
+LONGEST = 2048
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -62,9 +65,9 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten() if not isinstance(column, pa.ChunkedArray) else column.combine_chunks().flatten(), dtype=np.float64).reshape(-1, dim)
 
 
-def _hashed(rows: DataFrame, dim: int, longest: float, lift: bool, probes: int, tables: int, seed: int) -> DataFrame:
-    """(t, bucket, vid, vec) for every table and probe. Queries (probes > 1) are not lifted."""
-    width = 1 << (dim + lift - 1).bit_length()
+def _hashed(rows: DataFrame, dim: int, probes: int, tables: int, seed: int) -> DataFrame:
+    """(t, bucket, vid, vec) for every table and probe, by the vectors' directions."""
+    width = 1 << (dim - 1).bit_length()
     kind = rows.schema["vec"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,12 +77,7 @@ def _hashed(rows: DataFrame, dim: int, longest: float, lift: bool, probes: int,
                 batch = whole.slice(begin, BLOCK)
                 x = _matrix(batch.column(1), dim)
                 padded = np.zeros((len(x), width))
-                length = np.linalg.norm(x, axis=1)
-                if lift and probes == 1:
-                    padded[:, :dim] = x / longest
-                    padded[:, dim] = np.sqrt(np.maximum(0.0, 1.0 - (length / longest) ** 2))
-                else:
-                    padded[:, :dim] = x / length[:, None]
+                padded[:, :dim] = x / np.linalg.norm(x, axis=1)[:, None]
                 for t in range(tables):
                     axes = nearest_axes(rotate(padded, flips[t]), probes)
                     at = pa.array(np.repeat(np.arange(len(x)), axes.shape[1]))
@@ -111,12 +109,12 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     classes = checkpointed(classes.withColumn("norm", norm))
     shortest, longest = classes.agg(F.min("norm"), F.max("norm")).first()
     longest = longest or 1.0
-    lift = bool(longest - (shortest or longest) > 1e-6 * longest)
+    uneven = bool(longest - (shortest or longest) > 1e-6 * longest)
 
     asking = checkpointed(part.where("asks").select("id", "vec").join(classes.select("vec", "vid"), "vec").select(F.col("id").alias("query_id"), "vid").distinct())
     wanted = classes.join(asking.select("vid").distinct(), "vid", "left_semi")
-    stored = _hashed(classes, dim, longest, lift, 1, tables, seed)
-    asked = _hashed(wanted, dim, longest, lift, probes, tables, seed)
+    stored = _hashed(classes, dim, 1, tables, seed)
+    asked = _hashed(wanted, dim, probes, tables, seed)
 
     # blocks per bucket and side; at most tables * 2 * width rows, whatever the input
     blocks = lambda df, name: df.groupBy("t", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
@@ -149,22 +147,31 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
 
     keys = ["t", "bucket", "c", "q"]
     met = stored.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(compare, "qv bigint, cv bigint, score double")
+    total = classes.count()
+
+    def exactly(some: DataFrame, n_some: int, asks: DataFrame, n_asks: int) -> DataFrame:
+        """The best of some for each of asks, all compared in blocks."""
+        cut = lambda n: F.pmod(F.xxhash64("vid"), F.lit(-(-n // BLOCK))).cast("int")
+        copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(-(-n // BLOCK) - 1)))
+        place = [F.lit(-1).alias("t"), F.lit(-1).alias("bucket")]
+        left = some.select(*place, cut(n_some).alias("c"), copies(n_asks).alias("q"), "vid", "vec")
+        # new names for the columns, as both sides may come from one table
+        right = asks.select(*place, copies(n_some).alias("c"), cut(n_asks).alias("q"), F.col("vid").alias("vid"), F.col("vec").alias("vec"))
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "qv bigint, cv bigint, score double")
+
+    n_wanted = wanted.count() if uneven else 0
+    if n_wanted:
+        long = checkpointed(classes.orderBy(F.desc("norm"), "vid").limit(LONGEST).select("vid", "vec"))
+        met = met.unionByName(exactly(long, min(LONGEST, total), wanted, n_wanted))
     best = Window.partitionBy("qv").orderBy(F.desc("score"), "cv")
     found = lambda df: df.groupBy("qv", "cv").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
     near = checkpointed(found(met))
-    # a query that met fewer than k candidates is compared with every class, in blocks
-    total = classes.count()
+    # a query that met fewer than k candidates is compared with every class
     short = wanted.join(near.groupBy("qv").agg(F.count("*").alias("n")), F.col("vid") == F.col("qv"), "left").where(F.coalesce("n", F.lit(0)) < min(k, total - 1)).select("vid", "vec")
     short = checkpointed(short)
     lacking = short.count()
     if lacking:
-        cut = lambda n: F.pmod(F.xxhash64("vid"), F.lit(-(-n // BLOCK))).cast("int")
-        copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(-(-n // BLOCK) - 1)))
-        place = [F.lit(-1).alias("t"), F.lit(-1).alias("bucket")]
-        all_rows = classes.select(*place, cut(total).alias("c"), copies(lacking).alias("q"), "vid", "vec")
-        all_short = short.select(*place, copies(total).alias("c"), cut(lacking).alias("q"), "vid", "vec")
-        rest = all_rows.groupBy(*keys).cogroup(all_short.groupBy(*keys)).applyInArrow(compare, "qv bigint, cv bigint, score double")
-        near = found(near.unionByName(rest))
+        near = found(near.unionByName(exactly(classes, total, short, lacking)))
     own = classes.join(asking.select("vid").distinct(), "vid", "left_semi").select(F.col("vid").alias("qv"), F.col("vid").alias("cv"), (F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("score"))
     shown = near.unionByName(own).join(classes.select(F.col("vid").alias("cv"), "ids"), "cv").select("qv", "score", F.explode("ids").alias("vec_id"))
     top = Window.partitionBy("qv").orderBy(F.desc("score"), "vec_id")

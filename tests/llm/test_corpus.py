@@ -303,3 +303,31 @@ def test_license_gate_is_exact():
                 for i, (_, other) in enumerate(matcher.templates):
                     if sum(x * vector.get(t, 0) for t, x in other.items()) >= licenses.CUT:
                         assert i in matcher.near(words)
+
+
+@pytest.mark.parametrize("spread", ["one", "few", "all"])
+def test_neighbours_recall_of_uneven_lengths(spark, spread):
+    """Inner products in 64 dimensions: one vector, a few, or all of another length."""
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(5)
+    n, step = 20000, 200
+    x = r.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if spread == "one":
+        x[7] *= 3
+    elif spread == "few":
+        x[:60] *= r.uniform(1.5, 5, (60, 1))
+    else:
+        x *= r.uniform(0.2, 2, (n, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for q in neighbours.search(df, F.col("vec_id") % step == 0).collect():
+        got[q.query_id].add(q.vec_id)
+    hits = 0
+    for q in range(0, n, step):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+    print("recall", spread, hits / (20 * (n // step)))
+    assert hits >= 0.9 * 20 * (n // step)
