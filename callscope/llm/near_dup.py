@@ -251,10 +251,27 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """docs without the members of a group that are not its first."""
-    gone = checkpointed(groups(docs, id_col, text_col, width).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """docs with one row of each group: the one with the smallest id (nulls last), then digest of its text.
+
+    A row is known by its id and its text's digest, so rows that repeat an id or lack one are told apart;
+    of rows equal in both one stays. Rows without words all stay.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.unhex(F.md5(text_col)).alias("digest"))
+    keyed = docs.withColumn("_key", key)
+    named = groups(keyed, "_key", text_col, width).where("n_shingles > 0").groupBy("_key", "kept").agg(F.count("*").alias("_n"))
+    named = checkpointed(named.where("not kept or _n > 1"))
+
+    def some(condition: str) -> tuple[DataFrame, int]:
+        keys = named.where(condition).select("_key")
+        n = keys.count()
+        return (F.broadcast(keys) if n <= BROADCAST_IDS else keys), n
+
+    gone, _ = some("not kept")
+    left = keyed.join(gone, "_key", "left_anti")
+    repeated, n = some("kept")
+    if n:
+        left = left.join(repeated, "_key", "left_anti").unionByName(left.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]))
+    return left.select(*docs.columns)
 
 
 ORACLE = r"""

@@ -331,3 +331,18 @@ def test_neighbours_recall_of_uneven_lengths(spark, spread):
         hits += len(got[q] & set(np.argsort(-score)[:20].tolist()))
     print("recall", spread, hits / (20 * (n // step)))
     assert hits >= 0.9 * 20 * (n // step)
+
+
+def test_keep_one_of_null_and_repeated_ids(spark):
+    """One row of each group stays, whatever ids its rows have."""
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [
+        (1, near), (None, near + " end"), (None, "unique clean text without any copy at all"),
+        (5, near), (5, "another text of five words and more"), (6, "another text of five words and more"),
+        (7, "said twice by the very same row"), (7, "said twice by the very same row"),
+        (None, "only null ids hold this text here"), (None, "only null ids hold this text here"),
+        (8, None), (8, ""), (8, ""), (None, None),
+    ]
+    got = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [rows[i] for i in (0, 2, 4, 6, 8, 10, 11, 12, 13)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
