@@ -1,6 +1,9 @@
 """License scans: TF-IDF cosine of statements and licence files to templates, and inheritance.
 
-Every line and sentence of a whole text, and the text itself, is a sparse TF-IDF vector; inverse
+Every run of lines and sentences of a whole text, and the text itself, is a sparse TF-IDF vector. A
+run has at most RUN times its template's words: words of no template weigh no less than a notice's
+own, so with as many of them again it's under the cut (common words might still pass). Whole licences over RUN_WORDS words are compared with whole
+texts only. Of overlapping runs the nearest one is the statement. Inverse
 document frequencies of the templates' terms are counted over all documents (terms of no template
 get the weight of an unseen one). The best cosine over a licence's templates is its score. A text
 that opens with a statement, or as a whole matches a template, is a licence file and speaks for its
@@ -20,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, checkpointed, text_slices
+from .license_texts import WHOLE
 
 #: Public licence notices: fixed values.
 TEMPLATES: dict[str, list[str]] = {
@@ -55,6 +59,7 @@ TEMPLATES: dict[str, list[str]] = {
 }
 STATEMENT, FILE = 0.75, 0.75
 CUT = min(STATEMENT, FILE)
+RUN, RUN_WORDS = 2, 400
 
 #: Lower case for ASCII letters; everything else in ASCII but digits is a gap.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -87,10 +92,14 @@ class Matcher:
     def __init__(self, templates: dict[str, list[str]], idf: dict[bytes, float], unseen: float):
         self.idf, self.unseen = idf, unseen
         self.templates = [(name, self.unit(tokens(text.encode()))) for name, group in templates.items() for text in group]
+        self.sizes = [len(tokens(text.encode())) for group in templates.values() for text in group]
+        self.holds: dict[bytes, list[tuple[int, float]]] = {}
         self.opens: dict[bytes, list[int]] = {}
         for i, (_, template) in enumerate(self.templates):
             for t in self.needed(template):
                 self.opens.setdefault(t, []).append(i)
+            for t, x in template.items():
+                self.holds.setdefault(t, []).append((i, x * x))
 
     def needed(self, template: dict[bytes, float]) -> list[bytes]:
         """Its rarest terms, so many that a vector with none of them stays under the cut: a cosine is
@@ -104,8 +113,47 @@ class Matcher:
         return out
 
     def near(self, words: list[bytes]) -> list[int]:
-        """The templates whose cosine can reach the cut, and perhaps others."""
-        return sorted({i for t in self.opens.keys() & words for i in self.opens[t]})
+        """The templates that share enough terms for a cosine at the cut, with any counts."""
+        known = self.holds.keys() & words
+        if self.opens.keys().isdisjoint(known):
+            return []
+        mass: dict[int, float] = {}
+        for t in known:
+            for i, x in self.holds[t]:
+                mass[i] = mass.get(i, 0.0) + x
+        return sorted(i for i, x in mass.items() if x >= CUT * CUT - 1e-9)
+
+    def runs(self, units: list[list[bytes]], near: list[int]) -> list[tuple[float, int, int, str]]:
+        """(cosine, first unit, last unit, licence) of disjoint runs at the cut, the nearest first."""
+        found = []
+        for i in near:
+            name, template = self.templates[i]
+            if self.sizes[i] > RUN_WORDS:
+                continue
+            shares = [not template.keys().isdisjoint(u) for u in units]
+            for a in range(len(units)):
+                # a foreign unit at either end only lengthens the vector
+                if not shares[a]:
+                    continue
+                counts: Counter[bytes] = Counter()
+                dot, square, size = 0.0, 0.0, 0
+                for b in range(a, len(units)):
+                    size += len(units[b])
+                    if b > a and size > RUN * self.sizes[i]:
+                        break
+                    for t in units[b]:
+                        w = self.idf.get(t, self.unseen)
+                        square += w * w * (2 * counts[t] + 1)
+                        dot += template.get(t, 0.0) * w
+                        counts[t] += 1
+                    if shares[b] and dot >= STATEMENT * math.sqrt(square):
+                        found.append((dot / math.sqrt(square), a, b, name))
+        taken, used = [], set()
+        for run in sorted(found, key=lambda x: (-round(x[0], 9), x[1], x[2], x[3])):
+            if used.isdisjoint(range(run[1], run[2] + 1)):
+                used.update(range(run[1], run[2] + 1))
+                taken.append(run)
+        return taken
 
     def unit(self, words: list[bytes]) -> dict[bytes, float]:
         vector = {t: n * self.idf.get(t, self.unseen) for t, n in Counter(words).items()}
@@ -125,7 +173,7 @@ class Matcher:
 def statements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", templates: dict[str, list[str]] | None = None) -> DataFrame:
     """What each whole text itself says: id_col, path_col, license (null if nothing), score, offset
     (bytes before the best statement), n_statements, is_file."""
-    templates = templates or TEMPLATES
+    templates = templates or {name: TEMPLATES.get(name, []) + WHOLE.get(name, []) for name in sorted({*TEMPLATES, *WHOLE})}
     idf, unseen = inverse_frequencies(docs, text_col, templates)
     picked = docs.select(F.col(text_col).alias("_text"), F.col(id_col), F.col(path_col))
     carried = picked.schema.fields[1:]
@@ -141,14 +189,13 @@ def statements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     found: list[tuple[float, int, str]] = []
                     whole = (0.0, "")
                     words = tokens(text)
-                    if not matcher.opens.keys().isdisjoint(words):
+                    near = matcher.near(words)
+                    if near:
                         whole = matcher.best(words)
-                        for m in SEGMENT.finditer(text):
-                            score, name = matcher.best(tokens(m[0]))
-                            if score >= STATEMENT:
-                                found.append((score, m.start(), name))
-                    top = min(found, key=lambda x: (-x[0], x[1])) if found else None
-                    opens = bool(found) and not text[: found[0][1]].strip()
+                        units = [(m.start(), u) for m in SEGMENT.finditer(text) if (u := tokens(m[0]))]
+                        found = [(score, units[first][0], name) for score, first, _, name in matcher.runs([u for _, u in units], near)]
+                    top = found[0] if found else None
+                    opens = bool(found) and not text[: min(x[1] for x in found)].strip()
                     if whole[0] >= FILE and (not top or whole[0] > top[0]):
                         top = (whole[0], 0, whole[1])
                     rows.append((top and top[2], top and top[0], top and top[1], len(found), opens or whole[0] >= FILE))

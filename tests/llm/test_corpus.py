@@ -5,13 +5,14 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
-from callscope.llm import bpe, fingerprint, licenses, mixing, near_dup, neighbours, shingles, substring_dedup, toxicity
+from callscope.llm import bpe, fingerprint, license_texts, licenses, mixing, near_dup, neighbours, shingles, substring_dedup, toxicity
 from callscope.llm.common import WordHashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -346,3 +347,24 @@ def test_keep_one_of_null_and_repeated_ids(spark):
     got = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     want = [rows[i] for i in (0, 2, 4, 6, 8, 10, 11, 12, 13)]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_wrapped_notices_and_license_files(spark):
+    code = "\n".join(f"value{i} = compute(value{i - 1}, other{i}) + {i}" for i in range(60))
+    wrap = lambda text, mark: "\n".join(mark + x for x in textwrap.wrap(text, 60))
+    mit = "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + "\n".join(textwrap.wrap(license_texts.WHOLE["MIT"][1].split("\n", 1)[1], 76))
+    rows = [
+        (1, "a/x.py", "# Copyright 2020 Some Body\n#\n" + wrap(licenses.TEMPLATES["BSD-3-Clause"][1], "# ") + "\n\n" + code),
+        (2, "b/LICENSE", mit),
+        (3, "b/c/y.py", code),
+        (4, "d/COPYING", license_texts.WHOLE["GPL-3.0"][0]),
+        (5, "d/z.py", code),
+        (6, "e/w.c", "/*\n" + wrap(licenses.TEMPLATES["GPL-3.0"][1], " * ") + "\n */\n" + code),
+    ] + [(100 + i, f"f{i}/x", f"{code} number{i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.basis, r.from_dir, r.n_statements) for r in licenses.scan(df).collect()}
+    assert got[1] == ("BSD-3-Clause", "statement", None, 1)
+    assert got[2][:2] == ("MIT", "statement") and got[3][:3] == ("MIT", "directory", "b")
+    assert got[4][:2] == ("GPL-3.0", "statement") and got[5][:3] == ("GPL-3.0", "directory", "d")
+    assert got[6] == ("GPL-3.0", "statement", None, 1)
+    assert got[150] == (None, None, None, 0)
