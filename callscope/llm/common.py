@@ -29,6 +29,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept_columns(keep: list[str] | None, id_col: str, made: tuple[str, ...]) -> list[str]:
+    """The columns to carry besides the id, each once; one with the name of a made column is refused."""
+    keep = [c for c in dict.fromkeys(keep or []) if c != id_col]
+    clash = sorted({id_col, *keep} & set(made))
+    if clash:
+        raise ValueError(f"these columns have names of the result's own: {', '.join(clash)}; rename them first")
+    return keep
+
+
 def with_spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
     """Add, for each name, the leftmost non-overlapping matches of a pattern as an array of
     (s, e, m): start, end (exclusive) in code points, and the matched text.
@@ -60,14 +69,17 @@ def joined_spans(spans: Column) -> Column:
 
 
 class WordHashes(dict):
-    """Word (bytes) -> 64-bit hash, remembered up to a bound so that a task's memory stays flat."""
+    """Word (bytes) -> 64-bit hash. At most LIMIT words of at most LONGEST bytes are remembered, so
+    a task's memory stays flat whatever the texts hold."""
 
-    LIMIT = 300_000
+    LIMIT, LONGEST = 100_000, 64
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -84,13 +96,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_slices(batch: pa.RecordBatch, column: int, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut an Arrow batch so that no piece holds much more text than max_bytes (a single longer
-    text is a piece of its own)."""
+def text_slices(batch: pa.RecordBatch, column: int, max_bytes: int = 4 << 20, max_rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Cut an Arrow batch so that no piece holds more than max_rows rows or much more text than
+    max_bytes (a single longer text is a piece of its own)."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     begin, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
-        if total and total + n > max_bytes:
+        if i > begin and (total + n > max_bytes or i - begin >= max_rows):
             yield batch.slice(begin, i - begin)
             begin, total = i, 0
         total += n

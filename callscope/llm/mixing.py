@@ -1,13 +1,15 @@
 """Mixing sources to target weights with Efraimidis-Spirakis sampling.
 
-Each document draws u from its id; r = 1 - u^(1/w) orders a source so that every prefix is a
-weighted sample without replacement, w being a quality weight (share of letters). A source whose
-target is k times its size or more gives k complete epochs; the fraction left over is the prefix of
-its order whose words come nearest to it.
-
-No source is ever sorted as a whole: words are summed by 1024 cells of r, the cell that holds the
-budget's end by 1024 cells again, and only that inner cell (about a millionth of the source) is
-sorted. What crosses between the passes is one row per source.
+Each document draws u from its id; its exponential key -ln(u) / w orders a source so that every
+prefix is a weighted sample without replacement, w being a quality weight (share of letters). A
+source whose target is k times its size or more gives k complete epochs; the fraction left over is
+the prefix of its order whose words come nearest to it.
+
+No source is ever sorted as a whole. Rows carry r, the logarithm of the key: words are summed by cells
+of r of width 1/CELLS_1, the cell that holds the budget's end by CELLS_2 cells again, and only that
+inner cell is sorted. Whatever the weights, r is a mixture of shifted extreme-value laws, whose
+density is at most 1/e, so an inner cell expects at most 1 / (e * CELLS_1 * CELLS_2) of the source's
+documents, six in a million. What crosses between the passes is one row per source.
 """
 
 from __future__ import annotations
@@ -15,12 +17,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, kept_columns
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Characters that are not letters, for the quality weight: ASCII digits, punctuation and blanks.
 NOT_LETTERS = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~ \t\n\x0b\x0c\r"
-CELLS = 1024
+CELLS_1, CELLS_2 = 64, 1024
+#: Added to r before cutting: u >= 2^-49 and w <= 1 keep r over -34.
+SHIFT = 64
+#: Columns that mix() makes.
+MADE = ("size", "source_size", "target", "copies", "taken", "quality")
 #: Largest per-source table that is broadcast; beyond it the join shuffles.
 BROADCAST_SOURCES = 50_000
 
@@ -37,10 +43,11 @@ def quality_weight(text: Column) -> Column:
 
 
 def order_key(doc_id: Column, weight: Column, seed: str) -> Column:
-    """r = 1 - u^(1/w), with u drawn from the id by a digest, so reruns agree."""
+    """r = ln(-ln(u) / w), with u drawn from the id by a digest, so reruns agree. The logarithm keeps
+    the order of the keys and tells apart those of very small weights."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**48))
-    return F.lit(1.0) - F.pow(u, F.lit(1.0) / weight)
+    return F.log(-F.log(u)) - F.log(weight)
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
@@ -48,8 +55,8 @@ def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.withColumns({"_skey": _skey(F.col(source_col)), "_size": F.regexp_count(text, F.lit(WORD)).cast("long"), "_w": quality_weight(text)})
     out = out.withColumn("_r", order_key(F.col(id_col), F.col("_w"), seed))
-    fine = F.least(F.floor(F.col("_r") * (CELLS * CELLS)), F.lit(CELLS * CELLS - 1)).cast("int")
-    return out.withColumn("_c", fine).withColumns({"_c1": F.floor(F.col("_c") / CELLS).cast("int"), "_c2": (F.col("_c") % CELLS).cast("int")}).drop("_c")
+    fine = F.floor((F.col("_r") + F.lit(SHIFT)) * F.lit(CELLS_1 * CELLS_2)).cast("int")
+    return out.withColumn("_c", fine).withColumns({"_c1": F.floor(F.col("_c") / CELLS_2).cast("int"), "_c2": (F.col("_c") % CELLS_2).cast("int")}).drop("_c")
 
 
 def targets(sizes: DataFrame, cycle: tuple[int, ...], share: float, ceiling: int) -> DataFrame:
@@ -120,11 +127,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     (complete epochs, plus one if the fractional prefix takes the document), taken = copies * size,
     and quality (the weight that scales the exponential key).
 
-    A null text has no words; documents without words take nothing. A null source is a source of
-    its own. Equal ids with equal texts are taken together. An empty table gives no rows. Input
-    columns that clash with the result's names are dropped unless kept.
+    A null text has no words; documents without words take nothing; a very long text is one document
+    like any other, so a source's taken words miss its target by half its longest text at most. A
+    null source is a source of its own. Ties of the key go by id, nulls first; equal ids with equal
+    texts are taken together. An empty table gives no rows. A kept column that has the name of a
+    result column is refused; other columns are ignored.
     """
-    keep = [c for c in (keep or []) if c != id_col]
+    keep = kept_columns(keep, id_col, MADE)
     narrow = docs.select(F.col(id_col), F.col(text_col), F.col(source_col))
     rows = measured(narrow, id_col, text_col, source_col, seed).select(id_col, "_skey", "_size", "_w", "_r", "_c1", "_c2")
     rows = checkpointed(rows)
@@ -150,7 +159,7 @@ WITH d AS (
            / CAST(length(coalesce(text, '')) + 1 AS DOUBLE) AS w,
          (CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0 AS u
   FROM documents),
-r AS (SELECT *, 1.0 - pow(u, 1.0 / w) AS r FROM d),
+r AS (SELECT *, ln(-ln(u)) - ln(w) AS r FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS wt FROM d GROUP BY source),
 o AS (SELECT *, 3.0 * source_size AS cap, (SELECT CAST(sum(source_size) AS DOUBLE) FROM s) AS total,
         sum(wt) OVER () AS all_wt,

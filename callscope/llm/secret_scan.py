@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_spans, with_spans
+from .common import joined_spans, kept_columns, with_spans
 
 #: The fixed rules. Quantifiers are widened into the pattern only where that cannot change a match.
 ASSIGN = r"""(?:(?i)(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -108,7 +108,7 @@ def scan(docs: DataFrame, ratio: list[float] | None = None, id_col: str = "doc_i
     """
     ratio = train(docs, text_col, id_col) if ratio is None else ratio
     table = F.split(F.lit(",".join(map(str, ratio))), ",").cast("array<double>")
-    keep = [c for c in (keep or []) if c != id_col]
+    keep = kept_columns(keep, id_col, tuple(KINDS))
     picked = docs.select(F.col(id_col), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     out = _base(picked, "_text", {"_token": TOKEN})
     outside = _outside(F.col("_token"), "_assign", "_access", "_hex")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, text_slices
+from .common import as_bytes, kept_columns, text_slices
 
 GRADES = 3
 #: Labelled rows (about) that the model is fitted on, and the features it may use.
@@ -33,6 +33,8 @@ STRIP = "".join(map(chr, range(33, 48))) + "".join(map(chr, range(58, 65))) + "[
 #: Odds that make a feature count towards a toxic text's grade.
 STRONG_ODDS = 20.0
 REJECT = 0.35
+#: Columns that score() makes.
+MADE = ("p_toxic", "severity", "grade", "toxic")
 
 
 def features(word: str) -> list[str]:
@@ -48,9 +50,10 @@ class Model:
 
 
 class Scorer(dict):
-    """Word -> its (feature number, ...) in the model, remembered up to a bound."""
+    """Word -> its (feature number, ...) in the model; at most LIMIT words of at most LONGEST
+    characters are remembered."""
 
-    LIMIT = 300_000
+    LIMIT, LONGEST = 100_000, 64
 
     def __init__(self, model: Model):
         super().__init__()
@@ -59,9 +62,11 @@ class Scorer(dict):
         self.thresholds = model.thresholds
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = tuple(self.number[f] for f in features(word) if f in self.number)
+        value = tuple(self.number[f] for f in features(word) if f in self.number)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = value
         return value
 
     def __call__(self, text: bytes | None) -> tuple[float, np.ndarray]:
@@ -159,14 +164,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     Returns id_col, the columns in keep, p_toxic = P(grade > 0), severity (expected grade, 0 to 3),
     grade (thresholds passed with probability over one half) and toxic (p_toxic >= reject). A null
-    text counts as empty and scores by the thresholds alone. Rows stay one to one, repeated rows and
-    null ids included; an empty table gives no rows; columns that are not named are ignored.
+    text counts as empty; it and every text without a known feature score by the thresholds alone. A
+    very long text is read whole, its counts on a log scale. Rows stay one to one, so repeated rows
+    and null ids score alike and for themselves; an empty table gives no rows. A kept column with
+    the name of a result column is refused; columns that are not named are ignored.
     """
-    keep = [c for c in (keep or []) if c != id_col]
-    picked = docs.select(F.col(text_col).alias("_text"), F.col(id_col), *keep)
+    keep = kept_columns(keep, id_col, MADE)
+    picked = docs.select(F.col(text_col).alias("_text"), F.col(id_col), *[c for c in keep if c != text_col])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    carried = picked.schema.fields[1:]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
+    # a kept text crosses to Python once
+    fields = {f.name: (i, f.dataType.simpleString()) for i, f in enumerate(picked.schema.fields)}
+    fields[text_col] = fields.get(text_col, fields["_text"])
+    carried = [id_col, *keep]
+    schema = ", ".join(f"`{c}` {fields[c][1]}" for c in carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -174,6 +184,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for part in text_slices(batch, 0):
                 over = np.array([scorer(t)[1] for t in as_bytes(part.column(0))]).reshape(part.num_rows, -1)
                 made = [pa.array(over[:, 0]), pa.array(over.sum(axis=1)), pa.array((over > 0.5).sum(axis=1).astype(np.int32)), pa.array(over[:, 0] >= reject)]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], [*[f.name for f in carried], "p_toxic", "severity", "grade", "toxic"])
+                yield pa.RecordBatch.from_arrays([*[part.column(fields[c][0]) for c in carried], *made], [*carried, "p_toxic", "severity", "grade", "toxic"])
 
     return picked.mapInArrow(run, f"{schema}, p_toxic double, severity double, grade int, toxic boolean")

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import textwrap
@@ -12,7 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from callscope.llm import bpe, fingerprint, license_texts, licenses, mixing, near_dup, neighbours, shingles, substring_dedup, toxicity
+from callscope.llm import bpe, fingerprint, license_texts, licenses, mixing, near_dup, neighbours, secret_scan, shingles, substring_dedup, toxicity
 from callscope.llm.common import WordHashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -180,6 +181,36 @@ def test_mixing_prefers_quality(spark):
     assert sum(r.copies for r in taken if r.doc_id % 2) > 1.5 * sum(r.copies for r in taken if r.doc_id % 2 == 0)
 
 
+def test_mixing_tells_small_weights_apart(spark):
+    """Documents of digits have tiny weights; their keys stay distinct and spread over the cells."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, "7" * (1000 + i % 50) + (" word" * (i % 3)), "s") for i in range(3000)] + [(9000 + i, "word " * 400, "t") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    m = mixing.measured(df, "doc_id", "text", "source", "mix-1").cache()
+    assert m.where("source = 's'").select("_r").distinct().count() == 3000
+    for cells, width in ((["_c1"], mixing.CELLS_1), (["_c1", "_c2"], mixing.CELLS_1 * mixing.CELLS_2)):
+        most = m.groupBy("source", *cells).count().agg(F.max("count")).first()[0]
+        mean = 3000 / (math.e * width)
+        assert most <= mean + 5 * math.sqrt(mean) + 3
+    taken = collections.Counter()
+    for r in mixing.mix(df, cycle=(1, 500)).collect():
+        if r.doc_id < 3000:
+            taken[r.doc_id % 3] += r.copies
+    # a third of the documents has next to no letters, the others 5 and 9 times as many: no prefix of ids
+    assert 0 < taken[0] < taken[1] < taken[2]
+    chosen = [r.doc_id for r in mixing.mix(df, cycle=(1, 500)).where("doc_id < 3000 and copies > 0").select("doc_id").collect()]
+    assert max(chosen) > 2900 and 1200 < np.mean(chosen) < 1800
+
+
+@pytest.mark.parametrize("call", [lambda d, k: mixing.mix(d, keep=k), lambda d, k: bpe.encode_decode(d, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=k), lambda d, k: secret_scan.scan(d, [0.0] * secret_scan.CODES**2, keep=k), lambda d, k: toxicity.score(d, toxicity.Model({}, np.array([1.0, 2.0, 3.0])), keep=k)])
+def test_kept_columns_may_not_clash(docs, call):
+    made = set(call(docs, ["text", "lang", "text"]).columns) - {"doc_id", "text", "lang"}
+    for name in sorted(made & {"size", "ids", "assign", "p_toxic"}):
+        with pytest.raises(ValueError, match=name):
+            call(docs.withColumnRenamed("kept", name) if name != "size" else docs, [name])
+
+
 def test_neighbours_recall_and_ties(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(900, 24)) * r.uniform(0.2, 2, (900, 1))
