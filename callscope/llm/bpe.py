@@ -7,7 +7,7 @@ neighbours and makes at most three point updates (the joined pair, the swallowed
 the left), each climbing log2(length) nodes. Pieces of a batch whose lengths round up to the same
 power of two run through their trees together as rows of one array; pieces beyond LOCKSTEP bytes
 run alone. Memory is bounded: pieces are processed in blocks and the table of known pieces is
-emptied when full.
+emptied when full and at a task's end.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import kept_columns, text_slices
 
 LOCKSTEP = 64
-KNOWN_PIECES = 300_000
+#: Most bytes of pieces and ids that are remembered, about, and what an entry takes besides.
+KNOWN_BYTES, ENTRY = 32 << 20, 200
 BLOCK_CELLS = 1 << 17
 NONE = np.int64(1) << 60
 #: No pair, in the 32-bit trees of short pieces.
@@ -60,6 +61,7 @@ class ByteBpe:
             for b in range(256):
                 self.byte_pair_ranks[a, b] = self.ranks.get(bytes([a, b]), STEP_NONE)
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
 
     # --- many short pieces in step -------------------------------------------------------------
 
@@ -178,8 +180,6 @@ class ByteBpe:
 
     def learn(self, pieces: set[str]) -> None:
         """Encode pieces that are not known yet."""
-        if len(self.known) + len(pieces) > KNOWN_PIECES:
-            self.known.clear()
         by_width: dict[int, list[tuple[str, bytes]]] = {}
         for piece in pieces:
             raw = piece.encode("utf-8")
@@ -196,15 +196,20 @@ class ByteBpe:
                 block = group[i : i + step]
                 self.known.update(zip((p for p, _ in block), self.encode_in_step([r for _, r in block], width), strict=True))
 
+    def forget(self) -> None:
+        self.known, self.known_bytes = {}, 0
+
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
         cut = [self.pattern.findall(t) for t in texts]
         needed = set().union(*cut)
         missing = needed - self.known.keys()
         if missing:
-            if len(self.known) + len(missing) > KNOWN_PIECES:
-                self.known.clear()
+            # ids take at most four bytes a byte of text
+            if self.known_bytes + sum(8 * len(p) + ENTRY for p in missing) > KNOWN_BYTES:
+                self.forget()
                 missing = needed
+            self.known_bytes += sum(8 * len(p) + ENTRY for p in missing)
             self.learn(missing)
         known = self.known
         return [b"".join([known[p] for p in pieces]) for pieces in cut]
@@ -223,10 +228,12 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     Returns id_col, the columns named in keep, n_tokens (long), ids (binary: the ids as little-endian
     unsigned 32-bit integers) and decoded (binary: the bytes of the decoded ids, equal to the text's
-    UTF-8). A null text counts as empty: no ids, empty bytes. Rows are kept one to one, repeated
-    rows and null ids included; other columns of docs are ignored, so their names cannot clash.
+    UTF-8). A null text counts as empty: no ids, empty bytes; a very long text is encoded whole.
+    Equal ranks merge at the leftmost place. Rows are kept one to one, repeated rows and null ids
+    included; an empty table gives no rows. A kept column with the name of a result column is
+    refused; other columns of docs are ignored.
     """
-    keep = keep or []
+    keep = kept_columns(keep, id_col, ("n_tokens", "ids", "decoded"))
     picked = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(id_col), *[F.col(c) for c in keep])
     carried = [f.name for f in picked.schema.fields[1:]]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[1:])
@@ -234,10 +241,11 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(ranks_path, pattern)
         for batch in batches:
-            for part in text_slices(batch, 0):
+            for part in text_slices(batch, 0, 1 << 20):
                 ids = model.encode_texts(part.column(0).to_pylist())
                 columns = [part.column(i + 1) for i in range(len(carried))]
                 columns += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([model.decode(x) for x in ids], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, [*carried, "n_tokens", "ids", "decoded"])
+        model.forget()
 
     return picked.mapInArrow(run, f"{schema}, n_tokens bigint, ids binary, decoded binary")

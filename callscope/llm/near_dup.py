@@ -34,6 +34,8 @@ AGREE = 0.75 + 0.25 / 4
 #: 4.75 standard deviations under the agreement of a pair at the threshold.
 SKETCH_CUT = AGREE - 4.75 * (AGREE * (1 - AGREE) / LONG_SKETCH) ** 0.5
 BLOCK = 1024
+#: Sets sketched at once: a long sketch takes 16 KB a set until it's cut to two bits a coordinate.
+SKETCHED = 256
 #: Most document ids that are broadcast to pick texts; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -77,9 +79,10 @@ def sets_of(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, widt
     picked = picked.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches, width):
-            sets = [s for s in sets if len(s)]
-            if sets:
+        for _, found in _sets(batches, width):
+            found = [s for s in found if len(s)]
+            for begin in range(0, len(found), SKETCHED):
+                sets = found[begin : begin + SKETCHED]
                 two = (sketch(sets, LONG_SKETCH) & np.uint64(3)).astype(np.uint8).reshape(len(sets), -1, 4)
                 packed = two[:, :, 0] | two[:, :, 1] << 2 | two[:, :, 2] << 4 | two[:, :, 3] << 6
                 tags = band_keys(sketch(sets, ROWS * BANDS), ROWS).astype("<u4")
