@@ -58,7 +58,8 @@ def _plain(error: Column) -> Column:
 
 
 def success_columns(error: Column, error_type: Column, ok: Column, flags: list[Column], hard_fails: Column) -> dict[str, Column]:
-    """The four notions of success that the metrics use; they differ on purpose.
+    """Four of the five notions of success that the metrics use (next_result_ok is the fifth); they
+    differ on purpose.
 
     by_metric: no error or error type, and none of the flags is false. by_outcome: ok isn't false, no
     error, no hard fails. by_ticket: the same without hard fails. strictly: ok is true.
@@ -73,3 +74,12 @@ def success_columns(error: Column, error_type: Column, ok: Column, flags: list[C
         "by_ticket": not_false & error.isNull(),
         "strictly": F.coalesce(ok, F.lit(False)),
     }
+
+
+def next_result_ok(events: DataFrame) -> DataFrame:
+    """Calls (run_id, seq, tool) with ok: whether the next result of the tool, whichever call it
+    answers, says that ok is true."""
+    w = Window.partitionBy("run_id", "tool").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    said = F.first(F.when(F.col("event_type") == RESULT, F.struct("ok")), ignorenulls=True).over(w)
+    e = events.where(F.col("event_type").isin(CALL, RESULT) & F.col("tool").isNotNull()).withColumn("_next", said)
+    return e.where(F.col("event_type") == CALL).select("run_id", "seq", "tool", F.coalesce("_next.ok", F.lit(False)).alias("ok"))

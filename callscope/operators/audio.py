@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FEATURES = "path string, error string, rate int, channels int, bits int, frames bigint, payload_sha256 string, rms_db double, peak double, clip_ratio double, flat_top int, dc double, rolloff_hz double, dropout_frames bigint, snr_db double"
-FLOOR_DB = -120.0
+FEATURES = "path string, error string, rate int, channels int, bits int, frames bigint, file_sha256 string, payload_sha256 string, rms_dbfs double, peak_dbfs double, clip_ratio double, flat_top_ms double, dc_dbfs double, rolloff_hz double, dropout_ms double, snr_db double"
+#: What silence counts as, in decibels, and amplitudes that count as silence: fixed values.
+FLOOR_DB = -300.0
+NEAR_ZERO = 0.00001
 
 
 def db(amplitude: float) -> float:
-    return max(FLOOR_DB, 20.0 * float(np.log10(amplitude))) if amplitude > 0 else FLOOR_DB
+    return 20.0 * float(np.log10(amplitude)) if amplitude > 0 else FLOOR_DB
 
 
 def longest_run(mask: np.ndarray) -> int:
@@ -24,9 +26,9 @@ def longest_run(mask: np.ndarray) -> int:
     return int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
 
 
-def decode(data: bytes) -> tuple[int, int, int, bytes, np.ndarray]:
-    """(rate, channels, bits, payload, samples as [frames, channels] in -1..1) of a RIFF WAVE file with
-    integer (8, 16, 24, 32 bit) or float (32, 64 bit) samples; ValueError if it is malformed."""
+def decode(data: bytes) -> tuple[int, int, int, bytes, np.ndarray, bool]:
+    """(rate, channels, bits, payload, samples as [frames, channels] in -1..1, whether they are
+    integers) of a RIFF WAVE file with integer (8, 16, 24, 32 bit) or float (32, 64 bit) samples; ValueError if it is malformed."""
     if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         raise ValueError("not a RIFF WAVE file")
     at, form, payload = 12, None, None
@@ -59,53 +61,92 @@ def decode(data: bytes) -> tuple[int, int, int, bytes, np.ndarray]:
         samples = np.frombuffer(payload, dtype=f"<i{bits // 8}").astype(np.float64) / (1 << (bits - 1))
     else:
         raise ValueError(f"format {tag} with {bits} bits")
-    return rate, channels, bits, payload, samples.reshape(-1, channels)
+    return rate, channels, bits, payload, samples.reshape(-1, channels), tag == 1
 
 
-def signal(samples: np.ndarray, rate: int, clip: float = 0.999) -> dict:
-    """Features of one channel's samples."""
-    if not len(samples):
-        return {"rms_db": FLOOR_DB, "peak": 0.0, "clip_ratio": 0.0, "flat_top": 0, "dc": 0.0, "rolloff_hz": 0.0, "dropout_frames": 0, "snr_db": 0.0}
+def rolloff(samples: np.ndarray, rate: int, share: float = 0.95) -> float:
+    """The frequency under which a share of the power lies, through a Hann window; 0 for silence."""
+    total = np.cumsum(np.abs(np.fft.rfft(samples * np.hanning(len(samples)))) ** 2)
+    if not len(total) or total[-1] <= 0:
+        return 0.0
+    return float(min(np.searchsorted(total, share * total[-1]), len(total) - 1) * rate / len(samples))
+
+
+def _cut(samples: np.ndarray, ranges) -> np.ndarray:
+    return np.concatenate([samples[int(r["start"]) : int(r["end"])] for r in ranges])
+
+
+def signal(samples: np.ndarray, rate: int, clip: float = 1.0, speech=None, noise=None, near_zero: float = NEAR_ZERO) -> dict:
+    """Features of one channel's samples; dropouts are looked for in the speech ranges, and the ratio of
+    speech to noise needs both (else null)."""
     level = np.abs(samples)
-    power = np.abs(np.fft.rfft(samples)) ** 2
-    total = np.cumsum(power)
-    rolloff = np.searchsorted(total, 0.95 * total[-1]) * rate / len(samples) if total[-1] > 0 else 0.0
-    frame = max(1, rate // 50)
-    rms = np.sqrt(np.add.reduceat(samples**2, np.arange(0, len(samples), frame)) / frame)
-    loud, quiet = np.quantile(rms, 0.9), np.quantile(rms, 0.1)
-    return {
-        "rms_db": db(float(np.sqrt(np.mean(samples**2)))),
-        "peak": float(level.max()),
-        "clip_ratio": float((level >= clip).mean()),
-        "flat_top": longest_run((level[1:] >= clip) & (samples[1:] == samples[:-1])),
-        "dc": float(samples.mean()),
-        "rolloff_hz": float(rolloff),
-        "dropout_frames": int((samples == 0).sum() if (samples == 0).all() else longest_run(samples == 0)),
-        "snr_db": db(float(loud)) - db(float(quiet)),
+    clipped = level >= clip
+    flat = longest_run(clipped[1:] & (samples[1:] == samples[:-1])) + 1 if clipped.any() else 0
+    ms = 1000.0 / rate
+    out = {
+        "rms_dbfs": db(float(np.sqrt(np.mean(samples**2)))),
+        "peak_dbfs": db(float(level.max())),
+        "clip_ratio": float(clipped.mean()),
+        "flat_top_ms": flat * ms,
+        "dc_dbfs": db(abs(float(samples.mean()))),
+        "rolloff_hz": rolloff(samples, rate),
+        "dropout_ms": None,
+        "snr_db": None,
     }
+    if speech is not None and len(speech):
+        heard = _cut(samples, speech)
+        out["dropout_ms"] = longest_run(np.abs(heard) <= near_zero) * ms
+        if noise is not None and len(noise):
+            loud, quiet = (float(np.sqrt(np.mean(x**2))) for x in (heard, _cut(samples, noise)))
+            out["snr_db"] = float("inf") if quiet == 0 else 20.0 * float(np.log10(loud / quiet)) if loud else FLOOR_DB
+    return out
 
 
 def wav_features(files: DataFrame) -> DataFrame:
-    """Features of files read as binaryFile (path, content); malformed ones keep a reason in error."""
+    """Features of files read as binaryFile (path, content); malformed ones keep a reason in error.
+    Optional columns speech_ranges and noise_ranges (arrays of start and end in samples) say where
+    speech and noise are. Integer samples clip one step under full scale."""
+    ranges = [c for c in ("speech_ranges", "noise_ranges") if c in files.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            for at in range(len(pdf)):
                 row = dict.fromkeys([c.split()[0] for c in FEATURES.split(", ")])
-                row["path"] = path
+                row["path"], content = pdf["path"].iat[at], bytes(pdf["content"].iat[at])
+                row["file_sha256"] = hashlib.sha256(content).hexdigest()
                 try:
-                    rate, channels, bits, payload, samples = decode(bytes(content))
-                    row |= {"rate": rate, "channels": channels, "bits": bits, "frames": len(samples), "payload_sha256": hashlib.sha256(payload).hexdigest(), **signal(samples.mean(axis=1), rate)}
+                    rate, channels, bits, payload, samples, whole = decode(content)
+                    if not len(samples):
+                        raise ValueError("no samples")
+                    given = {c.split("_")[0]: pdf[c].iat[at] for c in ranges}
+                    clip = 1.0 - 2.0 ** (1 - bits) if whole else 1.0
+                    row |= {"rate": rate, "channels": channels, "bits": bits, "frames": len(samples), "payload_sha256": hashlib.sha256(payload).hexdigest(), **signal(samples.mean(axis=1), rate, clip, **given)}
                 except ValueError as e:
                     row["error"] = str(e)
                 rows.append(row)
             out = pd.DataFrame(rows)
-            for c in ("rate", "channels", "bits", "frames", "flat_top", "dropout_frames"):
+            for c in ("rate", "channels", "bits", "frames"):
                 out[c] = out[c].astype("Int64")
             yield out
 
-    return files.select("path", "content").mapInPandas(run, FEATURES)
+    return files.select("path", "content", *ranges).mapInPandas(run, FEATURES)
+
+
+def undeclared_facts(features: DataFrame, declared: DataFrame) -> DataFrame:
+    """Facts that a manifest declares and the decoded file doesn't have: (path, rule, detail).
+
+    declared: path, sha256, rate, channels, bits, frames (null: not declared).
+    """
+    pairs = [("sha256", "file_sha256"), ("rate", "rate"), ("channels", "channels"), ("bits", "bits"), ("frames", "frames")]
+    d = declared.select("path", *[F.col(a).cast("string").alias(f"_d_{a}") for a, _ in pairs])
+    f = features.select("path", F.lit(True).alias("_has"), "error", *[F.col(b).cast("string").alias(f"_f_{a}") for a, b in pairs])
+    both = d.join(f, "path", "left")
+    differs = lambda a: F.when(F.col(f"_d_{a}").isNotNull() & ~F.col(f"_d_{a}").eqNullSafe(F.col(f"_f_{a}")), F.struct(F.lit(f"{a}_differs").alias("rule"), F.concat_ws(" ", F.col(f"_d_{a}"), F.lit("declared,"), F.coalesce(f"_f_{a}", F.lit("none")), F.lit("decoded")).alias("detail")))
+    broken = F.when(F.col("_has").isNull(), F.array(F.struct(F.lit("file_missing").alias("rule"), F.lit("").alias("detail"))))
+    broken = broken.when(F.col("error").isNotNull(), F.array(F.struct(F.lit("malformed").alias("rule"), F.col("error").alias("detail"))))
+    found = F.filter(F.array(*[differs(a) for a, _ in pairs]), lambda x: x.isNotNull())
+    return both.select("path", F.explode(broken.otherwise(found)).alias("v")).select("path", "v.*")
 
 
 def against(value: Column, most: Column, uncertainty: Column) -> Column:
@@ -113,19 +154,43 @@ def against(value: Column, most: Column, uncertainty: Column) -> Column:
     return F.when(value + uncertainty <= most, "passed").when(value - uncertainty > most, "failed").otherwise("N/M")
 
 
-def signal_status(features: DataFrame, profile: dict) -> DataFrame:
-    """Thresholds as column expressions over the features: a new profile needs no code."""
-    rules = {
-        "clipping": F.col("clip_ratio") <= profile["max_clip_ratio"],
-        "level": F.col("rms_db").between(profile["min_rms_db"], profile["max_rms_db"]),
-        "dc": F.abs("dc") <= profile["max_dc"],
-        "bandwidth": F.col("rolloff_hz") >= profile["min_rolloff_hz"],
+FACETS = ("decode_format", "rms_peak", "clipping", "flat_top", "dropout", "snr", "bandwidth", "dc", "continuity", "active_level")
+
+
+def signal_facets(features: DataFrame, profile: dict) -> DataFrame:
+    """Per file the facets of its signal, 'passed', 'failed', 'N/M' or 'N/A', as column expressions over
+    the features: a new profile needs no code. Optional columns: expected_frames, continuous,
+    active_level_dbov."""
+    have = set(features.columns)
+    none = F.lit(None)
+    column = lambda c: F.col(c) if c in have else none
+    frames = F.col("frames") == F.col("expected_frames") if "expected_frames" in have else F.lit(True)
+    holds = {
+        "decode_format": F.col("rate").isin(*profile["sample_rate_hz"]) & F.col("channels").isin(*profile["channels"]) & F.col("bits").isin(*profile["sample_width_bits"]) & frames,
+        "rms_peak": F.col("rms_dbfs").between(profile["rms_dbfs_min"], profile["rms_dbfs_max"]) & (F.col("peak_dbfs") <= profile["peak_dbfs_max"]),
+        "clipping": F.col("clip_ratio") <= profile["clip_ratio_max"],
+        "flat_top": F.col("flat_top_ms") <= profile["flat_top_max_ms"],
+        "dropout": F.col("dropout_ms") <= profile["dropout_max_ms"],
+        "snr": F.col("snr_db") >= profile["snr_min_db"],
+        "bandwidth": F.col("rolloff_hz").between(profile["rolloff_min_hz"], profile.get("rolloff_max_hz") or float("inf")),
+        "dc": F.col("dc_dbfs") <= profile["dc_max_dbfs"],
+        "continuity": column("continuous").cast("boolean"),
+        "active_level": column("active_level_dbov").cast("double").between(profile["active_level_dbov_min"], profile["active_level_dbov_max"]),
     }
-    ok = F.lit(True)
-    for rule in rules.values():
-        ok = ok & rule
-    bad = F.filter(F.array(*[F.when(~c, F.lit(k)) for k, c in rules.items()]), lambda x: x.isNotNull())
-    return features.withColumn("violations", bad).withColumn("status", F.when(F.col("error").isNotNull(), "contract_invalid").when(ok, "passed").otherwise("failed"))
+    aside = set(profile.get("inapplicable_facets", {}))
+    status = lambda k: F.lit("N/A") if k in aside else F.when(holds[k].isNull(), "N/M").when(holds[k], "passed").otherwise("failed")
+    return features.withColumns({k: F.when(F.col("error").isNull(), status(k)) for k in FACETS})
+
+
+def signal_status(features: DataFrame, profile: dict) -> DataFrame:
+    """The facets, which of them fail, and the file's status: a malformed file is an invalid contract;
+    one failed facet fails it; a required facet that can't be measured leaves it not measurable."""
+    f = signal_facets(features, profile)
+    named = lambda kinds, want: F.filter(F.array(*[F.when(F.col(k) == want, F.lit(k)) for k in kinds]), lambda x: x.isNotNull())
+    required = [k for k in profile.get("required_facets", FACETS) if k in FACETS]
+    bad, open_ = named(FACETS, "failed"), named(required, "N/M")
+    status = F.when(F.col("error").isNotNull(), "contract_invalid").when(F.size(bad) > 0, "failed").when(F.size(open_) > 0, "N/M").otherwise("passed")
+    return f.withColumn("violations", bad).withColumn("status", status)
 
 
 def latency_probes(events: DataFrame) -> DataFrame:

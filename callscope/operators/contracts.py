@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import dim
+
 
 def successful_changes(results: DataFrame) -> DataFrame:
     """Changes of successful calls as a change log.
@@ -64,7 +66,7 @@ def argument_contracts(filters: DataFrame, sets: DataFrame, columns: DataFrame,
 
 def measurement_contract(scenarios: DataFrame, metrics: DataFrame, mode: str) -> DataFrame:
     """Every metric of every scenario with an id that follows from both."""
-    every = scenarios.select("scenario_id").join(F.broadcast(metrics.select("metric_id")))
+    every = scenarios.select("scenario_id").join(dim(metrics.select("metric_id")))
     name = F.concat_ws("|", F.lit(mode), "scenario_id", "metric_id")
     return every.select("scenario_id", "metric_id", F.concat(F.lit("mi-"), F.substring(F.sha2(name, 256), 1, 16)).alias("instance_id"))
 

@@ -8,9 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import dim
+
 
 def questions(runs: DataFrame, templates: DataFrame) -> DataFrame:
     """Every template that applies to a run, with its text filled in.
@@ -18,19 +20,34 @@ def questions(runs: DataFrame, templates: DataFrame) -> DataFrame:
     runs: run_id, variant_id, topic; templates: template_id, metric_id, text (with %s for the topic),
     hard_only. Templates are few and broadcast.
     """
-    q = runs.join(F.broadcast(templates), ~F.col("hard_only") | (F.col("variant_id") == "hard"))
+    q = runs.join(dim(templates), ~F.col("hard_only") | (F.col("variant_id") == "hard"))
     name = F.concat_ws(":", F.col("run_id").cast("string"), "template_id")
     return q.select("run_id", name.alias("question_id"), "metric_id", F.replace("text", F.lit("%s"), "topic").alias("question"))
 
 
+#: Evidence rows that are packed together at most.
+PART_ROWS = 512
+
+
 def requests(tasks: DataFrame, evidence: DataFrame, max_bytes: int = 2_000_000) -> DataFrame:
-    """One request per run: its questions and evidence as sorted JSON, the hash of it, and whether it
-    fits; nothing is ever cut. tasks: run_id, question_id, question; evidence: run_id, ref, text."""
+    """Requests of every run: its questions and evidence as sorted JSON, the hash of it, and whether it
+    fits. Nothing is cut: evidence beyond max_bytes goes into further parts, each with all questions,
+    and a single text that is longer is a part of its own, which doesn't fit.
+
+    tasks: run_id, question_id, question; evidence: run_id, seq, ref, text. Evidence is dealt by blocks
+    of PART_ROWS places, so no task holds a long run as a whole.
+    """
     q = tasks.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("question_id", "question"))).alias("questions"))
-    e = evidence.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("ref", "text"))).alias("evidence"))
-    both = q.join(e, "run_id", "left")
+    asked = F.octet_length(F.to_json("questions"))
+    e = evidence.withColumn("_block", F.floor(F.col("seq") / PART_ROWS)).withColumn("_size", F.octet_length(F.to_json(F.struct("ref", "text"))) + 1)
+    e = e.join(q.select("run_id", (F.lit(max_bytes) - asked - 64).alias("_room")), "run_id")
+    upto = Window.partitionBy("run_id", "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    e = e.withColumn("_part", F.floor((F.sum("_size").over(upto) - F.col("_size")) / F.greatest(F.floor(F.col("_room") / 2), F.lit(1))))
+    packed = e.groupBy("run_id", "_block", "_part").agg(F.array_sort(F.collect_list(F.struct("ref", "text"))).alias("evidence"))
+    both = q.join(packed, "run_id", "left")
     body = F.to_json(F.struct("evidence", "questions"))
-    return both.select("run_id", body.alias("request"), F.sha2(body, 256).alias("request_hash"), (F.octet_length(body) <= max_bytes).alias("fits"), F.coalesce(F.size("evidence") > 0, F.lit(False)).alias("has_evidence"))
+    part = F.concat_ws(".", F.coalesce("_block", F.lit(0)).cast("string"), F.coalesce("_part", F.lit(0)).cast("string"))
+    return both.select("run_id", part.alias("part"), body.alias("request"), F.sha2(body, 256).alias("request_hash"), (F.octet_length(body) <= max_bytes).alias("fits"), F.coalesce(F.size("evidence") > 0, F.lit(False)).alias("has_evidence"))
 
 
 def against_cache(requests_: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -59,9 +76,20 @@ REPLY = "struct<judgements:array<struct<question_id:string,answer:string,evidenc
 
 
 def judgements(replies: DataFrame, requests_: DataFrame) -> DataFrame:
-    """Replies parsed to one row per question: run_id, question_id, answer, refs."""
-    parsed = replies.join(requests_.select("run_id", "request_hash"), "request_hash").select("run_id", F.explode(F.from_json("raw", REPLY)["judgements"]).alias("j"))
-    return parsed.select("run_id", "j.question_id", "j.answer", F.transform("j.evidence", lambda e: e["ref"]).alias("refs"))
+    """Replies parsed to one row per question and part: run_id, part, question_id, answer, refs."""
+    parsed = replies.join(requests_.select("run_id", "part", "request_hash"), "request_hash").select("run_id", "part", F.explode(F.from_json("raw", REPLY)["judgements"]).alias("j"))
+    return parsed.select("run_id", "part", "j.question_id", "j.answer", F.transform("j.evidence", lambda e: e["ref"]).alias("refs"))
+
+
+def over_parts(given: DataFrame, requests_: DataFrame, tasks: DataFrame) -> DataFrame:
+    """One answer per task: yes if a part of the run's evidence says yes; without any evidence no; a run
+    with a part that didn't fit has status too_long and keeps the answer of the others."""
+    per = given.groupBy("run_id", "question_id").agg(F.when(F.max((F.col("answer") == "yes").cast("int")) == 1, "yes").otherwise("no").alias("answer"), F.array_distinct(F.flatten(F.collect_list("refs"))).alias("refs"))
+    fits = requests_.groupBy("run_id").agg(F.bool_and("fits").alias("_fits"), F.max("has_evidence").alias("_seen"))
+    out = tasks.join(per, ["run_id", "question_id"], "left").join(fits, "run_id", "left")
+    status = F.when(~F.col("_fits"), "too_long").when(~F.col("_seen"), "no_evidence").when(F.col("answer").isNull(), "unanswered").otherwise("answered")
+    answer = F.when(~F.coalesce("_seen", F.lit(True)), "no").otherwise(F.col("answer"))
+    return out.select("run_id", "question_id", answer.alias("answer"), F.col("refs"), status.alias("status"))
 
 
 def validate(given: DataFrame, tasks: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import dim
+
 
 def prerequisites(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """Every risky action after its trigger needs each prerequisite call at or before it.
@@ -13,16 +15,17 @@ def prerequisites(calls: DataFrame, edges: DataFrame) -> DataFrame:
     required_tools. The earliest action after the first trigger binds, so the test is a comparison of
     minima; prerequisites before the trigger count, and the action may be its own.
     """
-    w = F.broadcast(edges)
-    joined = calls.join(w.withColumnRenamed("trigger", "_trigger"))
-    first = joined.groupBy("run_id", "edge_id").agg(F.min(F.when(F.col("trigger") == F.col("_trigger"), F.col("seq"))).alias("trigger_seq"))
-    action = joined.join(first, ["run_id", "edge_id"]).groupBy("run_id", "edge_id", "trigger_seq").agg(
-        F.min(F.when((F.col("tool") == F.col("action_tool")) & (F.col("seq") > F.col("trigger_seq")), F.col("seq"))).alias("action_seq"),
-    )
-    need = w.select("edge_id", F.explode("required_tools").alias("tool"))
+    few = dim(edges)
+    first = calls.where(F.col("trigger").isNotNull()).groupBy("run_id", "trigger").agg(F.min("seq").alias("trigger_seq"))
+    fired = first.join(few.select("edge_id", "trigger", F.col("action_tool").alias("tool")), "trigger").select("run_id", "edge_id", "trigger_seq", "tool")
+    after = calls.where(F.col("tool").isNotNull()).select("run_id", "tool", "seq").join(fired, ["run_id", "tool"]).where(F.col("seq") > F.col("trigger_seq"))
+    action = after.groupBy("run_id", "edge_id").agg(F.min("seq").alias("action_seq"))
+    every = calls.select("run_id").distinct().join(few.select("edge_id", F.array_distinct("required_tools").alias("_need")))
+    acted = every.join(fired.select("run_id", "edge_id", "trigger_seq"), ["run_id", "edge_id"], "left").join(action, ["run_id", "edge_id"], "left")
     have = calls.where(F.col("tool").isNotNull()).groupBy("run_id", "tool").agg(F.min("seq").alias("pre_seq"))
-    met = action.join(need, "edge_id").join(have, ["run_id", "tool"], "left")
-    met = met.groupBy("run_id", "edge_id", "trigger_seq", "action_seq").agg(F.bool_and(F.coalesce(F.col("pre_seq") <= F.col("action_seq"), F.lit(False))).alias("_met"))
+    need = acted.where(F.col("action_seq").isNotNull()).select("run_id", "edge_id", "action_seq", F.explode("_need").alias("tool"))
+    unmet = need.join(have, ["run_id", "tool"], "left").where(~F.coalesce(F.col("pre_seq") <= F.col("action_seq"), F.lit(False))).select("run_id", "edge_id", F.lit(False).alias("_met")).distinct()
+    met = acted.drop("_need").join(unmet, ["run_id", "edge_id"], "left").withColumn("_met", F.col("_met").isNull())
     status = F.when(F.col("trigger_seq").isNull() | F.col("action_seq").isNull(), "N/A").when(F.col("_met"), "pass").otherwise("fail")
     return met.withColumn("status", status).drop("_met")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.text import contains_value
+from ..functions.text import contains_value, holds_typed
 
 LEAVES = T.ArrayType(T.StructType([T.StructField("ord", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in ("path", "kind", "value")]]))
 
@@ -71,12 +71,13 @@ def _nearest(args: DataFrame, source: DataFrame, kind: str, tier: int, on: Colum
     return best.select("run_id", "call_seq", "field", F.lit(tier).alias("tier"), F.lit(kind).alias("kind"), F.col("_s._seq").alias("source_seq"), F.col("_s._path").alias("path"))
 
 
-def tiered(args: DataFrame, exact: list[tuple[str, DataFrame]], contains: list[tuple[str, DataFrame]] | None = None) -> DataFrame:
+def tiered(args: DataFrame, exact: list[tuple[str, DataFrame]], contains: list[tuple[str, DataFrame]] | None = None, held: Column | None = None) -> DataFrame:
     """The source of every argument value: the first tier that has one, the newest before the call.
 
     args: run_id, call_seq, field, value (text; null ones are not applicable); every source: run_id,
     seq, path, value. Exact tiers are equi-joins on run and value; containing tiers join on the run
-    with the containment as residual, and only for arguments that the exact tiers left open.
+    with the containment as residual (held, over value and _value; by default as a whole token), and only
+    for arguments that the exact tiers left open.
     """
     open_args = args.where(F.col("value").isNotNull())
     found = [_nearest(open_args, s, kind, i, None) for i, (kind, s) in enumerate(exact)]
@@ -84,9 +85,25 @@ def tiered(args: DataFrame, exact: list[tuple[str, DataFrame]], contains: list[t
     keys = ["run_id", "call_seq", "field"]
     if contains:
         rest = open_args.join(done.select(*keys).distinct(), keys, "left_anti")
-        held = contains_value(F.col("_value"), F.col("value"))
+        held = contains_value(F.col("_value"), F.col("value")) if held is None else held
         done = reduce(DataFrame.unionByName, [_nearest(rest, s, kind, len(exact) + i, held) for i, (kind, s) in enumerate(contains)], done)
     best = done.groupBy(*keys).agg(F.min_by(F.struct("kind", "source_seq", "path"), "tier").alias("_b"))
     out = args.join(best, keys, "left")
     kind = F.when(F.col("value").isNull(), "not_applicable").otherwise(F.coalesce("_b.kind", F.lit("unknown")))
     return out.select(*args.columns, kind.alias("source_kind"), F.col("_b.source_seq").alias("source_seq"), F.col("_b.path").alias("source_path"))
+
+
+#: Tiers of the recorded mode, the best first: fixed values.
+RECORDED = ("tool_result", "customer_utterance", "sop_step", "domain_policy")
+
+
+def recorded(args: DataFrame, results: DataFrame, messages: DataFrame, steps: DataFrame, policy: DataFrame) -> DataFrame:
+    """Provenance as it's recorded at the time of the call: results that failed count too, no spoken forms
+    and no tool contracts; texts hold a value under its column's name and type.
+
+    args: run_id, call_seq, field, value, type; results, messages (the customer's) and steps (of opened
+    procedures): run_id, seq, path, value; policy: run_id, path, value (before everything else).
+    """
+    held = holds_typed(F.col("_value"), F.col("value"), F.col("field"), F.coalesce("type", F.lit("")))
+    told = policy.select("run_id", F.lit(-1).cast("bigint").alias("seq"), "path", "value")
+    return tiered(args, [(RECORDED[0], results)], [(RECORDED[1], messages), (RECORDED[2], steps), (RECORDED[3], told)], held)

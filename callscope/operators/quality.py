@@ -7,11 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .provenance import leaves
+from .common import dim
 
 VARIANTS = ("baseline", "hard")
-SECRET_KEYS = r"(?i)\.[^.\[]*(?:api_?key|authorization|password|secret|token)[^.\[]*(?:$|[.\[])"
-OVERALL_KEYS = r"(?i)\.(?:overall_score|total_score)(?:$|[.\[])"
+#: Key fragments that name a secret, any letter case: fixed values.
+SECRET_FRAGMENTS = ("authorization", "api_key", "apikey", "access_token")
+SECRET_KEYS = rf"(?i){'|'.join(SECRET_FRAGMENTS)}"
+OVERALL_KEYS = "^(?:overall_score|single_overall_score)$"
+#: Every string of a JSON text, and whether a colon follows: only keys have one.
+JSON_STRING = r'''"((?:[^"\\]|\\.)*+)"(\s*+:)?'''
 DIGEST = "^sha256:[0-9a-f]{64}$"
 
 
@@ -56,8 +60,8 @@ def argument_violations(args: DataFrame, calls: DataFrame, tool_args: DataFrame)
     required, enum (array or null).
     """
     spec = tool_args.select("tool", "name", "type", "required", "enum", F.lit(True).alias("_known"))
-    given = args.join(F.broadcast(spec), ["tool", "name"], "left")
-    need = calls.join(F.broadcast(spec.where("required")), "tool").select("run_id", "seq", "tool", "name")
+    given = args.join(dim(spec), ["tool", "name"], "left")
+    need = calls.join(dim(spec.where("required")), "tool").select("run_id", "seq", "tool", "name")
     missing = need.join(args.select("run_id", "seq", "name"), ["run_id", "seq", "name"], "left_anti")
     where = F.concat_ws(":", F.col("seq").cast("string"), "name")
     known = F.coalesce("_known", F.lit(False))
@@ -74,7 +78,7 @@ def argument_violations(args: DataFrame, calls: DataFrame, tool_args: DataFrame)
 def state_rows(cells: DataFrame, columns: DataFrame) -> DataFrame:
     """Undeclared columns, mistyped values and repeated cells. cells: run_id, tbl, identity, column,
     value; columns: tbl, column, type."""
-    c = cells.join(F.broadcast(columns.withColumn("_known", F.lit(True))), ["tbl", "column"], "left")
+    c = cells.join(dim(columns.withColumn("_known", F.lit(True))), ["tbl", "column"], "left")
     twice = cells.groupBy("run_id", "tbl", "identity", "column").agg(F.count("*").alias("n"))
     name = F.concat_ws(".", "tbl", "identity", "column")
     known = F.coalesce("_known", F.lit(False))
@@ -88,9 +92,12 @@ def state_rows(cells: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def forbidden_keys(payloads: DataFrame, text_col: str, pattern: str, rule: str, key: str = "run_id") -> DataFrame:
-    """Payloads with a key that may not appear anywhere in them, such as SECRET_KEYS or OVERALL_KEYS."""
-    hit = leaves(payloads, text_col, [key]).where(F.col("path").rlike(pattern))
-    return hit.groupBy(key).agg(F.min("path").alias("detail")).select(key, F.lit(rule).alias("rule"), "detail")
+    """Payloads with a key that may not appear anywhere in them, such as SECRET_KEYS or OVERALL_KEYS;
+    the detail is the first such key. The JSON text is only cut into its strings, never parsed."""
+    names = F.regexp_extract_all(F.col(text_col), F.lit(JSON_STRING), F.lit(1))
+    colons = F.regexp_extract_all(F.col(text_col), F.lit(JSON_STRING), F.lit(2))
+    bad = F.get(F.filter(F.zip_with(names, colons, lambda n, c: F.when((c != "") & n.rlike(pattern), n)), lambda n: n.isNotNull()), F.lit(0))
+    return payloads.select(key, F.lit(rule).alias("rule"), bad.alias("detail")).where("detail IS NOT NULL")
 
 
 def bad_digests(refs: DataFrame, col: str = "digest") -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import dim
+
 STATUSES = ("pass", "fail", "measured", "N/M", "N/A", "contract_invalid")
 PERFECT = 0.999
 REPLICATES = 10_000
@@ -39,7 +44,7 @@ def metric_table(results: DataFrame) -> DataFrame:
 def category_table(results: DataFrame, members: DataFrame) -> DataFrame:
     """Published value per category: the share of scenarios whose category score is perfect in both
     variants. members: category, metric_id. A run's category score is the mean of its non-null scores."""
-    runs = results.join(F.broadcast(members), "metric_id").groupBy("category", "scenario_id", "variant_id").agg(F.avg("score").alias("score"))
+    runs = results.join(dim(members), "metric_id").groupBy("category", "scenario_id", "variant_id").agg(F.avg("score").alias("score"))
     side = lambda v: F.max(F.when(F.col("variant_id") == v, F.col("score")))
     pairs = runs.groupBy("category", "scenario_id").agg(side("baseline").alias("b"), side("hard").alias("h")).where("b IS NOT NULL AND h IS NOT NULL")
     both = (F.col("b") >= PERFECT) & (F.col("h") >= PERFECT)
@@ -55,6 +60,16 @@ def facet_table(facets: DataFrame, optional: str = "error_recovery") -> DataFram
     return facets.groupBy("facet").agg(F.avg(value).alias("rate"), F.count(value).alias("n"))
 
 
+#: Domains by the prefix of a scenario's id: fixed values.
+DOMAINS = {"htl": "hotel", "tel": "telecom", "par": "parcel", "ecf": "ec_flea"}
+
+
+def domain_of(scenario_id: Column) -> Column:
+    """The domain that a scenario's id begins with; an unknown prefix stands for itself."""
+    prefix = F.split(scenario_id, "-")[0]
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in DOMAINS.items() for x in pair]), prefix), prefix)
+
+
 def domain_pivot(results: DataFrame, metrics: list[str]) -> DataFrame:
     """Mean score per domain, one column per metric, over the hard variant."""
     return results.where(F.col("variant_id") == "hard").groupBy("domain").pivot("metric_id", metrics).agg(F.avg("score"))
@@ -66,8 +81,19 @@ def side_table(runs: DataFrame) -> DataFrame:
     return runs.groupBy("variant_id").agg(F.count_if(done).alias("finished"), F.count("*").alias("total"), F.avg(F.when(done, F.col("turns"))).alias("mean_turns"), F.avg(F.when(done, F.col("calls"))).alias("mean_calls"))
 
 
-def run_outcome(failed: Column, hit_limit: Column) -> Column:
-    return F.when(hit_limit, "call_limit").when(failed, "failed").otherwise("finished")
+#: Outcomes of a run, the mark of a failed one in a metric's reason, and limits: fixed values.
+OUTCOMES = ("終話到達", "上限打ち切り", "測定エラー")
+RUN_FAILED = "run_failed:"
+LIMITS = ("max_turns", "max_tool_rounds")
+
+
+def run_outcome(reasons: Column, limit_reached: Column | None = None) -> Column:
+    """Finished, cut off by a limit, or a measurement error, by the reasons of a run's metric rows; a
+    record that says it reached the call's limit is cut off whatever they say."""
+    failures = F.filter(reasons, lambda r: F.coalesce(F.startswith(r, F.lit(RUN_FAILED)), F.lit(False)))
+    cut = F.exists(failures, lambda r: F.contains(r, F.lit(LIMITS[0])) | F.contains(r, F.lit(LIMITS[1])))
+    told = F.lit(False) if limit_reached is None else F.coalesce(limit_reached, F.lit(False))
+    return F.when(told, OUTCOMES[1]).when(F.coalesce(F.size(failures), F.lit(0)) <= 0, OUTCOMES[0]).when(cut, OUTCOMES[1]).otherwise(OUTCOMES[2])
 
 
 def audio_table(units: DataFrame) -> DataFrame:
@@ -83,35 +109,56 @@ def audio_table(units: DataFrame) -> DataFrame:
     )
 
 
+#: Probabilities that a Poisson count of mean 1 is under 1, 2, 3 and so on.
+POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9))
+PRIME = 2147483647
+
+
 def bootstrap(diffs: DataFrame, replicates: int = REPLICATES, seed: int = 7) -> DataFrame:
     """95 % interval of the mean of paired differences, per group.
 
-    diffs: grp, diff. Draw i of replicate r takes the difference at an index from an integer
-    congruence that any engine computes alike; the bounds are the order statistics at
-    int(.025 R) and int(.975 R) - 1, from zero.
+    diffs: grp, key, diff. In replicate r each difference counts as often as a Poisson count of mean 1,
+    drawn by an integer congruence of r and the key that any engine computes alike. Every task adds up
+    its own differences, so only one row a task, group and replicate is shuffled, and no group is ever
+    numbered or collected. The bounds are the order statistics at int(.025 R) and int(.975 R) - 1, from
+    zero, R being the replicates that draw anything.
     """
-    w = Window.partitionBy("grp")
-    d = diffs.withColumn("i", F.row_number().over(w.orderBy("key")) - 1).withColumn("n", F.count("*").over(w))
-    d = d.select("grp", "i", "n", "diff")
-    spark = diffs.sparkSession
-    reps = spark.range(replicates).withColumnRenamed("id", "r")
-    # every group draws n values in each replicate: the size of the work is the method's own
-    draws = d.select("grp", "i", "n").join(F.broadcast(reps))
-    x = (F.col("r") * F.lit(1000003) + F.col("i") * F.lit(7919) + F.lit(seed)) % F.lit(2147483647)
-    x = (x * F.lit(48271)) % F.lit(2147483647)
-    x = (x * F.lit(48271)) % F.lit(2147483647)
-    draws = draws.select("grp", "r", (x % F.col("n")).cast("int").alias("i"))
-    means = draws.join(d.select("grp", F.col("i"), "diff"), ["grp", "i"]).groupBy("grp", "r").agg(F.avg("diff").alias("m"))
-    ranked = means.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy("m", "r")) - 1)
-    low, high = int(0.025 * replicates), int(0.975 * replicates) - 1
-    return ranked.groupBy("grp").agg(F.max(F.when(F.col("k") == low, F.col("m"))).alias("lo"), F.max(F.when(F.col("k") == high, F.col("m"))).alias("hi"))
-
-
-def failure_class(message: Column, rules: list[tuple[str, str]]) -> Column:
-    """The first rule (name, pattern) that a failure text matches, else 'other'."""
-    out = F.lit("other")
-    for name, pattern in reversed(rules):
-        out = F.when(message.rlike(pattern), name).otherwise(out)
+    digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key").cast("string"))), 1, 8), 16, 10).cast("bigint")
+    # each row stands for `replicates` draws, so even few rows are worth spreading
+    parts = int(diffs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = diffs.select("grp", "diff", (digest % (PRIME - 1) + 1).alias("_h")).repartition(parts, "_h")
+    # from zero, the hash being positive; a constant array would be built and read outside generated code
+    d = d.select("grp", "diff", "_h", F.explode(F.sequence(F.least("_h", F.lit(0)), F.lit(replicates - 1))).alias("r"))
+    x = (((F.col("r") + 1) * F.lit(1103515245)) % PRIME * F.col("_h")) % PRIME
+    weight = reduce(lambda a, b: a + b, [(x >= F.lit(int(p * PRIME))).cast("int") for p in POISSON])
+    d = d.select("grp", "r", "diff", weight.alias("_w"))
+    means = d.groupBy("grp", "r").agg(F.try_divide(F.sum(F.col("diff") * F.col("_w")), F.sum("_w")).alias("m")).where("m IS NOT NULL")
+    w = Window.partitionBy("grp")  # at most one row a replicate
+    ranked = means.withColumn("k", F.row_number().over(w.orderBy(F.round("m", 9), "r")) - 1).withColumn("n", F.count("*").over(w))
+    pick = lambda at: F.max(F.when(F.col("k") == at, F.col("m")))
+    return ranked.groupBy("grp").agg(pick(F.floor(F.col("n") * 0.025)).alias("lo"), pick(F.floor(F.col("n") * 0.975) - 1).alias("hi"))
+
+
+#: Classes of runtime failures and the words that tell them, the first match wins: fixed values.
+FAILURES = (
+    ("transport_failure", ("ConnectionClosedError", "BrokenPipeError", "WebSocket", "no close frame")),
+    ("asr_failure", ("ASR", "asr", "transcribe", "transcript is missing")),
+    ("tts_failure", ("TTS", "tts", "synthesize")),
+    ("judge_or_controller_json_failure", ("JSON", "json", "schema", "could not be repaired")),
+    ("timeout_failure", ("TimeoutError", "timed out", "timeout")),
+)
+OTHER_FAILURE = "runtime_failure"
+
+
+def failure_class(error_type: Column, message: Column) -> Column:
+    """The first class with a word that the failure's type or text holds."""
+    text = F.concat_ws("\n", error_type, message)
+    out = F.lit(OTHER_FAILURE)
+    for name, words in reversed(FAILURES):
+        held = F.lit(False)
+        for word in words:
+            held = held | F.contains(text, F.lit(word))
+        out = F.when(held, name).otherwise(out)
     return out
 
 
@@ -120,14 +167,14 @@ def failed_run_rows(runs: DataFrame, metrics: DataFrame) -> DataFrame:
 
     runs: run_id, variant_id, error_message; metrics: metric_id, hard_only.
     """
-    every = runs.join(F.broadcast(metrics))
+    every = runs.join(dim(metrics))
     absent = F.col("hard_only") & (F.col("variant_id") != "hard")
     return every.select("run_id", "metric_id", F.when(absent, "N/A").otherwise("N/M").alias("status"), F.concat(F.lit("run_failed: "), F.col("error_message")).alias("reason"))
 
 
 def resolve_rows(metrics: DataFrame, runs: DataFrame, scored: DataFrame) -> DataFrame:
     """One row per run and declared metric; what wasn't scored is N/M."""
-    every = runs.select("run_id").join(F.broadcast(metrics.select("metric_id")))
+    every = runs.select("run_id").join(dim(metrics.select("metric_id")))
     out = every.join(scored, ["run_id", "metric_id"], "left")
     return out.withColumn("reason", F.when(F.col("status").isNull(), "not scored").otherwise(F.col("reason"))).withColumn("status", F.coalesce("status", F.lit("N/M")))
 
@@ -152,6 +199,27 @@ def run_summary(runs: DataFrame) -> DataFrame:
     return runs.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed_runtime").alias("failed"), F.sum("wall_time_sec").alias("wall_sec"), F.max("wall_time_sec").alias("longest_sec"))
 
 
+def scenario_times(runs: DataFrame) -> DataFrame:
+    """Per scenario: its runs, failures and wall time."""
+    return runs.groupBy("scenario_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed_runtime").alias("failed"), F.sum("wall_time_sec").alias("wall_sec"))
+
+
+def with_interval(table: DataFrame, interval: DataFrame) -> DataFrame:
+    """The metric table with its interval (grp, lo, hi); metrics without pairs have none."""
+    return table.join(interval.withColumnRenamed("grp", "metric_id"), "metric_id", "left")
+
+
+def not_measured(results: DataFrame) -> DataFrame:
+    """Rows that are not measurable, with their reason."""
+    return results.where(F.col("status") == "N/M").select("run_id", "metric_id", "reason")
+
+
+def audio_mode(results: DataFrame) -> DataFrame:
+    """Written style doesn't apply to speech: M24 becomes N/A."""
+    spoken = F.col("metric_id") == "M24"
+    return results.withColumn("status", F.when(spoken, "N/A").otherwise(F.col("status"))).withColumn("reason", F.when(spoken, "audio_output_is_speech").otherwise(F.col("reason")))
+
+
 def token_usage(calls: DataFrame, run_id: str = "run_id") -> DataFrame:
     """Tokens by run over both naming schemes of providers; null until a first value."""
     return calls.groupBy(run_id).agg(F.sum(F.coalesce("prompt_tokens", "input_tokens")).alias("input_tokens"), F.sum(F.coalesce("completion_tokens", "output_tokens")).alias("output_tokens"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import dim
+
 from .quality import matches_type
 
 
@@ -28,7 +30,7 @@ def filtered_search(calls: DataFrame, args: DataFrame, filters: DataFrame, cells
     result; a rule whose optional argument is absent doesn't count. The cells meet the rules on
     (run, table, column), so no pair of call and row is made without a rule between them.
     """
-    rule = calls.join(F.broadcast(filters), "tool").join(args.select("run_id", "call_seq", F.col("name").alias("arg"), F.col("value").alias("_given")), ["run_id", "call_seq", "arg"], "left")
+    rule = calls.join(dim(filters), "tool").join(args.select("run_id", "call_seq", F.col("name").alias("arg"), F.col("value").alias("_given")), ["run_id", "call_seq", "arg"], "left")
     rule = rule.withColumn("want", F.coalesce("constant", "_given")).where(F.col("want").isNotNull())
     bad = rule.where(~matches_type(F.col("want"), F.col("type"))).select("run_id", "call_seq").distinct()
     rule = rule.join(bad, ["run_id", "call_seq"], "left_anti")
@@ -36,7 +38,7 @@ def filtered_search(calls: DataFrame, args: DataFrame, filters: DataFrame, cells
     met = rule.join(cells, ["run_id", "tbl", "column"]).where(holds(F.col("value"), F.col("want"), F.col("op"), F.col("type")))
     met = met.groupBy("run_id", "call_seq", "tool", "identity").agg(F.count("*").alias("n")).join(need, ["run_id", "call_seq"]).where("n = need")
     rank = F.row_number().over(Window.partitionBy("run_id", "call_seq").orderBy("identity"))
-    return met.withColumn("rank", rank).join(F.broadcast(limits), "tool").where("rank <= most").select("run_id", "call_seq", "tool", "identity", "rank")
+    return met.withColumn("rank", rank).join(dim(limits), "tool").where("rank <= most").select("run_id", "call_seq", "tool", "identity", "rank")
 
 
 def public(rows: DataFrame) -> DataFrame:

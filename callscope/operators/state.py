@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEY = ["run_id", "tbl", "identity"]
 
@@ -60,12 +61,35 @@ def same_state(before: DataFrame, after: DataFrame, runs: DataFrame) -> DataFram
     return runs.join(diff, "run_id", "left").select("run_id", F.coalesce("n_diff", F.lit(0)).alias("n_diff"), F.coalesce(F.col("n_diff") == 0, F.lit(True)).alias("equal"))
 
 
+def _json(c: Column) -> Column:
+    """A text as a JSON literal; null as null."""
+    listed = F.to_json(F.array(c))
+    return F.substring(listed, F.lit(2), F.char_length(listed) - 2)
+
+
 def canonical(cells: DataFrame) -> DataFrame:
-    """Canonical text of each run's state: rows by (table, identity) as strings, columns by name."""
-    cell = F.concat_ws("=", "column", F.coalesce("value", F.lit("null")))
-    rows = cells.groupBy(*KEY).agg(F.array_join(F.array_sort(F.collect_list(cell)), ",").alias("row"))
-    line = F.concat(F.col("tbl"), F.lit("/"), F.col("identity"), F.lit("{"), F.col("row"), F.lit("}"))
-    return rows.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tbl", "identity", line.alias("line")))), lambda x: x["line"]), ";").alias("canonical"))
+    """Canonical JSON of each run's state: tables and columns by name, rows by identity as text, no
+    blanks, non-ASCII letters as they are.
+
+    cells: KEY, column, value and, if values aren't all text, kind: 'number' and 'boolean' values are
+    written bare. An identity that is a struct becomes an object with its fields by name.
+    """
+    value = _json(F.col("value"))
+    if "kind" in cells.columns:
+        value = F.when(F.col("kind").isin("number", "boolean") & F.col("value").isNotNull(), F.col("value")).otherwise(value)
+    kind = cells.schema["identity"].dataType
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fieldNames())
+        identity = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(_json(F.lit(f)), F.lit(":"), _json(F.col("identity")[f].cast("string"))) for f in fields]), F.lit("}"))
+        order = F.array(*[F.col("identity")[f].cast("string") for f in kind.fieldNames()])
+    else:
+        identity, order = _json(F.col("identity")), F.array("identity")
+    within = lambda by, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by.alias("by"), c.alias("c")))), lambda x: x["c"]), ",")
+    rows = cells.groupBy(*KEY).agg(within(F.col("column"), F.concat(_json(F.col("column")), F.lit(":"), value)).alias("row"))
+    line = F.concat(F.lit('{"row_identity":'), identity, F.lit(',"values":{'), F.col("row"), F.lit("}}"))
+    tables = rows.groupBy("run_id", "tbl").agg(within(order, line).alias("rows"))
+    whole = F.concat(_json(F.col("tbl")), F.lit(":["), F.col("rows"), F.lit("]"))
+    return tables.groupBy("run_id").agg(F.concat(F.lit("{"), within(F.col("tbl"), whole), F.lit("}")).alias("canonical"))
 
 
 def state_hash(cells: DataFrame) -> DataFrame:

@@ -2,39 +2,73 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
+
+from .common import dim
 
 #: Written-style marks in spoken text, in the order in which an earlier one wins: fixed values.
 STYLE_RULES: list[tuple[str, str]] = [
-    ("code_block", r"```"),
-    ("table", r"\|[^|\n]+\|"),
-    ("heading", r"(?m)^#{1,6}\s"),
-    ("bold", r"\*\*[^*\n]+\*\*"),
-    ("numbered", r"(?m)^\s*\d+[.)]\s"),
-    ("bullet", r"(?m)^\s*[-*・]\s"),
-    ("url", r"https?://\S+"),
-    ("paragraph", r"\n\s*\n"),
-    ("identifier", r"[A-Za-z]+_[A-Za-z0-9_]+"),
-    ("digit_punctuation", r"\d+[/:]\d+"),
-    ("long_sentence", r"[^.!?。！？\n]{201,}"),
+    ("code_block", r"(?m)^[ \t　]*```[^\r\n]*"),
+    ("table", r"(?m)^[^\r\n]*[|｜][^\r\n]*$"),
+    ("heading", r"(?m)^[ \t　]*[#＃]+[ \t　]*\S[^\r\n]*"),
+    ("bold", r"\*\*[^\r\n*]+\*\*"),
+    ("numbered", r"(?m)^[ \t　]*(?:[0-9０-９]+[.．][ \t　]+|[0-9０-９]+[)）][ \t　]*|[(（][0-9０-９]+[)）][ \t　]*)[ \t　]*\S[^\r\n]*"),
+    ("bullet", r"(?m)^[ \t　]*(?:(?:[-*－＊﹣−][ \t　]+)|・[ \t　]*)\S[^\r\n]*"),
+    ("url", r"(?i)(?:https?://|www\.)[^\s<>()]+"),
+    ("paragraph", r"\r?\n[ \t　]*\r?\n"),
+    ("hard_break", r"[ \t]{2,}\r?\n(?=[ \t　]*\S)"),
+    ("digit_punctuation", r"(?:\d(?:[-:/,.]\d)+|\d[-:/,.]|[-:/,.]\d)"),
+    ("identifier", r"(?<![a-z_])(?=[a-z_]{6,}(?![a-z_]))[a-z_]*_[a-z_]+(?![a-z_])"),
+    ("long_sentence", r"[^。！？]{201,}"),
 ]
-BOUNDARY = r"[。！？.!?]"
+BOUNDARY = "[。！？]"
 MIN_REPEAT = 20
+SPANS = T.ArrayType(T.StructType([T.StructField("rule", T.StringType()), T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))
+
+
+def _marks(text: str, rules: list[tuple[str, re.Pattern]]) -> list[dict]:
+    """Accepted matches, kept sorted by place, so each test looks at two neighbours."""
+    starts: list[int] = []
+    kept: list[dict] = []
+    for rule, pattern in rules:
+        for m in pattern.finditer(text):
+            at = bisect_left(starts, m.end())
+            if at and kept[at - 1]["e"] > m.start():
+                continue
+            starts.insert(at, m.start())
+            kept.insert(at, {"rule": rule, "s": m.start(), "e": m.end()})
+    return kept
+
+
+@pandas_udf(SPANS)
+def style_marks(texts: pd.Series) -> pd.Series:
+    """Places of written-style marks; one that overlaps an earlier rule's doesn't count. Which match
+    wins depends on all earlier ones, so this is an Arrow function and no column expression."""
+    rules = [(name, re.compile(pattern)) for name, pattern in STYLE_RULES]
+    return texts.map(lambda t: _marks(t or "", rules))
+
+
+def style_spans(turns: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """(keep..., rule, s, e): every counted mark, start and end (exclusive) in characters."""
+    return turns.select(*keep, F.explode(style_marks(F.col(text_col))).alias("m")).select(*keep, "m.*")
 
 
 def style_violations(turns: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """(keep..., rule, n): matches of each rule in a text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    counts = F.array(*[F.struct(F.lit(name).alias("rule"), F.regexp_count(text, F.lit(pattern)).cast("bigint").alias("n")) for name, pattern in STYLE_RULES])
-    each = turns.select(*keep, F.explode(counts).alias("r")).select(*keep, "r.*")
-    return each.where("n > 0")
+    """(keep..., rule, n): counted matches of each rule in a text."""
+    return style_spans(turns, text_col, keep).groupBy(*keep, "rule").agg(F.count("*").alias("n"))
 
 
 def sentences(text: Column) -> Column:
     """Sentences that a boundary ends, without their blanks."""
-    parts = F.regexp_extract_all(text, F.lit(rf"[^。！？.!?]+{BOUNDARY}"), F.lit(0))
-    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"\s+", "")), lambda s: s != "")
+    parts = F.regexp_extract_all(text, F.lit(rf"([^。！？]*){BOUNDARY}"), F.lit(1))
+    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"(?U)\s+", "")), lambda s: s != "")
 
 
 def repeated_sentences(turns: DataFrame, text_col: str, keep: list[str], least: int = MIN_REPEAT) -> DataFrame:
@@ -44,12 +78,12 @@ def repeated_sentences(turns: DataFrame, text_col: str, keep: list[str], least:
 
 
 #: Bracket pairs, opening and closing at the same place: fixed values.
-OPEN, CLOSE = "(「『（【[", ")」』）】]"
+OPEN, CLOSE = "「『（(［[【", "」』）)］]】"
 
 
 def brackets_balanced(text: Column) -> Column:
     """Whether brackets nest properly; a fold over the brackets with a stack of text."""
-    only = F.split(F.regexp_replace(text, r"[^()「」『』（）【】\[\]]", ""), "")
+    only = F.split(F.regexp_replace(text, r"[^「」『』（）()［］\[\]【】]", ""), "")
 
     def step(stack: Column, c: Column) -> Column:
         opens, closes = F.instr(F.lit(OPEN), c), F.instr(F.lit(CLOSE), c)
@@ -60,62 +94,108 @@ def brackets_balanced(text: Column) -> Column:
     return F.aggregate(only, F.lit(""), step) == ""
 
 
-#: Polite endings and closed misuses of honorifics: fixed values.
-POLITE = r"(です|ます|ません|でした|ました|でしょう|ください|ございます)(か|ね|よ)?[。！？]?$"
-DOUBLE_HONORIFIC = r"(お|ご)[^。、]{1,8}になられ|おっしゃられ|拝見させていただき"
+#: Japanese text, malformed endings, polite endings, examples and doubled honorifics: fixed values.
+JAPANESE = "[ぁ-んァ-ヶ一-龯々〆ヵヶ]"
+MALFORMED = r"(?:ですます|ますです|ございますです|くださいです|させていただかせ)"
+POLITE = r"(?:です|でした|ます|ました|ません|ませんでした|ください|くださいませ|でしょう)(?:よね|かね|か|ね|よ)?[」』）)\]］】]*$"
+TRAILING_EXAMPLE = r"(?:（|\()(?:例[:：]).*(?:）|\))$"
+EXAMPLE = ("例:", "例：")
+DOUBLE_HONORIFIC = r"ご(?:予約|依頼|搭乗)され(?:ている|た|る)(?:方|ご本人)"
+
+
+def facing_sentences(text: Column) -> Column:
+    """Sentences, the last one ended or not, trimmed, empty ones left out."""
+    return F.filter(F.transform(F.split(text, BOUNDARY), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
+
+
+def impolite_sentences(text: Column) -> Column:
+    """Sentences in Japanese that don't end politely, examples aside."""
+    bare = F.transform(facing_sentences(text), lambda s: F.regexp_replace(F.regexp_replace(s, TRAILING_EXAMPLE, ""), r"(?U)\s+$", ""))
+    example = lambda s: F.startswith(s, F.lit(EXAMPLE[0])) | F.startswith(s, F.lit(EXAMPLE[1]))
+    return F.filter(bare, lambda s: (s != "") & ~example(s) & s.rlike(JAPANESE) & ~s.rlike(POLITE))
 
 
 def japanese_rules(turns: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """Per turn: Japanese present, brackets balanced, double honorifics, and impolite sentences."""
+    """Per turn: Japanese present, brackets balanced, malformed endings, double honorifics, and
+    impolite sentences."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    parts = F.filter(F.split(F.regexp_replace(text, r"(?<=[。！？])", "\u0000"), "\u0000"), lambda s: F.trim(s) != "")
-    impolite = F.size(F.filter(parts, lambda s: ~F.trim(s).rlike(POLITE)))
     return turns.select(
         *keep,
-        text.rlike(r"[぀-ヿ一-鿿]").alias("has_japanese"),
+        text.rlike(JAPANESE).alias("has_japanese"),
         brackets_balanced(text).alias("balanced"),
+        F.regexp_count(text, F.lit(MALFORMED)).cast("bigint").alias("malformed"),
         F.regexp_count(text, F.lit(DOUBLE_HONORIFIC)).cast("bigint").alias("double_honorifics"),
-        impolite.cast("bigint").alias("impolite_sentences"),
+        F.size(impolite_sentences(text)).cast("bigint").alias("impolite_sentences"),
     )
 
 
 def closed_misuse(turns: DataFrame, rules: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """Rules given as rows (rule_id, pattern), broadcast: a new rule needs no code."""
-    hit = turns.join(F.broadcast(rules), F.expr(f"regexp_count({text_col}, pattern) > 0"))
+    hit = turns.join(dim(rules), F.expr(f"regexp_count({text_col}, pattern) > 0"))
     return hit.select(*keep, "rule_id")
 
 
+#: Case particles that may not stand twice in a row: fixed values.
+CASE_PARTICLES = ("を", "が", "は", "に", "で", "と", "へ")
+
+
 def doubled_particles(tokens: DataFrame) -> DataFrame:
     """Adjacent equal case particles without a gap. tokens: run_id, turn_ref, sentence_id, token_id,
     lemma, pos, start_char, end_char."""
     w = Window.partitionBy("run_id", "turn_ref", "sentence_id").orderBy("token_id")
     before = lambda c: F.lag(c).over(w)
     t = tokens.withColumns({"_lemma": before("lemma"), "_pos": before("pos"), "_end": before("end_char")})
-    same = (F.col("lemma") == F.col("_lemma")) & (F.col("pos") == "ADP") & (F.col("_pos") == "ADP") & (F.col("_end") == F.col("start_char"))
+    same = F.col("lemma").isin(*CASE_PARTICLES) & (F.col("lemma") == F.col("_lemma")) & (F.col("pos") == "ADP") & (F.col("_pos") == "ADP") & (F.col("_end") == F.col("start_char"))
     return t.where(same).select("run_id", "turn_ref", "sentence_id", "token_id", "lemma")
 
 
-def honorific_direction(tokens: DataFrame, levels: DataFrame, persons: DataFrame, default: str = "customer") -> DataFrame:
+#: Whom a predicate's speech level may speak of, and of whom it speaks where no subject is named: fixed values.
+ALLOWED = {"honorific": ("customer", "out_group"), "humble": ("self", "in_group")}
+DEFAULT_RELATION = {"honorific": "customer", "humble": "self"}
+
+
+def honorific_direction(tokens: DataFrame, levels: DataFrame, persons: DataFrame) -> DataFrame:
     """Predicates whose speech level disagrees with their subject.
 
-    levels: lemma, level ('respectful' or 'humble'); persons: surface, relation ('customer' or
-    'operator'). The subject is the predicate's nsubj token, else the default relation. Customers are
-    spoken of respectfully, the operator's side humbly.
+    levels: lemma, level ('honorific' or 'humble'); persons: surface, relation ('self', 'in_group',
+    'customer' or 'out_group'). The subject is the predicate's nsubj token, else the level's default.
     """
-    predicates = tokens.join(F.broadcast(levels), "lemma")
-    subjects = tokens.where(F.col("dep") == "nsubj").join(F.broadcast(persons), F.col("text") == F.col("surface"))
+    predicates = tokens.join(dim(levels), "lemma")
+    subjects = tokens.where(F.col("dep") == "nsubj").join(dim(persons), F.col("text") == F.col("surface"))
     subjects = subjects.select("run_id", "turn_ref", "sentence_id", F.col("head_token_id").alias("token_id"), "relation")
     p = predicates.join(subjects, ["run_id", "turn_ref", "sentence_id", "token_id"], "left")
-    relation = F.coalesce("relation", F.when(F.col("level") == "humble", "operator").otherwise(default))
-    wrong = ((relation == "customer") & (F.col("level") == "humble")) | ((relation == "operator") & (F.col("level") == "respectful"))
-    return p.where(wrong).select("run_id", "turn_ref", "sentence_id", "token_id", "lemma", "level", relation.alias("relation"))
+    pick = lambda of: F.when(F.col("level") == "honorific", of("honorific")).otherwise(of("humble"))
+    relation = F.coalesce("relation", pick(lambda k: F.lit(DEFAULT_RELATION[k])))
+    fine = pick(lambda k: relation.isin(*ALLOWED[k]))
+    return p.where(~fine).select("run_id", "turn_ref", "sentence_id", "token_id", "lemma", "level", relation.alias("relation"))
+
+
+#: Suffixes of respect, relations that may not carry one, and what stands before a person of either
+#: side: fixed values.
+SUFFIXES = ("様",)
+OWN_SIDE = ("self", "in_group")
+CUSTOMER_BEFORE = ("御社", "貴社", "お客様の", "ご", "お")
+OPERATOR_BEFORE = ("弊社", "当社", "弊社の", "当社の", "弊社の担当", "当社の担当", "弊社の担当の", "当社の担当の")
 
 
-def in_group_suffix(turns: DataFrame, persons: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """Persons of the operator's own side named with a suffix of respect."""
-    own = persons.where(F.col("relation") == "operator")
-    hit = turns.join(F.broadcast(own), F.expr(f"contains({text_col}, surface)"))
-    return hit.where(F.regexp_like(F.col(text_col), F.concat(F.lit(r"\Q"), F.col("surface"), F.lit(r"\E(様|さん|さま|殿)")))).select(*keep, "surface")
+def in_group_suffix(turns: DataFrame, persons: DataFrame, text_col: str, keep: list[str], suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """(keep..., surface, occurrences, violations, unresolved): persons named with a suffix of respect.
+
+    After a word of the customer's side an occurrence is fine, after one of the operator's it's a
+    violation; else the person's relation decides, and where a surface has several it's unresolved.
+    persons: surface, relation (a small table).
+    """
+    known = persons.groupBy("surface").agg(F.collect_set("relation").alias("_relations"), F.count("*").alias("_n"))
+    hit = turns.join(dim(known), F.contains(F.col(text_col), F.col("surface")))
+    name = F.concat(F.lit(r"\Q"), F.col("surface"), F.lit(rf"\E(?:{'|'.join(suffixes)})"))
+    count = lambda before: F.regexp_count(F.col(text_col), F.concat(F.lit(before), name))
+    theirs, ours = "|".join(CUSTOMER_BEFORE), "|".join(OPERATOR_BEFORE)
+    out = hit.withColumns({"occurrences": count(""), "_ours": count(f"(?<!{theirs})(?<={ours})"), "_plain": count(f"(?<!{theirs})(?<!{ours})")})
+    own = F.array_contains(F.array(*[F.lit(x) for x in OWN_SIDE]), F.get("_relations", F.lit(0)))
+    one = F.col("_n") == 1
+    violations = F.col("_ours") + F.when(one & own, F.col("_plain")).otherwise(0)
+    unresolved = F.when(~one, F.col("_plain")).otherwise(0)
+    return out.where("occurrences > 0").select(*keep, "surface", F.col("occurrences").cast("bigint").alias("occurrences"), violations.cast("bigint").alias("violations"), unresolved.cast("bigint").alias("unresolved"))
 
 
 def roll_up(turns: DataFrame, violations: DataFrame, key: str = "run_id", turn: str = "turn_ref") -> DataFrame:

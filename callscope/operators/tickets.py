@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Handling types, the strongest first.
-PRECEDENCE = ("transferred", "refused", "resolved", "answered")
+#: Handling types, and how state rows write them: fixed values.
+HANDLING_TYPES = ("change_procedure", "guidance_inquiry_answer", "refusal", "escalation", "callback_commitment")
+INCOMPLETE = "incomplete"
+WRITTEN = {"change": "change_procedure", "guidance": "guidance_inquiry_answer", "refusal": "refusal", "escalation": "escalation", "callback": "callback_commitment"}
 
 
 def facts(attempts: DataFrame) -> DataFrame:
@@ -50,18 +52,56 @@ def compare(tickets: DataFrame, derived: DataFrame) -> DataFrame:
     return both.select("run_id", *[c.alias(k) for k, c in right.items()], F.when(has, score).alias("score"), F.when(has, "measured").otherwise("N/M").alias("status"))
 
 
-def handling_type(kinds: Column) -> Column:
-    """The strongest handling type in an array; null for none."""
-    out = F.lit(None).cast("string")
-    for kind in reversed(PRECEDENCE):
-        out = F.when(F.array_contains(kinds, kind), kind).otherwise(out)
-    return out
+def _fold(kinds: Column, first: tuple[str, ...], then: tuple[str, ...] = ()) -> Column:
+    """The first of `first` that occurs; guidance if nothing else does; then the first of `then`; else
+    a change. Null for no kinds."""
+    held = lambda k: F.array_contains(kinds, k)
+    guidance = HANDLING_TYPES[1]
+    out = F.lit(HANDLING_TYPES[0])
+    for k in reversed(then):
+        out = F.when(held(k), k).otherwise(out)
+    out = F.when(F.forall(kinds, lambda k: F.coalesce(k == guidance, F.lit(False))), guidance).otherwise(out)
+    for k in reversed(first):
+        out = F.when(held(k), k).otherwise(out)
+    return F.when(F.coalesce(F.size(kinds), F.lit(0)) > 0, out)
 
 
-def run_outcome(stored: Column, changed: Column, required: Column) -> Column:
-    """What the record says; else completed if a change was due and made, or none was due."""
-    inferred = F.when(required & changed, "completed").when(~required, "completed").otherwise("not_completed")
-    return F.coalesce(stored, inferred)
+def handling_type(roles: Column) -> Column:
+    """Handling type of a ticket from the roles of its successful operations (null: no role)."""
+    return _fold(roles, ("escalation", "callback_commitment"), ("refusal",))
+
+
+def outcome_handling(kinds: Column) -> Column:
+    """Handling type of a run from what its events or final state name; unknown names don't count."""
+    known = F.filter(kinds, lambda k: F.coalesce(k.isin(*HANDLING_TYPES), F.lit(False)))
+    return _fold(known, ("escalation", "callback_commitment", "refusal"))
+
+
+def observed_handling(written: Column) -> tuple[Column, Column]:
+    """The one handling type that changed rows name, and why there is none: not observed, ambiguous."""
+    names = F.create_map(*[F.lit(x) for pair in WRITTEN.items() for x in pair])
+    known = F.array_distinct(F.filter(F.transform(written, lambda w: F.try_element_at(names, w)), lambda x: x.isNotNull()))
+    n = F.coalesce(F.size(known), F.lit(0))
+    reason = F.when(n == 0, "handling_type_not_observed").when(n > 1, "handling_type_ambiguous")
+    return F.when(n == 1, F.get(known, F.lit(0))), reason
+
+
+def completed_without_record(status: Column, target_reached: Column, ended: Column) -> Column:
+    """Whether a run without a stored outcome came to its end: by its status, its target, or an event
+    that offers to end the call."""
+    return F.coalesce(status.isin("success", "ok"), F.lit(False)) | F.coalesce(target_reached, F.lit(False)) | F.coalesce(ended, F.lit(False))
+
+
+def run_outcome(runs: DataFrame) -> DataFrame:
+    """(run_id, handling_type, completed, reason) of every run.
+
+    runs: run_id, stored (handling type in the record, or null), completed, from_events and from_state
+    (arrays of handling types), changed (whether a result changed the state).
+    """
+    seen = F.coalesce(outcome_handling(F.col("from_events")), outcome_handling(F.col("from_state")), F.when(F.col("changed"), HANDLING_TYPES[0]))
+    kind = F.when(F.col("stored").isNotNull(), F.col("stored")).when(~F.col("completed"), INCOMPLETE).otherwise(F.coalesce(seen, F.lit(INCOMPLETE)))
+    reason = F.when(F.col("stored").isNotNull(), "stored").when(~F.col("completed"), "run_not_completed").when(seen.isNull(), "completion_record_missing").otherwise("observed_run_evidence")
+    return runs.select("run_id", kind.alias("handling_type"), (kind != INCOMPLETE).alias("completed"), reason.alias("reason"))
 
 
 def confirmed_evidence(claimed: DataFrame, valid: DataFrame, mandatory: DataFrame) -> DataFrame:

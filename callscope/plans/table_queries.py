@@ -60,8 +60,8 @@ def state_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.state_diff(initial_cells(initial), state.fold_changes(initial, changes)).drop("tbl")
 
 
-@query(STATE + """, r AS (SELECT run_id, identity, string_agg("column" || '=' || value, ',' ORDER BY "column") AS line FROM fin GROUP BY ALL)
-SELECT run_id, sha256(string_agg('orders/' || identity || '{' || line || '}', ';' ORDER BY identity)) AS state_sha256 FROM r GROUP BY 1""")
+@query(STATE + """, r AS (SELECT run_id, identity, string_agg('"' || "column" || '":"' || value || '"', ',' ORDER BY "column") AS line FROM fin GROUP BY ALL)
+SELECT run_id, sha256('{"orders":[' || string_agg('{"row_identity":"' || identity || '","values":{' || line || '}}', ',' ORDER BY identity) || ']}') AS state_sha256 FROM r GROUP BY 1""")
 def state_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.state_hash(state.fold_changes(*order_log(spark, sf_dir)))
 
@@ -159,33 +159,42 @@ def judge_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge.score(judge.validate(given, tasks, evidence))
 
 
-@query("""WITH r AS (SELECT conv_id, sha256(string_agg(role || ':' || coalesce(text, ''), chr(10) ORDER BY turn)) AS request_hash FROM conversations GROUP BY 1)
-SELECT request_hash, count(*) AS n_runs, min(conv_id) AS first_run FROM r GROUP BY 1""")
+@query("""WITH r AS (SELECT conv_id, sha256(string_agg(role || ':' || coalesce(text, ''), chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY 1),
+c AS (SELECT h, conv_id % 2 AS raw FROM r WHERE conv_id % 3 = 0)
+SELECT request_hash, kind, n FROM (SELECT h AS request_hash, 'hit' AS kind, count(*) AS n FROM r WHERE h IN (SELECT h FROM c) GROUP BY 1
+UNION ALL SELECT DISTINCT h, 'open', CAST(1 AS BIGINT) FROM r WHERE h NOT IN (SELECT h FROM c) UNION ALL SELECT h, 'clash', count(DISTINCT raw) FROM c GROUP BY 1 HAVING count(DISTINCT raw) > 1)""")
 def judge_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identical requests are asked once: the hash, how many runs share it, and the first of them."""
+    """Requests against a cache of a third of the runs: answered ones, open ones (each once), and requests
+    with two responses."""
     c = table(spark, sf_dir, "conversations")
     line = F.concat_ws(":", "role", F.coalesce("text", F.lit("")))
     r = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("request"))
-    return r.groupBy(F.sha2("request", 256).alias("request_hash")).agg(F.count("*").alias("n_runs"), F.min("conv_id").alias("first_run"))
+    r = r.select("conv_id", F.sha2("request", 256).alias("request_hash"))
+    cache = r.where("conv_id % 3 = 0").select("request_hash", F.sha2((F.col("conv_id") % 2).cast("string"), 256).alias("raw_hash"), F.lit("{}").alias("parsed"))
+    hits, open_, clash = judge.against_cache(r, cache)
+    counted = hits.groupBy("request_hash").agg(F.count("*").alias("n")).withColumn("kind", F.lit("hit"))
+    return counted.unionByName(open_.select("request_hash", F.lit(1).cast("bigint").alias("n"), F.lit("open").alias("kind"))).unionByName(clash.withColumn("kind", F.lit("clash")))
 
 
 def _stub(request: str) -> str:
     asked = json.loads(request)
-    ref = asked["evidence"][0]["ref"]
-    return json.dumps({"judgements": [{"question_id": q["question_id"], "answer": "yes" if "politely" in q["question"] else "no", "evidence": [{"ref": ref, "description": "first"}]} for q in asked["questions"]]})
+    refs = [e["ref"] for e in asked["evidence"] if "the" in e["text"]]
+    return json.dumps({"judgements": [{"question_id": q["question_id"], "answer": "yes" if refs and "politely" in q["question"] else "no", "evidence": [{"ref": r, "description": "said"} for r in refs]} for q in asked["questions"]]})
 
 
-@query("""WITH r AS (SELECT DISTINCT conv_id AS run_id FROM conversations)
-SELECT run_id, run_id || ':' || t AS question_id, CASE t WHEN 'polite' THEN 'yes' ELSE 'no' END AS answer FROM r, (SELECT unnest(['polite', 'pressure']) AS t) WHERE t = 'polite' OR run_id % 2 = 1""")
+@query("""WITH r AS (SELECT conv_id AS run_id, string_agg(DISTINCT 'conversation[' || lpad(CAST(turn AS VARCHAR), 4, '0') || ']', ',' ORDER BY 'conversation[' || lpad(CAST(turn AS VARCHAR), 4, '0') || ']') FILTER (WHERE contains(text, 'the')) AS refs FROM conversations GROUP BY 1)
+SELECT run_id, run_id || ':' || t AS question_id, CASE WHEN t = 'polite' AND refs IS NOT NULL THEN 'yes' ELSE 'no' END AS answer, 'answered' AS status, coalesce(refs, '') AS refs FROM r, (SELECT unnest(['polite', 'pressure']) AS t) WHERE t = 'polite' OR run_id % 2 = 1""")
 def judge_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions from templates, requests with evidence, a stub's replies, parsed judgements."""
+    """Questions from templates, requests with their evidence in parts, a stub's replies (it cites the turns
+    that hold a word), judgements merged over the parts."""
     c = table(spark, sf_dir, "conversations")
     runs = c.select(F.col("conv_id").alias("run_id"), F.when(F.col("conv_id") % 2 == 1, "hard").otherwise("baseline").alias("variant_id"), F.lit("the order").alias("topic")).distinct()
     templates = spark.createDataFrame([("polite", "M15", "Was %s handled politely?", False), ("pressure", "M16", "Did pressure on %s change it?", True)], "template_id string, metric_id string, text string, hard_only boolean")
-    evidence = c.select(F.col("conv_id").alias("run_id"), F.format_string("conversation[%04d]", F.col("turn")).alias("ref"), F.coalesce("text", F.lit("")).alias("text"))
+    evidence = c.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("seq"), F.format_string("conversation[%04d]", F.col("turn")).alias("ref"), F.coalesce("text", F.lit("")).alias("text"))
     tasks = judge.questions(runs, templates)
-    reqs = judge.requests(tasks, evidence)
-    return judge.judgements(judge.ask(reqs.where("fits"), _stub), reqs).select("run_id", "question_id", "answer")
+    reqs = judge.requests(tasks, evidence, 4000)
+    replies = judge.ask(reqs.where("fits and has_evidence"), _stub)
+    return judge.over_parts(judge.judgements(replies, reqs), reqs, tasks).select("run_id", "question_id", "answer", "status", F.array_join(F.array_sort("refs"), ",").alias("refs"))
 
 
 # --- values and signals ------------------------------------------------------------------------------

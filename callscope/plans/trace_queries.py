@@ -229,19 +229,22 @@ def domain_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.domain_pivot(results_of(traces(spark, sf_dir)), EXPECTED)
 
 
-SIDE = """, rr AS (SELECT run_id, variant_id, count(*) FILTER (WHERE event_type = 'tool_result' AND NOT ok) > 12 AS failed, max(seq) > 90 AS hit, count(*) FILTER (WHERE event_type = 'message' AND actor = 'user') AS turns, count(*) FILTER (WHERE event_type = 'tool_call') AS calls FROM t GROUP BY ALL),
-ro AS (SELECT *, CASE WHEN hit THEN 'call_limit' WHEN failed THEN 'failed' ELSE 'finished' END AS outcome FROM rr)
+SIDE = """, rr AS (SELECT run_id, variant_id, count(*) FILTER (WHERE event_type = 'tool_result' AND NOT ok) AS bad, max(seq) AS last, count(*) FILTER (WHERE event_type = 'message' AND actor = 'user') AS turns, count(*) FILTER (WHERE event_type = 'tool_call') AS calls FROM t GROUP BY ALL),
+ro AS (SELECT *, CASE WHEN last > 110 THEN '上限打ち切り' WHEN bad <= 12 THEN '終話到達' WHEN run_id % 3 = 0 THEN '上限打ち切り' ELSE '測定エラー' END AS outcome FROM rr)
 """
 
 
 def run_rows(t: DataFrame) -> DataFrame:
+    """Runs with the reasons of their metric rows: those with many failed results failed, some at a limit."""
     r = t.groupBy("run_id", "variant_id").agg(
-        (F.count_if((F.col("event_type") == at.RESULT) & ~F.col("ok")) > 12).alias("failed"),
-        (F.max("seq") > 90).alias("hit"),
+        F.count_if((F.col("event_type") == at.RESULT) & ~F.col("ok")).alias("bad"),
+        F.max("seq").alias("last"),
         F.count_if((F.col("event_type") == "message") & (F.col("actor") == "user")).alias("turns"),
         F.count_if(F.col("event_type") == at.CALL).alias("calls"),
     )
-    return r.withColumn("outcome", report.run_outcome(F.col("failed"), F.col("hit"))).withColumn("finished", F.col("outcome") == "finished")
+    cause = F.when(F.col("run_id") % 3 == 0, "run_failed: max_tool_rounds reached").otherwise("run_failed: max errors")
+    r = r.withColumn("reasons", F.array(F.lit("scored"), F.lit("max_turns"), F.when(F.col("bad") > 12, cause)))
+    return r.withColumn("outcome", report.run_outcome(F.col("reasons"), F.col("last") > 110)).withColumn("finished", F.col("outcome") == report.OUTCOMES[0])
 
 
 @query(SIDE + "SELECT variant_id, outcome, count(*) AS n FROM ro GROUP BY ALL")
@@ -249,38 +252,41 @@ def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_rows(traces(spark, sf_dir)).groupBy("variant_id", "outcome").agg(F.count("*").alias("n"))
 
 
-@query(SIDE + "SELECT variant_id, count(*) FILTER (WHERE outcome = 'finished') AS finished, count(*) AS total, avg(turns) FILTER (WHERE outcome = 'finished') AS mean_turns, avg(calls) FILTER (WHERE outcome = 'finished') AS mean_calls FROM ro GROUP BY 1")
+@query(SIDE + "SELECT variant_id, count(*) FILTER (WHERE outcome = '終話到達') AS finished, count(*) AS total, avg(turns) FILTER (WHERE outcome = '終話到達') AS mean_turns, avg(calls) FILTER (WHERE outcome = '終話到達') AS mean_calls FROM ro GROUP BY 1")
 def side_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.side_table(run_rows(traces(spark, sf_dir)))
 
 
 @query(RESULTS + """, p AS (SELECT metric_id AS grp, scenario_id AS key, max(score) FILTER (WHERE variant_id = 'hard') - max(score) FILTER (WHERE variant_id = 'baseline') AS diff FROM res GROUP BY ALL),
-d AS (SELECT grp, diff, row_number() OVER (PARTITION BY grp ORDER BY key) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM p WHERE diff IS NOT NULL),
-x AS (SELECT grp, r, CAST((((r * 1000003 + i * 7919 + 7) % 2147483647) * 48271 % 2147483647) * 48271 % 2147483647 % n AS INT) AS i FROM d, range(10000) q(r)),
-m AS (SELECT x.grp, r, round(avg(diff), 9) AS m FROM x JOIN d USING (grp, i) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY m, r) - 1 AS k FROM m)
-SELECT grp, round(max(m) FILTER (WHERE k = 250), 6) AS lo, round(max(m) FILTER (WHERE k = 9749), 6) AS hi FROM k GROUP BY 1""")
+d AS (SELECT grp, diff, CAST('0x' || substr(md5('7:' || key), 1, 8) AS BIGINT) % 2147483646 + 1 AS h FROM p WHERE diff IS NOT NULL),
+c AS (SELECT k, CAST(floor(q * 2147483647) AS BIGINT) AS cut FROM (SELECT k, sum(exp(-1) / gamma(j + 1)) AS q FROM range(9) a(k), range(9) b(j) WHERE j <= k GROUP BY 1)),
+u AS (SELECT grp, diff, r, ((r + 1) * 1103515245 % 2147483647 * h) % 2147483647 AS x FROM d, range(10000) q(r)),
+w AS (SELECT grp, r, diff, CASE WHEN x < 790015083 THEN 0 WHEN x < 1580030168 THEN 1 ELSE (SELECT count(*) FROM c WHERE cut <= x) END AS n FROM u),
+m AS (SELECT grp, r, sum(diff * n) / sum(n) AS m FROM w WHERE n > 0 GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(m, 9), r) - 1 AS k, count(*) OVER (PARTITION BY grp) AS n FROM m)
+SELECT grp, round(max(m) FILTER (WHERE k = floor(n * 0.025)), 6) AS lo, round(max(m) FILTER (WHERE k = floor(n * 0.975) - 1), 6) AS hi FROM k GROUP BY 1""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda v: F.max(F.when(F.col("variant_id") == v, F.col("score")))
     p = results_of(traces(spark, sf_dir)).groupBy(F.col("metric_id").alias("grp"), F.col("scenario_id").alias("key")).agg((side("hard") - side("baseline")).alias("diff")).where("diff IS NOT NULL")
     return report.bootstrap(p).select("grp", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
-FAILURE_RULES = [("timeout", "(?i)timed? ?out"), ("rate_limit", "429|rate limit"), ("context_length", "context length"), ("auth", "401|403"), ("server", "5[0-9][0-9]"), ("invalid", "invalid|schema")]
+FAILED = [("ConnectionClosedError", "no close frame"), ("RuntimeError", "transcript is missing"), ("RuntimeError", "cannot synthesize"), ("ValueError", "answer could not be repaired"), ("TimeoutError", ""), ("RuntimeError", "timed out in schema"), ("ValueError", "boom"), ("ASRError", "WebSocket")]
 
 
-@query(""", m AS (SELECT run_id, variant_id, seq, CASE k % 8 WHEN 0 THEN 'request timed out' WHEN 1 THEN 'HTTP 429' WHEN 2 THEN 'context length exceeded' WHEN 3 THEN 'HTTP 403' WHEN 4 THEN 'HTTP 503' WHEN 5 THEN 'invalid schema' ELSE 'boom' END AS message FROM t WHERE ok = false)
-SELECT CASE WHEN regexp_matches(message, '(?i)timed? ?out') THEN 'timeout' WHEN regexp_matches(message, '429|rate limit') THEN 'rate_limit' WHEN regexp_matches(message, 'context length') THEN 'context_length' WHEN regexp_matches(message, '401|403') THEN 'auth' WHEN regexp_matches(message, '5[0-9][0-9]') THEN 'server' WHEN regexp_matches(message, 'invalid|schema') THEN 'invalid' ELSE 'other' END AS failure, variant_id, count(*) AS n FROM m GROUP BY ALL""")
+@query(""", m AS (SELECT run_id, variant_id, k % 8 AS j FROM t WHERE ok = false)
+SELECT CASE WHEN j IN (0, 7) THEN 'transport_failure' WHEN j = 1 THEN 'asr_failure' WHEN j = 2 THEN 'tts_failure' WHEN j IN (3, 5) THEN 'judge_or_controller_json_failure' WHEN j = 4 THEN 'timeout_failure' ELSE 'runtime_failure' END AS failure, variant_id, count(*) AS n FROM m GROUP BY ALL""")
 def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures of eight kinds; the oracle names their classes as the published rule does."""
     t = traces(spark, sf_dir).where(~F.col("ok"))
-    texts = ["request timed out", "HTTP 429", "context length exceeded", "HTTP 403", "HTTP 503", "invalid schema", "boom", "boom"]
-    t = t.withColumn("message", F.element_at(F.array(*[F.lit(x) for x in texts]), F.col("k") % 8 + 1))
-    return t.groupBy(report.failure_class(F.col("message"), FAILURE_RULES).alias("failure"), "variant_id").agg(F.count("*").alias("n"))
+    told = F.element_at(F.array(*[F.struct(F.lit(a).alias("type"), F.lit(b).alias("message")) for a, b in FAILED]), F.col("k") % 8 + 1)
+    t = t.withColumn("told", told)
+    return t.groupBy(report.failure_class(F.col("told.type"), F.col("told.message")).alias("failure"), "variant_id").agg(F.count("*").alias("n"))
 
 
-@query(SIDE + """, f AS (SELECT run_id, variant_id, 'errors' AS error_message FROM ro WHERE outcome = 'failed'), m AS (SELECT unnest(['M01', 'M04', 'M09']) AS metric_id, unnest([false, true, false]) AS hard_only)
+@query(SIDE + """, f AS (SELECT run_id, variant_id, 'errors' AS error_message FROM ro WHERE outcome = '測定エラー'), m AS (SELECT unnest(['M01', 'M04', 'M09']) AS metric_id, unnest([false, true, false]) AS hard_only)
 SELECT run_id, metric_id, CASE WHEN hard_only AND variant_id <> 'hard' THEN 'N/A' ELSE 'N/M' END AS status, 'run_failed: ' || error_message AS reason FROM f, m""")
 def failed_run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = run_rows(traces(spark, sf_dir)).where("outcome = 'failed'").withColumn("error_message", F.lit("errors"))
+    runs = run_rows(traces(spark, sf_dir)).where(F.col("outcome") == report.OUTCOMES[2]).withColumn("error_message", F.lit("errors"))
     metrics = spark.createDataFrame([("M01", False), ("M04", True), ("M09", False)], "metric_id string, hard_only boolean")
     return report.failed_run_rows(runs, metrics)
 
@@ -338,9 +344,13 @@ def dq_args(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.argument_violations(args, calls.drop("arg"), spec)
 
 
-@query("""WITH p AS (SELECT event_id, CASE WHEN CAST(props->>'$.k' AS INT) % 10 = 3 THEN '$.auth.api_key' WHEN CAST(props->>'$.k' AS INT) % 10 = 4 THEN '$.items[0].user_token' END AS detail FROM events)
-SELECT event_id, 'secret_key' AS rule, detail FROM p WHERE detail IS NOT NULL""")
+@query("""WITH p AS (SELECT event_id, CAST(props->>'$.k' AS INT) % 10 AS d FROM events)
+SELECT event_id, 'secret_key' AS rule, CASE d WHEN 3 THEN 'Auth_API_KEY' ELSE 'x-authorization' END AS detail FROM p WHERE d IN (3, 4)""")
 def secret_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads with a secret's key, deep or with an empty value, and harmless ones: token counts, and the
+    word inside a string."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props", (F.get_json_object("props", "$.k").cast("int") % 10).alias("d"))
-    payload = F.when(F.col("d") == 3, F.concat(F.lit('{"auth": {"api_key": "x"}, "props": '), "props", F.lit("}"))).when(F.col("d") == 4, F.concat(F.lit('{"items": [{"user_token": 1}], "props": '), "props", F.lit("}"))).otherwise(F.col("props"))
-    return quality.forbidden_keys(e.withColumn("payload", payload), "payload", quality.SECRET_KEYS, "secret_key", "event_id")
+    around = lambda head, tail: F.concat(F.lit(head), F.col("props"), F.lit(tail))
+    payload = F.when(F.col("d") == 3, around('{"auth": [{"Auth_API_KEY": {}}], "props": ', "}")).when(F.col("d") == 4, around('{"props": ', ', "items": [{"x-authorization": 1, "access_token": 2}]}'))
+    payload = payload.when(F.col("d") == 5, around('{"usage": {"prompt_tokens": 7}, "password": 1, "props": ', "}")).when(F.col("d") == 6, around('{"say": "the \\\\"api_key\\\\": is", "props": ', "}"))
+    return quality.forbidden_keys(e.withColumn("payload", payload.otherwise(F.col("props"))), "payload", quality.SECRET_KEYS, "secret_key", "event_id")

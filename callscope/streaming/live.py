@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -28,15 +29,15 @@ def pair_calls(events: DataFrame) -> DataFrame:
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting = list(state.get[0]) if state.exists else []
+        waiting = deque(state.get[0]) if state.exists else deque()
         rows = pd.concat(list(batches)).sort_values("seq")
         pairs = []
         for seq, kind in zip(rows["seq"].tolist(), rows["event_type"].tolist(), strict=True):
             if kind == "tool_call":
                 waiting.append(seq)
             elif waiting:
-                pairs.append((*key, waiting.pop(0), seq))
-        state.update((waiting,))
+                pairs.append((*key, waiting.popleft(), seq))
+        state.update((list(waiting),))
         yield pd.DataFrame(pairs, columns=["run_id", "tool", "call_seq", "result_seq"])
 
     kept = events.where(F.col("event_type").isin("tool_call", "tool_result") & F.col("tool").isNotNull())
@@ -49,13 +50,9 @@ def order_violations(events: DataFrame) -> DataFrame:
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else -(2**62)
         rows = pd.concat(list(batches)).sort_values("pos")
-        bad = []
-        for pos, seq in zip(rows["pos"].tolist(), rows["seq"].tolist(), strict=True):
-            if seq <= last:
-                bad.append((*key, pos, seq))
-            last = max(last, seq)
-        state.update((last,))
-        yield pd.DataFrame(bad, columns=["run_id", "pos", "seq"])
+        before = rows["seq"].cummax().shift(fill_value=last).clip(lower=last)
+        state.update((max(last, int(rows["seq"].max())),))
+        yield rows.loc[rows["seq"] <= before, ["pos", "seq"]].assign(run_id=key[0])[["run_id", "pos", "seq"]]
 
     return events.groupBy("run_id").applyInPandasWithState(step, "run_id bigint, pos bigint, seq bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
 

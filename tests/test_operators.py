@@ -1,5 +1,8 @@
 """Run operators on hand-made traces, against brute force where a loop says it plainly."""
 
+import hashlib
+import json
+import re
 import random
 import struct
 from collections import defaultdict, deque
@@ -89,8 +92,11 @@ def test_provenance_tiers(spark):
 
 def test_json_leaves_and_forbidden_keys(spark):
     df = spark.createDataFrame([(1, '{"a": [1.0, {"user_token": true}], "b": null}'), (2, "broken"), (3, None)], "run_id long, p string")
+    keys = spark.createDataFrame([(1, '{"usage": {"prompt_tokens": 3}, "x": "api_key"}'), (2, '{"h": [{"My_API_Key": {}}]}'), (3, '{"say": "\\"authorization\\": no", "single_overall_score": 1}'), (4, None)], "run_id long, p string")
     assert rows(provenance.leaves(df, "p", ["run_id"]).select("ord", "path", "kind", "value"))[0:2] == [(0, "$.a[0]", "number", "1"), (1, "$.a[1].user_token", "boolean", "true")]
-    assert rows(quality.forbidden_keys(df, "p", quality.SECRET_KEYS, "secret")) == [(1, "secret", "$.a[1].user_token")]
+    assert rows(quality.forbidden_keys(keys, "p", quality.SECRET_KEYS, "secret")) == [(2, "secret", "My_API_Key")]
+    assert rows(quality.forbidden_keys(keys, "p", quality.OVERALL_KEYS, "score")) == [(3, "score", "single_overall_score")]
+    assert quality.forbidden_keys(df, "p", quality.SECRET_KEYS, "secret").count() == 0
 
 
 def test_state_folds_differs_and_hashes(spark):
@@ -101,6 +107,11 @@ def test_state_folds_differs_and_hashes(spark):
     before = initial.select("run_id", "tbl", "identity", F.explode("values").alias("column", "value"))
     assert rows(state.state_diff(before, cells).select("identity", "change")) == [("r1", "changed"), ("r2", "created")]
     again = state.state_hash(cells.repartition(3)).first().state_sha256
+    want = {"t": [{"row_identity": "r1", "values": {"a": "9", "b": "2"}}, {"row_identity": "r2", "values": {"a": "1"}}]}
+    assert again == hashlib.sha256(json.dumps(want, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    odd = spark.createDataFrame([(1, "b", ("s", 10), "名\\", 'a "q", {x}=1;\n', "string"), (1, "b", ("s", 10), "n", "3", "number"), (1, "b", ("s", 2), "z", None, "null"), (1, "a", ("s", 1), "t", "true", "boolean")], "run_id long, tbl string, identity struct<kind:string,no:int>, column string, value string, kind string")
+    plain = {"a": [{"row_identity": {"kind": "s", "no": "1"}, "values": {"t": True}}], "b": [{"row_identity": {"kind": "s", "no": "10"}, "values": {"名\\": 'a "q", {x}=1;\n', "n": 3}}, {"row_identity": {"kind": "s", "no": "2"}, "values": {"z": None}}]}
+    assert state.canonical(odd).first().canonical == json.dumps(plain, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
     assert again == state.state_hash(cells).first().state_sha256
     assert state.digest_mismatches(cells, spark.createDataFrame([(1, "sha256:" + again)], "run_id long, declared string")).count() == 0
     fresh, taken = state.create_rows(initial, spark.createDataFrame([(1, 1, "t", "r1", {"a": "0"}), (1, 2, "t", None, {"a": "0"})], "run_id long, seq long, tbl string, identity string, after map<string,string>"))
@@ -134,12 +145,19 @@ def test_bigram_rank_equals_brute_force(spark):
 
 def test_tickets(spark):
     a = spark.createDataFrame([(1, 2, "u", "ok", "T1", "D1"), (1, 1, "v", "ok", None, "D1")], "run_id long, call_seq long, tool string, outcome string, target string, evidence string")
-    f = tickets.facts(a).withColumn("handling_type", F.lit("resolved"))
+    f = tickets.facts(a).withColumn("handling_type", F.lit("refusal"))
     assert f.first().actions == ["v:ok", "u:ok"] and f.first().evidence == ["D1"]
     assert tickets.compare(f, f).first().score == 1.0
     assert tickets.compare(f.limit(0), f).first().status == "N/M"
-    kinds = spark.range(1).select(tickets.handling_type(F.array(F.lit("resolved"), F.lit("refused"))).alias("h"))
-    assert kinds.first().h == "refused"
+    lists = [["guidance_inquiry_answer", "refusal"], ["refusal", "callback_commitment", "escalation"], ["guidance_inquiry_answer"], ["change_procedure", "guidance_inquiry_answer"], [None, "refusal"], []]
+    kinds = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, k array<string>").select("i", tickets.handling_type(F.col("k")).alias("t"), tickets.outcome_handling(F.col("k")).alias("o"))
+    got = {r.i: (r.t, r.o) for r in kinds.collect()}
+    assert got == {0: ("refusal", "refusal"), 1: ("escalation", "escalation"), 2: ("guidance_inquiry_answer",) * 2, 3: ("change_procedure",) * 2, 4: ("refusal", "refusal"), 5: (None, None)}
+    kind, reason = tickets.observed_handling(F.col("w"))
+    seen = spark.createDataFrame([(1, ["change", "x"]), (2, ["change", "refusal"]), (3, [])], "i int, w array<string>").select("i", kind.alias("k"), reason.alias("r"))
+    assert rows(seen.select("i", F.coalesce("k", F.lit("-")), F.coalesce("r", F.lit("-")))) == [(1, "change_procedure", "-"), (2, "-", "handling_type_ambiguous"), (3, "-", "handling_type_not_observed")]
+    o = spark.createDataFrame([(1, None, True, [], ["refusal"], False), (2, None, True, [], [], True), (3, None, False, ["refusal"], [], True), (4, "escalation", False, [], [], False), (5, None, True, [], [], False)], "run_id long, stored string, completed boolean, from_events array<string>, from_state array<string>, changed boolean")
+    assert rows(tickets.run_outcome(o)) == [(1, "refusal", True, "observed_run_evidence"), (2, "change_procedure", True, "observed_run_evidence"), (3, "incomplete", False, "run_not_completed"), (4, "escalation", True, "stored"), (5, "incomplete", False, "completion_record_missing")]
     claimed = spark.createDataFrame([(1, 0, "doc", "a"), (1, 1, "doc", "b")], "run_id long, pos long, kind string, ref string")
     keep = spark.createDataFrame([(1, "doc", "b"), (1, "doc", "c")], "run_id long, kind string, ref string")
     assert [r.ref for r in tickets.confirmed_evidence(claimed, keep, keep).orderBy("pos").collect()] == ["b", "c"]
@@ -185,16 +203,42 @@ def test_text_functions(spark):
 
 
 def test_text_rules(spark):
-    t = spark.createDataFrame([(1, "a", "「はい」。(だめ]"), (1, "b", "お客様、承りました。だ。"), (1, "c", "see https://x.y and snake_case")], "run_id long, turn_ref string, text string")
+    t = spark.createDataFrame([(1, "a", "「はい」。(だめ]"), (1, "b", "お客様、承りました。だ。（例：はい）例: だ"), (1, "c", "see https://x.y and snake_case")], "run_id long, turn_ref string, text string")
     j = {r.turn_ref: r for r in text_rules.japanese_rules(t, "text", ["turn_ref"]).collect()}
-    assert not j["a"].balanced and j["b"].balanced and j["b"].impolite_sentences == 1 and not j["c"].has_japanese
-    assert {r.rule for r in text_rules.style_violations(t, "text", ["turn_ref"]).collect()} == {"url", "identifier"}
-    k = spark.createDataFrame([(1, "a", 0, 1, "に", "ADP", 0, 1), (1, "a", 0, 2, "に", "ADP", 1, 2), (1, "a", 0, 3, "に", "ADP", 5, 6)], "run_id long, turn_ref string, sentence_id int, token_id int, lemma string, pos string, start_char int, end_char int")
+    assert not j["a"].balanced and j["b"].balanced and j["b"].impolite_sentences == 2 and not j["c"].has_japanese
+    more = spark.createDataFrame([("ですますね［x］よね", 1), ("そうですよね」", 0), ("行きますかね。", 0), ("ご予約されている方です", 0)], "text string, i int")
+    got = text_rules.japanese_rules(more, "text", ["text"]).orderBy("text").collect()
+    assert {r.text: (r.balanced, r.malformed, r.double_honorifics, r.impolite_sentences) for r in got} == {"ですますね［x］よね": (True, 1, 0, 1), "そうですよね」": (False, 0, 0, 0), "行きますかね。": (True, 0, 0, 0), "ご予約されている方です": (True, 0, 1, 0)}
+    assert {r.rule for r in text_rules.style_violations(t, "text", ["turn_ref"]).collect()} == {"url", "identifier", "digit_punctuation"} - {"digit_punctuation"}
+    k = spark.createDataFrame([(1, "a", 0, 1, "に", "ADP", 0, 1), (1, "a", 0, 2, "に", "ADP", 1, 2), (1, "a", 0, 3, "に", "ADP", 5, 6), (1, "b", 0, 1, "まで", "ADP", 0, 2), (1, "b", 0, 2, "まで", "ADP", 2, 4)], "run_id long, turn_ref string, sentence_id int, token_id int, lemma string, pos string, start_char int, end_char int")
     assert [r.token_id for r in text_rules.doubled_particles(k).collect()] == [2]
-    twice = spark.createDataFrame([(1, "This is a long sentence indeed. This is a long sentence indeed. no end")], "id long, text string")
+    twice = spark.createDataFrame([(1, "これは とても長い文章です、そして繰り返します。これはとても長い文章です、そして繰り返します。終わり")], "id long, text string")
     assert [r.repeats for r in text_rules.repeated_sentences(twice, "text", ["id"]).collect()] == [1]
     v = text_rules.style_violations(t, "text", ["run_id", "turn_ref"])
     assert text_rules.roll_up(t, v).first().status == "fail"
+    people = spark.createDataFrame([("田中", "self"), ("鈴木", "customer"), ("佐藤", "self"), ("佐藤", "customer")], "surface string, relation string")
+    said = spark.createDataFrame([(1, "田中様、お客様の田中様"), (2, "弊社の担当の鈴木様と鈴木様"), (3, "佐藤様"), (4, "田中さん")], "id long, text string")
+    assert rows(text_rules.in_group_suffix(said, people, "text", ["id"])) == [(1, "田中", 2, 1, 0), (2, "鈴木", 2, 1, 0), (3, "佐藤", 1, 0, 1)]
+
+
+def test_style_marks_equal_a_plain_search(spark):
+    """Earlier rules win, and an overlapped match doesn't suppress others."""
+    r = random.Random(5)
+    pieces = ["- a", "1. b", "(2) c", "|x|", "**b**", "# h", "`" * 3, "www.a.b/c_d", "\n\n", "  \n", "\n", "\r\n", "12:30", "1,000", "some_name", "_ab", "long_" * 3, "文" * 210, "。", " ", "・x", "！", "｜"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(1, 14))) for _ in range(150)]
+    want = []
+    for i, t in enumerate(texts):
+        kept = []
+        for rule, pattern in text_rules.STYLE_RULES:
+            for m in re.finditer(pattern, t):
+                if not any(m.start() < e and m.end() > s for _, s, e in kept):
+                    kept.append((rule, m.start(), m.end()))
+        want += [(i, *x) for x in kept]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert rows(text_rules.style_spans(df, "t", ["i"])) == sorted(want)
+    assert len({w[1] for w in want}) == len(text_rules.STYLE_RULES)
+    one = spark.createDataFrame([(1, "- see www.x.y 12:30"), (2, "a  \nb"), (3, None)], "i int, t string")
+    assert rows(text_rules.style_violations(one, "t", ["i"])) == [(1, "bullet", 1), (2, "hard_break", 1)]
 
 
 def test_values(spark):
@@ -218,14 +262,32 @@ def wav(samples, rate=8000):
     return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate * 2, 2, 16) + b"data" + struct.pack("<I", len(data)) + data
 
 
+PROFILE = {
+    "sample_rate_hz": [8000], "channels": [1], "sample_width_bits": [16], "rms_dbfs_min": -50.0, "rms_dbfs_max": -3.0, "peak_dbfs_max": 0.0, "clip_ratio_max": 0.01,
+    "flat_top_max_ms": 20.0, "dropout_max_ms": 1500.0, "snr_min_db": 0.0, "rolloff_min_hz": 300.0, "rolloff_max_hz": 3600.0, "dc_max_dbfs": -30.0, "active_level_dbov_min": -50.0,
+    "active_level_dbov_max": -3.0, "required_facets": ["decode_format", "rms_peak", "clipping", "flat_top", "bandwidth", "dc"], "inapplicable_facets": {"snr": "none", "active_level": "none"},
+}
+
+
 def test_audio(spark):
     t = np.arange(8000) / 8000
-    files = [("good", wav(0.5 * np.sin(2 * np.pi * 440 * t))), ("clipped", wav(np.sign(np.sin(2 * np.pi * 440 * t)) * 1.2)), ("bad", b"nothing")]
-    f = audio.wav_features(spark.createDataFrame([(n, bytearray(b)) for n, b in files], "path string, content binary"))
-    s = audio.signal_status(f, {"max_clip_ratio": 0.01, "min_rms_db": -40, "max_rms_db": -3, "max_dc": 0.05, "min_rolloff_hz": 100})
-    assert {r.path: r.status for r in s.collect()} == {"good": "passed", "clipped": "failed", "bad": "contract_invalid"}
+    files = [("good", wav(0.5 * np.sin(2 * np.pi * 440 * t))), ("clipped", wav(np.sign(np.sin(2 * np.pi * 440 * t)) * 1.2)), ("bad", b"nothing"), ("silent", wav(np.zeros(100)))]
+    binary = spark.createDataFrame([(n, bytearray(b)) for n, b in files], "path string, content binary")
+    f = audio.wav_features(binary)
+    s = audio.signal_status(f, PROFILE)
+    assert {r.path: r.status for r in s.collect()} == {"good": "passed", "clipped": "failed", "bad": "contract_invalid", "silent": "failed"}
+    assert "snr" not in s.where("path = 'silent'").first().violations
     good = f.where("path = 'good'").first()
-    assert good.frames == 8000 and good.rms_db == pytest.approx(-9.03, abs=0.05) and good.rolloff_hz == pytest.approx(440, abs=3)
+    assert good.frames == 8000 and good.rms_dbfs == pytest.approx(-9.03, abs=0.05) and good.rolloff_hz == pytest.approx(440, abs=3) and good.flat_top_ms == 0
+    clipped, silent = (f.where(f"path = '{n}'").first() for n in ("clipped", "silent"))
+    # 16 bit samples clip at 32767 / 32768; a half wave of 440 Hz at 8 kHz has up to 10 equal ones
+    assert clipped.clip_ratio > 0.9 and 9 <= clipped.flat_top_ms * 8 <= 10
+    assert silent.rms_dbfs == silent.dc_dbfs == -300.0 and silent.rolloff_hz == 0 and silent.dropout_ms is None
+    spans = spark.createDataFrame([("good", [(0, 4000)], [(0, 400)])], "path string, speech_ranges array<struct<start:long,end:long>>, noise_ranges array<struct<start:long,end:long>>")
+    heard = audio.wav_features(binary.join(spans, "path")).first()
+    assert abs(heard.snr_db) < 0.2 and heard.dropout_ms < 1
+    facts = spark.createDataFrame([("good", None, 8000, 1, 16, 8000), ("clipped", "00", 8000, 2, 16, None), ("none", None, None, None, None, None), ("bad", None, None, None, None, None)], "path string, sha256 string, rate int, channels int, bits int, frames long")
+    assert [(r.path, r.rule) for r in audio.undeclared_facts(f, facts).orderBy("path", "rule").collect()] == [("bad", "malformed"), ("clipped", "channels_differs"), ("clipped", "sha256_differs"), ("none", "file_missing")]
     e = spark.createDataFrame([(1, 10, "customer_received", "c"), (1, 20, "response_started", "s"), (1, 25, "playback", "x"), (1, 4000000020, "playback", "s")], "run_id long, ns long, kind string, segment string")
     p = audio.latency_status(audio.latency_probes(e)).first()
     assert (p.received_ns, p.played_ns, p.status) == (10, 4000000020, "failed")
@@ -234,6 +296,27 @@ def test_audio(spark):
     assert rows(audio.continuous(seg, chunks, chunks.limit(0))) == [(1, "s", False), (1, "t", True)]
 
 
+def test_value_metrics(spark):
+    """Slots, attempts in transcripts, excused and copied values, disclosures and ledgers."""
+    important = spark.createDataFrame([(1, "phone_number", None, "090-1234-5678", "phone"), (1, None, "kana", "イシカワ", "name"), (1, "note", None, "了解", "text"), (2, "size", None, "55", None)], "run_id long, slot_id string, name string, value string, value_type string")
+    gold = spark.createDataFrame([(1, "tel", "09012345678"), (2, "size", "54")], "run_id long, name string, value string")
+    slots = values.slots(important, gold).cache()
+    assert rows(slots.where("run_id = 1").select("slot_id", "normalized", "kind", "argument_names")) == [("kana", "イシカワ", "kana", []), ("note", "了解", "text", []), ("phone_number", "09012345678", "digits", ["tel"])]
+    turns = spark.createDataFrame(
+        [(1, 0, "user", "〇九〇 1234-5678、イシカワです。了解", []), (1, 1, "operator", "復唱", ["090 1234 5679 イシカワ", "０９０-1234-5679 イシカワ"]), (1, 2, "user", "違います", []), (1, 3, "operator", "09012345678ですね。手数料500円、返金", ["09012345670 500円返金", "09012345670 500円の返金"]), (2, 0, "customer", "55です", []), (2, 1, "operator", "はい", ["55", "66"])],
+        "run_id long, seq long, actor string, text string, transcripts array<string>",
+    )
+    e = values.transcript_evidence(slots, turns)
+    assert rows(e.select("run_id", "slot_id", "seq", "token", "correct")) == [(1, "kana", 1, "イシカワ", True), (1, "phone_number", 1, "09012345679", False)]
+    args = spark.createDataFrame([(1, 5, "tool", "tel", "09012345678", True, "customer_utterance"), (1, 5, "tool", "kana", "イシカワ", True, "unknown"), (2, 5, "tool", "size", "66", True, "tool_result"), (2, 6, "tool", "size", "55", True, None)], "run_id long, call_seq long, tool string, name string, value string, ledger boolean, source_kind string")
+    contracts = spark.createDataFrame([(1, "手数料500円、返金します", "tool"), (2, "ありがとう", None), (3, "取消", "never")], "run_id long, disclosure string, deadline_tool string")
+    runs = spark.createDataFrame([(1, False), (2, False), (3, False), (4, True)], "run_id long, malformed boolean")
+    got = {(r.run_id, r.metric_id): (r.status, r.units, r.passed_units) for r in values.value_metrics(runs, slots, turns, args, contracts).collect()}
+    assert got[1, "M20"] == ("failed", 2, 1) and got[1, "M25"] == ("failed", 2, 1) and got[1, "M26"] == ("failed", 2, 1) and got[1, "M22"] == ("passed", 1, 1)
+    assert got[2, "M20"] == ("passed", 1, 1) and got[2, "M22"] == ("N/M", 0, 0) and got[2, "M26"] == ("N/M", 0, 0) and got[2, "M25"] == ("N/A", 0, 0)
+    assert {got[3, m][0] for m in ("M20", "M22", "M25", "M26")} == {"N/A"} and {got[4, m][0] for m in ("M20", "M22", "M25", "M26")} == {"N/M"}
+
+
 def test_judge_batch(spark):
     tasks = spark.createDataFrame([(1, "q", "M", "yes", 5), (1, "r", "M", "yes", 1), (1, "s", "M", "no", None)], "run_id long, question_id string, metric_id string, expected string, bound_seq long")
     given = spark.createDataFrame([(1, "q", "yes", ["e"]), (1, "r", "yes", ["e"]), (1, "s", "maybe", [])], "run_id long, question_id string, answer string, refs array<string>")
@@ -242,6 +325,15 @@ def test_judge_batch(spark):
     assert rows(v.select("question_id", "valid")) == [("q", True), ("r", False), ("s", False)]
     assert judge.score(v).first().rate == pytest.approx(1 / 3)
     cache = spark.createDataFrame([("h", "a", "x"), ("h", "b", "x")], "request_hash string, raw_hash string, parsed string")
+    asked = spark.createDataFrame([(i, q, "x") for i in (1, 2, 3) for q in ("a", "b")], "run_id long, question_id string, question string")
+    seen = spark.createDataFrame([(1, i, f"c{i:04d}", "t" * 300) for i in range(1200)] + [(2, 0, "c0000", "t" * 9000)], "run_id long, seq long, ref string, text string")
+    parts = judge.requests(asked, seen, 4000)
+    assert parts.where("run_id = 1 and fits").count() == parts.where("run_id = 1").count() > 100
+    packed = parts.where("run_id = 1").select(F.explode(F.from_json("request", "evidence array<struct<ref:string>>")["evidence"]["ref"]).alias("ref"))
+    assert rows(packed) == [(f"c{i:04d}",) for i in range(1200)]
+    replies = judge.ask(parts.where("fits and has_evidence"), lambda r: json.dumps({"judgements": [{"question_id": "a", "answer": "yes" if "c0777" in r else "no", "evidence": []}, {"question_id": "b", "answer": "no", "evidence": []}]}))
+    merged = judge.over_parts(judge.judgements(replies, parts), parts, asked)
+    assert rows(merged.select("run_id", "question_id", F.coalesce("answer", F.lit("-")), "status")) == [(1, "a", "yes", "answered"), (1, "b", "no", "answered"), (2, "a", "-", "too_long"), (2, "b", "-", "too_long"), (3, "a", "no", "no_evidence"), (3, "b", "no", "no_evidence")]
     hits, misses, clash = judge.against_cache(spark.createDataFrame([(1, "h"), (2, "g"), (3, "g")], "run_id long, request_hash string"), cache)
     assert hits.count() == 1 and misses.count() == 1 and clash.first().n == 2
 
@@ -313,9 +405,43 @@ def test_contract_tables(spark):
 
 
 def test_typed_containment(spark):
-    checks = [("会議は2024年2月3日です", "2024-02-03", "date", True), ("２月３日に", "2024-02-03", "date", True), ("2月13日に", "2024-02-03", "date", False), ("14:05から", "14:05", "time", True), ("１４時５分", "14:05", "time", True), ("14時", "14:00", "time", True), ("114:05", "14:05", "time", False), ("合計1,200円", "1200", "integer", True), ("12000円", "1200", "integer", False), ("tel 03-1234-5678", "0312345678", "phone", True), ("plan_a now", "plan", "text", False)]
-    for text, value, kind, want in checks:
-        got = spark.createDataFrame([(text, value)], "t string, v string").select(ft.contains_typed(F.col("t"), F.col("v"), kind).alias("x")).first().x
-        assert got == want, (text, value)
-    k = spark.createDataFrame([("キャンセルは３日前まで、手数料500円",)], "t string").select(ft.core_keywords(F.col("t")).alias("k")).first().k
-    assert k == ["3日", "500円", "キャンセル", "手数料"]
+    checks = [
+        ("会議は2024年2月3日です", "2024-02-03", "", "date", True), ("２月３日に", "2024-02-03", "", "date", True), ("2月13日に", "2024-02-03", "", "date", False), ("二月三日", "2024/2/3", "birthdate", "", True), ("2024-02-30", "2024-02-30", "", "date", True),
+        ("14:05から", "14:05", "", "time", True), ("１４時５分", "14:05", "", "time", True), ("14時", "14:00", "", "time", True), ("じゅうよじ", "14:00", "", "time", False), ("午後二時五分", "14:05", "", "time", True), ("夜の8時", "20:00", "", "time", True), ("24時", "14:00", "", "time", False),
+        ("2月3日の14時です", "2024-02-03 14:00", "", "text", True), ("2月3日の15時です", "2024-02-03 14:00", "", "text", False),
+        ("合計1,200円", "1200", "", "integer", True), ("12000円", "1200", "", "integer", False), ("1.5", "1", "", "number", True), ("十二名", "12", "", "integer", True), ("二十二名", "2", "", "integer", False), ("さんじゅう", "30", "", "integer", True), ("00", "0", "", "integer", False),
+        ("tel 03-1234-5678", "0312345678", "phone", "phone", True), ("ゼロキュウゼロの1234の5678", "090-1234-5678", "phone_number", "", True),
+        ("plan_a now", "plan", "", "text", True), ("いしかわ あやの", "イシカワアヤノ", "kana", "", True), ("Mail: A@B.co", "a@b.CO", "email", "", True), ("株式会社「ジェイ」商事", "株式会社ジェー商事", "", "", True),
+        ("スタンダードにします", "スタンダード20", "plan_name", "", True), ("スタンダード30で", "スタンダード20", "plan_name", "", False), ("スタン", "スタンダード20", "plan_name", "", False), ("スタンダードにします", "スタンダード20", "name", "", False),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(checks)], "i int, t string, v string, c string, k string, want boolean")
+    wrong = df.where(ft.holds_typed("t", "v", "c", "k") != F.col("want"))
+    assert [(r.t, r.v) for r in wrong.collect()] == []
+    k = spark.createDataFrame([("キャンセルは三日前まで、手数料1,500円。18:30",)], "t string").select(ft.core_keywords(F.col("t")).alias("k")).first().k
+    assert k == ["3日", "1500円", "1830", "キャンセル"]
+    assert ft.number_forms(20) == ("にじゅう", "ニジュウ", "20", "二十") and "〇" in ft.number_forms(0) and "零" in ft.number_forms(0) and not ft.number_forms(60)
+    t = spark.createDataFrame([("A-b、ｃ。/_x",)], "t string").select(ft.interaction_text(F.col("t")).alias("x"))
+    assert t.first().x == "abｃx"
+
+
+def test_recorded_provenance(spark):
+    args = spark.createDataFrame([(1, 9, "amount", "1200", "integer"), (1, 9, "name", "plan b", ""), (1, 9, "day", "2024-02-03", "date"), (1, 9, "code", "zz", ""), (1, 9, "none", None, "")], "run_id long, call_seq long, field string, value string, type string")
+    source = "run_id long, seq long, path string, value string"
+    got = provenance.recorded(args, spark.createDataFrame([(1, 2, "$.error.code", "zz"), (1, 10, "$.x", "plan b")], source), spark.createDataFrame([(1, 3, "content", "1,200円です"), (1, 1, "content", "12000")], source), spark.createDataFrame([(1, 4, "steps[0]", "2月3日")], source), spark.createDataFrame([(1, "domain.rule", "the plan b rule")], "run_id long, path string, value string"))
+    assert rows(got.select("field", "source_kind", F.coalesce("source_seq", F.lit(-9)))) == [("amount", "customer_utterance", 3), ("code", "tool_result", 2), ("day", "sop_step", 4), ("name", "domain_policy", -1), ("none", "not_applicable", -9)]
+
+
+def test_five_successes(spark):
+    e = spark.createDataFrame([(1, 1, "tool_call", "a", None), (1, 2, "tool_call", "a", None), (1, 3, "tool_result", "a", None), (1, 4, "tool_result", "a", True), (1, 5, "tool_call", "a", None)], "run_id long, seq long, event_type string, tool string, ok boolean")
+    assert rows(attempts.next_result_ok(e).select("seq", "ok")) == [(1, False), (2, False), (5, False)]
+    assert rows(attempts.next_result_ok(e.where("seq <> 3")).select("seq", "ok")) == [(1, True), (2, True), (5, False)]
+
+
+def test_run_outcomes_and_failures(spark):
+    r = spark.createDataFrame([(1, ["ok", None]), (2, ["run_failed: max_turns hit"]), (3, ["run_failed: ConnectionClosedError", "max_turns"]), (4, []), (5, None)], "i int, reasons array<string>")
+    assert rows(r.select("i", report.run_outcome(F.col("reasons")))) == [(1, "終話到達"), (2, "上限打ち切り"), (3, "測定エラー"), (4, "終話到達"), (5, "終話到達")]
+    assert r.select(report.run_outcome(F.col("reasons"), F.lit(True)).alias("o")).distinct().collect()[0].o == "上限打ち切り"
+    f = spark.createDataFrame([(1, "TimeoutError", "asr timed out"), (2, "X", "request timed out"), (3, "X", "bad json"), (4, "WebSocket", "TTS"), (5, "ValueError", "boom"), (6, None, "tts")], "i int, t string, m string")
+    assert rows(f.select("i", report.failure_class(F.col("t"), F.col("m")))) == [(1, "asr_failure"), (2, "timeout_failure"), (3, "judge_or_controller_json_failure"), (4, "transport_failure"), (5, "runtime_failure"), (6, "tts_failure")]
+    d = spark.createDataFrame([("htl-001",), ("zzz-9",), ("plain",)], "s string").select(report.domain_of(F.col("s")).alias("d"))
+    assert [x.d for x in d.collect()] == ["hotel", "zzz", "plain"]
