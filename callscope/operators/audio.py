@@ -237,3 +237,11 @@ def continuous(segments: DataFrame, delivered: DataFrame, dropped: DataFrame) ->
     c = c.join(dropped.select("run_id", "chunk_id", F.lit(True).alias("_out")).distinct(), ["run_id", "chunk_id"], "left")
     ok = F.coalesce("_in", F.lit(False)) & F.col("_out").isNull()
     return c.groupBy("run_id", "segment_id").agg(F.bool_and(ok).alias("continuous"))
+
+
+def measured_events(events: DataFrame, segments: DataFrame) -> DataFrame:
+    """Events that belong to a known segment, or to none, numbered anew by the clock.
+    events: run_id, event_id, monotonic_ns, segment_id (or null); segments: run_id, segment_id."""
+    known = segments.select("run_id", "segment_id", F.lit(True).alias("_known")).distinct()
+    kept = events.join(known, ["run_id", "segment_id"], "left").where(F.col("segment_id").isNull() | F.col("_known")).drop("_known")
+    return kept.withColumn("seq", F.row_number().over(Window.partitionBy("run_id").orderBy("monotonic_ns", "event_id")))

@@ -121,3 +121,10 @@ def consent_pairs(declarations: DataFrame, utterances: DataFrame) -> DataFrame:
 
 def any_yes(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("run_id", "declaration_id").agg(F.max(F.coalesce(F.col("answer") == "yes", F.lit(False))).alias("consented"))
+
+
+def fired_mean(valid: DataFrame) -> DataFrame:
+    """M16: share of right answers among the criteria that were asked, always a measured value.
+    valid: run_id, criterion, valid, answer, expected."""
+    right = F.coalesce(F.col("valid") & (F.col("answer") == F.col("expected")), F.lit(False))
+    return valid.groupBy("run_id").agg(F.avg(right.cast("double")).alias("score"), F.count("*").alias("fired")).withColumn("status", F.lit("measured"))

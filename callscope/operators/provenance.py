@@ -107,3 +107,10 @@ def recorded(args: DataFrame, results: DataFrame, messages: DataFrame, steps: Da
     held = holds_typed(F.col("_value"), F.col("value"), F.col("field"), F.coalesce("type", F.lit("")))
     told = policy.select("run_id", F.lit(-1).cast("bigint").alias("seq"), "path", "value")
     return tiered(args, [(RECORDED[0], results)], [(RECORDED[1], messages), (RECORDED[2], steps), (RECORDED[3], told)], held)
+
+
+def declared_spoken(args: DataFrame, inputs: DataFrame) -> DataFrame:
+    """Spoken forms that a scenario declares for an argument's value, among its identity and its other
+    inputs: run_id, call_seq, field, spoken. inputs: run_id, grp, value, spoken."""
+    named = inputs.where(F.col("grp").isin("identity", "declared") & F.col("spoken").isNotNull())
+    return args.join(named.select("run_id", "value", "spoken"), ["run_id", "value"]).select("run_id", "call_seq", "field", "spoken").distinct()

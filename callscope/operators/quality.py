@@ -149,3 +149,15 @@ def expectations(df: DataFrame, rules: list[dict], key: str = "run_id") -> DataF
         if "matches" in r:
             found.append(_rows(df, "matches", ~c.rlike(r["matches"]), name, key))
     return reduce(DataFrame.unionByName, found)
+
+
+def repair_counts(runs: DataFrame, repairs: DataFrame) -> DataFrame:
+    """Schema and ticket repairs of every run. repairs: run_id, kind ('schema' or 'ticket')."""
+    n = repairs.groupBy("run_id").agg(F.count_if(F.col("kind") == "schema").alias("schema_repairs"), F.count_if(F.col("kind") == "ticket").alias("ticket_repairs"))
+    return runs.select("run_id").join(n, "run_id", "left").select("run_id", F.coalesce("schema_repairs", F.lit(0)).alias("schema_repairs"), F.coalesce("ticket_repairs", F.lit(0)).alias("ticket_repairs"))
+
+
+def root_keys(states: DataFrame) -> DataFrame:
+    """Root keys of a state against its reference: missing ones are an error, others are left out.
+    states: run_id, reference (array), actual (array)."""
+    return states.select("run_id", F.array_sort(F.array_except("reference", "actual")).alias("missing"), F.array_sort(F.array_except("actual", "reference")).alias("excluded"))

@@ -184,7 +184,7 @@ def override(core: DataFrame, other: DataFrame, only_from: str | None = None) ->
     o = other.select("run_id", "metric_id", F.col("status").alias("_status"), F.col("reason").alias("_reason"))
     out = core.join(o, ["run_id", "metric_id"], "left")
     take = F.col("_status").isNotNull() if only_from is None else F.col("_status").isNotNull() & (F.col("status") == only_from)
-    return out.withColumn("status", F.when(take, F.col("_status")).otherwise(F.col("status"))).withColumn("reason", F.when(take, F.col("_reason")).otherwise(F.col("reason"))).drop("_status", "_reason")
+    return out.withColumns({"status": F.when(take, F.col("_status")).otherwise(F.col("status")), "reason": F.when(take, F.col("_reason")).otherwise(F.col("reason"))}).drop("_status", "_reason")
 
 
 def availability(results: DataFrame, metrics: DataFrame) -> DataFrame:

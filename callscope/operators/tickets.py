@@ -34,6 +34,23 @@ def same_list(a: Column, b: Column) -> Column:
     return F.coalesce(a.eqNullSafe(b), F.lit(False))
 
 
+#: Catalogue calls that a ticket may list and no expected action names: fixed values.
+CATALOG_ACTIONS = ("search_sop_categories", "search_sops_in_category", "get_sop")
+
+
+def actions_match(observed: Column, expected: Column) -> Column:
+    """Whether two action lists agree place by place, catalogue calls aside; a target may be any of the
+    candidates that the call's result carried.
+
+    observed: array of (action_code, target_ref, outcome, receipt_refs); expected: the same with
+    candidates (array).
+    """
+    own = F.filter(observed, lambda x: ~F.coalesce(x["action_code"].isin(*CATALOG_ACTIONS), F.lit(False)))
+    target = lambda x, y: x["target_ref"].eqNullSafe(y["target_ref"]) | F.coalesce(F.array_contains(y["candidates"], x["target_ref"]), F.lit(False))
+    same = lambda x, y: F.lit(True) if x is None else target(x, y) & x["action_code"].eqNullSafe(y["action_code"]) & x["outcome"].eqNullSafe(y["outcome"]) & x["receipt_refs"].eqNullSafe(y["receipt_refs"])
+    return F.coalesce((F.size(own) == F.size(expected)) & F.forall(F.zip_with(own, expected, same), lambda ok: F.coalesce(ok, F.lit(False))), F.lit(False))
+
+
 def compare(tickets: DataFrame, derived: DataFrame) -> DataFrame:
     """Four fields right or wrong, and the share that is right; a missing ticket is not measurable.
 

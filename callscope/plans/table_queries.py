@@ -79,25 +79,6 @@ def completion_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- texts -------------------------------------------------------------------------------------------
 
-ROWS_STYLE = """SELECT doc_id, rule, n FROM (
-SELECT doc_id, unnest(['table', 'url', 'identifier', 'digit_punctuation', 'long_sentence', 'numbered', 'bullet', 'heading', 'bold', 'code_block', 'paragraph']) AS rule,
-unnest([len(regexp_extract_all(x, '\\|[^|\\n]+\\|')), len(regexp_extract_all(x, 'https?://[^\\x09-\\x0D\\x20]+')), len(regexp_extract_all(x, '[A-Za-z]+_[A-Za-z0-9_]+')), len(regexp_extract_all(x, '[0-9]+[/:][0-9]+')), len(regexp_extract_all(x, '[^.!?。！？\\n]{201,}')),
-len(regexp_extract_all(x, '(?m)^[\\x09-\\x0D\\x20]*[0-9]+[.)][\\x09-\\x0D\\x20]')), len(regexp_extract_all(x, '(?m)^[\\x09-\\x0D\\x20]*[-*・][\\x09-\\x0D\\x20]')), len(regexp_extract_all(x, '(?m)^#{1,6}[\\x09-\\x0D\\x20]')), len(regexp_extract_all(x, '\\*\\*[^*\\n]+\\*\\*')), len(regexp_extract_all(x, '```')), len(regexp_extract_all(x, '\\n[\\x09-\\x0D\\x20]*\\n'))]) AS n
-FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)) WHERE n > 0"""
-
-
-@query(ROWS_STYLE)
-def style_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_rules.style_violations(table(spark, sf_dir, "documents"), "text", ["doc_id"])
-
-
-@query("""WITH s AS (SELECT conv_id, turn, unnest(regexp_extract_all(coalesce(text, ''), '[^。！？.!?]+[。！？.!?]')) AS x FROM conversations),
-n AS (SELECT conv_id, turn, regexp_replace(x, '[\\x09-\\x0D\\x20]+', '', 'g') AS sentence FROM s)
-SELECT conv_id, turn, sentence, count(*) - 1 AS repeats FROM n WHERE length(sentence) >= 20 GROUP BY ALL HAVING count(*) > 1""")
-def repeated_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_rules.repeated_sentences(table(spark, sf_dir, "conversations"), "text", ["conv_id", "turn"])
-
-
 @query("""WITH b AS (SELECT conv_id, turn, role AS actor, coalesce(text, '') AS text FROM conversations),
 s AS (SELECT conv_id, left(regexp_extract(text, '[A-Za-z]{5,}', 0), 5) AS value FROM b WHERE turn = 0 AND regexp_extract(text, '[A-Za-z]{5,}', 0) <> ''),
 u AS (SELECT *, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM b WHERE actor = 'user'),
@@ -128,20 +109,6 @@ def ratio_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bigram_rank(q, t, 4)
 
 
-@query("""WITH c AS (SELECT n_regionkey AS key, n_nationkey AS item FROM nation), k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY item) - 1 AS rn, count(*) OVER (PARTITION BY key) AS n FROM c),
-p AS (SELECT key, item, ((rn - CAST('0x' || substr(sha256(CAST(key AS VARCHAR)), 1, 8) AS BIGINT) % n) % n + n) % n AS turn FROM k WHERE item % 2 = 1)
-SELECT key, arg_min(item, turn) AS item FROM p GROUP BY 1""")
-def peer_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("key"), F.col("n_nationkey").alias("item"))
-    return retrieval.hash_offset_pick(c, c.where(F.col("item") % 2 == 0))
-
-
-@query("""SELECT DISTINCT a.n_nationkey AS scenario_id, 'notice ' || b.n_nationkey % 7 AS disclosure FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey""")
-def peer_disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("scenario_id"), F.col("n_regionkey").alias("domain_id"), F.array(F.concat(F.lit("notice "), (F.col("n_nationkey") % 7).cast("string"))).alias("disclosures"))
-    return records.peer_disclosures(n)
-
-
 # --- judgements --------------------------------------------------------------------------------------
 
 
@@ -211,14 +178,6 @@ def latency_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("run_id", "segment", "started_ns", (F.col("started_ns") - F.col("received_ns")).alias("waited_ns"), (F.col("played_ns") - F.col("started_ns")).alias("until_play_ns"))
 
 
-@query("""SELECT vec_id, round(sqrt(list_avg([x * x FOR x IN embedding::DOUBLE[]])), 9) AS rms, round(list_max([abs(x) FOR x IN embedding::DOUBLE[]]), 9) AS peak, round(list_avg(embedding::DOUBLE[]), 9) AS dc FROM embeddings""")
-def signal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sample arrays' level features as column expressions."""
-    x = F.transform("embedding", lambda v: v.cast("double"))
-    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v) / F.size(c)
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(mean(F.transform(x, lambda v: v * v))), 9).alias("rms"), F.round(F.array_max(F.transform(x, F.abs)), 9).alias("peak"), F.round(mean(x), 9).alias("dc"))
-
-
 @query(TRACE_SQL + """, s AS (SELECT run_id, min(arg) AS value FROM t WHERE event_type = 'message' AND actor = 'user' GROUP BY 1),
 h AS (SELECT c.run_id, c.k % 9 <> 0 AS known, c.k % 23 = 0 AS gap FROM t c JOIN s ON s.run_id = c.run_id AND s.value = c.arg WHERE c.event_type = 'tool_call')
 SELECT run_id, CASE WHEN NOT bool_or(gap) THEN avg(CAST(known AS INT)) END AS rate, CASE WHEN bool_or(gap) THEN 'N/M' WHEN avg(CAST(known AS INT)) = 1.0 THEN 'pass' ELSE 'fail' END AS status FROM h GROUP BY 1""")

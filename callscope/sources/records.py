@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import report
+
 PLACE = r"([^/]+)/([^/]+)/run_(\d+)/[^/]+$"
 
 
@@ -48,6 +52,17 @@ def runs_and_events(records: DataFrame, text_col: str = "text") -> tuple[DataFra
     return r.drop("event_log"), events
 
 
+def repeated_scenarios(scenarios: DataFrame) -> DataFrame:
+    """Scenario ids that occur more than once, which is an error."""
+    return scenarios.groupBy("scenario_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def scored_or_recorded(scored: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Every place (variant_id, scenario_id) that has a score or a record."""
+    keys = ["variant_id", "scenario_id"]
+    return scored.select(*keys).union(recorded.select(*keys)).distinct()
+
+
 def left_out(scenarios: DataFrame, runs: DataFrame) -> DataFrame:
     """Scenarios without a record, skipped when stored records are scored again."""
     return scenarios.join(runs, "scenario_id", "left_anti").select("scenario_id")
@@ -58,6 +73,23 @@ def with_facets(runs: DataFrame, facets: DataFrame) -> DataFrame:
     return runs.join(facets, "run_id", "left")
 
 
+def score_stored(scenarios: DataFrame, runs: DataFrame, metrics: DataFrame, scores: list[DataFrame], mode: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Score stored runs again with every metric: one row per run and declared metric, and the scenarios
+    that have no record.
+
+    runs: run_id, scenario_id, variant_id, status, error_message; metrics: metric_id, hard_only; each of
+    scores: run_id, metric_id, status, reason (from the metric's own operator). Failed runs get their
+    rows from the failure alone; a metric that no operator scored is N/M; in audio mode the written
+    style doesn't apply. A metric scored twice for a run is an error.
+    """
+    failed, done = runs.where("status = 'failed_runtime'"), runs.where("status <> 'failed_runtime'")
+    every = reduce(DataFrame.unionByName, [s.select("run_id", "metric_id", "status", "reason") for s in scores])
+    once = every.groupBy("run_id", "metric_id").agg(F.when(F.count("*") > 1, F.raise_error(F.lit("a metric is scored twice for a run"))).otherwise(F.first("status")).cast("string").alias("status"), F.first("reason").alias("reason"))
+    rows = report.resolve_rows(metrics, done, once).unionByName(report.failed_run_rows(failed, metrics))
+    rows = rows.select("run_id", "metric_id", "status", "reason")
+    return (report.audio_mode(rows) if mode != "text" else rows), left_out(scenarios, runs)
+
+
 def repeated_places(files: DataFrame) -> DataFrame:
     return files.groupBy("variant_id", "scenario_id", "run_number").agg(F.count("*").alias("n")).where("n > 1")
 
