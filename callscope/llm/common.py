@@ -38,6 +38,12 @@ def kept_columns(keep: list[str] | None, id_col: str, made: tuple[str, ...]) ->
     return keep
 
 
+#: Spans gathered before they are put aside, so that a text with n of them copies n * CHUNK / 2 and not n^2 / 2.
+CHUNK = 128
+#: Stands for a character inside a span; a noncharacter, which no text holds.
+FILL = "\uffff"
+
+
 def with_spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
     """Add, for each name, the leftmost non-overlapping matches of a pattern as an array of
     (s, e, m): start, end (exclusive) in code points, and the matched text.
@@ -45,24 +51,45 @@ def with_spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
     ``split`` gives what lies between the matches, so a running sum of lengths gives places.
     """
     hits = df.withColumns({f"_h_{k}": F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)) for k, p in patterns.items()})
+    none = F.array().cast(f"array<{SPAN}>")
 
     def placed(k: str, p: str) -> Column:
         found = F.col(f"_h_{k}")
         between = F.slice(F.split(F.col(text), p, -1), F.lit(1), F.size(found))
         zipped = F.zip_with(between, found, lambda b, m: F.struct(F.char_length(b).alias("gap"), F.char_length(m).alias("len"), m.alias("m")))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        zero = F.struct(F.lit(0).alias("at"), none.alias("out"), F.array().cast(f"array<array<{SPAN}>>").alias("full"))
 
         def step(acc: Column, x: Column) -> Column:
             start = acc["at"] + x["gap"]
             span = F.struct(start.alias("s"), (start + x["len"]).alias("e"), x["m"].alias("m"))
-            return F.struct((start + x["len"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+            fills = F.size(acc["out"]) >= CHUNK
+            out = F.when(fills, F.array(span)).otherwise(F.concat(acc["out"], F.array(span)))
+            return F.struct((start + x["len"]).alias("at"), out.alias("out"), F.when(fills, F.concat(acc["full"], F.array(acc["out"]))).otherwise(acc["full"]).alias("full"))
 
-        none = F.array().cast(f"array<{SPAN}>")
-        return F.when(F.size(found) > 0, F.aggregate(zipped, zero, step, lambda acc: acc["out"])).otherwise(none)
+        return F.when(F.size(found) > 0, F.aggregate(zipped, zero, step, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["out"]))))).otherwise(none)
 
     return hits.withColumns({k: placed(k, p) for k, p in patterns.items()}).drop(*[f"_h_{k}" for k in patterns])
 
 
+def blanked(text: Column, pattern: str, valid=None) -> Column:
+    """The text with every character of a pattern's (valid) matches replaced by FILL, in one pass."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    between = F.split(text, pattern, -1)
+    fill = lambda m: F.repeat(F.lit(FILL), F.char_length(m))
+    hide = lambda m: fill(m) if valid is None else F.when(valid(m), fill(m)).otherwise(m)
+    pieces = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.concat(b, hide(m)))
+    return F.concat(F.array_join(pieces, ""), F.element_at(between, -1))
+
+
+def overlaid(texts: list[Column]) -> Column:
+    """Of versions of one text, FILL wherever one of them has it."""
+    out = texts[0]
+    for t in texts[1:]:
+        either = F.zip_with(F.split(out, ""), F.split(t, ""), lambda a, b: F.when(a == FILL, a).otherwise(b))
+        out = F.when(out.isNull(), t).when(t.isNull(), out).otherwise(F.array_join(either, ""))
+    return out
+
+
 def joined_spans(spans: Column) -> Column:
     """'kind:start:end' of an already ordered array of structs with kind, s, e; comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")

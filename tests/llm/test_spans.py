@@ -93,10 +93,44 @@ def test_markov_model_finds_keys_that_no_rule_names(spark):
     assert sum(len(out[i].model) for i in range(120)) == 0
 
 
+def test_markov_spans_equal_a_plain_scorer(spark):
+    """Model spans against Python's re and a loop over the transitions, on texts with rules' spans in them."""
+    r = random.Random(8)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+    prose = ["configuration", "international", "representation", "getUserAccountById_default", "4485123412341234", "1234567890123456789", "src/main/java/com/example_app", "ABCDEFGHIJKLMNOPQRST"]
+    pieces = lambda: r.choice([r.choice(prose), "".join(r.choice(b64) for _ in range(r.randint(10, 40))) + "=" * r.randint(0, 2), "token=abcdefgh12", "f0" * 16, "AKIA" + "Q1" * 8])
+    rows = [(i, r.choice(["", " ", "é"]).join(pieces() for _ in range(r.randint(1, 5)))) for i in range(300)]
+    rows += [(400 + i, " ".join(r.choice(prose[:4]) for _ in range(40))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ratio = secret_scan.train(df)
+    token = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}(?![A-Za-z0-9+/_-])={0,2}")
+    at = lambda c: ord(c) - secret_scan.FIRST
+    found = 0
+    out = {x.doc_id: [(m.s, m.e, m.m) for m in x.model] for x in secret_scan.scan(df, ratio).collect()}
+    for i, t in rows:
+        rest = list(t)
+        for _, s, e in secret_base(t):
+            rest[s:e] = "\uffff" * (e - s)
+        want = []
+        for m in token.finditer("".join(rest)):
+            pairs = [(a, b) for a, b in zip(m[0].rstrip("=").lower(), m[0].rstrip("=").lower()[1:]) if a.isalnum() and b.isalnum()]
+            total = sum(ratio[at(a) * secret_scan.CODES + at(b)] for a, b in pairs)
+            if abs(total - secret_scan.MIN_SUM) > 1e-6 and total >= secret_scan.MIN_SUM and total >= secret_scan.MIN_MEAN * len(pairs):
+                want.append((m.start(), m.end(), m[0]))
+        assert out[i] == want, t
+        found += len(want)
+    assert found > 50
+    assert not any(m.isdigit() for spans in out.values() for _, _, m in spans)
+
+
 def test_redaction_masks_spans_and_keeps_columns(spark):
-    df = spark.createDataFrame([(1, "x token = abcdefgh12 y", "a"), (2, None, "b"), (3, "plain", None)], "doc_id long, text string, _in_text string")
+    df = spark.createDataFrame([(1, "x token = abcdefgh12 y", "a"), (2, None, "b"), (3, "plain", None), (4, "é token=" + "0f" * 20 + " AKIA" + "Z9" * 8 + "token=abcdefgh1 z", "c"), (5, "", "d")], "doc_id long, text string, _in_text string")
+    again = {r.doc_id: r.text for r in secret_scan.redact(df.limit(0).unionByName(df), mask="$1\\").collect()}
+    assert again[1] == "x $1\\ y"
+    assert secret_scan.redact(df.limit(0)).columns == df.columns
     out = {r.doc_id: r for r in secret_scan.redact(df).collect()}
     assert out[1].text == "x [SECRET] y" and out[2].text is None and out[3].text == "plain" and out[1]._in_text == "a"
+    assert out[4].text == "é [SECRET] [SECRET] z" and out[5].text == ""
 
 
 def test_contexts_discover_unseen_identifiers(spark):
