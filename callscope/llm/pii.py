@@ -1,12 +1,19 @@
 """Personal data: fixed rules, and bootstrapped contextual extraction of unseen identifiers.
 
-Seeds are what the rules confirm. Every seed, and every other word with at least MIN_DIGITS digits,
-stands in lexical contexts: the two words to its left, and the word on either side (lower case,
-digits written 0). Contexts are patterns, the strings are instances, and the counted pairs form a
-graph. A few rounds pass confidence along it: a pattern's is the weight of its confirmed instances
-over its distinct instances, smoothed; an unseen instance takes the best confidence of its patterns.
-A word whose pattern ends above the threshold, with enough support, is a discovered identifier.
-All steps are native joins, groupings and column expressions.
+Seeds are what the rules confirm, by kind. Two sorts of patterns are induced from them:
+
+- contexts, "w2 w1 _" and "w1 _ w3": the whole words around a seed (lower case, digits written 0);
+  their slot may hold any word of the corpus, with digits or without;
+- forms, "c 0000-00 c": the seed's own form (digits 0, letters a) between neighbours of a class, for
+  words with MIN_DIGITS digits or more.
+
+Patterns and the strings in their slots are a graph. A few rounds pass confidence along it, by kind: a
+pattern's is the weight of its strings over their number, smoothed, strings of another kind counting in
+full; an unseen string takes the best confidence of its patterns. In a context every unseen string counts
+against the pattern as much as a seed for it; in a form, where the string itself looks like the seeds,
+UNSEEN of one. A word whose pattern ends above the threshold, with enough support, is a discovered
+identifier. Contexts of too few seeds, or hardly ever filled by seeds, never enter the graph.
+All steps are native joins, groupings and column expressions; texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -14,27 +21,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, joined_spans, with_spans
+from .common import FILL, blanked, checkpointed, joined_spans, overlaid, with_spans
 
 #: The fixed rules, written possessively so that long texts neither backtrack nor overflow the stack.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-KINDS = ["email", "ip", "card", "phone"]
+RULES = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
+KINDS = [*RULES]
 NAMES = [*KINDS, "context"]
 
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-BLANK = r"[\x20\x09-\x0D]"
-#: A word that holds a digit, from its first character on.
-NUMBERED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+BLANKS = "\t\n\x0b\x0c\r"
+#: A whole word that holds a digit and no span of a rule.
+NUMBERED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9￿]*+[0-9][^\x20\x09-\x0D￿]*+(?![^\x20\x09-\x0D])"
+EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 MIN_DIGITS = 5
 
 ROUNDS = 3
-SMOOTHING = 2.0
+SMOOTHING = 1.0
 MIN_CONFIDENCE = 0.6
 MIN_SUPPORT = 3
-WINDOW = 48
+UNSEEN = 0.05
+#: Least share of a context's slots that seeds fill.
+MIN_SHARE = 0.05
+#: Most contexts that are broadcast; beyond it the join shuffles.
+BROADCAST_PATTERNS = 100_000
 
 
 def _digits(m: Column) -> Column:
@@ -47,75 +60,182 @@ def _luhn(m: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, d: a + d) % 10 == 0
 
 
-def _base(docs: DataFrame, text: str, more: dict[str, str]) -> DataFrame:
-    out = with_spans(docs, text, {"_email": EMAIL, "_ip": IP, "_card": CARD, "_phone": PHONE, **more})
-    keep = {
-        "_ip": lambda x: x["m"].rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$"),
-        "_card": lambda x: F.when(F.length(_digits(x["m"])) <= 19, _luhn(x["m"])).otherwise(F.lit(False)),
-        "_phone": lambda x: F.length(_digits(x["m"])).between(9, 15),
-    }
-    return out.withColumns({c: F.filter(c, f) for c, f in keep.items()})
+#: What a match must meet besides its pattern.
+VALID = {
+    "ip": lambda m: m.rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$"),
+    "card": lambda m: F.when(F.length(_digits(m)) <= 19, _luhn(m)).otherwise(F.lit(False)),
+    "phone": lambda m: F.length(_digits(m)).between(9, 15),
+}
 
 
-def _contexts(text: Column, span: Column) -> Column:
-    """The two lexical patterns around a span; a pattern that lacks a word is empty."""
-    left = F.substring(text, F.greatest(span["s"] - WINDOW, F.lit(0)) + 1, F.least(span["s"], F.lit(WINDOW)))
-    right = F.substring(text, span["e"] + 1, F.lit(WINDOW))
-    plain = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
-    two = F.regexp_extract(left, rf"(?:^|{BLANK})([^\x20\x09-\x0D]+{BLANK}+[^\x20\x09-\x0D]+){BLANK}+$", 1)
-    one = F.regexp_extract(left, rf"([^\x20\x09-\x0D]+){BLANK}+$", 1)
-    after = F.regexp_extract(right, rf"^[^\x20\x09-\x0DA-Za-z0-9]?{BLANK}+([^\x20\x09-\x0D]+)(?:{BLANK}|$)", 1)
-    around = F.when((one != "") & (after != ""), F.concat(plain(one), F.lit(" _ "), plain(after))).otherwise(F.lit(""))
-    return F.array(F.when(two != "", F.concat(plain(two), F.lit(" _"))).otherwise(F.lit("")), around)
+def _valid(kind: str, matches: Column) -> Column:
+    return F.filter(matches, lambda x: VALID[kind](x["m"])) if kind in VALID else matches
+
+
+def _base(docs: DataFrame, text: str) -> DataFrame:
+    """The rules' spans, and _rest: the text with them blanked."""
+    out = with_spans(docs, text, RULES)
+    out = out.withColumns({k: _valid(k, F.col(k)) for k in VALID})
+    hidden = [F.when(F.size(k) > 0, blanked(F.col(text), p, VALID.get(k))) for k, p in RULES.items()]
+    return out.withColumn("_rest", F.coalesce(overlaid(hidden), F.col(text)))
+
+
+def _plain(text: Column) -> Column:
+    """Every blank a space, lower case, digits written 0."""
+    return F.translate(F.lower(text), BLANKS + "123456789", " " * len(BLANKS) + "0" * 9)
+
+
+def _around(text: Column, pattern: str) -> Column:
+    """Per match of a pattern: m, and the words before (l2, l1) and after (r) it; empty where there is
+    none, or where the match is not a whole word but for signs at its end."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    between = F.split(text, pattern, -1)
+    # the words of a piece that touch a match: the last two before it, and the first behind its signs
+    before = F.transform(F.slice(between, F.lit(1), F.size(found)), lambda p: F.split(F.substring_index(_plain(p), " ", -3), " "))
+    after = F.transform(F.slice(between, F.lit(2), F.size(found)), lambda p: F.split(F.substring_index(_plain(p), " ", 2), " "))
+
+    def one(m: Column, b: Column, a: Column) -> Column:
+        word = lambda arr, i: F.coalesce(F.get(arr, i), F.lit(""))
+        whole = word(b, F.size(b) - 1) == ""
+        part = lambda i: F.when(whole & (F.size(b) >= i), word(b, F.size(b) - i)).otherwise(F.lit(""))
+        right = F.when(~word(a, F.lit(0)).rlike(r"[\p{L}\p{N}]"), word(a, F.lit(1))).otherwise(F.lit(""))
+        return F.struct(m.alias("m"), part(3).alias("l2"), part(2).alias("l1"), right.alias("r"))
+
+    return F.zip_with(F.arrays_zip(found.alias("m"), before.alias("b")), after, lambda x, a: one(x["m"], x["b"], a))
+
+
+def _contexts(x: Column) -> Column:
+    """The contexts around a slot; one that lacks a word is empty."""
+    two = F.when((x["l2"] != "") & (x["l1"] != ""), F.concat(x["l2"], F.lit(" "), x["l1"], F.lit(" _"))).otherwise(F.lit(""))
+    around = F.when((x["l1"] != "") & (x["r"] != ""), F.concat(x["l1"], F.lit(" _ "), x["r"])).otherwise(F.lit(""))
+    return F.array(two, around)
+
+
+def _form(x: Column) -> Column:
+    """The form of a word between its neighbours' classes; empty for one with few digits or with blanks."""
+    kind = lambda w: F.when(w == "", "^").when(w.rlike(r"^\p{L}+$"), "w").when(w.rlike("[0-9]"), "0").otherwise(".")
+    own = F.regexp_replace(F.regexp_replace(x["m"], "[0-9]", "0"), r"\p{L}", "a")
+    fits = (F.length(_digits(x["m"])) >= MIN_DIGITS) & ~F.contains(x["m"], F.lit(" "))
+    return F.when(fits, F.concat(kind(x["l1"]), F.lit(" "), own, F.lit(" "), kind(x["r"]))).otherwise(F.lit(""))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_support: int = MIN_SUPPORT) -> DataFrame:
     """Find personal data in every whole text.
 
     Returns id_col and arrays of (s, e, m): email, ip, card, phone by the rules, context for words
-    that the bootstrapped patterns add. A null text counts as empty; an empty table or one without
-    seeds gives no context spans. Rows are kept one to one (a row number made here joins them), so
-    repeated rows and null ids are safe; columns of docs that are not named are ignored.
+    that the bootstrapped patterns add, signs at their ends left out. A null text counts as empty; an
+    empty table or one without seeds gives no context spans; a very long text takes time in
+    proportion to its length. Rows are kept one to one: rows that repeat an id and a text are found
+    alike, null ids included. Columns of docs that are not named are ignored.
     """
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("i"), F.col("_id").cast("string")), F.lit("n")), F.lit("\n"), F.col("_text"))))
     picked = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    found = _base(picked, "_text", {"_word": NUMBERED})
-    bases = F.concat("_email", "_ip", "_card", "_phone")
-    trimmed = F.transform("_word", lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.char_length(F.regexp_replace(x["m"], r"[^\p{L}\p{N}]+$", ""))).alias("e"), F.regexp_replace(x["m"], r"[^\p{L}\p{N}]+$", "").alias("m")))
-    enough = F.filter(trimmed, lambda x: F.length(_digits(x["m"])) >= MIN_DIGITS)
-    fresh = F.filter(enough, lambda x: ~F.exists(bases, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
-    seen = lambda a, seed: F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.lit(seed).alias("seed"), _contexts(F.col("_text"), x).alias("p")))
-    none = "array<struct<s:int,e:int,m:string,seed:boolean,p:array<string>>>"
-    marked = F.when((F.size(bases) > 0) | (F.size("_word") > 0), F.concat(seen(bases, True), seen(fresh, False))).otherwise(F.array().cast(none))
-    rows = found.select("_id", F.monotonically_increasing_id().alias("_row"), *[F.col(f"_{k}").alias(k) for k in KINDS], marked.alias("_seen"))
-    rows = checkpointed(rows)
-
-    each = rows.select("_row", F.explode("_seen").alias("x")).select("_row", "x.*")
-    uses = each.select("_row", "s", "e", "m", "seed", F.explode("p").alias("pattern")).where(F.col("pattern") != "")
-    trusted = patterns(uses, rounds, min_confidence, min_support)
-    hits = uses.where(~F.col("seed")).join(trusted, "pattern", "left_semi").select("_row", "s", "e", "m").distinct()
-    spans = hits.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("s", "e", "m"))).alias("context"))
-    out = rows.drop("_seen").join(spans, "_row", "left")
+    found = _base(picked, "_text")
+
+    none = F.array().cast("array<struct<m:string,l2:string,l1:string,r:string>>")
+    seen = lambda size, text, pattern: F.when(size > 0, _around(text, pattern)).otherwise(none)
+    named = lambda k: lambda x: F.struct(F.lit(k).alias("kind"), x["m"].alias("m"), F.concat(_contexts(x), F.array(_form(x))).alias("p"))
+    seeds = F.concat(*[F.transform(_valid(k, seen(F.size(k), F.col("_text"), p)), named(k)) for k, p in RULES.items()])
+    rest = F.col("_rest")
+    trim = lambda x: F.struct(F.regexp_replace(x["m"], EDGES, "").alias("m"), x["l2"].alias("l2"), x["l1"].alias("l1"), x["r"].alias("r"))
+    has_number = F.size(F.regexp_extract_all(rest, F.lit(rf"(?:[0-9][^\x20\x09-\x0D0-9￿]*+){{{MIN_DIGITS}}}"), F.lit(0)))
+    words = F.filter(F.transform(seen(has_number, rest, NUMBERED), lambda x: F.struct(trim(x)["m"].alias("m"), _form(trim(x)).alias("form"))), lambda x: x["form"] != "")
+    rows = checkpointed(found.select("_id", key.alias("_key"), *KINDS, seeds.alias("_seeds"), words.alias("_words")))
+
+    uses = rows.select(F.explode("_seeds").alias("x")).select("x.kind", "x.m", F.posexplode("x.p").alias("at", "pattern")).where("pattern != ''")
+    uses = uses.select("kind", "m", "pattern", (F.col("at") == 2).alias("form")).distinct()
+    frames = uses.groupBy("pattern", "form", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= min_support).select("pattern", "form").distinct()
+    frames = checkpointed(frames)
+    contexts = _filled(picked, frames.where("not form").select("pattern"))
+
+    # strings in the slots of both sorts of patterns
+    by_form = rows.select("_key", F.explode("_words").alias("x")).select("_key", "x.m", F.col("x.form").alias("pattern")).join(frames.where("form").select("pattern"), "pattern", "left_semi")
+    hits = by_form.select("_key", "m", "pattern", F.lit(True).alias("form"))
+    if contexts is not None:
+        hits = hits.unionByName(_slots(picked.withColumn("_key", key), contexts).withColumn("form", F.lit(False)))
+    hits = checkpointed(hits.distinct())
+    trusted = patterns(uses, hits, rounds, min_confidence, min_support)
+    good = checkpointed(hits.join(trusted.select("pattern").distinct(), "pattern", "left_semi").select("_key", "m").distinct().groupBy("_key").agg(F.collect_set("m").alias("_found")))
     empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    if not good.limit(1).count():
+        return rows.select(F.col("_id").alias(id_col), *KINDS, empty.alias("context"))
+    # only the texts that hold a discovered word are read again
+    placed = _places(picked.withColumn("_key", key).join(_small(good), "_key"))
+    out = rows.select("_id", "_key", *KINDS).join(placed, "_key", "left")
     return out.select(F.col("_id").alias(id_col), *KINDS, F.coalesce("context", empty).alias("context"))
 
 
-def patterns(uses: DataFrame, rounds: int, min_confidence: float, min_support: int) -> DataFrame:
-    """Patterns (pattern, confidence) that end above the threshold, from uses with pattern, m, seed.
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_PATTERNS else df
+
+
+def _triples(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Every slot of the texts with its two contexts: pattern and the string in it. Words are parted by
+    one blank; a word of a rule's span is FILL."""
+    rest = F.translate(F.col("_rest"), BLANKS, " " * len(BLANKS))
+    words = F.split(_plain(rest), " ")
+    n = F.size("_w")
+    each = docs.select(*keep, words.alias("_w"), F.split(rest, " ").alias("_m"))
+    # one more word at the end, so that the last one is a slot too
+    shift = lambda c, k: F.slice(F.concat(F.col(c), F.array(F.lit(""))), F.lit(k + 1), n)
+    zipped = F.arrays_zip(shift("_w", 0).alias("a"), shift("_w", 1).alias("b"), shift("_w", 2).alias("c"), shift("_m", 1).alias("mb"), shift("_m", 2).alias("mc"))
+    t = each.select(*keep, F.inline(zipped)).where("a != ''")
+    pair = F.array(
+        F.when((F.col("b") != "") & (F.coalesce("c", F.lit("")) != ""), F.struct(F.concat("a", F.lit(" "), "b", F.lit(" _")).alias("pattern"), F.col("mc").alias("m"))),
+        F.when((F.col("b") != "") & (F.coalesce("c", F.lit("")) != ""), F.struct(F.concat("a", F.lit(" _ "), "c").alias("pattern"), F.col("mb").alias("m"))),
+    )
+    return t.select(*keep, F.explode(pair).alias("x")).where("x IS NOT NULL").select(*keep, "x.pattern", "x.m")
+
+
+def _filled(picked: DataFrame, contexts: DataFrame) -> DataFrame | None:
+    """The contexts whose slots seeds fill often enough; None if there is none. One narrow pass, one count
+    a pattern."""
+    if not contexts.limit(1).count():
+        return None
+    slots = _triples(_base(picked, "_text").select("_rest"), []).join(_small(contexts), "pattern")
+    seen = slots.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if(F.contains("m", F.lit(FILL))).alias("seeds"))
+    kept = checkpointed(seen.where(F.col("seeds") >= F.col("n") * MIN_SHARE).select("pattern"))
+    return kept if kept.limit(1).count() else None
+
+
+def _slots(keyed: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(_key, m, pattern): unseen strings in the slots of contexts."""
+    slots = _triples(_base(keyed, "_text").select("_key", "_rest"), ["_key"]).join(_small(contexts), "pattern")
+    m = F.regexp_replace("m", EDGES, "")
+    return slots.where(~F.contains("m", F.lit(FILL))).select("_key", m.alias("m"), "pattern").where("m != ''")
+
+
+def _places(texts: DataFrame) -> DataFrame:
+    """(_key, context): where the words in _found stand in the rest of a text."""
+    rest = _base(texts, "_text").select("_key", "_found", "_rest")
+    word = with_spans(rest, "_rest", {"_word": r"[^\x20\x09-\x0D￿]++"})
+    lead = lambda m: F.char_length(m) - F.char_length(F.regexp_replace(m, r"^[^\p{L}\p{N}]+", ""))
+    bare = F.transform("_word", lambda x: F.struct((x["s"] + lead(x["m"])).alias("s"), F.regexp_replace(x["m"], EDGES, "").alias("m")))
+    kept = F.transform(F.filter(bare, lambda x: F.array_contains("_found", x["m"])), lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.char_length(x["m"])).alias("e"), x["m"].alias("m")))
+    return word.select("_key", kept.alias("context")).dropDuplicates(["_key"])
+
+
+def patterns(uses: DataFrame, hits: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """Patterns (pattern, kind, confidence) that end above the threshold.
 
-    The graph is the distinct pairs, each with whether its instance is a seed; patterns with too few
-    instances to ever qualify are left out before the rounds.
+    uses: seeds (kind, m, pattern, form); hits: unseen strings (m, pattern, form). Strings are counted
+    once a pattern, and added up per task before they are shuffled.
     """
-    edges = uses.groupBy("pattern", "m").agg(F.max("seed").alias("seed"))
-    size = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.max("seed").alias("any")).where(F.col("n") >= min_support)
-    edges = checkpointed(edges.join(size.select("pattern"), "pattern", "left_semi").withColumn("weight", F.col("seed").cast("double")))
-    trusted = None
+    unseen = hits.select("pattern", "form", "m").distinct().join(uses.select("m", "pattern").distinct(), ["m", "pattern"], "left_anti")
+    other = unseen.groupBy("pattern", "form").agg(F.count("*").alias("unseen"))
+    seeds = uses.groupBy("pattern", "form", "kind").agg(F.count("*").alias("own"))
+    total = seeds.groupBy("pattern").agg(F.sum("own").alias("all"))
+    graph = checkpointed(seeds.join(total, "pattern").join(other, ["pattern", "form"], "left").na.fill(0, ["unseen"]))
+    edges = checkpointed(unseen.select("pattern", "m").join(graph.select("pattern", "kind"), "pattern"))
+    lifted = None
     for _ in range(rounds):
-        scored = edges.groupBy("pattern").agg(F.sum("weight").alias("sum"), F.count("*").alias("n"), F.sum(F.when(F.col("weight") >= 0.5, 1).otherwise(0)).alias("support"))
-        scored = scored.withColumn("confidence", F.col("sum") / (F.col("n") + F.lit(SMOOTHING)))
-        trusted = scored.where((F.col("confidence") >= min_confidence) & (F.col("support") >= min_support)).select("pattern", "confidence")
-        trusted = checkpointed(trusted)
-        lifted = edges.join(trusted, "pattern").groupBy("m").agg(F.max("confidence").alias("best"))
-        edges = checkpointed(edges.join(lifted, "m", "left").select("pattern", "m", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("weight")))
+        g = graph.withColumns({"up": F.lit(0.0), "more": F.lit(0)}) if lifted is None else graph.join(lifted, ["pattern", "kind"], "left").na.fill(0.0, ["up"]).na.fill(0, ["more"])
+        against = F.col("unseen") * F.when(F.col("form"), UNSEEN).otherwise(1.0)
+        confidence = (F.col("own") + F.when(F.col("form"), 0.0).otherwise(F.col("up"))) / (F.col("all") + against + F.lit(SMOOTHING))
+        trusted = checkpointed(g.withColumn("confidence", confidence).where((F.col("confidence") >= min_confidence) & (F.col("own") + F.col("more") >= min_support)).select("pattern", "kind", "confidence"))
+        best = edges.join(trusted, ["pattern", "kind"]).groupBy("m", "kind").agg(F.max("confidence").alias("best"))
+        weight = edges.join(best, ["m", "kind"]).groupBy("pattern", "kind").agg(F.sum("best").alias("up"), F.count_if(F.col("best") >= 0.5).cast("int").alias("more"))
+        lifted = checkpointed(weight)
     return trusted
 
 
