@@ -40,8 +40,9 @@ def kept_columns(keep: list[str] | None, id_col: str, made: tuple[str, ...]) ->
 
 #: Spans gathered before they are put aside, so that a text with n of them copies n * CHUNK / 2 and not n^2 / 2.
 CHUNK = 128
-#: Stands for a character inside a span; a noncharacter, which no text holds.
-FILL = "\uffff"
+#: Stand for a character inside a span, and inside a match that fails its check; noncharacters, which
+#: no text holds.
+FILL, REJECTED = "\uffff", "\ufffe"
 
 
 def with_spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
@@ -71,21 +72,23 @@ def with_spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
     return hits.withColumns({k: placed(k, p) for k, p in patterns.items()}).drop(*[f"_h_{k}" for k in patterns])
 
 
-def blanked(text: Column, pattern: str, valid=None) -> Column:
-    """The text with every character of a pattern's (valid) matches replaced by FILL, in one pass."""
+def blanked(text: Column, pattern: str, valid=None, mark_rejected: bool = False) -> Column:
+    """The text with every character of a pattern's (valid) matches replaced by FILL, in one pass;
+    matches that fail the check stay, or become REJECTED."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    fill = lambda m: F.repeat(F.lit(FILL), F.char_length(m))
-    hide = lambda m: fill(m) if valid is None else F.when(valid(m), fill(m)).otherwise(m)
+    fill = lambda m, c: F.repeat(F.lit(c), F.char_length(m))
+    other = lambda m: fill(m, REJECTED) if mark_rejected else m
+    hide = lambda m: fill(m, FILL) if valid is None else F.when(valid(m), fill(m, FILL)).otherwise(other(m))
     pieces = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.concat(b, hide(m)))
     return F.concat(F.array_join(pieces, ""), F.element_at(between, -1))
 
 
 def overlaid(texts: list[Column]) -> Column:
-    """Of versions of one text, FILL wherever one of them has it."""
+    """Of versions of one text, FILL wherever one of them has it, else REJECTED wherever one has that."""
     out = texts[0]
     for t in texts[1:]:
-        either = F.zip_with(F.split(out, ""), F.split(t, ""), lambda a, b: F.when(a == FILL, a).otherwise(b))
+        either = F.zip_with(F.split(out, ""), F.split(t, ""), lambda a, b: F.when((a == FILL) | ((a == REJECTED) & (b != FILL)), a).otherwise(b))
         out = F.when(out.isNull(), t).when(t.isNull(), out).otherwise(F.array_join(either, ""))
     return out
 

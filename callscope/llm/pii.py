@@ -1,18 +1,13 @@
 """Personal data: fixed rules, and bootstrapped contextual extraction of unseen identifiers.
 
-Seeds are what the rules confirm, by kind. Two sorts of patterns are induced from them:
-
-- contexts, "w2 w1 _" and "w1 _ w3": the whole words around a seed (lower case, digits written 0);
-  their slot may hold any word of the corpus, with digits or without;
-- forms, "c 0000-00 c": the seed's own form (digits 0, letters a) between neighbours of a class, for
-  words with MIN_DIGITS digits or more.
-
-Patterns and the strings in their slots are a graph. A few rounds pass confidence along it, by kind: a
-pattern's is the weight of its strings over their number, smoothed, strings of another kind counting in
-full; an unseen string takes the best confidence of its patterns. In a context every unseen string counts
-against the pattern as much as a seed for it; in a form, where the string itself looks like the seeds,
-UNSEEN of one. A word whose pattern ends above the threshold, with enough support, is a discovered
-identifier. Contexts of too few seeds, or hardly ever filled by seeds, never enter the graph.
+Seeds are what the rules confirm, by kind. Lexical patterns are induced from the whole words around a
+seed, "w2 w1 _" and "w1 _ w3" (lower case, digits written 0); their slot may hold any word of the corpus,
+with digits or without. Patterns and the strings in their slots are a graph, and a few rounds pass
+confidence along it, by kind: a pattern's is the weight of its strings over their number, smoothed, and
+an unseen string takes the best confidence of its patterns. A string in the slot of a pattern that ends
+above the threshold, with enough support, is a discovered identifier. Patterns of too few seeds, or hardly
+ever filled by seeds, never enter the graph; a string that a rule's check rejects (a number without a
+right checksum) counts against its patterns and is never discovered.
 All steps are native joins, groupings and column expressions; texts are never shuffled.
 """
 
@@ -21,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILL, blanked, checkpointed, joined_spans, overlaid, with_spans
+from .common import FILL, REJECTED, blanked, checkpointed, joined_spans, overlaid, with_spans
 
 #: The fixed rules, written possessively so that long texts neither backtrack nor overflow the stack.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -34,16 +29,11 @@ NAMES = [*KINDS, "context"]
 
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 BLANKS = "\t\n\x0b\x0c\r"
-#: A whole word that holds a digit and no span of a rule.
-NUMBERED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9￿]*+[0-9][^\x20\x09-\x0D￿]*+(?![^\x20\x09-\x0D])"
 EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
-MIN_DIGITS = 5
-
 ROUNDS = 3
 SMOOTHING = 1.0
 MIN_CONFIDENCE = 0.6
 MIN_SUPPORT = 3
-UNSEEN = 0.05
 #: Least share of a context's slots that seeds fill.
 MIN_SHARE = 0.05
 #: Most contexts that are broadcast; beyond it the join shuffles.
@@ -73,11 +63,11 @@ def _valid(kind: str, matches: Column) -> Column:
 
 
 def _base(docs: DataFrame, text: str) -> DataFrame:
-    """The rules' spans, and _rest: the text with them blanked."""
+    """The rules' spans, and _rest: the text with them, and what their checks reject, blanked."""
     out = with_spans(docs, text, RULES)
-    out = out.withColumns({k: _valid(k, F.col(k)) for k in VALID})
-    hidden = [F.when(F.size(k) > 0, blanked(F.col(text), p, VALID.get(k))) for k, p in RULES.items()]
-    return out.withColumn("_rest", F.coalesce(overlaid(hidden), F.col(text)))
+    hidden = [F.when(F.size(k) > 0, blanked(F.col(text), p, VALID.get(k), mark_rejected=True)) for k, p in RULES.items()]
+    out = out.withColumn("_rest", F.coalesce(overlaid(hidden), F.col(text)))
+    return out.withColumns({k: _valid(k, F.col(k)) for k in VALID})
 
 
 def _plain(text: Column) -> Column:
@@ -111,14 +101,6 @@ def _contexts(x: Column) -> Column:
     return F.array(two, around)
 
 
-def _form(x: Column) -> Column:
-    """The form of a word between its neighbours' classes; empty for one with few digits or with blanks."""
-    kind = lambda w: F.when(w == "", "^").when(w.rlike(r"^\p{L}+$"), "w").when(w.rlike("[0-9]"), "0").otherwise(".")
-    own = F.regexp_replace(F.regexp_replace(x["m"], "[0-9]", "0"), r"\p{L}", "a")
-    fits = (F.length(_digits(x["m"])) >= MIN_DIGITS) & ~F.contains(x["m"], F.lit(" "))
-    return F.when(fits, F.concat(kind(x["l1"]), F.lit(" "), own, F.lit(" "), kind(x["r"]))).otherwise(F.lit(""))
-
-
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_support: int = MIN_SUPPORT) -> DataFrame:
     """Find personal data in every whole text.
 
@@ -133,32 +115,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     found = _base(picked, "_text")
 
     none = F.array().cast("array<struct<m:string,l2:string,l1:string,r:string>>")
-    seen = lambda size, text, pattern: F.when(size > 0, _around(text, pattern)).otherwise(none)
-    named = lambda k: lambda x: F.struct(F.lit(k).alias("kind"), x["m"].alias("m"), F.concat(_contexts(x), F.array(_form(x))).alias("p"))
-    seeds = F.concat(*[F.transform(_valid(k, seen(F.size(k), F.col("_text"), p)), named(k)) for k, p in RULES.items()])
-    rest = F.col("_rest")
-    trim = lambda x: F.struct(F.regexp_replace(x["m"], EDGES, "").alias("m"), x["l2"].alias("l2"), x["l1"].alias("l1"), x["r"].alias("r"))
-    has_number = F.size(F.regexp_extract_all(rest, F.lit(rf"(?:[0-9][^\x20\x09-\x0D0-9￿]*+){{{MIN_DIGITS}}}"), F.lit(0)))
-    words = F.filter(F.transform(seen(has_number, rest, NUMBERED), lambda x: F.struct(trim(x)["m"].alias("m"), _form(trim(x)).alias("form"))), lambda x: x["form"] != "")
-    rows = checkpointed(found.select("_id", key.alias("_key"), *KINDS, seeds.alias("_seeds"), words.alias("_words")))
-
-    uses = rows.select(F.explode("_seeds").alias("x")).select("x.kind", "x.m", F.posexplode("x.p").alias("at", "pattern")).where("pattern != ''")
-    uses = uses.select("kind", "m", "pattern", (F.col("at") == 2).alias("form")).distinct()
-    frames = uses.groupBy("pattern", "form", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= min_support).select("pattern", "form").distinct()
-    frames = checkpointed(frames)
-    contexts = _filled(picked, frames.where("not form").select("pattern"))
-
-    # strings in the slots of both sorts of patterns
-    by_form = rows.select("_key", F.explode("_words").alias("x")).select("_key", "x.m", F.col("x.form").alias("pattern")).join(frames.where("form").select("pattern"), "pattern", "left_semi")
-    hits = by_form.select("_key", "m", "pattern", F.lit(True).alias("form"))
-    if contexts is not None:
-        hits = hits.unionByName(_slots(picked.withColumn("_key", key), contexts).withColumn("form", F.lit(False)))
-    hits = checkpointed(hits.distinct())
-    trusted = patterns(uses, hits, rounds, min_confidence, min_support)
-    good = checkpointed(hits.join(trusted.select("pattern").distinct(), "pattern", "left_semi").select("_key", "m").distinct().groupBy("_key").agg(F.collect_set("m").alias("_found")))
+    seen = lambda k, p: F.when(F.size(k) > 0, _valid(k, _around(F.col("_text"), p))).otherwise(none)
+    named = lambda k: lambda x: F.struct(F.lit(k).alias("kind"), x["m"].alias("m"), _contexts(x).alias("p"))
+    seeds = F.concat(*[F.transform(seen(k, p), named(k)) for k, p in RULES.items()])
+    rows = checkpointed(found.select("_id", key.alias("_key"), *KINDS, seeds.alias("_seeds")))
+
+    uses = rows.select(F.explode("_seeds").alias("x")).select("x.kind", "x.m", F.explode("x.p").alias("pattern")).where("pattern != ''").distinct()
+    frames = uses.groupBy("pattern", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= min_support).select("pattern").distinct()
+    contexts = _filled(picked, checkpointed(frames))
     empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    plain = rows.select(F.col("_id").alias(id_col), *KINDS, empty.alias("context"))
+    if contexts is None:
+        return plain
+    hits = checkpointed(_slots(picked.withColumn("_key", key), contexts).distinct())
+    trusted = patterns(uses.join(contexts, "pattern", "left_semi"), hits, rounds, min_confidence, min_support)
+    good = checkpointed(hits.where(~F.contains("m", F.lit(REJECTED))).join(trusted.select("pattern").distinct(), "pattern", "left_semi").select("_key", "m").distinct().groupBy("_key").agg(F.collect_set("m").alias("_found")))
     if not good.limit(1).count():
-        return rows.select(F.col("_id").alias(id_col), *KINDS, empty.alias("context"))
+        return plain
     # only the texts that hold a discovered word are read again
     placed = _places(picked.withColumn("_key", key).join(_small(good), "_key"))
     out = rows.select("_id", "_key", *KINDS).join(placed, "_key", "left")
@@ -202,13 +175,15 @@ def _slots(keyed: DataFrame, contexts: DataFrame) -> DataFrame:
     """(_key, m, pattern): unseen strings in the slots of contexts."""
     slots = _triples(_base(keyed, "_text").select("_key", "_rest"), ["_key"]).join(_small(contexts), "pattern")
     m = F.regexp_replace("m", EDGES, "")
+    # a rejected string is no letter or digit, but counts
+    m = F.when(F.contains("m", F.lit(REJECTED)), F.col("m")).otherwise(m)
     return slots.where(~F.contains("m", F.lit(FILL))).select("_key", m.alias("m"), "pattern").where("m != ''")
 
 
 def _places(texts: DataFrame) -> DataFrame:
     """(_key, context): where the words in _found stand in the rest of a text."""
     rest = _base(texts, "_text").select("_key", "_found", "_rest")
-    word = with_spans(rest, "_rest", {"_word": r"[^\x20\x09-\x0D￿]++"})
+    word = with_spans(rest, "_rest", {"_word": r"[^\x20\x09-\x0D￿￾]++"})
     lead = lambda m: F.char_length(m) - F.char_length(F.regexp_replace(m, r"^[^\p{L}\p{N}]+", ""))
     bare = F.transform("_word", lambda x: F.struct((x["s"] + lead(x["m"])).alias("s"), F.regexp_replace(x["m"], EDGES, "").alias("m")))
     kept = F.transform(F.filter(bare, lambda x: F.array_contains("_found", x["m"])), lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.char_length(x["m"])).alias("e"), x["m"].alias("m")))
@@ -218,24 +193,23 @@ def _places(texts: DataFrame) -> DataFrame:
 def patterns(uses: DataFrame, hits: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_support: int = MIN_SUPPORT) -> DataFrame:
     """Patterns (pattern, kind, confidence) that end above the threshold.
 
-    uses: seeds (kind, m, pattern, form); hits: unseen strings (m, pattern, form). Strings are counted
-    once a pattern, and added up per task before they are shuffled.
+    uses: seeds (kind, m, pattern); hits: unseen strings (m, pattern). Strings are counted once a pattern,
+    and added up per task before they are shuffled; a rejected one never gains weight.
     """
-    unseen = hits.select("pattern", "form", "m").distinct().join(uses.select("m", "pattern").distinct(), ["m", "pattern"], "left_anti")
-    other = unseen.groupBy("pattern", "form").agg(F.count("*").alias("unseen"))
-    seeds = uses.groupBy("pattern", "form", "kind").agg(F.count("*").alias("own"))
+    unseen = hits.select("pattern", "m").distinct().join(uses.select("m", "pattern").distinct(), ["m", "pattern"], "left_anti")
+    other = unseen.groupBy("pattern").agg(F.count("*").alias("unseen"))
+    seeds = uses.groupBy("pattern", "kind").agg(F.count("*").alias("own"))
     total = seeds.groupBy("pattern").agg(F.sum("own").alias("all"))
-    graph = checkpointed(seeds.join(total, "pattern").join(other, ["pattern", "form"], "left").na.fill(0, ["unseen"]))
-    edges = checkpointed(unseen.select("pattern", "m").join(graph.select("pattern", "kind"), "pattern"))
-    lifted = None
-    for _ in range(rounds):
-        g = graph.withColumns({"up": F.lit(0.0), "more": F.lit(0)}) if lifted is None else graph.join(lifted, ["pattern", "kind"], "left").na.fill(0.0, ["up"]).na.fill(0, ["more"])
-        against = F.col("unseen") * F.when(F.col("form"), UNSEEN).otherwise(1.0)
-        confidence = (F.col("own") + F.when(F.col("form"), 0.0).otherwise(F.col("up"))) / (F.col("all") + against + F.lit(SMOOTHING))
+    graph = checkpointed(seeds.join(total, "pattern").join(other, "pattern", "left").na.fill(0, ["unseen"]))
+    edges = checkpointed(unseen.where(~F.contains("m", F.lit(REJECTED))).join(graph.select("pattern", "kind"), "pattern"))
+    g = graph.withColumns({"up": F.lit(0.0), "more": F.lit(0)})
+    for turn in range(rounds):
+        confidence = (F.col("own") + F.col("up")) / (F.col("all") + F.col("unseen") + F.lit(SMOOTHING))
         trusted = checkpointed(g.withColumn("confidence", confidence).where((F.col("confidence") >= min_confidence) & (F.col("own") + F.col("more") >= min_support)).select("pattern", "kind", "confidence"))
-        best = edges.join(trusted, ["pattern", "kind"]).groupBy("m", "kind").agg(F.max("confidence").alias("best"))
-        weight = edges.join(best, ["m", "kind"]).groupBy("pattern", "kind").agg(F.sum("best").alias("up"), F.count_if(F.col("best") >= 0.5).cast("int").alias("more"))
-        lifted = checkpointed(weight)
+        if turn + 1 < rounds:
+            best = edges.join(trusted, ["pattern", "kind"]).groupBy("m", "kind").agg(F.max("confidence").alias("best"))
+            weight = edges.join(best, ["m", "kind"]).groupBy("pattern", "kind").agg(F.sum("best").alias("up"), F.count_if(F.col("best") >= 0.5).cast("int").alias("more"))
+            g = graph.join(checkpointed(weight), ["pattern", "kind"], "left").na.fill(0.0, ["up"]).na.fill(0, ["more"])
     return trusted
 
 

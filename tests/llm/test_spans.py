@@ -134,12 +134,49 @@ def test_redaction_masks_spans_and_keeps_columns(spark):
 
 
 def test_contexts_discover_unseen_identifiers(spark):
+    """Names without digits or signs, in the slot of a context that addresses fill; a slot that other words
+    fill too, numbers with a wrong checksum, and contexts of other kinds find nothing."""
     names = ["anna", "bela", "carl", "dora", "emil", "fred", "gina", "hans", "ida", "jan"]
-    rows = [(i, f"please write mail to {n}{i}@example.com for more") for i, n in enumerate(names)] + [(50, "please write mail to anna99887 for more"), (51, "the year 19871 was fine and long")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    out = {r.doc_id: r for r in pii.scan(df).collect()}
-    assert [c.m for c in out[50].context] == ["anna99887"]
-    assert out[51].context == []
+    rows = [(i, f"Please write mail to {n}{i}@example.com for more") for i, n in enumerate(names)]
+    rows += [(20 + i, f"see the {w} of it, the {n}{i}@example.com of it") for i, (n, w) in enumerate(zip(names, ["end", "rest", "sum", "top", "way", "start", "use", "law", "art", "sea"], strict=True))]
+    rows += [(40 + i, f"card number is 453914880343646{7} today") for i in range(3)]
+    rows += [(50, "please write\tmail to (jdoe), for more; write mail to jdoe for all"), (51, "the year 19871 was fine and long"), (52, "write mail to jdoe(at)example.org for more"), (53, "see the word of it"), (54, "write mail to 4539148803436468 for more"), (55, None), (56, ""), (None, "mail to jdoe for more"), (None, "mail to jdoe for more"), (50, "please write\tmail to (jdoe), for more; write mail to jdoe for all")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, context string, email int")
+    out = pii.scan(df.repartition(3)).collect()
+    assert len(out) == len(rows)
+    found = lambda i: sorted([(c.s, c.e, c.m) for c in r.context] for r in out if r.doc_id == i)
+    text = dict((r for r in rows if r[0] == 50))[50]
+    at = [m.start() for m in re.finditer("jdoe", text)]
+    assert found(50) == [[(a, a + 4, "jdoe") for a in at]] * 2
+    assert [c[2] for c in found(52)[0]] == ["jdoe(at)example.org"]
+    assert found(None) == [[(8, 12, "jdoe")]] * 2
+    assert all(found(i) == [[]] for i in (51, 53, 54, 55, 56)) and found(0) == [[]]
+
+
+def test_pattern_confidence_equals_a_plain_loop(spark):
+    """The graph against Python: weights by kind over three rounds."""
+    r = random.Random(4)
+    seeds = sorted({(r.choice(["email", "phone"]), f"s{r.randint(0, 12)}", f"p{r.randint(0, 8)}") for _ in range(70)})
+    hits = sorted({(f"u{r.randint(0, 6)}", f"p{r.randint(0, 8)}") for _ in range(16)} | {("\ufffe", "p1")})
+    rounds = 3
+    uses, seen = spark.createDataFrame(seeds, "kind string, m string, pattern string"), spark.createDataFrame(hits, "m string, pattern string")
+    got = {(x.pattern, x.kind): round(x.confidence, 9) for x in pii.patterns(uses, seen, rounds, 0.4, 3).collect()}
+    weight, want = {}, {}
+    for _ in range(rounds):
+        want = {}
+        for p, k in {(p, k) for k, _, p in seeds}:
+            own, every = sum(x[0] == k and x[2] == p for x in seeds), sum(x[2] == p for x in seeds)
+            here = [m for m, q in hits if q == p]
+            up = [weight.get((m, k), 0.0) for m in here if m != "\ufffe"]
+            c = (own + sum(up)) / (every + len(here) + pii.SMOOTHING)
+            if c >= 0.4 and own + sum(x >= 0.5 for x in up) >= 3:
+                want[p, k] = round(c, 9)
+        weight = {}
+        for m, p in hits:
+            for k in ("email", "phone"):
+                if (p, k) in want and m != "\ufffe":
+                    weight[m, k] = max(weight.get((m, k), 0.0), want[p, k])
+    assert got == want and len(want) > 2
 
 
 def test_empty_tables(spark):
