@@ -237,11 +237,41 @@ def test_neighbours_recall_and_ties(spark):
     assert hits / total >= 0.9
     same = [f[1] for f in got[120]][:19]
     assert same == [i for i in range(100, 140) if i != 120][:19] or got[120][0][2] > score_of(m, 120)
+    other = spark.createDataFrame([(3000, [1.0, 2.0]), (3001, [2.0, 1.0]), (3020, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    apart = neighbours.search(df.select("vec_id", "embedding").unionByName(other), F.col("vec_id") >= 3000)
+    assert sorted((q.query_id, q.vec_id, q.score) for q in apart.where("rank = 1").collect()) == [(3000, 3001, 4.0), (3001, 3000, 4.0), (3020, 3001, 2.0)]
     few = neighbours.search(df.where("vec_id < 3"), F.col("vec_id") % 20 == 0)
     assert few.count() == 2
     assert neighbours.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_buckets_of_joined_hashes(spark):
+    """The cheapest buckets against all of them; more vectors join more hashes; several hashes find what
+    lies near in clusters, from blocks with hot buckets too."""
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(5)
+    near = [neighbours.sided(r.normal(size=(6, 4))) for _ in range(3)]
+    for i, got in enumerate(neighbours.nearest_codes(near, 20)):
+        cost = {(a * 8 + b) * 8 + c: sum((n[i].max() - n[i][j]) ** 2 for n, j in zip(near, (a, b, c), strict=True)) for a in range(8) for b in range(8) for c in range(8)}
+        assert sorted(cost[c] for c in got) == pytest.approx(sorted(cost.values())[:20])
+    assert [neighbours.hashes(n, 64) for n in (1, 16_384, 16_385, 2_000_000, 3_000_000, 10**8, 10**9)] == [1, 1, 2, 2, 3, 3, 4]
+    centres = r.normal(size=(40, 16))
+    x = np.float32(np.concatenate([centres[i % 40] + 0.05 * r.normal(size=16) for i in range(3000)]).reshape(-1, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    hits = total = 0
+    m = x.astype(np.float64)
+    found = collections.defaultdict(set)
+    for q in neighbours.search(df, F.col("vec_id") % 100 == 0, joined=2).collect():
+        found[q.query_id].add(q.vec_id)
+    for q, ids in found.items():
+        score = m @ m[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20].tolist()) & ids)
+        total += 20
+    assert len(found) == 30 and hits / total >= 0.9
+
+
 def score_of(m, i):
     return float((m[i] * m[i]).sum())
 
