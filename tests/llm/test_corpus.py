@@ -126,10 +126,29 @@ def test_substring_dedup_equals_brute_force(docs, texts, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
-def test_a_full_sketch_loses_nothing(docs):
-    """With far too few counters everything passes the prefilter and the result is the same."""
-    whole = sorted(map(tuple, substring_dedup.remove_repeats(docs).collect()))
-    assert sorted(map(tuple, substring_dedup.remove_repeats(docs, max_log2=8).collect())) == whole
+def test_a_joined_sketch_gives_the_same(docs, empty):
+    """A sketch that is too large to broadcast is joined block by block; the result is the same, and the
+    windows that pass both ways of the prefilter are the same."""
+    for width in (35, 4):
+        whole = sorted(map(tuple, substring_dedup.remove_repeats(docs, width=width).collect()))
+        assert sorted(map(tuple, substring_dedup.remove_repeats(docs, width=width, max_log2=8).collect())) == whole
+    assert substring_dedup.remove_repeats(empty, max_log2=8).count() == 0
+    from pyspark.sql import functions as F
+
+    keyed = docs.select("text", (F.col("doc_id") % 7).cast("int").alias("bucket"))
+    spark = docs.sparkSession
+    log2 = 14
+    near = substring_dedup._suspects(keyed, 4, log2, spark.sparkContext.broadcast(substring_dedup._collected(keyed, 4, log2)), 5)
+    far = substring_dedup._suspects_by_join(keyed, 4, log2, 6, 5)
+
+    def passed(df):
+        out = set()
+        for r in df.collect():
+            h, bucket = np.frombuffer(r.h, "<u8").reshape(-1, 2), np.frombuffer(r.bucket, "<i4")
+            out |= {(r.shard, *map(int, x), int(y)) for x, y in zip(h, bucket, strict=True)}
+        return out
+
+    assert passed(near) == passed(far) and 0 < len(passed(far))
 
 
 def test_packing_round_trip():
