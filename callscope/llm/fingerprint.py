@@ -24,12 +24,14 @@ from .common import WordHashes, as_bytes, hash_words, mix64, text_slices
 from .shingles import LOWER
 
 MIN_SHARE, MAX_SHARE = 0.0005, 0.1
-SUBSETS = 24
-#: Chance that a lexicon holds a term, in turn; the very first lexicon is whole.
-RATES = (1 / 4, 1 / 16, 1 / 32, 1 / 64, 1 / 128, 1 / 256)
+SUBSETS = 81
+#: Chance that a lexicon holds a term, in turn; the very first lexicon is whole. Where half of a text's n
+#: terms stay, a lexicon of rate 1 / n agrees with the best chance, so there are some for every length.
+RATES = (1 / 4, 1 / 8, 1 / 16, 1 / 32, 1 / 64, 1 / 128, 1 / 256, 1 / 512, 1 / 1024)
 FLUSH = 2_000_000
-#: Bytes of text in one range of ids, sampled ids per range, and most ranges.
-RANGE_BYTES, PER_RANGE, MAX_RANGES = 8_000_000, 20, 100_000
+#: Bytes of text in one range of ids, sampled ids per range, and most ranges. Beyond them ranges grow; they
+#: are sorted by Spark and streamed with one text held, so a task's memory doesn't.
+RANGE_BYTES, PER_RANGE, MAX_RANGES = 8_000_000, 20, 200_000
 EMPTY_HASH = "00000000"
 
 
@@ -114,7 +116,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, prepared, apply):
     ranges = int(min(MAX_RANGES, max(16, (size["b"] or 0) // RANGE_BYTES)))
     ids = picked.select("ord")
     share = min(1.0, PER_RANGE * ranges / max(1, size["n"]))
-    sample = np.sort(np.asarray([r[0] for r in (ids.where(F.pmod(F.xxhash64("ord"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else ids).collect()], dtype=np.int64))
+    drawn = ids.where(F.pmod(F.xxhash64("ord"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else ids
+    sample = np.sort(drawn.toArrow()["ord"].to_numpy())  # at most about PER_RANGE * MAX_RANGES ids
     cuts = np.unique(sample[np.linspace(0, len(sample) - 1, ranges + 1).astype(int)[1:-1]]) if len(sample) else sample
     shared = spark.sparkContext.broadcast(cuts)
 
@@ -163,8 +166,10 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     replaced by the first as many (or all) of the next document by descending id.
 
     Returns id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
-    Null texts count as empty; the empty fingerprint is all zeros and alike to itself. A single
-    document is its own next one; an empty table gives no rows; other columns are ignored.
+    Null texts count as empty; the empty fingerprint is all zeros and alike to itself. Null ids come
+    last, and rows that repeat an id are ordered by text, so each of them has a next one; a very long text
+    is held with its next one only. A single document is its own next one; an empty table gives no rows;
+    other columns are ignored.
     """
     words = lexicon(docs, text_col) if words is None else words
     shared = docs.sparkSession.sparkContext.broadcast(words)

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, kept_columns, text_slices
 
 GRADES = 3
-#: Labelled rows (about) that the model is fitted on, and the features it may use.
-TRAIN_ROWS, FEATURES = 8_000, 4_096
+#: Labelled rows (about) that the model is fitted on; they bound its features too.
+TRAIN_ROWS = 8_000
 #: Sampled texts that must hold a feature.
 LEAST_TEXTS = 5
 #: Least standard score of a feature: chance does not pass it among a million words.
@@ -142,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         counts = each.select("y", F.explode("found").alias("f", "n")).groupBy("f").agg(F.sum("y").alias("c1"), F.sum(1 - F.col("y")).alias("c0")).where(F.col("c1") + F.col("c0") >= LEAST_TEXTS)
         p = (F.col("c1") + F.col("c0")) / F.lit(float(n1 + n0))
         z = (F.col("c1") / float(n1) - F.col("c0") / float(n0)) / F.sqrt(p * (1.0 - p) * (1.0 / n1 + 1.0 / n0) + F.lit(1e-12))
-        chosen = counts.withColumn("z", z).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "f").limit(FEATURES).collect()
+        chosen = counts.withColumn("z", z).where(F.abs("z") >= LEAST_Z).orderBy("f").collect()
         names = [r["f"] for r in chosen]
         odds = np.array([(r["c1"] + 0.5) / (n1 + 1) / ((r["c0"] + 0.5) / (n0 + 1)) for r in chosen])
         picked = F.broadcast(spark.createDataFrame([(f, i) for i, f in enumerate(names)], "f string, i int"))

@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 
 from callscope.llm import bpe, fingerprint, license_texts, licenses, mixing, near_dup, neighbours, secret_scan, shingles, substring_dedup, toxicity
 from callscope.llm.common import WordHashes
@@ -309,6 +310,33 @@ def test_fingerprints(spark, docs, texts, empty):
         prints[t or ""].add(got[i].fingerprint)
     assert all(len(v) == 1 for v in prints.values())
     assert len({got[i].fingerprint for i in range(20, len(texts))}) > 0.8 * len(set(texts[20:]))
+    # against a plain version of the lexicons, hashes and likeness
+    total = len(texts)
+    df = collections.Counter(w for t in texts for w in {x.translate(shingles.LOWER) for x in (t or "").encode().split()})
+    low, high = max(2, math.ceil(fingerprint.MIN_SHARE * total)), max(2, int(fingerprint.MAX_SHARE * total))
+    band = {xxhash.xxh64_intdigest(w) for w, n in df.items() if low <= n <= high}
+
+    def plain(t):
+        words = {xxhash.xxh64_intdigest(w.translate(shingles.LOWER)) for w in (t or "").encode().split()}
+        words = sorted(words & band or words)
+        out = []
+        for k in range(fingerprint.SUBSETS):
+            drawn = shingles.mix64(np.asarray(words, dtype=np.uint64) + np.uint64((k + 1) * 0x9FB21C651E98DF25 & (2**64 - 1)))
+            rate = int(fingerprint.RATES[k % len(fingerprint.RATES)] * 2**64)
+            kept = [w for w, d in zip(words, drawn.tolist(), strict=True) if k == 0 or d < rate]
+            out.append(f"{xxhash.xxh32_intdigest(np.asarray(kept, '<u8').tobytes(), seed=1):08x}" if kept else "0" * 8)
+        return out
+
+    for at, i in enumerate(order[::7]):
+        t, following = texts[i] or "", texts[order[(at * 7 + 1) % len(order)]] or ""
+        edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        own, changed, after = plain(t), plain(edited), plain(following)
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == ("".join(own), "".join(changed))
+        for near, other in ((got[i].near_edited, changed), (got[i].near_next, after)):
+            some = [(x, y) for x, y in zip(own, other, strict=True) if (x, y) != ("0" * 8, "0" * 8)]
+            assert near == pytest.approx(sum(x == y for x, y in some) / len(some) if some else 1.0)
+    twins = spark.createDataFrame([(1, "a b"), (1, "c d"), (None, "e"), (None, None), (2, "")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_chars) for r in fingerprint.report(twins).collect()) == [(0, 0), (0, 1), (1, 3), (1, 3), (2, 0)]
     one = fingerprint.report(spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")).first()
     assert one.near_next == 1.0
     assert fingerprint.report(empty).count() == 0
@@ -336,6 +364,13 @@ def test_toxicity_on_held_out_rows(spark):
     severe = [out[i].severity for i, y in held if y]
     count = [sum(w.strip(",!") in bad for w in dict(rows)[i].split()) for i, y in held if y]
     assert np.corrcoef(severe, count)[0, 1] > 0.6
+    # against a plain scorer; repeated rows and null ids score alike, a very long text too
+    odd = spark.createDataFrame([(7, "vile, VILE! nasty"), (7, "vile, VILE! nasty"), (None, "vile, VILE! nasty"), (8, "awful " * 50000)], "doc_id long, text string")
+    for x in toxicity.score(odd, model, keep=["text"]).collect():
+        count = collections.Counter(f for w in x.text.lower().split() for f in toxicity.features(w))
+        z = sum(model.weights.get(f, 0.0) * math.log2(1 + n) for f, n in count.items())
+        over = [1 / (1 + math.exp(-max(-40, min(40, z - c)))) for c in model.thresholds]
+        assert (x.p_toxic, x.severity, x.grade, x.toxic) == (pytest.approx(over[0]), pytest.approx(sum(over)), sum(o > 0.5 for o in over), over[0] >= toxicity.REJECT)
     none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert not any(x.toxic for x in toxicity.score(docs, none).collect())
     assert toxicity.score(docs.limit(0), model).count() == 0

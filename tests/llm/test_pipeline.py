@@ -48,3 +48,28 @@ def test_model_of_a_stage_is_that_of_the_query(spark):
     model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     bad = {r.doc_id for r in toxicity.score(docs, model).collect() if r.toxic}
     assert {r.doc_id for r in cp.drop_toxic(spark, docs, SF).collect()} == {r.doc_id for r in docs.collect()} - bad
+
+
+def test_odd_rows_go_through_every_stage(spark):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, clashing extra columns."""
+    long = " ".join(f"w{i % 4000} of the" for i in range(30000))
+    rows = [
+        (1, None, None, None, None), (None, "a plain line of words here", "en", None, 26), (None, None, None, "s", None), (2, "", "en", "s", 0), (3, "   ", "en", "s", 3),
+        (4, "same words in both of these rows", "en", "t", 1), (4, "same words in both of these rows", "en", "t", 1), (4, "other words under the very same id", "en", "t", 1),
+        (5, "key token = abcdefgh12345 end", "en", None, 29), (6, long, "en", "t", len(long)), (7, long, "de", "t", len(long)),
+    ]
+    docs = spark.createDataFrame([(*r, 1, "x", 2.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, grade int, ids string, taken double")
+    out, kept = docs, {}
+    for name, stage in cp.STAGES:
+        made = stage(spark, out, SF)
+        out = spark.createDataFrame(made.collect(), made.schema)
+        kept[name] = out.collect()
+        if name != "bpe":
+            assert out.columns == cp.COLUMNS, name
+    assert len(kept["toxicity"]) == len(rows)
+    # one of the two long copies and of the two equal rows goes; nothing else is a copy
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept["minhash"]) == sorted((i or 0, t or "") for i, t, *_ in [*rows[:6], *rows[7:10]])
+    by_id = {r.doc_id: r for r in kept["secrets"]}
+    assert by_id[5].text == "key [SECRET] end" and by_id[5].n_chars == 16 and by_id[1].text is None and by_id[1].n_chars is None
+    assert {r.text for r in kept["mixing"]} <= {r.text for r in kept["secrets"]}
+    assert all(r.round_trip for r in kept["bpe"])
