@@ -216,8 +216,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
 
     Returns id_col, path_col, license, score, basis ('statement', 'directory' or null), from_dir (the
     directory that a licence is taken from) and n_statements. Where licence files of one directory
-    disagree, the licence of most of them speaks, ties to the first name. Null texts say nothing but
-    inherit; a null path neither gives nor takes. Rows stay one to one (directories join, not
+    disagree, the licence of most of them speaks, ties to the first name. Null and empty texts say nothing
+    but inherit; a very long text is scored run by run and as a whole; a null path neither gives nor takes. Rows stay one to one (directories join, not
     documents); an empty table gives no rows; columns that are not named are ignored.
     """
     said = checkpointed(statements(docs, id_col, text_col, path_col, templates).withColumn("_dir", directory(F.col(path_col))))

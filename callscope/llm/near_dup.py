@@ -9,7 +9,8 @@
 4. The components of all confirmed links give the groups.
 
 At the threshold of 0.75 a pair shares none of 48 bands of 5 with a chance of 2e-6, and a sketch of
-2048 coordinates falls under the cut with a chance of about 1e-6; links found are exact.
+2048 coordinates falls under the cut with a chance of about 1e-6. Links are confirmed on the full sets of
+64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -213,7 +214,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
     Returns id_col, n_shingles, component_id (the smallest id reachable over links, its own included)
     and kept (the row's id is that smallest one). Null and word-less texts have an empty set, link
-    with nothing and are kept. Rows with a null id take part; where a group has no other id its
+    with nothing and are kept. A very long text is one set, sketched by itself. Rows with a null id take part; where a group has no other id its
     component_id is null, and such rows are kept only then. Rows that repeat an id share its fate.
     An empty table gives no rows; columns of docs that are not named are ignored.
     """
@@ -257,7 +258,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """docs with one row of each group: the one with the smallest id (nulls last), then digest of its text.
 
     A row is known by its id and its text's digest, so rows that repeat an id or lack one are told apart;
-    of rows equal in both one stays. Rows without words all stay.
+    of rows equal in both one stays. Rows without words all stay. An empty table gives no rows; all columns
+    of docs stay, whatever their names (_key and _n aside).
     """
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.unhex(F.md5(text_col)).alias("digest"))
     keyed = docs.withColumn("_key", key)
