@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 TABLES, ROUNDS = 16, 3
-#: Rows of each side in one comparison of buckets, and where all pairs are compared.
-BLOCK, EXACT_BLOCK = 8192, 2048
-#: Rows that are hashed, and pairs that are scored, at once.
-HASHED, SCORED = 2048, 65_536
+#: Stored vectors and queries in one comparison of buckets, and rows of each side where all pairs are compared.
+BLOCK, ASKED, EXACT_BLOCK = 65_536, 8_192, 2048
+#: Rows that are hashed, probes that are looked up, and pairs that are scored, at once.
+HASHED, LOOKED_UP, SCORED = 2048, 1_000_000, 65_536
 #: Sums of gaps that are looked at to choose a query's buckets.
 CHOICES = 65_536
 #: Most parts over all tables whose sizes are broadcast.
@@ -177,14 +177,19 @@ def _search(part: DataFrame, dim: int, k: int, tables: int, joined: int | None,
     stored = _hashed(classes, dim, joined, 1, parts, tables, seed)
     asked = _hashed(wanted, dim, joined, probes or probed(joined), parts, tables, seed)
 
-    # blocks per part and side; parts follow the vectors, so their sizes are joined and not collected
-    blocks = lambda df, name: df.groupBy("t", "part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    sizes = checkpointed(blocks(stored, "cb").join(blocks(asked, "qb"), ["t", "part"]))
-    sizes = F.broadcast(sizes) if tables * parts <= BROADCAST_PARTS else sizes
+    n_wanted = wanted.count()
+    if parts == 1:
+        in_blocks = lambda df: df.withColumns({"cb": F.lit(-(-max(total, 1) // BLOCK)), "qb": F.lit(-(-max(n_wanted, 1) // ASKED))})
+    else:
+        # blocks per part and side; parts follow the vectors, so their sizes are joined and not collected
+        blocks = lambda df, most, name: df.groupBy("t", "part").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+        sizes = checkpointed(blocks(stored, BLOCK, "cb").join(blocks(asked, ASKED, "qb"), ["t", "part"]))
+        sizes = F.broadcast(sizes) if tables * parts <= BROADCAST_PARTS else sizes
+        in_blocks = lambda df: df.join(sizes, ["t", "part"])
     salt = lambda n: F.pmod(F.xxhash64("vid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    stored = stored.join(sizes, ["t", "part"]).withColumn("c", salt("cb")).select("t", "part", "c", every("qb").alias("q"), "vid", "codes", "vec")
-    asked = asked.join(sizes, ["t", "part"]).withColumn("q", salt("qb")).select("t", "part", every("cb").alias("c"), "q", "vid", "codes", "vec")
+    stored = in_blocks(stored).withColumn("c", salt("cb")).select("t", "part", "c", every("qb").alias("q"), "vid", "codes", "vec")
+    asked = in_blocks(asked).withColumn("q", salt("qb")).select("t", "part", every("cb").alias("c"), "q", "vid", "codes", "vec")
 
     def best(rows: np.ndarray, ids: np.ndarray, score: np.ndarray) -> np.ndarray:
         """Places of the k best of each row."""
@@ -202,27 +207,37 @@ def _search(part: DataFrame, dim: int, k: int, tables: int, joined: int | None,
             order = np.argsort(code, kind="stable")
             code = code[order]
             packed = right["codes"].to_pylist()
-            probe = np.frombuffer(b"".join(packed), dtype="<i8")
-            row = np.repeat(np.arange(len(asks)), [len(p) // 8 for p in packed])
-            low, high = np.searchsorted(code, probe), np.searchsorted(code, probe, side="right")
-            some = high > low
-            row, low, n = row[some], low[some], (high - low)[some]
-            ends = np.cumsum(n)
-            begin = 0
-            while begin < len(n):
-                # whole probes, about SCORED pairs; one bucket is at most a block
-                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + SCORED, side="right")))
-                m = n[begin:end]
-                which = np.repeat(row[begin:end], m)
-                place = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[begin:end], m)
-                col = order[place]
-                own = asks[which] != ids[col]
-                which, col = which[own], col[own]
-                score = np.einsum("ij,ij->i", y[which], x[col])
-                kept = [np.concatenate(z) for z in zip(kept, (which, col, score), strict=True)]
-                pick = best(kept[0], ids[kept[1]], kept[2])
-                kept = [z[pick] for z in kept]
-                begin = end
+            lengths = np.cumsum([len(p) // 8 for p in packed])
+            done, parts_kept = 0, []
+            while done < len(asks):
+                # a few queries at a time, about LOOKED_UP probes
+                upto = max(done + 1, int(np.searchsorted(lengths, (lengths[done - 1] if done else 0) + LOOKED_UP, side="right")))
+                probe = np.frombuffer(b"".join(packed[done:upto]), dtype="<i8")
+                row = np.repeat(np.arange(done, upto), [len(p) // 8 for p in packed[done:upto]])
+                low, high = np.searchsorted(code, probe), np.searchsorted(code, probe, side="right")
+                some = high > low
+                row, low, n = row[some], low[some], (high - low)[some]
+                ends = np.cumsum(n)
+                begin, near = 0, kept
+                while begin < len(n):
+                    # whole probes, about SCORED pairs; one bucket is at most a block
+                    end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + SCORED, side="right")))
+                    m = n[begin:end]
+                    which = np.repeat(row[begin:end], m)
+                    place = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[begin:end], m)
+                    col = order[place]
+                    own = asks[which] != ids[col]
+                    which, col = which[own], col[own]
+                    score = np.einsum("ij,ij->i", y[which], x[col])
+                    pick = best(which, ids[col], score)
+                    near = [np.concatenate(z) for z in zip(near, (which[pick], col[pick], score[pick]), strict=True)]
+                    if len(near[0]) > 4 * SCORED or end == len(n):
+                        pick = best(*[near[0], ids[near[1]], near[2]])
+                        near = [z[pick] for z in near]
+                    begin = end
+                parts_kept.append(near)
+                done = upto
+            kept = [np.concatenate(z) for z in zip(*parts_kept, strict=True)]
             kept = [asks[kept[0]], ids[kept[1]], (y[kept[0]] * x[kept[1]]).sum(axis=1)]
         return pa.table([pa.array(kept[0].astype(np.int64)), pa.array(kept[1].astype(np.int64)), pa.array(kept[2].astype(np.float64))], names=["qv", "cv", "score"])
 
@@ -260,8 +275,7 @@ def _search(part: DataFrame, dim: int, k: int, tables: int, joined: int | None,
         right = asks.select(*place, copies(n_some).alias("c"), cut(n_asks).alias("q"), F.col("vid").alias("vid"), F.col("vec").alias("vec"))
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "qv bigint, cv bigint, score double")
 
-    n_wanted = wanted.count() if uneven else 0
-    if n_wanted:
+    if uneven and n_wanted:
         long = checkpointed(classes.orderBy(F.desc("norm"), "vid").limit(LONGEST).select("vid", "vec"))
         met = met.unionByName(exactly(long, min(LONGEST, total), wanted, n_wanted))
     nearest = Window.partitionBy("qv").orderBy(F.desc("score"), "cv")
