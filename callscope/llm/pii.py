@@ -5,7 +5,7 @@ seed, "w2 w1 _" and "w1 _ w3" (lower case, digits written 0); their slot may hol
 with digits or without. Patterns and the strings in their slots are a graph, and a few rounds pass
 confidence along it, by kind: a pattern's is the weight of its strings over their number, smoothed, and
 an unseen string takes the best confidence of its patterns. A string in the slot of a pattern that ends
-above the threshold, with enough support, is a discovered identifier. Patterns of too few seeds, or hardly
+above the threshold, with enough support, is a discovered identifier. Patterns around too few of a kind's seeds, or hardly
 ever filled by seeds, never enter the graph; a string that a rule's check rejects (a number without a
 right checksum) counts against its patterns and is never discovered.
 All steps are native joins, groupings and column expressions; texts are never shuffled.
@@ -34,10 +34,10 @@ ROUNDS = 3
 SMOOTHING = 1.0
 MIN_CONFIDENCE = 0.6
 MIN_SUPPORT = 3
-#: Least share of a context's slots that seeds fill.
-MIN_SHARE = 0.05
-#: Most contexts that are broadcast; beyond it the join shuffles.
-BROADCAST_PATTERNS = 100_000
+#: Least part of its kind's seeds that a context surrounds, and least share of its slots that seeds fill.
+MIN_PART, MIN_SHARE = 0.001, 0.05
+#: Most texts with discovered words that are broadcast (their keys and words); beyond it the join shuffles.
+BROADCAST_FOUND = 100_000
 
 
 def _digits(m: Column) -> Column:
@@ -121,14 +121,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     rows = checkpointed(found.select("_id", key.alias("_key"), *KINDS, seeds.alias("_seeds")))
 
     uses = rows.select(F.explode("_seeds").alias("x")).select("x.kind", "x.m", F.explode("x.p").alias("pattern")).where("pattern != ''").distinct()
-    frames = uses.groupBy("pattern", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= min_support).select("pattern").distinct()
-    contexts = _filled(picked, checkpointed(frames))
+    # at most 2 / MIN_PART patterns a kind, however many seeds there are: 8,000
+    known = uses.select("kind", "m").distinct().groupBy("kind").agg(F.count("*").alias("known"))
+    frames = uses.groupBy("pattern", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= min_support).join(F.broadcast(known), "kind")
+    frames = frames.where(F.col("n") >= F.col("known") * MIN_PART).select("pattern").distinct()
+    contexts = _filled(picked, [r["pattern"] for r in frames.collect()])
     empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
     plain = rows.select(F.col("_id").alias(id_col), *KINDS, empty.alias("context"))
-    if contexts is None:
+    if not contexts:
         return plain
     hits = checkpointed(_slots(picked.withColumn("_key", key), contexts).distinct())
-    trusted = patterns(uses.join(contexts, "pattern", "left_semi"), hits, rounds, min_confidence, min_support)
+    trusted = patterns(uses.where(F.col("pattern").isin(contexts)), hits, rounds, min_confidence, min_support)
     good = checkpointed(hits.where(~F.contains("m", F.lit(REJECTED))).join(trusted.select("pattern").distinct(), "pattern", "left_semi").select("_key", "m").distinct().groupBy("_key").agg(F.collect_set("m").alias("_found")))
     if not good.limit(1).count():
         return plain
@@ -139,7 +142,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_PATTERNS else df
+    return F.broadcast(df) if df.count() <= BROADCAST_FOUND else df
 
 
 def _triples(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -160,20 +163,19 @@ def _triples(docs: DataFrame, keep: list[str]) -> DataFrame:
     return t.select(*keep, F.explode(pair).alias("x")).where("x IS NOT NULL").select(*keep, "x.pattern", "x.m")
 
 
-def _filled(picked: DataFrame, contexts: DataFrame) -> DataFrame | None:
-    """The contexts whose slots seeds fill often enough; None if there is none. One narrow pass, one count
-    a pattern."""
-    if not contexts.limit(1).count():
-        return None
-    slots = _triples(_base(picked, "_text").select("_rest"), []).join(_small(contexts), "pattern")
+def _filled(picked: DataFrame, contexts: list[str]) -> list[str]:
+    """The contexts whose slots seeds fill often enough. One narrow pass, one count a pattern; contexts are
+    few (see scan), so they are looked up in a set and not joined."""
+    if not contexts:
+        return []
+    slots = _triples(_base(picked, "_text").select("_rest"), []).where(F.col("pattern").isin(contexts))
     seen = slots.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if(F.contains("m", F.lit(FILL))).alias("seeds"))
-    kept = checkpointed(seen.where(F.col("seeds") >= F.col("n") * MIN_SHARE).select("pattern"))
-    return kept if kept.limit(1).count() else None
+    return [r["pattern"] for r in seen.where(F.col("seeds") >= F.col("n") * MIN_SHARE).select("pattern").collect()]
 
 
-def _slots(keyed: DataFrame, contexts: DataFrame) -> DataFrame:
+def _slots(keyed: DataFrame, contexts: list[str]) -> DataFrame:
     """(_key, m, pattern): unseen strings in the slots of contexts."""
-    slots = _triples(_base(keyed, "_text").select("_key", "_rest"), ["_key"]).join(_small(contexts), "pattern")
+    slots = _triples(_base(keyed, "_text").select("_key", "_rest"), ["_key"]).where(F.col("pattern").isin(contexts))
     m = F.regexp_replace("m", EDGES, "")
     # a rejected string is no letter or digit, but counts
     m = F.when(F.contains("m", F.lit(REJECTED)), F.col("m")).otherwise(m)
