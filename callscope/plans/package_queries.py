@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import attempts, contracts, facets, judge, order, provenance, quality, report, sequence, tickets
+from ..operators import attempts, contracts, facets, judge, order, provenance, report, sequence, state
 from ..sources import records
 from ..streaming import live
 from .rule_queries import at, words
@@ -214,8 +214,6 @@ def markdown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(TRACE_SQL + """SELECT run_id, CAST(3 AS BIGINT) AS leaves, 'r' || run_id AS ref, CAST(run_id AS VARCHAR) AS id, 'a' AS first_key, true AS includes FROM runs""")
 def nested_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves of nested payloads, those under a key, and sub-maps with nulls."""
-    from ..operators import state
-
     r = runs_of(traces(spark, sf_dir)).select("run_id")
     payload = r.select("run_id", text('{"a": [{"source_ref": "r', F.col("run_id"), '"}, {"b": {"sop_id": ', F.col("run_id"), '}}], "c": null, "d": []}').alias("p"))
     n = provenance.leaves(payload, "p", ["run_id"]).groupBy("run_id").agg(F.count("*").alias("leaves"))

@@ -7,8 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import audio, judge, provenance, retrieval, state, text_rules, values
-from ..sources import records
+from ..operators import audio, judge, provenance, retrieval, state, values
 from .traces import TRACE_SQL, table, traces
 
 QUERIES: dict = {}
