@@ -223,6 +223,35 @@ def nested_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(under("source_ref", "ref"), "run_id").join(under("sop_id", "id"), "run_id").join(first, "run_id").join(held, "run_id").select("run_id", "leaves", "ref", "id", "first_key", "includes")
 
 
+@query("""SELECT o_orderkey AS run_id, 'M01' AS metric_id, 'pass' AS status FROM orders UNION ALL SELECT o_orderkey, 'M09', 'measured' FROM orders WHERE o_orderkey % 2 = 0""")
+def written_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric rows written by metric; a second write replaces only its own metric's rows."""
+    o, k = orders_by(spark, sf_dir)
+    row = lambda df, m, status: df.select("run_id", F.lit(m).alias("metric_id"), F.lit(status).alias("status"))
+    folder = f"{_folder(spark)}/results"
+    records.write_results(row(o, "M01", "pass").unionByName(row(o, "M09", "fail")), folder)
+    records.write_results(row(o.where(k % 2 == 0), "M09", "measured"), folder)
+    return spark.read.parquet(folder).select("run_id", "metric_id", "status")
+
+
+@query("""SELECT o_orderkey AS run_id, n FROM orders, (SELECT unnest([1, 2]) AS n) WHERE n = 1 OR o_orderkey % 3 = 0""")
+def appended_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows appended as JSON lines, twice."""
+    o, k = orders_by(spark, sf_dir)
+    folder = f"{_folder(spark)}/rows"
+    records.append_jsonl(o.withColumn("n", F.lit(1)), folder)
+    records.append_jsonl(o.where(k % 3 == 0).withColumn("n", F.lit(2)), folder)
+    return spark.read.schema("run_id bigint, n int").json(folder)
+
+
+@query(TRACE_SQL + """SELECT run_id, variant_id, CASE WHEN run_id % 4 <> 3 THEN 'pass' END AS status, run_id % 4 = 3 AS unscored FROM runs""")
+def facets_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs with the status of a facet; those without a score keep an empty one."""
+    r = runs_of(traces(spark, sf_dir)).select("run_id", "variant_id")
+    out = records.with_facets(r, r.where("run_id % 4 <> 3").select("run_id", F.lit("pass").alias("status")))
+    return out.select("run_id", "variant_id", "status", F.col("status").isNull().alias("unscored"))
+
+
 @query(None)
 def metric_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metric table with its bootstrap intervals (each has its own oracle)."""

@@ -177,6 +177,17 @@ def latency_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("run_id", "segment", "started_ns", (F.col("started_ns") - F.col("received_ns")).alias("waited_ns"), (F.col("played_ns") - F.col("started_ns")).alias("until_play_ns"))
 
 
+@query(TRACE_SQL + """, x AS (SELECT run_id, epoch_us(ts) * 1000 AS ns, CASE WHEN event_type = 'message' AND actor = 'user' THEN 'customer_received' WHEN event_type = 'tool_call' THEN 'response_started' WHEN event_type = 'tool_result' THEN 'playback' END AS kind, tool AS segment FROM t),
+s AS (SELECT run_id, ns AS at, ((SELECT min(ns) FROM x WHERE x.run_id = r.run_id AND x.segment = r.segment AND kind = 'playback' AND x.ns > r.ns) - (SELECT max(ns) FROM x WHERE x.run_id = r.run_id AND kind = 'customer_received' AND x.ns < r.ns)) / 1e6 AS ms FROM x r WHERE kind = 'response_started')
+SELECT run_id, at AS started_ns, CASE WHEN ms IS NULL THEN 'N/M' WHEN ms + 36000000 <= 720000000 THEN 'passed' WHEN ms - 36000000 > 720000000 THEN 'failed' ELSE 'N/M' END AS status FROM s""")
+def latency_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latencies against 200 hours (the events are days apart), ten hours uncertain."""
+    t = traces(spark, sf_dir)
+    kind = F.when((F.col("event_type") == "message") & (F.col("actor") == "user"), "customer_received").when(F.col("event_type") == "tool_call", "response_started").when(F.col("event_type") == "tool_result", "playback")
+    e = t.select("run_id", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ns"), kind.alias("kind"), F.col("tool").alias("segment"))
+    return audio.latency_status(audio.latency_probes(e), 720000000.0, 36000000.0).select("run_id", "started_ns", "status")
+
+
 @query(TRACE_SQL + """, s AS (SELECT run_id, min(arg) AS value FROM t WHERE event_type = 'message' AND actor = 'user' GROUP BY 1),
 h AS (SELECT c.run_id, c.k % 9 <> 0 AS known, c.k % 23 = 0 AS gap FROM t c JOIN s ON s.run_id = c.run_id AND s.value = c.arg WHERE c.event_type = 'tool_call')
 SELECT run_id, CASE WHEN NOT bool_or(gap) THEN avg(CAST(known AS INT)) END AS rate, CASE WHEN bool_or(gap) THEN 'N/M' WHEN avg(CAST(known AS INT)) = 1.0 THEN 'pass' ELSE 'fail' END AS status FROM h GROUP BY 1""")
