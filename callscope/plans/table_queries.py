@@ -178,8 +178,8 @@ def latency_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(TRACE_SQL + """, x AS (SELECT run_id, epoch_us(ts) * 1000 AS ns, CASE WHEN event_type = 'message' AND actor = 'user' THEN 'customer_received' WHEN event_type = 'tool_call' THEN 'response_started' WHEN event_type = 'tool_result' THEN 'playback' END AS kind, tool AS segment FROM t),
-s AS (SELECT run_id, ns AS at, ((SELECT min(ns) FROM x WHERE x.run_id = r.run_id AND x.segment = r.segment AND kind = 'playback' AND x.ns > r.ns) - (SELECT max(ns) FROM x WHERE x.run_id = r.run_id AND kind = 'customer_received' AND x.ns < r.ns)) / 1e6 AS ms FROM x r WHERE kind = 'response_started')
-SELECT run_id, at AS started_ns, CASE WHEN ms IS NULL THEN 'N/M' WHEN ms + 36000000 <= 720000000 THEN 'passed' WHEN ms - 36000000 > 720000000 THEN 'failed' ELSE 'N/M' END AS status FROM s""")
+s AS (SELECT run_id, ns AS t0, ((SELECT min(ns) FROM x WHERE x.run_id = r.run_id AND x.segment = r.segment AND kind = 'playback' AND x.ns > r.ns) - (SELECT max(ns) FROM x WHERE x.run_id = r.run_id AND kind = 'customer_received' AND x.ns < r.ns)) / 1e6 AS ms FROM x r WHERE kind = 'response_started')
+SELECT run_id, t0 AS started_ns, CASE WHEN ms IS NULL THEN 'N/M' WHEN ms + 36000000 <= 720000000 THEN 'passed' WHEN ms - 36000000 > 720000000 THEN 'failed' ELSE 'N/M' END AS status FROM s""")
 def latency_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latencies against 200 hours (the events are days apart), ten hours uncertain."""
     t = traces(spark, sf_dir)
