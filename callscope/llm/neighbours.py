@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-TABLES, ROUNDS = 16, 3
+TABLES, ROUNDS, MOST_JOINED = 16, 3, 5
 #: Stored vectors and queries in one comparison of buckets, and rows of each side where all pairs are compared.
 BLOCK, ASKED, EXACT_BLOCK = 65_536, 8_192, 2048
 #: Rows that are hashed, probes that are looked up, and pairs that are scored, at once.
@@ -64,9 +64,9 @@ def rotate(x: np.ndarray, flips: np.ndarray) -> np.ndarray:
 
 def hashes(n: int, width: int) -> int:
     """Hashes that a bucket joins: the fewest with which one hash more would make more buckets than
-    there are vectors."""
+    there are vectors; at most MOST_JOINED, which short vectors reach first."""
     joined = 1
-    while n > (2 * width) ** (joined + 1):
+    while joined < MOST_JOINED and n > (2 * width) ** (joined + 1):
         joined += 1
     return joined
 
