@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, checkpointed, text_slices
+from .common import WordHashes, as_bytes, checkpointed, release, text_slices
 from .shingles import band_keys, shingle_set, sketch
 
 WIDTH = 5
@@ -231,9 +231,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     stars = shared.where("nid != pivot").select("nid", "n", "pivot").distinct().join(sizes, "pivot").where(_fits(F.col("n"), F.col("m")))
     needed = checkpointed(shared.select("nid").distinct().join(classes.select("nid", "cls", "id"), "nid"))
     sets = checkpointed(sets_of(docs, needed, id_col, text_col, width))
+    release(docs.sparkSession)
     links = checkpointed(confirmed(stars.select(F.col("pivot").alias("a"), F.col("nid").alias("b")), sets))
     first = checkpointed(components(links))
 
+    release(docs.sparkSession)
     placed = shared.join(first.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lead"), F.max("comp").alias("top")).where("lead < top").select("key", "lead")
     across = _across(placed.join(mixed, "key"), sets.select("nid", "sign", "tags"))
@@ -242,6 +244,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     ends = more.join(label, "a", "left").select(F.coalesce("comp", "a").alias("a"), "b")
     ends = ends.join(first.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("comp", "b").alias("b"))
     merged = components(ends)
+    release(docs.sparkSession)
     comp = first.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("whole")), "comp", "left").select("node", F.coalesce("whole", "comp").alias("comp"))
     lone = merged.join(first.select("node"), "node", "left_anti").select("node", "comp")
     final = comp.unionByName(lone).withColumnRenamed("node", "nid")
