@@ -24,7 +24,7 @@ from .common import WordHashes, as_bytes, hash_words, mix64, text_slices
 from .shingles import LOWER
 
 MIN_SHARE, MAX_SHARE = 0.0005, 0.1
-SUBSETS = 81
+SUBSETS = 63
 #: Chance that a lexicon holds a term, in turn; the very first lexicon is whole. Where half of a text's n
 #: terms stay, a lexicon of rate 1 / n agrees with the best chance, so there are some for every length.
 RATES = (1 / 4, 1 / 8, 1 / 16, 1 / 32, 1 / 64, 1 / 128, 1 / 256, 1 / 512, 1 / 1024)
