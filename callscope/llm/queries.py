@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import bpe, fingerprint, licenses, mixing, near_dup, neighbours, pii, secret_scan, substring_dedup, toxicity
+from . import bpe, fingerprint, lexical_search, licenses, mixing, near_dup, neighbours, pii, secret_scan, substring_dedup, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -65,6 +65,10 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.report(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_licenses": op9_licenses,
         "op10_imatch": op10_imatch,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
@@ -85,4 +90,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_substring_dedup": substring_dedup.ORACLE,
         "op6_mixing": mixing.ORACLE,
         "op7_minhash": near_dup.ORACLE,
+        "op13_lexical_search": lexical_search.ORACLE,
     }
