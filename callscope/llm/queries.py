@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import bpe, fingerprint, lexical_search, licenses, mixing, near_dup, neighbours, pii, secret_scan, substring_dedup, toxicity
+from . import bpe, fingerprint, language_model, lexical_search, licenses, mixing, near_dup, neighbours, pii, prefix_trie, secret_scan, substring_dedup, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -65,6 +65,14 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.report(table(spark, sf_dir, "documents"))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"), F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 != 1)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -81,6 +89,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_licenses": op9_licenses,
         "op10_imatch": op10_imatch,
+        "op11_language_model": op11_language_model,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_lexical_search": op13_lexical_search,
     }
 
@@ -90,5 +100,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_substring_dedup": substring_dedup.ORACLE,
         "op6_mixing": mixing.ORACLE,
         "op7_minhash": near_dup.ORACLE,
+        "op12_prefix_trie": prefix_trie.ORACLE,
         "op13_lexical_search": lexical_search.ORACLE,
     }
