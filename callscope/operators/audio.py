@@ -149,9 +149,88 @@ def undeclared_facts(features: DataFrame, declared: DataFrame) -> DataFrame:
     return both.select("path", F.explode(broken.otherwise(found)).alias("v")).select("path", "v.*")
 
 
-def against(value: Column, most: Column, uncertainty: Column) -> Column:
-    """'passed', 'failed', or 'N/M' where the uncertainty interval straddles the threshold."""
-    return F.when(value + uncertainty <= most, "passed").when(value - uncertainty > most, "failed").otherwise("N/M")
+def against(value: Column, bound: Column, uncertainty: Column, least: Column | None = None) -> Column:
+    """'passed', 'failed', or 'N/M' where the uncertainty interval, cut at 0, straddles the bound: a maximum,
+    or, where least holds, a minimum."""
+    low, high = F.greatest(F.lit(0.0), value - uncertainty), value + uncertainty
+    most = F.when(high <= bound, "passed").when(low > bound, "failed").otherwise("N/M")
+    if least is None:
+        return most
+    return F.when(least, F.when(low >= bound, "passed").when(high < bound, "failed").otherwise("N/M")).otherwise(most)
+
+
+#: Kinds of a turn's latency with the name of their bound, the kind that is held to a minimum, and why a
+#: probe has its status: fixed values.
+LATENCY_BOUNDS = {"stop": "stop_latency_max_ms", "response": "response_latency_max_ms", "resume": "resume_latency_max_ms", "pause_hold": "pause_hold_min_ms"}
+HELD = "pause_hold"
+REASONS = {
+    "absent": "probe_opportunity_not_present",
+    "unselected": "M21_threshold_profile_unselected",
+    "mismatch": "turn_control_classification_mismatch",
+    "matches": "turn_control_classification_matches",
+    "clock": "clock_uncertainty_exceeds_policy",
+    "crosses": "clock_uncertainty_crosses_latency_threshold",
+    "within": "latency_interval_within_maximum",
+    "exceeds": "latency_interval_exceeds_maximum",
+    "meets": "hold_interval_meets_minimum",
+    "below": "hold_interval_below_minimum",
+}
+
+
+def turn_probes(probes: DataFrame, events: DataFrame, clocks: DataFrame, policy: dict[str, float] | None) -> DataFrame:
+    """run_id, probe_id, status, reason, latency_ms, threshold_ms: whether a turn was controlled as expected,
+    and in time.
+
+    probes: run_id, probe_id, applicable, expected_control, observed_control_event_id, latency_kind,
+    start_event_id, end_event_id; events: run_id, event_id, ns, control; clocks: run_id, uncertainty_ns;
+    policy: the bounds by name, and clock_uncertainty_max_ms; None where no profile is selected. A probe that
+    contradicts itself is contract_invalid, with what is wrong: its id occurs twice, an event isn't there, the
+    control is empty, the kind is unknown, its bound is missing or negative, or it ends before it starts.
+    """
+    bounds = policy or {}
+    place = lambda name, ref: events.select("run_id", F.col("event_id").alias(ref), F.col("ns").alias(f"_{name}"), F.col("control").alias(f"_{name}_control"))
+    p = probes.join(place("seen", "observed_control_event_id"), ["run_id", "observed_control_event_id"], "left")
+    p = p.join(place("start", "start_event_id"), ["run_id", "start_event_id"], "left").join(place("end", "end_event_id"), ["run_id", "end_event_id"], "left")
+    twice = probes.groupBy("run_id", "probe_id").agg((F.count("*") > 1).alias("_twice"))
+    p = p.join(twice, ["run_id", "probe_id"], "left").join(clocks, "run_id", "left")
+    kind = F.col("latency_kind")
+    bound = F.lit(None).cast("double")
+    for k, name in LATENCY_BOUNDS.items():
+        bound = F.when(kind == k, F.lit(bounds.get(name)).cast("double")).otherwise(bound)
+    p = p.withColumns({"threshold_ms": bound, "latency_ms": (F.col("_end") - F.col("_start")) / F.lit(1e6), "_u": F.col("uncertainty_ns") / F.lit(1e6)})
+    same = F.col("_seen_control") == F.col("expected_control")
+    timed = kind.isNotNull()
+    wrong = (
+        F.when(F.col("_twice"), "duplicate probe_id")
+        .when(~F.col("applicable") | F.lit(policy is None), None)
+        .when(F.col("_seen").isNull(), "observed control event missing")
+        .when(F.col("_seen_control").isNull(), "observed control empty")
+        .when(F.coalesce(F.col("expected_control"), F.lit("")) == "", "expected control empty")
+        .when(~same | ~timed, None)
+        .when(~kind.isin(*LATENCY_BOUNDS), "latency kind unknown")
+        .when(F.col("threshold_ms").isNull() | (F.col("threshold_ms") < 0), "threshold missing or negative")
+        .when(F.col("_start").isNull() | F.col("_end").isNull(), "start or end event missing")
+        .when(F.col("latency_ms") < 0, "latency negative")
+        .when(F.col("_u").isNull(), "clock missing")
+    )
+    held = kind == HELD
+    interval = against(F.col("latency_ms"), F.col("threshold_ms"), F.col("_u"), held)
+    pick = lambda least, most: F.when(held, REASONS[least]).otherwise(REASONS[most])
+    told = F.when(interval == "passed", pick("meets", "within")).when(interval == "failed", pick("below", "exceeds")).otherwise(REASONS["crosses"])
+    most = F.lit(bounds.get("clock_uncertainty_max_ms")).cast("double")
+    vague = F.coalesce(F.col("_u") > most, F.lit(False))
+
+    def chosen(rows: list[tuple[Column, Column]], last: Column) -> Column:
+        out = last
+        for when, then in reversed(rows):
+            out = F.when(when, then).otherwise(out)
+        return out
+
+    cases = [(F.col("_wrong").isNotNull(), "contract_invalid", F.col("_wrong")), (~F.col("applicable"), "N/A", F.lit(REASONS["absent"])), (F.lit(policy is None), "N/M", F.lit(REASONS["unselected"])), (~same, "failed", F.lit(REASONS["mismatch"])), (~timed, "passed", F.lit(REASONS["matches"])), (vague, "N/M", F.lit(REASONS["clock"]))]
+    p = p.withColumn("_wrong", wrong)
+    status, reason = chosen([(w, F.lit(s)) for w, s, _ in cases], interval), chosen([(w, r) for w, _, r in cases], told)
+    measured = F.col("_wrong").isNull() & F.col("applicable") & F.lit(policy is not None) & same & timed & ~vague
+    return p.select("run_id", "probe_id", status.alias("status"), reason.alias("reason"), *[F.when(measured, F.col(c)).alias(c) for c in ("latency_ms", "threshold_ms")])
 
 
 FACETS = ("decode_format", "rms_peak", "clipping", "flat_top", "dropout", "snr", "bandwidth", "dc", "continuity", "active_level")

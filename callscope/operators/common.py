@@ -16,6 +16,27 @@ def dim(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def each(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every row of df with every row of a small table of contracts, which becomes a constant: no join."""
+    found = rows.limit(MOST_BROADCAST + 1).collect()
+    if len(found) > MOST_BROADCAST:
+        raise ValueError(f"a table of more than {MOST_BROADCAST} contracts can't go with every row")
+    kind = F.lit(None).cast(f"array<{rows.schema.simpleString()}>")
+    if not found:
+        return df.select("*", F.explode(kind).alias("_x")).select(*df.columns, "_x.*")
+    constant = df.sparkSession.createDataFrame(found, rows.schema).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("j")).first()["j"]
+    return df.select("*", F.explode(F.from_json(F.lit(constant), f"array<{rows.schema.simpleString()}>")).alias("_x")).select(*df.columns, "_x.*")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage: in the folder that spark.checkpoint.dir names, or else one in the warehouse."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return df.checkpoint(eager=True)
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dim
+from ..functions.patterns import own_words_in
+from .common import dim, each
 
 
 def prerequisites(calls: DataFrame, edges: DataFrame) -> DataFrame:
@@ -15,12 +16,13 @@ def prerequisites(calls: DataFrame, edges: DataFrame) -> DataFrame:
     required_tools. The earliest action after the first trigger binds, so the test is a comparison of
     minima; prerequisites before the trigger count, and the action may be its own.
     """
-    few = dim(edges)
+    kept = edges.select("edge_id", "trigger", "action_tool", F.array_distinct("required_tools").alias("_need"))
+    few = dim(kept)
     first = calls.where(F.col("trigger").isNotNull()).groupBy("run_id", "trigger").agg(F.min("seq").alias("trigger_seq"))
     fired = first.join(few.select("edge_id", "trigger", F.col("action_tool").alias("tool")), "trigger").select("run_id", "edge_id", "trigger_seq", "tool")
     after = calls.where(F.col("tool").isNotNull()).select("run_id", "tool", "seq").join(fired, ["run_id", "tool"]).where(F.col("seq") > F.col("trigger_seq"))
     action = after.groupBy("run_id", "edge_id").agg(F.min("seq").alias("action_seq"))
-    every = calls.select("run_id").distinct().join(few.select("edge_id", F.array_distinct("required_tools").alias("_need")))
+    every = each(calls.select("run_id").distinct(), kept.select("edge_id", "_need"))
     acted = every.join(fired.select("run_id", "edge_id", "trigger_seq"), ["run_id", "edge_id"], "left").join(action, ["run_id", "edge_id"], "left")
     have = calls.where(F.col("tool").isNotNull()).groupBy("run_id", "tool").agg(F.min("seq").alias("pre_seq"))
     need = acted.where(F.col("action_seq").isNotNull()).select("run_id", "edge_id", "action_seq", F.explode("_need").alias("tool"))
@@ -105,5 +107,8 @@ def unique_contains(messages: DataFrame, values: DataFrame) -> DataFrame:
 
     messages: run_id, seq, content; values: run_id, alias, value.
     """
-    hit = messages.join(values, "run_id").where(F.contains("content", "value"))
+    # a run declares few values; its messages read them all at once
+    own = values.groupBy("run_id").agg(F.array_sort(F.collect_set("value")).alias("_words"))
+    held = own_words_in(messages.select("run_id", "seq", "content").join(own, "run_id"), "content", "_words", "value")
+    hit = held.select("run_id", "seq", "value").join(values, ["run_id", "value"])
     return hit.groupBy("run_id", "alias").agg(F.count("*").alias("n"), F.min("seq").alias("seq")).where("n = 1").drop("n")

@@ -15,12 +15,22 @@ PERFECT = 0.999
 REPLICATES = 10_000
 
 
-def entity_score(status: Column, rate: Column) -> Column:
-    """Score of a metric row: pass 1, fail 0 (or the row's rate), measured its rate; not measurable
-    and invalid contracts score 0 and stay in the denominator; not applicable is null."""
+#: Metrics whose pass or fail is graded by the row's rate, metrics of the hard variant alone, metrics of the
+#: audio category, and statuses that don't apply: fixed values.
+GRADED = ("M14", "M15", "M19")
+HARD_ONLY = ("M04", "M19")
+AUDIO_CATEGORY = ("M20", "M22", "M23", "M25", "M26")
+NOT_APPLICABLE = ("N/A", "not_applicable")
+
+
+def entity_score(status: Column, rate: Column, metric: Column, graded: tuple[str, ...] = GRADED) -> Column:
+    """Score of a metric row: pass 1, fail 0, for graded metrics the row's rate if it has one; measured
+    its rate; not measurable and invalid contracts score 0 and stay in the denominator; not applicable is
+    null."""
     unknown = F.raise_error(F.concat(F.lit("unknown status: "), F.coalesce(status, F.lit("null"))))
+    verdict = (status == "pass").cast("double")
     return (
-        F.when(status.isin("pass", "fail"), F.coalesce(rate, (status == "pass").cast("double")))
+        F.when(status.isin("pass", "fail"), F.when(metric.isin(*graded), F.coalesce(rate, verdict)).otherwise(verdict))
         .when(status == "measured", F.coalesce(rate, F.lit(0.0)))
         .when(status.isin("N/M", "contract_invalid"), F.lit(0.0))
         .when(status == "N/A", F.lit(None).cast("double"))
@@ -28,38 +38,65 @@ def entity_score(status: Column, rate: Column) -> Column:
     )
 
 
-def metric_table(results: DataFrame) -> DataFrame:
-    """Per metric: mean per variant, mean paired difference, pairs, N/A and N/M counts.
+def _side(variant: str, of=F.max) -> Column:
+    return of(F.when(F.col("variant_id") == variant, F.col("score")))
+
+
+def metric_table(results: DataFrame, hard_only: tuple[str, ...] = HARD_ONLY) -> DataFrame:
+    """Per metric: mean per variant, mean paired difference, pairs, N/A and N/M counts. A metric of the hard
+    variant alone has no baseline and no difference; its n_pairs are its hard scores.
 
     results: scenario_id, variant_id, metric_id, status, score.
     """
-    side = lambda v: F.max(F.when(F.col("variant_id") == v, F.col("score")))
-    pairs = results.groupBy("metric_id", "scenario_id").agg(side("baseline").alias("b"), side("hard").alias("h"))
+    pairs = results.groupBy("metric_id", "scenario_id").agg(_side("baseline").alias("b"), _side("hard").alias("h"))
     paired = pairs.groupBy("metric_id").agg(F.avg(F.col("h") - F.col("b")).alias("mean_diff"), F.count(F.col("h") - F.col("b")).alias("n_pairs"))
-    mean = lambda v: F.avg(F.when(F.col("variant_id") == v, F.col("score")))
-    plain = results.groupBy("metric_id").agg(mean("baseline").alias("baseline"), mean("hard").alias("hard"), F.count_if(F.col("status") == "N/A").alias("n_na"), F.count_if(F.col("status") == "N/M").alias("n_nm"))
-    return plain.join(paired, "metric_id")
+    plain = results.groupBy("metric_id").agg(_side("baseline", F.avg).alias("baseline"), _side("hard", F.avg).alias("hard"), _side("hard", F.count).alias("_n"), F.count_if(F.col("status") == "N/A").alias("n_na"), F.count_if(F.col("status") == "N/M").alias("n_nm"))
+    alone = F.col("metric_id").isin(*hard_only)
+    out = plain.join(paired, "metric_id").withColumn("n_pairs", F.when(alone, F.col("_n")).otherwise(F.col("n_pairs"))).drop("_n")
+    return out.withColumns({c: F.when(~alone, F.col(c)) for c in ("baseline", "mean_diff")})
 
 
 def category_table(results: DataFrame, members: DataFrame) -> DataFrame:
-    """Published value per category: the share of scenarios whose category score is perfect in both
-    variants. members: category, metric_id. A run's category score is the mean of its non-null scores."""
-    runs = results.join(dim(members), "metric_id").groupBy("category", "scenario_id", "variant_id").agg(F.avg("score").alias("score"))
-    side = lambda v: F.max(F.when(F.col("variant_id") == v, F.col("score")))
-    pairs = runs.groupBy("category", "scenario_id").agg(side("baseline").alias("b"), side("hard").alias("h")).where("b IS NOT NULL AND h IS NOT NULL")
-    both = (F.col("b") >= PERFECT) & (F.col("h") >= PERFECT)
-    return pairs.groupBy("category").agg(F.avg(both.cast("double")).alias("published"), F.avg("b").alias("baseline"), F.avg("h").alias("hard"), F.count("*").alias("n"))
+    """Means per variant, mean paired difference, pairs and published value per category. A run's category
+    score is the mean of its non-null scores; each side's mean is over all its runs, the difference over
+    pairs.
+
+    members: category, metric_id, rule. The published value is, by rule, 'perfect': the share of pairs
+    whose score is perfect in both variants; 'mean': the mean of both sides' means, each as printed (three
+    digits); 'hard': the hard mean, and such a category has no baseline, its n are its hard runs.
+    """
+    runs = results.join(dim(members), "metric_id").groupBy("category", "rule", "scenario_id", "variant_id").agg(F.avg("score").alias("score"))
+    scenarios = runs.groupBy("category", "rule", "scenario_id").agg(_side("baseline").alias("b"), _side("hard").alias("h"))
+    b, h = F.col("b"), F.col("h")
+    both = (b >= PERFECT) & (h >= PERFECT)
+    out = scenarios.groupBy("category", "rule").agg(F.avg("b").alias("baseline"), F.avg("h").alias("hard"), F.avg(h - b).alias("mean_diff"), F.count(h - b).alias("n"), F.count("h").alias("_n"), F.avg(F.when((h - b).isNotNull(), both.cast("double"))).alias("_perfect"))
+    sides = F.filter(F.array(F.bround("baseline", 3), F.bround("hard", 3)), lambda x: x.isNotNull())
+    mean = F.bround(F.try_divide(F.aggregate(sides, F.lit(0.0), lambda a, x: a + x), F.size(sides)), 3)
+    hard = F.col("rule") == "hard"
+    published = F.when(hard, F.col("hard")).when(F.col("rule") == "mean", mean).otherwise(F.col("_perfect"))
+    out = out.withColumn("published", published).withColumn("n", F.when(hard, F.col("_n")).otherwise(F.col("n")))
+    out = out.withColumns({c: F.when(~hard, F.col(c)) for c in ("baseline", "mean_diff")})
+    return out.select("category", "published", "baseline", "hard", "mean_diff", "n")
 
 
 def facet_table(facets: DataFrame, optional: str = "error_recovery") -> DataFrame:
-    """Pass rate per facet; a missing status counts 0 except for the optional facet, which it leaves out.
+    """Pass rate per facet; what doesn't apply stays outside, and a missing status counts 0 except for the
+    optional facet, which it leaves out.
 
     facets: run_id, facet, status.
     """
-    value = F.when(F.col("status") == "N/A", None).when(F.col("status").isNull() & (F.col("facet") == optional), None).otherwise(F.coalesce(F.col("status") == "pass", F.lit(False)).cast("double"))
+    absent = F.col("status").isin(*NOT_APPLICABLE) | (F.col("status").isNull() & (F.col("facet") == optional))
+    value = F.when(~F.coalesce(absent, F.lit(False)), F.coalesce(F.col("status") == "pass", F.lit(False)).cast("double"))
     return facets.groupBy("facet").agg(F.avg(value).alias("rate"), F.count(value).alias("n"))
 
 
+def audio_category(rates: DataFrame, keys: list[str], members: tuple[str, ...] = AUDIO_CATEGORY) -> DataFrame:
+    """keys, rate: the mean of the category's metrics, null if one of them has none. rates: keys, metric_id,
+    rate (a row a metric)."""
+    ours = rates.where(F.col("metric_id").isin(*members)).groupBy(*keys).agg(F.avg("rate").alias("_mean"), F.count("rate").alias("_n"))
+    return ours.select(*keys, F.when(F.col("_n") == len(members), F.col("_mean")).alias("rate"))
+
+
 #: Domains by the prefix of a scenario's id: fixed values.
 DOMAINS = {"htl": "hotel", "tel": "telecom", "par": "parcel", "ecf": "ec_flea"}
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import match_entries
+
 KEY = ["run_id", "tbl", "identity"]
 
 
@@ -111,9 +113,12 @@ def completion(changes: DataFrame, required: DataFrame, forbidden: DataFrame, ru
     """Every required mutation observed and no forbidden one.
 
     changes: run_id, operation, tbl, after; required and forbidden: run_id, mutation_id, operation,
-    tbl, after. Keys are equal, values are a sub-map, so the join is hashed on (run, table, operation).
+    tbl, after. Keys are equal, values are a sub-map in the forms in which values of such columns are
+    compared, so the join is hashed on (run, table, operation).
     """
-    seen = changes.select("run_id", "operation", "tbl", F.col("after").alias("_after"))
+    formed = lambda df: df.withColumn("after", F.map_from_arrays(F.map_keys("after"), match_entries(F.map_values("after"), F.map_keys("after"))))
+    required, forbidden = formed(required), formed(forbidden)
+    seen = formed(changes).select("run_id", "operation", "tbl", F.col("after").alias("_after"))
 
     def observed(wanted: DataFrame) -> DataFrame:
         hit = wanted.join(seen, ["run_id", "operation", "tbl"], "left")

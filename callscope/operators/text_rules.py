@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .common import dim
+from ..functions.patterns import words_in
+from .common import dim, union
 
 #: Written-style marks in spoken text, in the order in which an earlier one wins: fixed values.
 STYLE_RULES: list[tuple[str, str]] = [
@@ -129,10 +130,30 @@ def japanese_rules(turns: DataFrame, text_col: str, keep: list[str]) -> DataFram
     )
 
 
+#: Rules that one expression holds at most.
+RULES_AT_ONCE = 500
+SPECIAL = set(r"\^$.|?*+()[]{}")
+
+
 def closed_misuse(turns: DataFrame, rules: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """Rules given as rows (rule_id, pattern), broadcast: a new rule needs no code."""
-    hit = turns.join(dim(rules), F.expr(f"regexp_count({text_col}, pattern) > 0"))
-    return hit.select(*keep, "rule_id")
+    """Rules given as rows (rule_id, pattern): a new rule needs no code.
+
+    Rules that are plain words go through one automaton, the others are expressions over each text, compiled
+    once a task; texts and rules never meet in a join.
+    """
+    rows = [(r["rule_id"], r["pattern"]) for r in rules.select("rule_id", "pattern").toLocalIterator() if r["pattern"]]
+    plain = [(i, p) for i, p in rows if not SPECIAL & set(p)]
+    found = []
+    if plain:
+        named = turns.sparkSession.createDataFrame(plain, rules.select("rule_id", "pattern").schema)
+        hit = words_in(turns.select(*keep, F.col(text_col).alias("_text")), "_text", named.select("pattern"), "pattern").drop("_text")
+        found.append(hit.join(dim(named), "pattern").select(*keep, "rule_id"))
+    others = [(i, p) for i, p in rows if SPECIAL & set(p)]
+    for at in range(0, len(others), RULES_AT_ONCE):
+        each = [F.when(F.regexp_like(text_col, F.lit(p)), F.lit(i)) for i, p in others[at : at + RULES_AT_ONCE]]
+        broken = F.filter(F.array(*each), lambda x: x.isNotNull())
+        found.append(turns.select(*keep, F.explode(broken).alias("rule_id")))
+    return union(found) if found else turns.select(*keep).limit(0).join(rules.select("rule_id").limit(0))
 
 
 #: Case particles that may not stand twice in a row: fixed values.
@@ -186,7 +207,7 @@ def in_group_suffix(turns: DataFrame, persons: DataFrame, text_col: str, keep: l
     persons: surface, relation (a small table).
     """
     known = persons.groupBy("surface").agg(F.collect_set("relation").alias("_relations"), F.count("*").alias("_n"))
-    hit = turns.join(dim(known), F.contains(F.col(text_col), F.col("surface")))
+    hit = words_in(turns, text_col, known.select("surface"), "surface").join(dim(known), "surface")
     name = F.concat(F.lit(r"\Q"), F.col("surface"), F.lit(rf"\E(?:{'|'.join(suffixes)})"))
     count = lambda before: F.regexp_count(F.col(text_col), F.concat(F.lit(before), name))
     theirs, ours = "|".join(CUSTOMER_BEFORE), "|".join(OPERATOR_BEFORE)

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sketch
 from ..operators import attempts, contracts, facets, judge, order, provenance, report, sequence, state
 from ..sources import records
 from ..streaming import live
@@ -284,9 +285,36 @@ def _finish(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
+#: Seconds of a slice of the events that arrive together.
+SLICE = 1_296_000
+
+
+def _replay(spark: SparkSession, sf_dir: str, make, start, arrival=None) -> DataFrame | None:
+    """Let the events arrive slice by slice and run the stream after each, from its checkpoint on; at the
+    end heartbeats far ahead move the watermark over all of them.
+
+    make: from the stream to what is written; start(made, folder): the started query.
+    """
+    folder = _folder(spark)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("_slice", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / SLICE) if arrival is None else arrival)
+    # the second one lets out what the watermark of the first has passed
+    beat = spark.sql("SELECT -1L AS event_id, make_timestamp_ntz(2100, 1, id + 1, 0, 0, 0) AS ts, -1L AS user_id, 'heartbeat' AS event_type, 0D AS value, '{}' AS props, 1000000000L + id AS _slice FROM range(2)")
+    e = e.unionByName(beat)
+    with live.state_store(spark):
+        for r in e.select("_slice").distinct().orderBy("_slice").collect():
+            e.where(F.col("_slice") == r["_slice"]).drop("_slice").write.mode("append").parquet(f"{folder}/in")
+            stream = spark.readStream.schema(e.drop("_slice").schema).parquet(f"{folder}/in")
+            start(make(stream), folder).awaitTermination()
+    return folder
+
+
+def _append(df: DataFrame, folder: str):
+    return df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+
+
 def _live(stream: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    kind = F.when(F.col("event_type") == "click", "tool_call").when(F.col("event_type").isin("purchase", "error"), "tool_result").otherwise("message")
+    kind = F.when(F.col("event_type").isin("click", "heartbeat"), "tool_call").when(F.col("event_type").isin("purchase", "error"), "tool_result").otherwise("message")
     return stream.select(F.col("user_id").alias("run_id"), text("t", k % 6).alias("tool"), F.col("event_id").alias("seq"), kind.alias("event_type"), "ts", k.alias("k"))
 
 
@@ -296,17 +324,63 @@ LIVE = "WITH t AS (SELECT user_id AS run_id, 't' || CAST(props->>'$.k' AS INT) %
 @query(LIVE + """, p AS (SELECT *, sum(CASE WHEN event_type = 'tool_call' THEN 1 ELSE -1 END) OVER w AS s FROM t WHERE event_type <> 'message' WINDOW w AS (PARTITION BY run_id, tool ORDER BY seq)),
 m AS (SELECT *, least(0, min(s) OVER (PARTITION BY run_id, tool ORDER BY seq)) AS m FROM p), o AS (SELECT *, m < lag(m, 1, 0) OVER (PARTITION BY run_id, tool ORDER BY seq) AS fell FROM m),
 n AS (SELECT *, row_number() OVER (PARTITION BY run_id, tool, event_type ORDER BY seq) AS n FROM o WHERE NOT (event_type = 'tool_result' AND fell))
-SELECT c.run_id, c.tool, c.seq AS call_seq, r.seq AS result_seq FROM n c JOIN n r USING (run_id, tool, n) WHERE c.event_type = 'tool_call' AND r.event_type = 'tool_result'""")
+SELECT c.run_id, c.tool, c.seq AS call_seq, r.seq AS result_seq, CASE WHEN r.seq IS NULL THEN 'missing_result' ELSE 'answered' END AS outcome
+FROM n c LEFT JOIN n r ON c.run_id = r.run_id AND c.tool = r.tool AND c.n = r.n AND r.event_type = 'tool_result' WHERE c.event_type = 'tool_call'""")
 def stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Call and result pairing as a stream."""
-    return _finish(spark, live.pair_calls(_live(_stream(spark, sf_dir))))
+    """Call and result pairing as events arrive; timers tell of calls that stay without a result."""
+    make = lambda s: live.pair_calls(_live(s).withColumns({"ts": F.col("ts").cast("timestamp"), "tool": F.coalesce("tool", F.lit("none"))}), patience="40 days")
+    folder = _replay(spark, sf_dir, make, _append)
+    return spark.read.schema(live.PAIR).parquet(f"{folder}/out")
 
 
 @query(LIVE + """, v AS (SELECT run_id, seq AS pos, CASE WHEN k = 7 THEN seq - 500 ELSE seq END AS seq FROM t), w AS (SELECT *, max(seq) OVER (PARTITION BY run_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM v) SELECT run_id, pos, seq FROM w WHERE seq <= last""")
 def stream_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order violations as a stream."""
-    e = _live(_stream(spark, sf_dir)).select("run_id", F.col("seq").alias("pos"), F.when(F.col("k") == 7, F.col("seq") - 500).otherwise(F.col("seq")).alias("seq"))
-    return _finish(spark, live.order_violations(e))
+    """Order violations as a stream, from its quarantine."""
+    return spark.read.schema("run_id bigint, pos bigint, seq bigint").parquet(f"{_checked(spark, sf_dir)}/quarantine")
+
+
+@query(LIVE + """, v AS (SELECT run_id, seq AS pos, CASE WHEN k = 7 THEN seq - 500 ELSE seq END AS seq FROM t), w AS (SELECT *, max(seq) OVER (PARTITION BY run_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM v) SELECT run_id, pos, seq FROM w WHERE seq > coalesce(last, -10000)""")
+def stream_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What passes the order check as a stream."""
+    return spark.read.schema("run_id bigint, pos bigint, seq bigint").parquet(f"{_checked(spark, sf_dir)}/accepted").where("run_id >= 0")
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> str:
+    e = lambda s: _live(s).select("run_id", F.col("seq").alias("pos"), F.when(F.col("k") == 7, F.col("seq") - 500).otherwise(F.col("seq")).alias("seq"))
+    return _replay(spark, sf_dir, lambda s: live.checked_order(e(s)), lambda df, f: live.split_order(df, f"{f}/accepted", f"{f}/quarantine", f"{f}/state"))
+
+
+#: Cells of the quantile sketch, as the oracle computes them.
+_CELLS = """c AS (SELECT start, CASE WHEN x < 1e-6 THEN 0 ELSE greatest(ceil(ln(x / 1e-6) / ln(1.01 / 0.99)), 1)::INT END AS b, count(*) AS n FROM kept GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY start ORDER BY b) AS upto, sum(n) OVER (PARTITION BY start) AS total FROM c),
+q AS (SELECT start, any_value(total)::BIGINT AS n, min(b) FILTER (upto >= ceil(total * 0.5)) AS b50, min(b) FILTER (upto >= ceil(total * 0.95)) AS b95 FROM r GROUP BY start)
+SELECT start, n, CASE WHEN b50 = 0 THEN 0 ELSE pow(1.01 / 0.99, b50) * 1e-6 * 2 / (1 + 1.01 / 0.99) END::DOUBLE AS p50_ms, CASE WHEN b95 = 0 THEN 0 ELSE pow(1.01 / 0.99, b95) * 1e-6 * 2 / (1 + 1.01 / 0.99) END::DOUBLE AS p95_ms FROM q"""
+
+
+@query("""WITH a AS (SELECT ts, value * 10 AS x, floor(epoch(ts) / 1296000)::BIGINT + CASE WHEN CAST(props->>'$.k' AS INT) = 7 THEN 1 ELSE 0 END AS arrival FROM events),
+m AS (SELECT arrival, max(max(ts)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 3 DAY AS mark FROM a GROUP BY arrival),
+kept AS (SELECT to_timestamp(floor(epoch(ts) / 21600) * 21600) AS start, x FROM a JOIN m USING (arrival) WHERE mark IS NULL OR to_timestamp((floor(epoch(ts) / 21600) + 1) * 21600) > mark AT TIME ZONE 'UTC'),
+""" + _CELLS)
+def stream_latency_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of latency per six hours, rows arriving in slices, some a slice too late: those behind the
+    watermark drop."""
+    late = F.coalesce(F.get_json_object("props", "$.k").cast("int") == 7, F.lit(False)).cast("bigint")
+    arrival = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / SLICE) + late
+    make = lambda s: live.latency_windows(s.select(F.col("ts").cast("timestamp").alias("received_at"), (F.col("value") * 10).alias("latency_ms")), "6 hours", "3 days")
+    folder = _replay(spark, sf_dir, make, _append, arrival)
+    out = spark.read.schema("start timestamp, n bigint, sketch array<struct<b:int,n:bigint>>").parquet(f"{folder}/out")
+    return out.select("start", "n", sketch.quantile(F.col("sketch"), 0.5).alias("p50_ms"), sketch.quantile(F.col("sketch"), 0.95).alias("p95_ms"))
+
+
+@query("""WITH kept AS (SELECT user_id % 7 AS start, value - 50 AS v, abs(value - 50) AS x FROM events), c AS (SELECT start, (CASE WHEN x < 1e-6 THEN 0 ELSE greatest(ceil(ln(x / 1e-6) / ln(1.01 / 0.99)), 1) END * CASE WHEN v < 0 THEN -1 ELSE 1 END)::INT AS b, count(*) AS n FROM kept GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY start ORDER BY b) AS upto, sum(n) OVER (PARTITION BY start) AS total FROM c),
+q AS (SELECT start, any_value(total)::BIGINT AS n, min(b) FILTER (upto >= ceil(total * 0.25)) AS b FROM r GROUP BY start)
+SELECT start AS grp, n, CASE WHEN b = 0 THEN 0 ELSE sign(b) * pow(1.01 / 0.99, abs(b)) * 1e-6 * 2 / (1 + 1.01 / 0.99) END::DOUBLE AS p25 FROM q""")
+def merged_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantile sketches of days, merged by group of users."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 7).alias("grp"), F.to_date("ts").alias("day"), (F.col("value") - 50).alias("v"))
+    days = sketch.build(e, ["grp", "day"], F.col("v"))
+    return sketch.merge(days, ["grp"]).select("grp", sketch.total(F.col("sketch")).alias("n"), sketch.quantile(F.col("sketch"), 0.25).alias("p25"))
 
 
 @query(LIVE + """, r AS (SELECT run_id, seq AS turn, ts FROM t WHERE event_type = 'message' AND k % 4 <> 0) SELECT run_id, turn, (k2 % 40) * 1000.0::DOUBLE AS latency_ms FROM (SELECT run_id, turn, turn % 40 AS k2 FROM r) WHERE k2 <= 30""")

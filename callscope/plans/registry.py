@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
 
-MODULES = ["trace_queries", "table_queries", "contract_queries", "rule_queries", "value_queries", "package_queries"]
+MODULES = ["trace_queries", "table_queries", "contract_queries", "rule_queries", "value_queries", "package_queries", "schema_queries"]
 
 
 def _modules():

@@ -113,7 +113,13 @@ def markdown(table: DataFrame, digits: int = 3) -> DataFrame:
 def peer_disclosures(scenarios: DataFrame) -> DataFrame:
     """Disclosures that other scenarios of the same domain require.
 
-    scenarios: scenario_id, domain_id, disclosures (array).
+    scenarios: scenario_id, domain_id, disclosures (array). Counts per domain and disclosure tell which
+    ones a scenario requires alone; it gets all of its domain's others, so scenarios never pair up.
     """
-    d = scenarios.select(F.col("scenario_id").alias("peer_id"), "domain_id", F.explode("disclosures").alias("disclosure"))
-    return scenarios.select("scenario_id", "domain_id").join(d, "domain_id").where("scenario_id != peer_id").select("scenario_id", "disclosure").distinct()
+    d = scenarios.select("scenario_id", "domain_id", F.explode("disclosures").alias("disclosure")).where(F.col("disclosure").isNotNull()).distinct()
+    held = d.groupBy("domain_id", "disclosure").agg(F.count("*").alias("n"), F.min("scenario_id").alias("scenario_id"))
+    every = held.groupBy("domain_id").agg(F.collect_list("disclosure").alias("every"))
+    alone = held.where("n = 1").groupBy("domain_id", "scenario_id").agg(F.collect_list("disclosure").alias("alone"))
+    asked = scenarios.select("scenario_id", "domain_id").distinct().join(every, "domain_id").join(alone, ["domain_id", "scenario_id"], "left")
+    others = F.array_except("every", F.coalesce("alone", F.array().cast("array<string>")))
+    return asked.select("scenario_id", F.explode(others).alias("disclosure")).distinct()

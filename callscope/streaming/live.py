@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+
+from ..functions import sketch
 
 
 def score_landed(stream: DataFrame, score: Callable[[DataFrame], DataFrame], out_path: str, checkpoint: str):
@@ -21,40 +25,134 @@ def score_landed(stream: DataFrame, score: Callable[[DataFrame], DataFrame], out
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def pair_calls(events: DataFrame) -> DataFrame:
-    """First-in first-out pairing of calls and results as they arrive.
+PAIR = "run_id bigint, tool string, call_seq bigint, result_seq bigint, outcome string"
 
-    events: run_id, tool, seq, event_type. State per (run_id, tool) is the queue of open calls; rows
-    of a micro-batch are taken by seq. Emits a row per answered call; results without one drop.
-    """
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting = deque(state.get[0]) if state.exists else deque()
-        rows = pd.concat(list(batches)).sort_values("seq")
-        pairs = []
-        for seq, kind in zip(rows["seq"].tolist(), rows["event_type"].tolist(), strict=True):
+class Pairing(StatefulProcessor):
+    """Queue of open calls per (run_id, tool), and a timer for the oldest of them."""
+
+    def __init__(self, patience_ms: int):
+        self.patience_ms = patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "seq bigint, at bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        waiting, out = deque(self.open.get()), []
+        batch = pd.concat(list(rows)).sort_values("seq")
+        for seq, kind, at in zip(batch["seq"].tolist(), batch["event_type"].tolist(), batch["at"].tolist(), strict=True):
             if kind == "tool_call":
-                waiting.append(seq)
-            elif waiting:
-                pairs.append((*key, waiting.popleft(), seq))
-        state.update((list(waiting),))
-        yield pd.DataFrame(pairs, columns=["run_id", "tool", "call_seq", "result_seq"])
+                waiting.append((seq, at))
+                continue
+            # a call whose time is over isn't answered any more, whenever its timer comes
+            out += self._over(key, waiting, at)
+            if waiting:
+                out.append((*key, waiting.popleft()[0], seq, "answered"))
+        self._keep(waiting)
+        yield pd.DataFrame(out, columns=["run_id", "tool", "call_seq", "result_seq", "outcome"])
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        waiting = deque(self.open.get())
+        # all that the watermark has passed: a timer set here would fire with the next micro-batch only
+        out = self._over(key, waiting, timerValues.getCurrentWatermarkInMs())
+        self._keep(waiting)
+        yield pd.DataFrame(out, columns=["run_id", "tool", "call_seq", "result_seq", "outcome"])
+
+    def _over(self, key, waiting: deque, now: int) -> list[tuple]:
+        out = []
+        while waiting and waiting[0][1] + self.patience_ms <= now:
+            out.append((*key, waiting.popleft()[0], None, "missing_result"))
+        return out
+
+    def _keep(self, waiting: deque) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if waiting:
+            self.open.put(list(waiting))
+            self.handle.registerTimer(waiting[0][1] + self.patience_ms)
+        else:
+            self.open.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def pair_calls(events: DataFrame, patience: str = "1 hour", late: str = "1 minute") -> DataFrame:
+    """First-in first-out pairing of calls and results as they arrive.
 
+    events: run_id, tool, seq, event_type, ts (timestamp). State per (run_id, tool) is the queue of open
+    calls; rows of a micro-batch are taken by seq. A call is over when patience has passed since it, by the
+    event time of a result or by the watermark, whichever comes first: its timer emits missing_result
+    and its state goes. Results without a call drop; rows behind the watermark drop and are counted
+    (late_rows). Needs the RocksDB state store (state_store).
+    """
     kept = events.where(F.col("event_type").isin("tool_call", "tool_result") & F.col("tool").isNotNull())
-    return kept.groupBy("run_id", "tool").applyInPandasWithState(step, "run_id bigint, tool string, call_seq bigint, result_seq bigint", "waiting array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    kept = kept.select("run_id", "tool", "seq", "event_type", F.unix_millis("ts").alias("at"), "ts").withWatermark("ts", late)
+    seconds = kept.sparkSession.sql(f"SELECT unix_millis(timestamp_millis(0) + interval {patience}) AS ms").first()["ms"]
+    return kept.groupBy("run_id", "tool").transformWithStateInPandas(Pairing(seconds), PAIR, "append", "eventTime")
+
+
+class Order(StatefulProcessor):
+    """Largest seq of a run, forgotten when the run has been silent for a while."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "seq bigint", self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("pos")
+        last = self.last.get()[0] if self.last.exists() else -(2**62)
+        before = batch["seq"].cummax().shift(fill_value=last).clip(lower=last)
+        self.last.update((max(last, int(batch["seq"].max())),))
+        yield batch.assign(run_id=key[0], quarantined=batch["seq"] <= before)[["run_id", "pos", "seq", "quarantined"]]
+
+    def close(self) -> None:
+        pass
+
+
+def checked_order(events: DataFrame, keep: str = "1 day") -> DataFrame:
+    """events (run_id, pos, seq) with quarantined: whether seq doesn't exceed the largest before it in its
+    run. A run's state goes when nothing has come for it for the time to keep (by the clock)."""
+    ms = events.sparkSession.sql(f"SELECT unix_millis(timestamp_millis(0) + interval {keep}) AS ms").first()["ms"]
+    return events.groupBy("run_id").transformWithStateInPandas(Order(ms), "run_id bigint, pos bigint, seq bigint, quarantined boolean", "append", "processingTime")
+
+
+def split_order(checked: DataFrame, accepted: str, quarantine: str, checkpoint: str):
+    """Write what passed the order check to one folder and the rest to the other, by number of the
+    micro-batch, so that one that runs again replaces its own rows. Returns the started query."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        for bad, path in ((False, accepted), (True, quarantine)):
+            batch.where(F.col("quarantined") == bad).drop("quarantined").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.unpersist()
+
+    return checked.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Run with the state store that timers and times to live need; the setting is put back after."""
+    key, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, rocks)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def order_violations(events: DataFrame) -> DataFrame:
-    """Events whose seq doesn't exceed the largest seen for their run. events: run_id, pos, seq."""
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query's stateful operators dropped as behind the watermark, over the progress it keeps."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else -(2**62)
-        rows = pd.concat(list(batches)).sort_values("pos")
-        before = rows["seq"].cummax().shift(fill_value=last).clip(lower=last)
-        state.update((max(last, int(rows["seq"].max())),))
-        yield rows.loc[rows["seq"] <= before, ["pos", "seq"]].assign(run_id=key[0])[["run_id", "pos", "seq"]]
 
-    return events.groupBy("run_id").applyInPandasWithState(step, "run_id bigint, pos bigint, seq bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+def state_rows(query: StreamingQuery) -> int:
+    """Rows of state after the last micro-batch."""
+    return sum(op.numRowsTotal for op in query.lastProgress.stateOperators) if query.lastProgress else 0
 
 
 def response_latency(received: DataFrame, played: DataFrame, late: str = "1 minute", within: str = "30 seconds") -> DataFrame:
@@ -69,6 +167,11 @@ def response_latency(received: DataFrame, played: DataFrame, late: str = "1 minu
     return joined.select("run_id", "turn", "received_at", "played_at", ((F.unix_micros("played_at") - F.unix_micros("received_at")) / 1000.0).alias("latency_ms"))
 
 
-def latency_windows(latencies: DataFrame, width: str = "5 minutes") -> DataFrame:
-    """Count and 95th percentile of latency per window of receipt time."""
-    return latencies.groupBy(F.window("received_at", width)).agg(F.count("*").alias("n"), F.percentile_approx("latency_ms", 0.95).alias("p95_ms"))
+def latency_windows(latencies: DataFrame, width: str = "5 minutes", late: str = "1 minute", alpha: float = sketch.ALPHA) -> DataFrame:
+    """start, n and sketch of latency_ms per window of received_at: rows of a window come out once the
+    watermark has passed it, later ones drop. The sketch holds its quantiles with a relative error of at
+    most alpha and merges with those of other windows (functions.sketch)."""
+    cells = latencies.withWatermark("received_at", late).groupBy(F.window("received_at", width).alias("w"), sketch.bucket(F.col("latency_ms"), alpha).alias("b")).agg(F.count("*").alias("n"))
+    # a bounded number of cells a window
+    whole = cells.groupBy(F.window(F.window_time("w"), width).alias("w")).agg(F.collect_list(F.struct("b", "n")).alias("cells"))
+    return whole.select(F.col("w.start").alias("start"), sketch.total(F.col("cells")).alias("n"), F.array_sort("cells").alias("sketch"))

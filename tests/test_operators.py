@@ -176,10 +176,11 @@ def test_quality_rules(spark):
 
 def test_scores_and_tables(spark):
     r = spark.createDataFrame([("pass", None), ("fail", 0.5), ("measured", 0.25), ("N/M", None), ("N/A", None), ("contract_invalid", None)], "status string, rate double")
-    assert [x.s for x in r.select(report.entity_score(F.col("status"), F.col("rate")).alias("s")).collect()] == [1.0, 0.5, 0.25, 0.0, None, 0.0]
+    score = lambda m: [x.s for x in r.select(report.entity_score(F.col("status"), F.col("rate"), F.lit(m)).alias("s")).collect()]
+    assert score("M14") == [1.0, 0.5, 0.25, 0.0, None, 0.0] and score("M01") == [1.0, 0.0, 0.25, 0.0, None, 0.0]
     with pytest.raises(Exception, match="unknown status"):
-        spark.createDataFrame([("odd", None)], "status string, rate double").select(report.entity_score(F.col("status"), F.col("rate"))).collect()
-    f = spark.createDataFrame([(1, "a", None), (2, "a", "pass"), (1, "error_recovery", None)], "run_id long, facet string, status string")
+        spark.createDataFrame([("odd", None)], "status string, rate double").select(report.entity_score(F.col("status"), F.col("rate"), F.lit("M01"))).collect()
+    f = spark.createDataFrame([(1, "a", None), (2, "a", "pass"), (3, "a", "not_applicable"), (1, "error_recovery", None)], "run_id long, facet string, status string")
     assert rows(report.facet_table(f).select("facet", "n")) == [("a", 2), ("error_recovery", 0)]
     core = spark.createDataFrame([(1, "M05", "pass", ""), (2, "M05", "fail", "")], "run_id long, metric_id string, status string, reason string")
     other = core.withColumn("status", F.lit("N/M"))
@@ -419,7 +420,7 @@ def test_typed_containment(spark):
     assert [(r.t, r.v) for r in wrong.collect()] == []
     k = spark.createDataFrame([("キャンセルは三日前まで、手数料1,500円。18:30",)], "t string").select(ft.core_keywords(F.col("t")).alias("k")).first().k
     assert k == ["3日", "1500円", "1830", "キャンセル"]
-    assert ft.number_forms(20) == ("にじゅう", "ニジュウ", "20", "二十") and "〇" in ft.number_forms(0) and "零" in ft.number_forms(0) and not ft.number_forms(60)
+    assert ft.NUMBER_FORMS[20] == ["にじゅう", "ニジュウ", "20", "二十"] and {"〇", "零"} < set(ft.NUMBER_FORMS[0]) and len(ft.NUMBER_FORMS) == 60
     t = spark.createDataFrame([("A-b、ｃ。/_x",)], "t string").select(ft.interaction_text(F.col("t")).alias("x"))
     assert t.first().x == "abｃx"
 
