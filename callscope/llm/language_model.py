@@ -47,7 +47,11 @@ COUNTED = 300_000
 SLICES, ROUNDS = 16, ((0, 1), (1, 2), (2, 4), (4, 8), (8, 16))
 BATCH, NOISE, RATE = 2048, 48, 0.15
 #: Models averaged by one task, and tokens scored at once.
-FAN, SCORED = 32, 8192
+FAN, SCORED = 32, 256
+#: Words outside the known ones whose symbol a task remembers.
+REMEMBERED = 200_000
+#: Logits below which their exponentials can be added up as they are.
+SAFE = 60.0
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -160,9 +164,14 @@ class Symbols(dict):
 
     def __init__(self, known: list[bytes]):
         super().__init__(zip(known, range(len(known)), strict=True))
+        self.room = REMEMBERED
 
     def __missing__(self, word: bytes) -> int:
-        return -1 - zlib.crc32(word[-2:]) % SUFFIXES
+        code = -1 - zlib.crc32(word[-2:]) % SUFFIXES
+        if len(word) <= LONG and self.room > 0:
+            self.room -= 1
+            self[word] = code
+        return code
 
 
 def _symbol_table(known: list[bytes], frequent: list[bytes]) -> np.ndarray:
@@ -212,24 +221,30 @@ def nce_loss_and_gradients(model: Model, ctx: np.ndarray, goal: np.ndarray, draw
     ctx: CONTEXT rows; goal: the true symbols; drawn: noise symbols shared by the batch; log_noise: log of
     noise samples times noise share, of every symbol.
     """
-    sources = [model.source[c] for c in ctx]
-    hidden = sum(s * w for s, w in zip(sources, model.weight, strict=True))
-    goal_vec, noise_vec = model.target[goal], model.target[drawn]
-    true = np.einsum("bd,bd->b", hidden, goal_vec) + model.bias[goal] - log_noise[goal]
-    false = hidden @ noise_vec.T + (model.bias[drawn] - log_noise[drawn])
+    true, false, grad = _nce(model, ctx, goal, drawn, log_noise)
     soft = lambda x: np.maximum(x, 0) + np.log1p(np.exp(-np.abs(x)))
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    loss = float(soft(-true).sum(dtype=np.float64) + soft(false).sum(dtype=np.float64))
-    g_true, g_false = sigmoid(true) - 1, sigmoid(false)
+    return float(soft(-true).sum(dtype=np.float64) + soft(false).sum(dtype=np.float64)), grad
+
+
+def _nce(model: Model, ctx: np.ndarray, goal: np.ndarray, drawn: np.ndarray, log_noise: np.ndarray) -> tuple[np.ndarray, np.ndarray, Model]:
+    """Scores of the true and of the noise symbols against the noise, and the gradients."""
+    sources = np.take(model.source, ctx, axis=0, mode="clip")
+    hidden = np.einsum("cbd,cd->bd", sources, model.weight)
+    goal_vec, noise_vec = np.take(model.target, goal, axis=0, mode="clip"), model.target[drawn]
+    true = np.einsum("bd,bd->b", hidden, goal_vec) + (model.bias - log_noise)[goal]
+    false = hidden @ noise_vec.T
+    false += model.bias[drawn] - log_noise[drawn]
+    # (1 + tanh(x / 2)) / 2 is the logistic function, without overflow
+    g_true, g_false = 0.5 * np.tanh(0.5 * true) - 0.5, np.tanh(0.5 * false)
+    g_false *= 0.5
+    g_false += 0.5
     d_hidden = g_true[:, None] * goal_vec + g_false @ noise_vec
-    grad = Model(np.zeros_like(model.source), np.empty_like(model.weight), np.zeros_like(model.target), np.zeros_like(model.bias))
-    for i, (c, s) in enumerate(zip(ctx, sources, strict=True)):
-        grad.weight[i] = (d_hidden * s).sum(axis=0)
-        _add(grad.source, c, d_hidden * model.weight[i])
+    grad = Model(np.zeros_like(model.source), np.einsum("cbd,bd->cd", sources, d_hidden), np.zeros_like(model.target), np.zeros_like(model.bias))
+    _add(grad.source, ctx.ravel(), (d_hidden[None] * model.weight[:, None]).reshape(-1, SIZE))
     _add(grad.target, goal, g_true[:, None] * hidden)
     _add(grad.target, drawn, g_false.T @ hidden)
-    grad.bias += np.bincount(goal, g_true, SYMBOLS).astype(model.bias.dtype) + np.bincount(drawn, g_false.sum(axis=0), SYMBOLS).astype(model.bias.dtype)
-    return loss, grad
+    grad.bias += (np.bincount(goal, g_true, SYMBOLS) + np.bincount(drawn, g_false.sum(axis=0), SYMBOLS)).astype(model.bias.dtype)
+    return true, false, grad
 
 
 def _add(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
@@ -237,7 +252,7 @@ def _add(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     order = np.argsort(rows.astype(np.int16), kind="stable")
     listed = rows[order]
     first = np.flatnonzero(np.r_[True, listed[1:] != listed[:-1]])
-    into[listed[first]] += np.add.reduceat(values[order], first, axis=0)
+    into[listed[first]] += np.add.reduceat(np.take(values, order, axis=0, mode="clip"), first, axis=0)
 
 
 class Trainer:
@@ -246,7 +261,7 @@ class Trainer:
     def __init__(self, flat: np.ndarray, squares: np.ndarray, noise: np.ndarray, seed: int):
         self.model, self.squares = Model.unpack(flat), Model.unpack(squares)
         self.noise, self.log_noise = np.cumsum(noise), np.log(NOISE * noise).astype(np.float32)
-        self.random, self.tokens, self.loss = np.random.default_rng(seed), 0, 0.0
+        self.random, self.tokens = np.random.default_rng(seed), 0
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.waiting = 0
 
@@ -264,12 +279,11 @@ class Trainer:
         self.held, self.waiting = [], 0
         order = self.random.permutation(len(goal))
         for i in range(0, len(order), BATCH):
-            self.step(ctx[:, order[i : i + BATCH]], goal[order[i : i + BATCH]])
+            self.step(np.take(ctx, order[i : i + BATCH], axis=1, mode="clip"), goal[order[i : i + BATCH]])
 
     def step(self, ctx: np.ndarray, goal: np.ndarray) -> None:
         drawn = np.minimum(np.searchsorted(self.noise, self.random.random(NOISE)), SYMBOLS - 1)
-        loss, grad = nce_loss_and_gradients(self.model, ctx, goal, drawn, self.log_noise)
-        self.loss += loss
+        _, _, grad = _nce(self.model, ctx, goal, drawn, self.log_noise)
         self.tokens += len(goal)
         for name in ("source", "weight", "target", "bias"):
             g, s, v = getattr(grad, name) / len(goal), getattr(self.squares, name), getattr(self.model, name)
@@ -369,21 +383,35 @@ def _to_symbols(codes: np.ndarray, symbol: np.ndarray) -> np.ndarray:
 
 
 def symbol_log10(model: Model, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """log10 P(symbol | symbols before) of every symbol, normalised over all of them."""
-    tables, out = model.tables(), np.empty(len(symbols))
-    ctx, target = contexts(symbols, ends), np.ascontiguousarray(model.target.T)
-    for i in range(0, len(symbols), SCORED):
-        hidden = tables[0][ctx[0, i : i + SCORED]]
-        for j in range(1, CONTEXT):
-            hidden += tables[j][ctx[j, i : i + SCORED]]
-        logits = hidden @ target
-        logits += model.bias
-        goal = logits[np.arange(len(logits)), symbols[i : i + SCORED]].astype(np.float64)
-        high = logits.max(axis=1)
-        logits -= high[:, None]
-        np.exp(logits, out=logits)
-        out[i : i + SCORED] = (goal - high - np.log(logits.sum(axis=1))) / np.log(10)
-    return out
+    """log10 P(symbol | symbols before) of every symbol, normalised over all of them.
+
+    A logit is a sum over the positions before, so its exponential is a product: one matrix product a position
+    gives every symbol's part of all logits, and tokens multiply rows of their exponentials. Where logits are
+    too large for that, they are formed and normalised for each token.
+    """
+    parts = [table @ model.target.T for table in model.tables()]
+    out, ctx = np.empty(len(symbols)), contexts(symbols, ends)
+    true = model.bias[symbols].astype(np.float64)
+    for part, before in zip(parts, ctx, strict=True):
+        true += part[before, symbols]
+    if sum(float(np.abs(p).max()) for p in parts) + float(np.abs(model.bias).max()) < SAFE:
+        raised = [np.exp(p) for p in parts]
+        raised[0] *= np.exp(model.bias)
+        rows = np.empty((CONTEXT, SCORED, SYMBOLS), dtype=raised[0].dtype)
+        for i in range(0, len(symbols), SCORED):
+            n = min(SCORED, len(symbols) - i)
+            for j in range(CONTEXT):
+                np.take(raised[j], ctx[j, i : i + n], axis=0, mode="clip", out=rows[j, :n])
+            half = CONTEXT // 2
+            for j in [*range(1, half), *range(half + 1, CONTEXT)]:
+                rows[0 if j < half else half, :n] *= rows[j, :n]
+            out[i : i + n] = np.log(np.einsum("tj,tj->t", rows[0, :n], rows[half, :n]))
+    else:
+        for i in range(0, len(symbols), SCORED):
+            logits = model.bias + sum(p[c[i : i + SCORED]] for p, c in zip(parts, ctx, strict=True))
+            high = logits.max(axis=1)
+            out[i : i + SCORED] = high + np.log(np.exp(logits - high[:, None]).sum(axis=1))
+    return (true - out) / np.log(10)
 
 
 def score(docs: DataFrame, counts: Counts, model: Model, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -248,6 +248,19 @@ def test_probabilities_add_up_to_one(spark, texts, monkeypatch):
         assert shares[s] + 0.5 / counts.masses[s] == pytest.approx(1)
 
 
+@pytest.mark.parametrize("scale", [1, 400])
+def test_products_of_exponentials_are_the_softmax(scale):
+    """Both ways of normalising, of small and of large logits."""
+    r = np.random.default_rng(3)
+    model = lm.start_model(np.full(lm.SYMBOLS, 1 / lm.SYMBOLS))
+    model.target *= scale
+    symbols, ends = r.integers(0, lm.SYMBOLS, 600), np.array([99, 100, 599])
+    ctx = lm.contexts(symbols, ends)
+    logits = sum(t[c] for t, c in zip(model.tables(), ctx, strict=True)).astype(np.float64) @ model.target.T + model.bias
+    want = logits[np.arange(600), symbols] - logits.max(axis=1) - np.log(np.exp(logits - logits.max(axis=1)[:, None]).sum(axis=1))
+    assert np.allclose(lm.symbol_log10(model, symbols, ends) * np.log(10), want, rtol=1e-4, atol=1e-4)
+
+
 def test_gradients_are_those_of_the_loss():
     r = np.random.default_rng(0)
     noise = np.full(lm.SYMBOLS, 1 / lm.SYMBOLS)
