@@ -78,6 +78,12 @@ def repeated_sentences(turns: DataFrame, text_col: str, keep: list[str], least:
     return s.groupBy(*keep, "sentence").agg((F.count("*") - 1).alias("repeats")).where("repeats > 0")
 
 
+def spoken_style(turns: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """(keep..., rule): a row for every mark of written style and every time that a turn repeats a sentence."""
+    again = repeated_sentences(turns, text_col, keep).select(*keep, F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("_i"))
+    return style_spans(turns, text_col, keep).select(*keep, "rule").unionByName(again.select(*keep, F.lit("duplicate_sentence").alias("rule")))
+
+
 #: Bracket pairs, opening and closing at the same place: fixed values.
 OPEN, CLOSE = "「『（(［[【", "」』）)］]】"
 
@@ -104,21 +110,36 @@ EXAMPLE = ("例:", "例：")
 DOUBLE_HONORIFIC = r"ご(?:予約|依頼|搭乗)され(?:ている|た|る)(?:方|ご本人)"
 
 
-def facing_sentences(text: Column) -> Column:
-    """Sentences, the last one ended or not, trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(text, BOUNDARY), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
+def facing_places(text: Column) -> Column:
+    """Sentences, the last one ended or not, trimmed, empty ones left out: (s, e, t), from the first character
+    of the sentence to its boundary."""
+    kind = "array<struct<s:int,e:int,t:string>>"
+    body = lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")
+    lead = lambda p: F.char_length(p) - F.char_length(F.regexp_replace(p, r"(?U)^\s+", ""))
+
+    def step(acc: Column, p: Column) -> Column:
+        place = F.struct((acc["at"] + lead(p)).alias("s"), (acc["at"] + F.char_length(p)).alias("e"), body(p).alias("t"))
+        out = F.when(body(p) != "", F.concat(acc["out"], F.array(place))).otherwise(acc["out"])
+        return F.struct((acc["at"] + F.char_length(p) + 1).alias("at"), out.alias("out"))
+
+    return F.aggregate(F.split(text, BOUNDARY, -1), F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
 
 
-def impolite_sentences(text: Column) -> Column:
-    """Sentences in Japanese that don't end politely, examples aside."""
-    bare = F.transform(facing_sentences(text), lambda s: F.regexp_replace(F.regexp_replace(s, TRAILING_EXAMPLE, ""), r"(?U)\s+$", ""))
+def impolite_sentences(text: Column, marks: Column | None = None) -> Column:
+    """Sentences in Japanese that don't end politely, examples and those that touch a mark of written style
+    (an array with s and e) aside."""
+    places = facing_places(text)
+    if marks is not None:
+        places = F.filter(places, lambda p: ~F.exists(marks, lambda m: (p["s"] < m["e"]) & (p["e"] > m["s"])))
+    bare = F.transform(places, lambda p: F.regexp_replace(F.regexp_replace(p["t"], TRAILING_EXAMPLE, ""), r"(?U)\s+$", ""))
     example = lambda s: F.startswith(s, F.lit(EXAMPLE[0])) | F.startswith(s, F.lit(EXAMPLE[1]))
     return F.filter(bare, lambda s: (s != "") & ~example(s) & s.rlike(JAPANESE) & ~s.rlike(POLITE))
 
 
 def japanese_rules(turns: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """Per turn: Japanese present, brackets balanced, malformed endings, double honorifics, and
-    impolite sentences."""
+    impolite sentences (outside of marks of written style)."""
+    turns = turns.withColumn("_marks", style_marks(F.col(text_col)))
     text = F.coalesce(F.col(text_col), F.lit(""))
     return turns.select(
         *keep,
@@ -126,7 +147,7 @@ def japanese_rules(turns: DataFrame, text_col: str, keep: list[str]) -> DataFram
         brackets_balanced(text).alias("balanced"),
         F.regexp_count(text, F.lit(MALFORMED)).cast("bigint").alias("malformed"),
         F.regexp_count(text, F.lit(DOUBLE_HONORIFIC)).cast("bigint").alias("double_honorifics"),
-        F.size(impolite_sentences(text)).cast("bigint").alias("impolite_sentences"),
+        F.size(impolite_sentences(text, F.col("_marks"))).cast("bigint").alias("impolite_sentences"),
     )
 
 

@@ -359,7 +359,7 @@ SELECT start, n, CASE WHEN b50 = 0 THEN 0 ELSE pow(1.01 / 0.99, b50) * 1e-6 * 2
 
 @query("""WITH a AS (SELECT ts, value * 10 AS x, floor(epoch(ts) / 1296000)::BIGINT + CASE WHEN CAST(props->>'$.k' AS INT) = 7 THEN 1 ELSE 0 END AS arrival FROM events),
 m AS (SELECT arrival, max(max(ts)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 3 DAY AS mark FROM a GROUP BY arrival),
-kept AS (SELECT to_timestamp(floor(epoch(ts) / 21600) * 21600) AS start, x FROM a JOIN m USING (arrival) WHERE mark IS NULL OR to_timestamp((floor(epoch(ts) / 21600) + 1) * 21600) > mark AT TIME ZONE 'UTC'),
+kept AS (SELECT (floor(epoch(ts) / 21600) * 21600)::BIGINT AS start, x FROM a JOIN m USING (arrival) WHERE mark IS NULL OR to_timestamp((floor(epoch(ts) / 21600) + 1) * 21600) > mark AT TIME ZONE 'UTC'),
 """ + _CELLS)
 def stream_latency_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles of latency per six hours, rows arriving in slices, some a slice too late: those behind the
@@ -369,7 +369,7 @@ def stream_latency_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     make = lambda s: live.latency_windows(s.select(F.col("ts").cast("timestamp").alias("received_at"), (F.col("value") * 10).alias("latency_ms")), "6 hours", "3 days")
     folder = _replay(spark, sf_dir, make, _append, arrival)
     out = spark.read.schema("start timestamp, n bigint, sketch array<struct<b:int,n:bigint>>").parquet(f"{folder}/out")
-    return out.select("start", "n", sketch.quantile(F.col("sketch"), 0.5).alias("p50_ms"), sketch.quantile(F.col("sketch"), 0.95).alias("p95_ms"))
+    return out.select(F.unix_seconds("start").alias("start"), "n", sketch.quantile(F.col("sketch"), 0.5).alias("p50_ms"), sketch.quantile(F.col("sketch"), 0.95).alias("p95_ms"))
 
 
 @query("""WITH kept AS (SELECT user_id % 7 AS start, value - 50 AS v, abs(value - 50) AS x FROM events), c AS (SELECT start, (CASE WHEN x < 1e-6 THEN 0 ELSE greatest(ceil(ln(x / 1e-6) / ln(1.01 / 0.99)), 1) END * CASE WHEN v < 0 THEN -1 ELSE 1 END)::INT AS b, count(*) AS n FROM kept GROUP BY ALL),

@@ -194,19 +194,36 @@ def style_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_rules.style_spans(styled(spark, sf_dir), "t", ["conv_id", "turn"])
 
 
-@query(STYLE + """, v AS (SELECT conv_id, turn, count(*) AS v FROM a11 GROUP BY ALL), w AS (SELECT d.conv_id, d.turn, coalesce(v, 0) AS v FROM d LEFT JOIN v USING (conv_id, turn) WHERE role <> 'user')
+@query(STYLE + """, sn AS (SELECT conv_id, turn, unnest(regexp_extract_all(x, '[^。！？]*[。！？]')) AS s FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN 'これはとても長い文章です、そして繰り返します。これは とても長い文章です、そして繰り返します。これはとても長い文章です、そして繰り返します。' ELSE '' END || replace(t, chr(10), '。') AS x FROM d)),
+rp AS (SELECT conv_id, turn, count(*) - 1 AS n FROM (SELECT conv_id, turn, regexp_replace(replace(replace(replace(s, '。', ''), '！', ''), '？', ''), '[\\s\\v]+', '', 'g') AS sentence FROM sn) WHERE length(sentence) >= 20 GROUP BY conv_id, turn, sentence HAVING count(*) > 1),
+v AS (SELECT conv_id, turn, sum(n) AS v FROM (SELECT conv_id, turn, n FROM rp) GROUP BY ALL), w AS (SELECT d.conv_id, d.turn, coalesce(v, 0) AS v FROM d LEFT JOIN v USING (conv_id, turn) WHERE role <> 'user')
+SELECT conv_id AS run_id, CAST(sum(v) AS BIGINT) AS violations, avg(CAST(v = 0 AS INT)) AS pass_rate, count(*) AS turns, CASE WHEN sum(v) > 0 THEN 'fail' ELSE 'pass' END AS status FROM w GROUP BY 1""")
+def repeat_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated sentences alone, rolled up by run: a third of the turns says a sentence three times."""
+    t = styled(spark, sf_dir).where("role <> 'user'").withColumnsRenamed({"conv_id": "run_id", "turn": "turn_ref"})
+    long = "これはとても長い文章です、そして繰り返します。"
+    said = F.concat(F.when(F.col("turn_ref") % 3 == 1, long + long.replace("これは", "これは ") + long).otherwise(""), F.replace("t", F.lit("\n"), F.lit("。")))
+    t = t.withColumn("t", said)
+    again = text_rules.spoken_style(t, "t", ["run_id", "turn_ref"]).where("rule = 'duplicate_sentence'")
+    return text_rules.roll_up(t, again).select("run_id", "violations", "pass_rate", "turns", "status")
+
+
+@query(STYLE + """, v AS (SELECT conv_id, turn, count(*) AS v FROM a11 GROUP BY ALL),
+sn AS (SELECT conv_id, turn, unnest(regexp_extract_all(t, '[^。！？]*[。！？]')) AS s FROM d),
+rp AS (SELECT conv_id, turn, count(*) - 1 AS n FROM (SELECT conv_id, turn, regexp_replace(replace(replace(replace(s, '。', ''), '！', ''), '？', ''), '[\\s\\v]+', '', 'g') AS sentence FROM sn) WHERE length(sentence) >= 20 GROUP BY conv_id, turn, sentence HAVING count(*) > 1),
+u AS (SELECT conv_id, turn, sum(v) AS v FROM (SELECT * FROM v UNION ALL SELECT * FROM rp) GROUP BY ALL), w AS (SELECT d.conv_id, d.turn, coalesce(v, 0) AS v FROM d LEFT JOIN u USING (conv_id, turn) WHERE role <> 'user')
 SELECT conv_id AS run_id, CAST(sum(v) AS BIGINT) AS violations, avg(CAST(v = 0 AS INT)) AS pass_rate, count(*) AS turns, CASE WHEN sum(v) > 0 THEN 'fail' ELSE 'pass' END AS status FROM w GROUP BY 1""")
 def style_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = styled(spark, sf_dir).where("role <> 'user'").withColumnsRenamed({"conv_id": "run_id", "turn": "turn_ref"})
-    return text_rules.roll_up(t, text_rules.style_spans(t, "t", ["run_id", "turn_ref"])).select("run_id", "violations", "pass_rate", "turns", "status")
+    return text_rules.roll_up(t, text_rules.spoken_style(t, "t", ["run_id", "turn_ref"])).select("run_id", "violations", "pass_rate", "turns", "status")
 
 
 @query("""SELECT o_orderkey AS run_id, true AS has_japanese, o_orderkey % 3 <> 0 AS balanced, CAST(o_orderkey % 5 = 0 AS BIGINT) AS malformed, CAST(o_orderkey % 7 = 0 AS BIGINT) AS double_honorifics,
-CAST(CAST(o_orderkey % 2 = 0 AS INT) + CAST(o_orderkey % 7 = 0 AS INT) AS BIGINT) AS impolite_sentences FROM orders""")
+CAST(CAST(o_orderkey % 2 = 0 AS INT) + CAST(o_orderkey % 7 = 0 AS INT) + CAST(o_orderkey % 11 = 1 AS INT) AS BIGINT) AS impolite_sentences FROM orders""")
 def japanese_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Politeness, brackets and honorifics of made sentences; examples don't count."""
+    """Politeness, brackets and honorifics of made sentences; examples and what touches a written mark don't count."""
     o, k = orders_by(spark, sf_dir)
-    said = text("注文", k, "を承りました。", at(k, 2, "明日届く。", "明日届きますよね！"), at(k, 3, "［確認」です。", "［確認］です）」"[:-2] + "。"), at(k, 5, "できるですますか。", ""), at(k, 7, "ご予約されている方？", ""), "例：届く。以上です（例：急ぐ）")
+    said = text("注文", k, "を承りました。", at(k, 2, "明日届く。", "明日届きますよね！"), at(k, 3, "［確認」です。", "［確認］です）」"[:-2] + "。"), at(k, 5, "できるですますか。", ""), at(k, 7, "ご予約されている方？", ""), F.when(k % 11 == 0, "開始は12:30だ。").when(k % 11 == 1, "開始は昼だ。").otherwise(""), "例：届く。以上です（例：急ぐ）")
     return text_rules.japanese_rules(o.withColumn("t", said), "t", ["run_id"])
 
 
