@@ -289,7 +289,7 @@ def _finish(spark: SparkSession, df: DataFrame) -> DataFrame:
 SLICE = 1_296_000
 
 
-def _replay(spark: SparkSession, sf_dir: str, make, start, arrival=None) -> DataFrame | None:
+def _replay(spark: SparkSession, sf_dir: str, make, start, arrival=None, idle_batches: bool = True) -> str:
     """Let the events arrive slice by slice and run the stream after each, from its checkpoint on; at the
     end heartbeats far ahead move the watermark over all of them.
 
@@ -300,7 +300,7 @@ def _replay(spark: SparkSession, sf_dir: str, make, start, arrival=None) -> Data
     # the second one lets out what the watermark of the first has passed
     beat = spark.sql("SELECT -1L AS event_id, make_timestamp_ntz(2100, 1, id + 1, 0, 0, 0) AS ts, -1L AS user_id, 'heartbeat' AS event_type, 0D AS value, '{}' AS props, 1000000000L + id AS _slice FROM range(2)")
     e = e.unionByName(beat)
-    with live.state_store(spark):
+    with live.state_store(spark, idle_batches):
         for r in e.select("_slice").distinct().orderBy("_slice").collect():
             e.where(F.col("_slice") == r["_slice"]).drop("_slice").write.mode("append").parquet(f"{folder}/in")
             stream = spark.readStream.schema(e.drop("_slice").schema).parquet(f"{folder}/in")
@@ -336,18 +336,19 @@ def stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(LIVE + """, v AS (SELECT run_id, seq AS pos, CASE WHEN k = 7 THEN seq - 500 ELSE seq END AS seq FROM t), w AS (SELECT *, max(seq) OVER (PARTITION BY run_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM v) SELECT run_id, pos, seq FROM w WHERE seq <= last""")
 def stream_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order violations as a stream, from its quarantine."""
-    return spark.read.schema("run_id bigint, pos bigint, seq bigint").parquet(f"{_checked(spark, sf_dir)}/quarantine")
+    return _checked(spark, sf_dir).where("quarantined").select("run_id", "pos", "seq")
 
 
 @query(LIVE + """, v AS (SELECT run_id, seq AS pos, CASE WHEN k = 7 THEN seq - 500 ELSE seq END AS seq FROM t), w AS (SELECT *, max(seq) OVER (PARTITION BY run_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM v) SELECT run_id, pos, seq FROM w WHERE seq > coalesce(last, -10000)""")
 def stream_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What passes the order check as a stream."""
-    return spark.read.schema("run_id bigint, pos bigint, seq bigint").parquet(f"{_checked(spark, sf_dir)}/accepted").where("run_id >= 0")
+    return _checked(spark, sf_dir).where("NOT quarantined").select("run_id", "pos", "seq")
 
 
-def _checked(spark: SparkSession, sf_dir: str) -> str:
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = lambda s: _live(s).select("run_id", F.col("seq").alias("pos"), F.when(F.col("k") == 7, F.col("seq") - 500).otherwise(F.col("seq")).alias("seq"))
-    return _replay(spark, sf_dir, lambda s: live.checked_order(e(s)), lambda df, f: live.split_order(df, f"{f}/accepted", f"{f}/quarantine", f"{f}/state"))
+    folder = _replay(spark, sf_dir, lambda s: live.checked_order(e(s)), lambda df, f: live.split_order(df, f"{f}/out", f"{f}/state"), idle_batches=False)
+    return spark.read.schema(live.CHECKED).parquet(f"{folder}/out").where("run_id >= 0")
 
 
 #: Cells of the quantile sketch, as the oracle computes them.

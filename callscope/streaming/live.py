@@ -93,6 +93,9 @@ def pair_calls(events: DataFrame, patience: str = "1 hour", late: str = "1 minut
     return kept.groupBy("run_id", "tool").transformWithStateInPandas(Pairing(seconds), PAIR, "append", "eventTime")
 
 
+CHECKED = "run_id bigint, pos bigint, seq bigint, quarantined boolean"
+
+
 class Order(StatefulProcessor):
     """Largest seq of a run, forgotten when the run has been silent for a while."""
 
@@ -115,34 +118,37 @@ class Order(StatefulProcessor):
 
 def checked_order(events: DataFrame, keep: str = "1 day") -> DataFrame:
     """events (run_id, pos, seq) with quarantined: whether seq doesn't exceed the largest before it in its
-    run. A run's state goes when nothing has come for it for the time to keep (by the clock)."""
+    run. A run's state goes when nothing has come for it for the time to keep (by the clock). Needs
+    state_store(spark, idle_batches=False)."""
     ms = events.sparkSession.sql(f"SELECT unix_millis(timestamp_millis(0) + interval {keep}) AS ms").first()["ms"]
-    return events.groupBy("run_id").transformWithStateInPandas(Order(ms), "run_id bigint, pos bigint, seq bigint, quarantined boolean", "append", "processingTime")
+    return events.groupBy("run_id").transformWithStateInPandas(Order(ms), CHECKED, "append", "processingTime")
 
 
-def split_order(checked: DataFrame, accepted: str, quarantine: str, checkpoint: str):
-    """Write what passed the order check to one folder and the rest to the other, by number of the
-    micro-batch, so that one that runs again replaces its own rows. Returns the started query."""
-
-    def one(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        for bad, path in ((False, accepted), (True, quarantine)):
-            batch.where(F.col("quarantined") == bad).drop("quarantined").write.mode("overwrite").parquet(f"{path}/batch={number}")
-        batch.unpersist()
-
-    return checked.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def split_order(checked: DataFrame, path: str, checkpoint: str):
+    """Write what passed the order check and the quarantine beside each other, as partitions of one table by
+    quarantined. Returns the started query."""
+    return checked.writeStream.format("parquet").partitionBy("quarantined").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 @contextmanager
-def state_store(spark: SparkSession) -> Iterator[None]:
-    """Run with the state store that timers and times to live need; the setting is put back after."""
-    key, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, rocks)
+def state_store(spark: SparkSession, idle_batches: bool = True) -> Iterator[None]:
+    """Run with the state store that timers and times to live need; the settings are put back after.
+
+    idle_batches: whether a micro-batch without rows runs when time has gone on. A state with a time to live
+    by the clock would always ask for one more, so a stream that runs to the end of its input needs False.
+    """
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.noDataMicroBatches.enabled": str(idle_batches).lower(),
+    }
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def late_rows(query: StreamingQuery) -> int:

@@ -23,10 +23,10 @@ def run(spark, df, name):
     return spark.table(name)
 
 
-def replayed(spark, slices, make, tmp_path):
+def replayed(spark, slices, make, tmp_path, idle_batches=True):
     """Run the stream after each slice of rows has landed, from its checkpoint on; the queries and all rows."""
     folder, queries = str(tmp_path / "in"), []
-    with live.state_store(spark):
+    with live.state_store(spark, idle_batches):
         for part in slices:
             part.coalesce(1).write.mode("append").parquet(folder)
             made = make(spark.readStream.schema(part.schema).parquet(folder))
@@ -84,21 +84,22 @@ def test_order_state_is_forgotten(spark, tmp_path):
     """Many runs one after the other: the state holds those that were heard of lately, not all."""
     slices = [spark.createDataFrame([(100 * k + r, i, i if i != 3 else 1) for r in range(20) for i in range(5)], "run_id bigint, pos bigint, seq bigint") for k in range(4)]
     sizes, folder = [], str(tmp_path / "in")
-    with live.state_store(spark):
+    with live.state_store(spark, idle_batches=False):
         for part in slices:
             part.coalesce(1).write.mode("append").parquet(folder)
             made = live.checked_order(spark.readStream.schema(part.schema).parquet(folder), keep="1 second")
-            q = live.split_order(made, str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "state"))
+            q = live.split_order(made, str(tmp_path / "out"), str(tmp_path / "state"))
             q.awaitTermination(120)
             sizes.append(live.state_rows(q))
             time.sleep(1.5)
     assert max(sizes) <= 40 and sizes[-1] <= 40
-    assert spark.read.parquet(str(tmp_path / "bad")).count() == 80 and spark.read.parquet(str(tmp_path / "good")).count() == 320
+    out = spark.read.schema(live.CHECKED).parquet(str(tmp_path / "out"))
+    assert out.where("quarantined").count() == 80 and out.where("NOT quarantined").count() == 320
 
 
 def test_order_goes_on_from_state(spark, tmp_path):
     slices = [spark.createDataFrame([(1, 1, 5), (1, 2, 6)], "run_id bigint, pos bigint, seq bigint"), spark.createDataFrame([(1, 3, 6), (1, 4, 7), (2, 1, 1)], "run_id bigint, pos bigint, seq bigint")]
-    _, got = replayed(spark, slices, live.checked_order, tmp_path)
+    _, got = replayed(spark, slices, live.checked_order, tmp_path, idle_batches=False)
     assert sorted(r.pos for r in got.where("quarantined").collect()) == [3]
 
 
