@@ -38,12 +38,6 @@ def kept_columns(keep: list[str] | None, id_col: str, made: tuple[str, ...]) ->
     return keep
 
 
-def release(spark) -> None:
-    """Let Spark drop the shuffle files of steps that are checkpointed already: it does so only after the
-    driver's JVM has collected what refers to them, which an idle driver may put off until disks are full."""
-    spark.sparkContext._jvm.System.gc()
-
-
 #: Spans gathered before they are put aside, so that a text with n of them copies n * CHUNK / 2 and not n^2 / 2.
 CHUNK = 128
 #: Stand for a character inside a span, and inside a match that fails its check; noncharacters, which
@@ -144,6 +138,8 @@ def text_slices(batch: pa.RecordBatch, column: int, max_bytes: int = 4 << 20, ma
         total += n
     if begin < batch.num_rows:
         yield batch.slice(begin)
+    # a worker waits for its next task with what its pool has kept
+    pa.default_memory_pool().release_unused()
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, checkpointed, release, text_slices
+from .common import WordHashes, as_bytes, checkpointed, text_slices
 from .shingles import band_keys, shingle_set, sketch
 
 WIDTH = 5
@@ -72,8 +72,8 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
 
 
 def sets_of(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Full set, long sketch and short band tags of the classes in needed (nid, cls, id), from the text
-    of the row that each names."""
+    """Full set and long sketch of the classes in needed (nid, cls, id, keys), from the text of the row that
+    each names; their band keys come along. The sets are shuffled once, by class."""
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ids = needed.select(F.col("id").alias("_id")).distinct()
     ids = F.broadcast(ids) if needed.count() <= BROADCAST_IDS else ids
@@ -86,11 +86,11 @@ def sets_of(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, widt
                 sets = found[begin : begin + SKETCHED]
                 two = (sketch(sets, LONG_SKETCH) & np.uint64(3)).astype(np.uint8).reshape(len(sets), -1, 4)
                 packed = two[:, :, 0] | two[:, :, 1] << 2 | two[:, :, 2] << 4 | two[:, :, 3] << 6
-                tags = band_keys(sketch(sets, ROWS * BANDS), ROWS).astype("<u4")
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), *[pa.array([row.tobytes() for row in x], pa.binary()) for x in (packed, tags)]], ["cls", "shingles", "sign", "tags"])
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([row.tobytes() for row in packed], pa.binary())], ["cls", "shingles", "sign"])
 
-    made = picked.mapInArrow(run, "cls binary, shingles array<bigint>, sign binary, tags binary")
-    return made.join(needed.select("nid", "cls"), "cls").groupBy("nid").agg(*[F.first(c).alias(c) for c in ("shingles", "sign", "tags")])
+    made = picked.mapInArrow(run, "cls binary, shingles array<bigint>, sign binary")
+    once = made.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("shingles", "sign")])
+    return once.join(needed.select("nid", "cls", "keys"), "cls").select("nid", "shingles", "sign", "keys")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _across(members: DataFrame, signs: DataFrame) -> DataFrame:
     """Candidate pairs between components within mixed buckets.
 
-    members: key, band, pivot, nid, comp, lead, n; signs: nid, sign, tags. The leading component is one
+    members: key, band, pivot, nid, comp, lead, n; signs: nid, sign, keys. The leading component is one
     side; it is never compared within itself. Both sides are cut into blocks of about BLOCK rows; a
     group holds one pair of blocks. Sketches join the narrow rows last and are shuffled once.
     """
@@ -189,7 +189,7 @@ def _across(members: DataFrame, signs: DataFrame) -> DataFrame:
             if not done:
                 continue
             part = {c: np.asarray(whole.column(c)[:done]) for c in [*names, "band", "pivot", "nid", "comp", "n", "side"]}
-            part["tags"] = np.frombuffer(b"".join(whole.column("tags")[:done].to_pylist()), dtype="<u4").reshape(done, -1)
+            part["tags"] = np.frombuffer(b"".join(whole.column("keys")[:done].to_pylist()), dtype="<u8").reshape(done, -1)
             packed = np.frombuffer(b"".join(whole.column("sign")[:done].to_pylist()), dtype=np.uint8).reshape(done, -1)
             part["sign"] = np.stack([packed >> shift & 3 for shift in (0, 2, 4, 6)], axis=2).reshape(done, -1)
             found = []
@@ -229,22 +229,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
     sizes = classes.select(F.col("nid").alias("pivot"), F.col("n").alias("m"))
     stars = shared.where("nid != pivot").select("nid", "n", "pivot").distinct().join(sizes, "pivot").where(_fits(F.col("n"), F.col("m")))
-    needed = checkpointed(shared.select("nid").distinct().join(classes.select("nid", "cls", "id"), "nid"))
+    needed = checkpointed(shared.select("nid").distinct().join(classes.select("nid", "cls", "id", "keys"), "nid"))
     sets = checkpointed(sets_of(docs, needed, id_col, text_col, width))
-    release(docs.sparkSession)
     links = checkpointed(confirmed(stars.select(F.col("pivot").alias("a"), F.col("nid").alias("b")), sets))
     first = checkpointed(components(links))
 
-    release(docs.sparkSession)
     placed = shared.join(first.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lead"), F.max("comp").alias("top")).where("lead < top").select("key", "lead")
-    across = _across(placed.join(mixed, "key"), sets.select("nid", "sign", "tags"))
+    across = _across(placed.join(mixed, "key"), sets.select("nid", "sign", "keys"))
     more = confirmed(across, sets)
     label = first.withColumnRenamed("node", "a")
     ends = more.join(label, "a", "left").select(F.coalesce("comp", "a").alias("a"), "b")
     ends = ends.join(first.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("comp", "b").alias("b"))
     merged = components(ends)
-    release(docs.sparkSession)
     comp = first.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("whole")), "comp", "left").select("node", F.coalesce("whole", "comp").alias("comp"))
     lone = merged.join(first.select("node"), "node", "left_anti").select("node", "comp")
     final = comp.unionByName(lone).withColumnRenamed("node", "nid")

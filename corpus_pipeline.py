@@ -71,8 +71,10 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text has no tokens; very long texts are encoded whole; rows stay one to one.
     """
     ship(spark)
-    done = bpe.encode_decode(docs, RANKS, PATTERN, keep=["lang", "source", "text"])
-    same = F.sha2("decoded", 256) == F.sha2(F.coalesce("text", F.lit("")), 256)
+    # the digest stands for the text, so that each text travels once
+    digest = docs.withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    done = bpe.encode_decode(digest, RANKS, PATTERN, keep=["lang", "source", "_digest"])
+    same = F.sha2("decoded", 256) == F.col("_digest")
     return done.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("round_trip"))
 
 
