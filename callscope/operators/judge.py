@@ -31,8 +31,8 @@ PART_ROWS = 512
 
 def requests(tasks: DataFrame, evidence: DataFrame, max_bytes: int = 2_000_000) -> DataFrame:
     """Requests of every run: its questions and evidence as sorted JSON, the hash of it, and whether it
-    fits. Nothing is cut: evidence beyond max_bytes goes into further parts, each with all questions,
-    and a single text that is longer is a part of its own, which doesn't fit.
+    fits. Nothing is cut: evidence beyond max_bytes goes into further parts, each with all questions.
+    A text of more than half the room is a part of its own; one that is longer than the room doesn't fit.
 
     tasks: run_id, question_id, question; evidence: run_id, seq, ref, text. Evidence is dealt by blocks
     of PART_ROWS places, so no task holds a long run as a whole.
@@ -41,12 +41,16 @@ def requests(tasks: DataFrame, evidence: DataFrame, max_bytes: int = 2_000_000)
     asked = F.octet_length(F.to_json("questions"))
     e = evidence.withColumn("_block", F.floor(F.col("seq") / PART_ROWS)).withColumn("_size", F.octet_length(F.to_json(F.struct("ref", "text"))) + 1)
     e = e.join(q.select("run_id", (F.lit(max_bytes) - asked - 64).alias("_room")), "run_id")
-    upto = Window.partitionBy("run_id", "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    e = e.withColumn("_part", F.floor((F.sum("_size").over(upto) - F.col("_size")) / F.greatest(F.floor(F.col("_room") / 2), F.lit(1))))
-    packed = e.groupBy("run_id", "_block", "_part").agg(F.array_sort(F.collect_list(F.struct("ref", "text"))).alias("evidence"))
+    half = F.greatest(F.floor(F.col("_room") / 2), F.lit(1))
+    order = Window.partitionBy("run_id", "_block").orderBy("seq", "ref", "text")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # texts of half the room at most are dealt by their running sum, so a part holds at most the room
+    e = e.withColumn("_small", F.when(F.col("_size") <= half, F.col("_size")).otherwise(0)).withColumn("_own", F.when(F.col("_size") > half, F.row_number().over(order)).otherwise(0))
+    e = e.withColumn("_part", F.floor((F.sum("_small").over(upto) - F.col("_small")) / half))
+    packed = e.groupBy("run_id", "_block", "_part", "_own").agg(F.array_sort(F.collect_list(F.struct("ref", "text"))).alias("evidence"))
     both = q.join(packed, "run_id", "left")
     body = F.to_json(F.struct("evidence", "questions"))
-    part = F.concat_ws(".", F.coalesce("_block", F.lit(0)).cast("string"), F.coalesce("_part", F.lit(0)).cast("string"))
+    part = F.concat_ws(".", F.coalesce("_block", F.lit(0)).cast("string"), F.coalesce("_part", F.lit(0)).cast("string"), F.when(F.col("_own") > 0, F.col("_own").cast("string")))
     return both.select("run_id", part.alias("part"), body.alias("request"), F.sha2(body, 256).alias("request_hash"), (F.octet_length(body) <= max_bytes).alias("fits"), F.coalesce(F.size("evidence") > 0, F.lit(False)).alias("has_evidence"))
 
 
