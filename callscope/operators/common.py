@@ -16,6 +16,12 @@ def dim(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with its partner. It's joined by sorting: Spark sees the size of compressed
+    shuffle files only, and would send what looks small, however many rows it has, through the driver."""
+    return df.hint("merge")
+
+
 def each(df: DataFrame, rows: DataFrame) -> DataFrame:
     """Every row of df with every row of a small table of contracts, which becomes a constant: no join."""
     found = rows.limit(MOST_BROADCAST + 1).collect()

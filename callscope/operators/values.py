@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import core_keywords, same_shape, sequence_ratio, spoken_value, value_kind, value_tokens
+from .common import checkpointed, merged
 
 CUSTOMERS = ("user", "customer")
 #: Least likeness of a token that counts as an attempt at a value: fixed values.
@@ -50,7 +51,7 @@ def agreed_tokens(profiles: DataFrame, kind: str = "digits", least: int = 1) ->
     said = profiles.select("run_id", "seq", F.size("transcripts").alias("_n"), F.posexplode_outer("transcripts").alias("_at", "_t"))
     tokens = said.select("run_id", "seq", "_n", F.explode(value_tokens(F.col("_t"), F.lit(kind))).alias("token")).groupBy("run_id", "seq", "token", "_n").agg(F.count("*").alias("_k"))
     agreed = tokens.where((F.col("_k") == F.col("_n")) & (F.col("_n") >= least)).groupBy("run_id", "seq").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
-    return profiles.select("run_id", "seq").join(agreed, ["run_id", "seq"], "left").select("run_id", "seq", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+    return profiles.select("run_id", "seq").join(merged(agreed), ["run_id", "seq"], "left").select("run_id", "seq", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
 
 
 def disclosed(keywords: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -88,9 +89,9 @@ def slots(important: DataFrame, gold_args: DataFrame) -> DataFrame:
     """
     i = important.select("run_id", F.coalesce("slot_id", "name").alias("slot_id"), "value", spoken_value(F.col("value")).alias("normalized"), value_kind(F.col("value"), F.col("value_type")).alias("kind"))
     g = gold_args.select("run_id", F.col("name").alias("_name"), spoken_value(F.col("value")).alias("normalized"))
-    named = i.join(g, ["run_id", "normalized"]).groupBy("run_id", "slot_id").agg(F.array_sort(F.collect_set("_name")).alias("argument_names"))
+    named = i.join(merged(g), ["run_id", "normalized"]).groupBy("run_id", "slot_id").agg(F.array_sort(F.collect_set("_name")).alias("argument_names"))
     has_gold = gold_args.select("run_id", F.lit(True).alias("_gold")).distinct()
-    out = i.join(named, ["run_id", "slot_id"], "left").join(has_gold, "run_id", "left")
+    out = i.join(merged(named), ["run_id", "slot_id"], "left").join(merged(has_gold), "run_id", "left")
     none = F.when(F.coalesce("_gold", F.lit(False)), F.array().cast("array<string>"))
     return out.select("run_id", "slot_id", "value", "normalized", "kind", F.coalesce("argument_names", none).alias("argument_names"))
 
@@ -101,12 +102,12 @@ def _customer_texts(turns: DataFrame) -> DataFrame:
 
 def said_slots(slots_: DataFrame, turns: DataFrame) -> DataFrame:
     """Customer turns that hold a slot's value: the slot's columns and said_seq."""
-    return slots_.join(_customer_texts(turns), "run_id").where(F.contains("_said", "normalized")).drop("_said").withColumnRenamed("seq", "said_seq")
+    return slots_.join(merged(_customer_texts(turns)), "run_id").where(F.contains("_said", "normalized")).drop("_said").withColumnRenamed("seq", "said_seq")
 
 
 def spoken_slots(slots_: DataFrame, turns: DataFrame) -> DataFrame:
     """Slots whose value the customer says at all."""
-    return slots_.join(said_slots(slots_, turns).select("run_id", "slot_id").distinct(), ["run_id", "slot_id"], "left_semi")
+    return slots_.join(merged(said_slots(slots_, turns).select("run_id", "slot_id").distinct()), ["run_id", "slot_id"], "left_semi")
 
 
 def transcript_evidence(slots_: DataFrame, turns: DataFrame) -> DataFrame:
@@ -117,14 +118,14 @@ def transcript_evidence(slots_: DataFrame, turns: DataFrame) -> DataFrame:
     """
     ours = turns.where(F.col("actor") == "operator")
     heard = [agreed_tokens(ours, kind, 2).select("run_id", "seq", F.explode("tokens").alias("token"), F.lit(kind).alias("kind")) for kind in ("digits", "kana")]
-    near = reduce(DataFrame.unionByName, heard).join(slots_.select("run_id", "slot_id", "kind", "normalized"), ["run_id", "kind"])
+    near = reduce(DataFrame.unionByName, heard).join(merged(slots_.select("run_id", "slot_id", "kind", "normalized")), ["run_id", "kind"])
     same, long = F.col("token") == F.col("normalized"), F.char_length("token") == F.char_length("normalized")
     near = near.where(same | (long & ~((F.col("kind") == "kana") & F.contains("normalized", "token"))))
     like = F.when(same, F.lit(1.0)).otherwise(sequence_ratio("token", "normalized"))
     near = near.withColumn("_like", like).where(F.col("_like") >= F.when(F.col("kind") == "digits", LIKE_DIGITS).otherwise(LIKE_KANA))
     # where the operator's own text has the number, another one may be misheard
     texts = ours.select("run_id", "seq", spoken_value(F.coalesce("text", F.lit(""))).alias("_text"))
-    near = near.join(texts, ["run_id", "seq"]).where(same | (F.col("kind") != "digits") | ~F.contains("_text", "normalized"))
+    near = near.join(merged(texts), ["run_id", "seq"]).where(same | (F.col("kind") != "digits") | ~F.contains("_text", "normalized"))
     return near.select("run_id", "slot_id", "seq", "token", same.alias("correct"))
 
 
@@ -135,29 +136,32 @@ def argument_evidence(slots_: DataFrame, args: DataFrame, turns: DataFrame) -> D
     names, slot = F.col("argument_names"), F.col("slot_id")
     by_kind = F.when(F.col("kind") == "kana", F.contains("name", F.lit("kana"))).when(F.contains(slot, F.lit("phone")), F.contains("name", F.lit("phone"))).otherwise(F.lit(False))
     stands = (F.col("name") == slot) | F.when(names.isNotNull(), F.array_contains(names, F.col("name"))).otherwise(by_kind)
-    hit = slots_.join(given, "run_id").where(stands & same_shape(F.col("_raw"), F.col("value"), F.col("kind")))
+    hit = slots_.join(merged(given), "run_id").where(stands & same_shape(F.col("_raw"), F.col("value"), F.col("kind")))
     hit = hit.withColumn("correct", F.col("_given") == F.col("normalized")).where(F.col("correct") | F.col("source_kind").isin("customer_utterance", "unknown"))
-    wrong = hit.where(~F.col("correct")).join(_customer_texts(turns).select(F.col("run_id").alias("_run"), "_said"), (F.col("run_id") == F.col("_run")) & F.contains("_said", "_given"), "left_anti")
+    wrong = hit.where(~F.col("correct")).join(merged(_customer_texts(turns).select(F.col("run_id").alias("_run"), "_said")), (F.col("run_id") == F.col("_run")) & F.contains("_said", "_given"), "left_anti")
     return hit.where("correct").select("run_id", "slot_id", "correct").unionByName(wrong.select("run_id", "slot_id", "correct"))
 
 
-def retention_units(slots_: DataFrame, args: DataFrame, turns: DataFrame) -> DataFrame:
+def retention_units(slots_: DataFrame, args: DataFrame, turns: DataFrame, heard: DataFrame | None = None) -> DataFrame:
     """M20, a unit per slot: passed if there's evidence and all of it is right. Free text that isn't
-    ASCII, and values that no gold argument carries and nobody reads back, are left out."""
-    found = argument_evidence(slots_, args, turns).unionByName(transcript_evidence(slots_, turns).select("run_id", "slot_id", "correct"))
+    ASCII, and values that no gold argument carries and nobody reads back, are left out. heard:
+    transcript_evidence, if it's there already."""
+    heard = transcript_evidence(slots_, turns) if heard is None else heard
+    found = argument_evidence(slots_, args, turns).unionByName(heard.select("run_id", "slot_id", "correct"))
     per = found.groupBy("run_id", "slot_id").agg(F.bool_and("correct").alias("_ok"), F.count("*").alias("evidence"))
-    u = slots_.join(per, ["run_id", "slot_id"], "left").where(~((F.col("kind") == "text") & ~F.col("normalized").rlike(r"^\p{ASCII}*$")))
+    u = slots_.join(merged(per), ["run_id", "slot_id"], "left").where(~((F.col("kind") == "text") & ~F.col("normalized").rlike(r"^\p{ASCII}*$")))
     u = u.where(F.col("evidence").isNotNull() | F.col("argument_names").isNull() | (F.size("argument_names") > 0))
     return u.select("run_id", F.lit("M20").alias("metric_id"), F.col("slot_id").alias("unit_id"), F.coalesce("_ok", F.lit(False)).alias("passed"))
 
 
-def read_back_units(slots_: DataFrame, turns: DataFrame) -> DataFrame:
+def read_back_units(slots_: DataFrame, turns: DataFrame, heard: DataFrame | None = None) -> DataFrame:
     """M25, a unit per customer turn with a slot's value whose answer, up to the next customer turn,
-    attempts the value: passed if every attempt is right."""
+    attempts the value: passed if every attempt is right. heard as above."""
+    heard = transcript_evidence(slots_, turns) if heard is None else heard
     w = Window.partitionBy("run_id").orderBy("seq")
     after = turns.where(F.col("actor").isin(*CUSTOMERS)).withColumn("_next", F.lead("seq").over(w)).select("run_id", F.col("seq").alias("said_seq"), "_next")
-    said = said_slots(slots_, turns).join(after, ["run_id", "said_seq"])
-    tries = said.join(transcript_evidence(slots_, turns), ["run_id", "slot_id"]).where((F.col("seq") > F.col("said_seq")) & (F.col("_next").isNull() | (F.col("seq") < F.col("_next"))))
+    said = said_slots(slots_, turns).join(merged(after), ["run_id", "said_seq"])
+    tries = said.join(merged(heard), ["run_id", "slot_id"]).where((F.col("seq") > F.col("said_seq")) & (F.col("_next").isNull() | (F.col("seq") < F.col("_next"))))
     per = tries.groupBy("run_id", "slot_id", "said_seq").agg(F.bool_and("correct").alias("passed"))
     return per.select("run_id", F.lit("M25").alias("metric_id"), F.concat_ws("@", "slot_id", F.col("said_seq").cast("string")).alias("unit_id"), "passed")
 
@@ -169,7 +173,7 @@ def grounded_units(slots_: DataFrame, args: DataFrame) -> tuple[DataFrame, DataF
     args: run_id, call_seq, name, value, ledger (whether the call has one), source_kind.
     """
     given = args.withColumn("normalized", spoken_value(F.col("value")))
-    hit = given.join(slots_.select("run_id", "normalized").distinct(), ["run_id", "normalized"])
+    hit = given.join(merged(slots_.select("run_id", "normalized").distinct()), ["run_id", "normalized"])
     gaps = args.where(~F.coalesce("ledger", F.lit(False))).select("run_id").unionByName(hit.where(F.col("source_kind").isNull()).select("run_id")).distinct()
     name = F.concat_ws(":", F.col("call_seq").cast("string"), "name")
     return hit.select("run_id", F.lit("M26").alias("metric_id"), name.alias("unit_id"), (F.col("source_kind") != "unknown").alias("passed")), gaps
@@ -179,14 +183,14 @@ def disclosure_units(contracts: DataFrame, turns: DataFrame, called: DataFrame)
     """M22, a unit per disclosure that was due: passed if each core keyword is in all transcripts (two at
     least) of some operator turn; and runs whose disclosure has no keyword. It's due once the deadline
     tool is called. contracts: run_id, disclosure, deadline_tool; called: run_id, tool."""
-    due = contracts.join(called.select("run_id", F.col("tool").alias("deadline_tool"), F.lit(True).alias("_called")).distinct(), ["run_id", "deadline_tool"], "left")
+    due = contracts.join(merged(called.select("run_id", F.col("tool").alias("deadline_tool"), F.lit(True).alias("_called")).distinct()), ["run_id", "deadline_tool"], "left")
     due = due.where(F.col("deadline_tool").isNull() | F.col("_called")).withColumn("_words", core_keywords(F.col("disclosure")))
     words = due.select("run_id", F.coalesce("deadline_tool", F.lit("disclosure")).alias("unit_id"), F.explode("_words").alias("_word"))
     words = words.withColumn("_word", spoken_value(F.col("_word")))
     ours = turns.where((F.col("actor") == "operator") & (F.size("transcripts") >= 2)).select("run_id", "seq", F.explode("transcripts").alias("_t")).withColumn("_t", spoken_value(F.col("_t")))
-    heard = words.select("run_id", "_word").distinct().join(ours, "run_id").groupBy("run_id", "_word", "seq").agg(F.bool_and(F.contains("_t", "_word")).alias("_all"))
+    heard = words.select("run_id", "_word").distinct().join(merged(ours), "run_id").groupBy("run_id", "_word", "seq").agg(F.bool_and(F.contains("_t", "_word")).alias("_all"))
     heard = heard.groupBy("run_id", "_word").agg(F.max("_all").alias("_in"))
-    per = words.join(heard, ["run_id", "_word"], "left").groupBy("run_id", "unit_id").agg(F.bool_and(F.coalesce("_in", F.lit(False))).alias("passed"))
+    per = words.join(merged(heard), ["run_id", "_word"], "left").groupBy("run_id", "unit_id").agg(F.bool_and(F.coalesce("_in", F.lit(False))).alias("passed"))
     return per.select("run_id", F.lit("M22").alias("metric_id"), "unit_id", "passed"), due.where(F.size("_words") == 0).select("run_id")
 
 
@@ -196,14 +200,16 @@ def value_metrics(runs: DataFrame, slots_: DataFrame, turns: DataFrame, args: Da
 
     runs: run_id, malformed; the rest as above, args with tool.
     """
-    spoken = spoken_slots(slots_, turns)
+    # three and two metrics read these
+    spoken = checkpointed(spoken_slots(slots_, turns))
+    heard = checkpointed(transcript_evidence(spoken, turns))
     grounded_, gaps = grounded_units(spoken, args)
     told, wordless = disclosure_units(contracts, turns, args.select("run_id", "tool"))
-    units = reduce(DataFrame.unionByName, [retention_units(spoken, args, turns), told, read_back_units(spoken, turns), grounded_])
+    units = reduce(DataFrame.unionByName, [retention_units(spoken, args, turns, heard), told, read_back_units(spoken, turns, heard), grounded_])
     per = units.groupBy("run_id", "metric_id").agg(F.count("*").alias("units"), F.count_if("passed").alias("passed_units"))
     none = gaps.select("run_id", F.lit("M26").alias("metric_id")).unionByName(wordless.select("run_id", F.lit("M22").alias("metric_id"))).distinct().withColumn("_open", F.lit(True))
     every = runs.select("run_id", "malformed", F.explode(F.array(*[F.lit(m) for m in ("M20", "M22", "M25", "M26")])).alias("metric_id"))
-    out = every.join(per, ["run_id", "metric_id"], "left").join(none, ["run_id", "metric_id"], "left")
+    out = every.join(merged(per), ["run_id", "metric_id"], "left").join(merged(none), ["run_id", "metric_id"], "left")
     n, good = F.coalesce("units", F.lit(0)), F.coalesce("passed_units", F.lit(0))
     status = F.when(F.col("malformed") | F.col("_open"), "N/M").when(n == 0, "N/A").when(good == n, "passed").otherwise("failed")
     measured = ~status.isin("N/M")
