@@ -22,6 +22,38 @@ def merged(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Rows of a part of a table that is dealt by rows.
+ROWS_A_PART = 500_000
+
+
+def parts(*frames: DataFrame) -> int:
+    """Parts for these frames together, by their rows. Parts by bytes, as Spark makes them, grow with how well
+    rows compress: a shuffle of few different values has millions of rows in some MB."""
+    n = sum(df.count() for df in frames)
+    cores = frames[0].sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-n // ROWS_A_PART), min(cores, n // 10_000))
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """A growing table dealt by key in as many parts as its rows need; aggregations and windows by this key,
+    alone or with others, need no further shuffle."""
+    return df.repartition(parts(df), key)
+
+
+def matched(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """An inner or left join of two growing tables by sorting, in as many parts as their rows need.
+
+    Several columns become one key: were one of them the same for all rows, Spark would leave it out of the
+    join and deal both sides anew, in parts by bytes.
+    """
+    n = max(parts(left, right), int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in on])
+    key = F.when(whole, F.struct(*on)).alias("_on")
+    first, second = ([c for c in df.columns if c not in on] for df in (left, right))
+    sides = left.select(key, *on, *first).repartition(n, "_on"), right.select(key, *second).repartition(n, "_on")
+    return sides[0].join(merged(sides[1]), "_on", how).select(*on, *first, *second)
+
+
 def each(df: DataFrame, rows: DataFrame) -> DataFrame:
     """Every row of df with every row of a small table of contracts, which becomes a constant: no join."""
     found = rows.limit(MOST_BROADCAST + 1).collect()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import match_entries
+from .common import matched, parts
 
 KEY = ["run_id", "tbl", "identity"]
 
@@ -117,20 +118,21 @@ def completion(changes: DataFrame, required: DataFrame, forbidden: DataFrame, ru
     compared, so the join is hashed on (run, table, operation).
     """
     formed = lambda df: df.withColumn("after", F.map_from_arrays(F.map_keys("after"), match_entries(F.map_values("after"), F.map_keys("after"))))
-    required, forbidden = formed(required), formed(forbidden)
-    seen = formed(changes).select("run_id", "operation", "tbl", F.col("after").alias("_after"))
-
-    def observed(wanted: DataFrame) -> DataFrame:
-        hit = wanted.join(seen, ["run_id", "operation", "tbl"], "left")
-        hit = hit.groupBy("run_id", "mutation_id").agg(F.max(F.coalesce(includes(F.col("_after"), F.col("after")), F.lit(False))).alias("seen"))
-        return hit.groupBy("run_id")
-
-    need = observed(required).agg(F.sum((~F.col("seen")).cast("int")).alias("missing"))
-    bad = observed(forbidden).agg(F.sum(F.col("seen").cast("int")).alias("forbidden"))
-    out = runs.join(need, "run_id", "left").join(bad, "run_id", "left")
-    missing, wrong = F.coalesce("missing", F.lit(0)), F.coalesce("forbidden", F.lit(0))
-    status = F.when(wrong > 0, "forbidden_change").when(missing > 0, "incomplete").otherwise("complete")
-    return out.select("run_id", missing.cast("bigint").alias("missing"), wrong.cast("bigint").alias("forbidden"), status.alias("outcome"))
+    by = ["run_id", "operation", "tbl"]
+    side = lambda df, bad: formed(df).select(*by, "mutation_id", "after", F.lit(bad).alias("bad"))
+    seen = formed(changes).select(*by, F.col("after").alias("_after"))
+    hits = matched(side(required, False).unionByName(side(forbidden, True)), seen, by, "left")
+    hits = hits.select("run_id", "bad", "mutation_id", F.coalesce(includes(F.col("_after"), F.col("after")), F.lit(False)).alias("seen"), F.lit(0).alias("here"))
+    none = F.lit(None)
+    own = runs.select("run_id", none.cast("boolean").alias("bad"), none.cast(hits.schema["mutation_id"].dataType).alias("mutation_id"), none.cast("boolean").alias("seen"), F.lit(1).alias("here"))
+    # mutations and runs are dealt by run once, for both counts
+    rows = hits.unionByName(own).repartition(parts(required, forbidden, runs), "run_id")
+    each = rows.groupBy("run_id", "bad", "mutation_id").agg(F.max("seen").alias("seen"), F.sum("here").alias("here"))
+    count = lambda c: F.coalesce(F.sum(F.when(F.col("run_id").isNotNull(), c.cast("int"))), F.lit(0)).cast("bigint")
+    out = each.groupBy("run_id").agg(count(~F.col("bad") & ~F.col("seen")).alias("missing"), count(F.col("bad") & F.col("seen")).alias("forbidden"), F.sum("here").cast("int").alias("_here"))
+    status = F.when(F.col("forbidden") > 0, "forbidden_change").when(F.col("missing") > 0, "incomplete").otherwise("complete")
+    out = out.where("_here > 0").withColumn("outcome", status)
+    return out.select("run_id", "missing", "forbidden", "outcome", F.explode(F.array_repeat(F.lit(0), F.col("_here"))).alias("_copy")).drop("_copy")
 
 
 def state_changing(calls: DataFrame) -> DataFrame:
