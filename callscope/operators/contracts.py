@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dim
+from .common import dealt, dim, matched
 
 
 def successful_changes(results: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def expected_trace(gold_calls: DataFrame, executed: DataFrame) -> DataFrame:
     scenario_id, idx, error."""
     g = gold_calls.select("scenario_id", F.posexplode("calls").alias("idx", "c")).select("scenario_id", "idx", "c.*")
     e = executed.select("scenario_id", "idx", "error")
-    return g.join(e, ["scenario_id", "idx"], "left").withColumn("outcome", F.when(F.col("error").isNotNull(), "error").otherwise("ok")).drop("error")
+    return matched(g, e, ["scenario_id", "idx"], "left").withColumn("outcome", F.when(F.col("error").isNotNull(), "error").otherwise("ok")).drop("error")
 
 
 def ideal_conversation(gold_turns: DataFrame) -> DataFrame:
@@ -49,8 +49,11 @@ def disclosure_deadline(ideal: DataFrame, disclosures: DataFrame) -> DataFrame:
 
 def single_trigger(triggers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Scenarios with exactly one active trigger, and the others with their count."""
-    n = triggers.where("active").groupBy("scenario_id").agg(F.count("*").alias("n"))
-    return triggers.where("active").join(n.where("n = 1"), "scenario_id", "left_semi"), n.where("n != 1")
+    active = dealt(triggers.where("active"), "scenario_id")
+    n = active.groupBy("scenario_id").agg(F.count("*").alias("n"))
+    # a null scenario is none
+    one = active.withColumn("_n", F.count("*").over(Window.partitionBy("scenario_id"))).where("_n = 1 AND scenario_id IS NOT NULL").drop("_n")
+    return one, n.where("n != 1")
 
 
 def argument_contracts(filters: DataFrame, sets: DataFrame, columns: DataFrame, tool_args: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sketch
 from ..operators import attempts, contracts, facets, judge, order, provenance, report, sequence, state
+from ..operators.common import matched
 from ..sources import records
 from ..streaming import live
 from .rule_queries import at, words
@@ -130,7 +131,7 @@ def expected_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = F.col("scenario_id") % 4
     triggers = s.select("scenario_id", F.explode(F.array(F.struct((j >= 1).alias("active")), F.struct((j == 3).alias("active")))).alias("t")).select("scenario_id", "t.active")
     one, _ = contracts.single_trigger(triggers.where(j != 2).unionByName(s.where(j == 2).withColumn("active", F.lit(True))))
-    return e.join(one.select("scenario_id", F.lit(True).alias("_one")), "scenario_id", "left").select("scenario_id", "idx", "tool", "outcome", F.coalesce("_one", F.lit(False)).alias("one_trigger"))
+    return matched(e, one.select("scenario_id", F.lit(True).alias("_one")), ["scenario_id"], "left").select("scenario_id", "idx", "tool", "outcome", F.coalesce("_one", F.lit(False)).alias("one_trigger"))
 
 
 @query("""WITH p AS (SELECT p_partkey AS k, 't' || p_partkey AS tool FROM part)

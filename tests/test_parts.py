@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from callscope.operators import common, state
+from callscope.operators import common, contracts, state
 
 ROWS = 40
 
@@ -38,3 +38,12 @@ def test_completion_of_runs_that_repeat_or_have_nothing(spark):
     forbidden = spark.createDataFrame([(2, "update", "t", {"a": "2"}, "m"), (9, "update", "t", {"a": "2"}, "m")], mutation + ", mutation_id string")
     out = state.completion(changes, required, forbidden, spark.createDataFrame([(1,), (2,), (2,), (None,)], "run_id bigint"))
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, 1, 0, "incomplete"), (2, 0, 0, "complete"), (2, 0, 0, "complete"), (None, 0, 0, "complete")], key=str)
+
+
+def test_expected_trace_parts(spark, small_parts):
+    s = runs(spark).withColumnRenamed("run_id", "scenario_id")
+    gold = s.select("scenario_id", F.array(F.struct(F.lit("t").alias("tool"), F.lit("{}").alias("arguments"))).alias("calls"))
+    out = contracts.expected_trace(gold, s.select("scenario_id", F.lit(0).alias("idx"), F.when(F.col("scenario_id") < 10, "boom").alias("error")))
+    assert largest(out) <= 2 * ROWS
+    assert out.where("outcome = 'error'").count() == 10
+    assert largest(contracts.single_trigger(s.withColumn("active", F.lit(True)))[0]) <= 2 * ROWS
