@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import dealt, union
+
 #: Handling types, and how state rows write them: fixed values.
 HANDLING_TYPES = ("change_procedure", "guidance_inquiry_answer", "refusal", "escalation", "callback_commitment")
 INCOMPLETE = "incomplete"
@@ -124,13 +126,22 @@ def run_outcome(runs: DataFrame) -> DataFrame:
 def confirmed_evidence(claimed: DataFrame, valid: DataFrame, mandatory: DataFrame) -> DataFrame:
     """Claimed references that exist, in their order, then the mandatory ones that were not claimed.
 
-    claimed: run_id, pos, kind, ref; valid and mandatory: run_id, kind, ref.
+    claimed: run_id, pos, kind, ref; valid and mandatory: run_id, kind, ref. All three are dealt by run once,
+    and sorted once.
     """
     keys = ["run_id", "kind", "ref"]
-    kept = claimed.join(valid.select(*keys).distinct(), keys, "left_semi").select(*keys, "pos")
-    last = claimed.groupBy("run_id").agg(F.max("pos").alias("_last"))
-    extra = mandatory.select(*keys).distinct().join(kept.select(*keys), keys, "left_anti").join(last, "run_id", "left")
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.partitionBy("run_id").orderBy("kind", "ref"))
-    return kept.unionByName(extra.select(*keys, (F.coalesce("_last", F.lit(-1)) + number).alias("pos")))
+    place = claimed.schema["pos"].dataType
+    side = lambda df, name, pos: df.select(*keys, F.lit(name).alias("_side"), pos.cast(place).alias("pos"))
+    rows = dealt(union([side(claimed, "claimed", F.col("pos")), side(valid, "valid", F.lit(None)), side(mandatory, "mandatory", F.lit(None))]), "run_id")
+    of = lambda name: F.col("_side") == name
+    same, run = Window.partitionBy(*keys), Window.partitionBy("run_id")
+    # a reference without a run, kind or name equals no other
+    whole = F.col("run_id").isNotNull() & F.col("kind").isNotNull() & F.col("ref").isNotNull()
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, "_side").orderBy("pos")))
+    rows = rows.withColumns({"_valid": whole & F.max(of("valid")).over(same), "_claimed": F.max(of("claimed")).over(same)})
+    extra = of("mandatory") & (F.col("_nth") == 1) & ~(F.col("_valid") & F.col("_claimed"))
+    last = F.when(F.col("run_id").isNotNull(), F.max(F.when(of("claimed"), F.col("pos"))).over(run))
+    rows = rows.withColumns({"_extra": extra, "_last": last})
+    number = F.sum(F.col("_extra").cast("int")).over(run.orderBy("kind", "ref").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    rows = rows.withColumn("_number", number).where(of("claimed") & F.col("_valid") | F.col("_extra"))
+    return rows.select(*keys, F.when(F.col("_extra"), F.coalesce("_last", F.lit(-1)) + F.col("_number")).otherwise(F.col("pos")).alias("pos"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from callscope.operators import common, contracts, state
+from callscope.operators import common, contracts, state, tickets
 
 ROWS = 40
 
@@ -47,3 +47,18 @@ def test_expected_trace_parts(spark, small_parts):
     assert largest(out) <= 2 * ROWS
     assert out.where("outcome = 'error'").count() == 10
     assert largest(contracts.single_trigger(s.withColumn("active", F.lit(True)))[0]) <= 2 * ROWS
+
+
+def test_confirmed_evidence_parts(spark, small_parts):
+    claimed = runs(spark).select("run_id", F.lit(0).alias("pos"), F.lit("event").alias("kind"), F.lit("e").alias("ref"))
+    out = tickets.confirmed_evidence(claimed, claimed.drop("pos"), claimed.drop("pos"))
+    assert largest(out) <= 2 * ROWS and out.count() == 1000
+
+
+def test_confirmed_evidence_of_references_that_repeat_or_are_null(spark):
+    ref = "run_id bigint, kind string, ref string"
+    claimed = spark.createDataFrame([(1, 0, "e", "a"), (1, 4, "e", "a"), (1, 7, "e", "lost"), (1, 2, None, "a"), (None, 5, "e", "a")], "run_id bigint, pos int, kind string, ref string")
+    valid = spark.createDataFrame([(1, "e", "a"), (1, "e", "a"), (1, None, "a"), (None, "e", "a")], ref)
+    mandatory = spark.createDataFrame([(1, "e", "a"), (1, "e", "b"), (1, "e", "b"), (1, None, "a"), (None, "e", "a"), (2, "e", "x")], ref)
+    found = sorted(map(tuple, tickets.confirmed_evidence(claimed, valid, mandatory).collect()), key=str)
+    assert found == sorted([(1, "e", "a", 0), (1, "e", "a", 4), (1, None, "a", 8), (1, "e", "b", 9), (None, "e", "a", 0), (2, "e", "x", 0)], key=str)
