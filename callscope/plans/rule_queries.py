@@ -3,11 +3,12 @@ that a residue of the key picks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import contract_rules as rules
 from ..operators import quality
+from ..operators.common import dealt
 from .traces import table
 
 QUERIES: dict = {}
@@ -181,11 +182,10 @@ def judge_config_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT run_id, k, i, 'q' || CASE WHEN k % 5 = 0 THEN 1 ELSE i END AS q FROM l)
 SELECT run_id, 'declared_value_missing' AS rule, q AS detail FROM p WHERE k % 7 = 0 UNION ALL SELECT run_id, 'ref_missing', q FROM p WHERE (k + i) % 11 = 0 UNION ALL SELECT run_id, 'question_repeated', 'q1' FROM p WHERE k % 5 = 0 GROUP BY run_id HAVING count(*) > 1""")
 def consent_pair_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice"))
+    i = F.row_number().over(Window.partitionBy("run_id").orderBy("l_linenumber", "l_partkey", "l_extendedprice"))
     k = F.col("run_id")
-    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), i.alias("i"))
+    lines = dealt(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), "l_linenumber", "l_partkey", "l_extendedprice"), "run_id")
+    p = lines.select("run_id", i.alias("i"))
     return rules.consent_pairs(p.select("run_id", F.concat(F.lit("q"), at(k, 5, F.lit(1), F.col("i")).cast("string")).alias("question_id"), F.lit("agreed?").alias("question"), at(k, 7, "", "v").alias("declared_value"), F.lit("yes").alias("utterance"), F.when((k + F.col("i")) % 11 == 0, F.lit(None).cast("string")).otherwise("r").alias("ref")))
 
 

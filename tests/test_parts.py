@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callscope.operators import common, contracts, state, tickets
+from callscope.plans import registry
 
 ROWS = 40
 
@@ -62,3 +63,9 @@ def test_confirmed_evidence_of_references_that_repeat_or_are_null(spark):
     mandatory = spark.createDataFrame([(1, "e", "a"), (1, "e", "b"), (1, "e", "b"), (1, None, "a"), (None, "e", "a"), (2, "e", "x")], ref)
     found = sorted(map(tuple, tickets.confirmed_evidence(claimed, valid, mandatory).collect()), key=str)
     assert found == sorted([(1, "e", "a", 0), (1, "e", "a", 4), (1, None, "a", 8), (1, "e", "b", 9), (None, "e", "a", 0), (2, "e", "x", 0)], key=str)
+
+
+def test_consent_pair_parts(spark, small_parts):
+    sf = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert registry.queries()["consent_pair_rules"](spark, sf).rdd.getNumPartitions() >= lines // ROWS
