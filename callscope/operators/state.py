@@ -6,6 +6,8 @@ run_id, seq, operation, tbl, identity, after (map) and, where useful, before.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,8 +61,14 @@ def state_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def same_state(before: DataFrame, after: DataFrame, runs: DataFrame) -> DataFrame:
-    """Per run: whether two states are equal, and how many cells differ."""
-    diff = state_diff(before, after).groupBy("run_id").agg(F.count("*").alias("n_diff"))
+    """Per run: whether two states are equal, and how many cells differ. A cell is in a state once."""
+    cell = [*KEY, "column"]
+    side = lambda df, name: df.select(*cell, F.struct("value").alias(name))
+    # a cell without a run, table, identity or column equals no other
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in cell])
+    both = side(before, "_b").unionByName(side(after, "_a"), True).withColumn("_side", F.when(~whole, F.col("_a").isNull()))
+    both = both.groupBy(*cell, "_side").agg(F.max("_b").alias("_b"), F.max("_a").alias("_a"))
+    diff = both.where(~F.col("_b").eqNullSafe(F.col("_a"))).groupBy("run_id").agg(F.count("*").alias("n_diff"))
     return runs.join(diff, "run_id", "left").select("run_id", F.coalesce("n_diff", F.lit(0)).alias("n_diff"), F.coalesce(F.col("n_diff") == 0, F.lit(True)).alias("equal"))
 
 

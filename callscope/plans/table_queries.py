@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import audio, judge, provenance, retrieval, state, values
+from ..operators.common import parts
 from .traces import TRACE_SQL, table, traces
 
 QUERIES: dict = {}
@@ -34,10 +35,13 @@ fin AS (SELECT run_id, tbl, identity, "column", arg_max(value, seq) AS value FRO
 
 
 def order_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey"), F.col("o_totalprice"))
+    o, li = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey"), F.col("o_totalprice")), table(spark, sf_dir, "lineitem")
+    # both are dealt by run alike, and early: what follows goes by run, and long rows of maps are never shuffled
+    n = parts(o, li)
     cents = lambda c: F.round(F.col(c) * 100).cast("bigint").cast("string")
-    initial = o.select("run_id", F.lit("orders").alias("tbl"), F.col("o_orderkey").cast("string").alias("identity"), F.create_map(F.lit("status"), F.lit("open"), F.lit("price"), cents("o_totalprice")).alias("values"))
-    lines = table(spark, sf_dir, "lineitem").join(o.select("run_id", "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    initial = o.repartition(n, "run_id").select("run_id", F.lit("orders").alias("tbl"), F.col("o_orderkey").cast("string").alias("identity"), F.create_map(F.lit("status"), F.lit("open"), F.lit("price"), cents("o_totalprice")).alias("values"))
+    lines = li.join(o.select("run_id", "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.select("run_id", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice", "l_returnflag").repartition(n, "run_id")
     seq = F.row_number().over(Window.partitionBy("run_id").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey")).cast("bigint")
     changes = lines.select("run_id", seq.alias("seq"), F.lit("update").alias("operation"), F.lit("orders").alias("tbl"), F.col("l_orderkey").cast("string").alias("identity"), F.create_map(F.lit("status"), F.col("l_returnflag"), F.lit("last_amount"), cents("l_extendedprice")).alias("after"))
     return initial, changes

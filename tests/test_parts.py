@@ -69,3 +69,22 @@ def test_consent_pair_parts(spark, small_parts):
     sf = "/root/testdata/sf0.001"
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert registry.queries()["consent_pair_rules"](spark, sf).rdd.getNumPartitions() >= lines // ROWS
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange SinglePartition")
+
+
+def test_state_by_run_is_shuffled_once(spark, small_parts):
+    sf = "/root/testdata/sf0.001"
+    # orders join their lines, then initial state and changes are dealt; no cell is shuffled
+    assert exchanges(registry.queries()["state_hash"](spark, sf)) <= 4
+
+
+def test_same_state_of_cells_that_are_null_or_on_one_side(spark):
+    cells = lambda rows: spark.createDataFrame(rows, "run_id bigint, tbl string, identity string, column string, value string")
+    before = cells([(1, "t", "a", "x", "1"), (1, "t", "a", "y", None), (1, "t", None, "x", "1"), (2, "t", "a", "x", None), (None, "t", "a", "x", "1")])
+    after = cells([(1, "t", "a", "x", "2"), (1, "t", "a", "y", None), (1, "t", None, "x", "1"), (3, "t", "a", "x", None)])
+    runs = spark.createDataFrame([(1,), (2,), (3,), (4,)], "run_id bigint")
+    assert sorted(map(tuple, state.same_state(before, after, runs).collect())) == [(1, 3, False), (2, 1, False), (3, 1, False), (4, 0, True)]
