@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import dealt
+
 FEATURES = "path string, error string, rate int, channels int, bits int, frames bigint, file_sha256 string, payload_sha256 string, rms_dbfs double, peak_dbfs double, clip_ratio double, flat_top_ms double, dc_dbfs double, rolloff_hz double, dropout_ms double, snr_db double"
 #: What silence counts as, in decibels, and amplitudes that count as silence: fixed values.
 FLOOR_DB = -300.0
@@ -177,6 +179,36 @@ REASONS = {
 }
 
 
+def _met(probes: DataFrame, events: DataFrame, clocks: DataFrame) -> DataFrame:
+    """Probes with the events that they name (_seen, _start, _end: ns; _seen_control), their run's
+    uncertainty_ns and _twice: what left joins give, but all is dealt by run once."""
+    refs = {"_seen": "observed_control_event_id", "_start": "start_event_id", "_end": "end_event_id"}
+    given = ["probe_id", "applicable", "expected_control", "latency_kind"]
+    kind = lambda name: F.lit(name).alias("_row")
+    own = probes.select(kind("probe"), "run_id", *given, *refs.values())
+    seen = events.select(kind("event"), "run_id", "event_id", F.struct("ns", "control").alias("_e"))
+    clock = clocks.select(kind("clock"), "run_id", F.struct("uncertainty_ns").alias("_c"))
+    rows = dealt(own.unionByName(seen, True).unionByName(clock, True), "run_id")
+    run, probe = Window.partitionBy("run_id"), Window.partitionBy("run_id", "probe_id", "_row")
+    known, is_probe = F.col("run_id").isNotNull(), F.col("_row") == "probe"
+    rows = rows.withColumn("_nth", F.row_number().over(probe.orderBy(*refs.values())))
+    rows = rows.withColumn("_twice", known & F.col("probe_id").isNotNull() & (F.count("*").over(probe) > 1))
+    rows = rows.withColumn("_clocks", F.when(known, F.collect_list("_c").over(run))).where("_row != 'clock'").drop("_c")
+    # a row a reference, beside the events themselves
+    entry = lambda name, i: F.struct(name.cast("string").alias("name"), F.col(i).alias("id"))
+    named = F.array(*[entry(F.lit(name), ref) for name, ref in refs.items()])
+    rows = rows.select("*", F.inline(F.when(is_probe, named).otherwise(F.array(entry(F.lit(None), "event_id"))))).drop("event_id", *refs.values())
+    found = F.when(known & F.col("id").isNotNull(), F.collect_list("_e").over(Window.partitionBy("run_id", "id")))
+    rows = rows.withColumn("_found", found).where(is_probe)
+    same = [F.first(c).alias(c) for c in (*given[1:], "_twice", "_clocks")]
+    rows = rows.groupBy("run_id", "probe_id", "_nth").agg(*same, *[F.first(F.when(F.col("name") == name, F.col("_found")), True).alias(name) for name in refs])
+    # several events of one id, or clocks of one run, give several rows
+    for name in refs:
+        rows = rows.withColumn(name, F.explode_outer(name))
+    rows = rows.withColumn("_c", F.explode_outer("_clocks"))
+    return rows.select("run_id", *given, "_twice", "_c.uncertainty_ns", F.col("_seen.control").alias("_seen_control"), *[F.col(f"{name}.ns").alias(name) for name in refs])
+
+
 def turn_probes(probes: DataFrame, events: DataFrame, clocks: DataFrame, policy: dict[str, float] | None) -> DataFrame:
     """run_id, probe_id, status, reason, latency_ms, threshold_ms: whether a turn was controlled as expected,
     and in time.
@@ -188,11 +220,7 @@ def turn_probes(probes: DataFrame, events: DataFrame, clocks: DataFrame, policy:
     control is empty, the kind is unknown, its bound is missing or negative, or it ends before it starts.
     """
     bounds = policy or {}
-    place = lambda name, ref: events.select("run_id", F.col("event_id").alias(ref), F.col("ns").alias(f"_{name}"), F.col("control").alias(f"_{name}_control"))
-    p = probes.join(place("seen", "observed_control_event_id"), ["run_id", "observed_control_event_id"], "left")
-    p = p.join(place("start", "start_event_id"), ["run_id", "start_event_id"], "left").join(place("end", "end_event_id"), ["run_id", "end_event_id"], "left")
-    twice = probes.groupBy("run_id", "probe_id").agg((F.count("*") > 1).alias("_twice"))
-    p = p.join(twice, ["run_id", "probe_id"], "left").join(clocks, "run_id", "left")
+    p = _met(probes, events, clocks)
     kind = F.col("latency_kind")
     bound = F.lit(None).cast("double")
     for k, name in LATENCY_BOUNDS.items():

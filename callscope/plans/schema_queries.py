@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audio, receipts, resampling, search, state
+from ..operators.common import dealt
 from ..operators.document_schema import violations
 from .trace_queries import RESULTS, results_of
 from .traces import TRACE_SQL, table, traces
@@ -151,14 +152,16 @@ def turn_probe_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A probe a line, of every kind of latency, against a policy and an uncertain clock."""
     li = table(spark, sf_dir, "lineitem")
     name = F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey")
-    li = li.select(F.col("l_orderkey").alias("run_id"), name.alias("probe_id"), F.col("l_quantity").cast("double").alias("ms"), F.col("l_suppkey").alias("s"))
+    li = dealt(li.select(F.col("l_orderkey").alias("run_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), "run_id")
+    li = li.select("run_id", name.alias("probe_id"), F.col("l_quantity").cast("double").alias("ms"), F.col("l_suppkey").alias("s"))
     once = li.groupBy("run_id", "probe_id").agg(F.first("ms").alias("ms"), F.first("s").alias("s"), F.count("*").alias("n")).where("n = 1")
     s = F.col("s")
     kind = F.get(F.array(*map(F.lit, ["stop", "response", "resume", "pause_hold"]), F.lit(None)), (s % 5).cast("int"))
     probes = once.select("run_id", "probe_id", (s % 11 != 0).alias("applicable"), F.when(s % 7 == 0, "stop").otherwise("go").alias("expected_control"), F.concat("probe_id", F.lit(":a")).alias("observed_control_event_id"), kind.alias("latency_kind"), F.concat("probe_id", F.lit(":a")).alias("start_event_id"), F.concat("probe_id", F.lit(":b")).alias("end_event_id"))
-    at = lambda end, ms: once.select("run_id", F.concat("probe_id", F.lit(end)).alias("event_id"), (ms * 1_000_000).cast("bigint").alias("ns"), F.lit("go").alias("control"))
-    clocks = once.select("run_id", (F.col("run_id") % 6 * 1_000_000).alias("uncertainty_ns")).distinct()
-    return audio.turn_probes(probes, at(":a", F.lit(0)).unionByName(at(":b", F.col("ms"))), clocks, POLICY).select("run_id", "probe_id", "status", "reason")
+    at = lambda end, ms: F.struct(F.concat("probe_id", F.lit(end)).alias("event_id"), (ms * 1_000_000).cast("bigint").alias("ns"), F.lit("go").alias("control"))
+    events = once.select("run_id", F.inline(F.array(at(":a", F.lit(0)), at(":b", F.col("ms")))))
+    clocks = li.select("run_id", (F.col("run_id") % 6 * 1_000_000).alias("uncertainty_ns")).distinct()
+    return audio.turn_probes(probes, events, clocks, POLICY).select("run_id", "probe_id", "status", "reason")
 
 
 # --- resampling -----------------------------------------------------------------------------------------

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from callscope.operators import common, contracts, state, tickets
+from callscope.operators import audio, common, contracts, state, tickets
 from callscope.plans import registry
 
 ROWS = 40
@@ -76,6 +76,18 @@ def exchanges(df):
     return plan.count("Exchange hashpartitioning") + plan.count("Exchange SinglePartition")
 
 
+def test_turn_probes_of_events_that_repeat_or_are_null(spark, small_parts):
+    probe = "run_id bigint, probe_id string, applicable boolean, expected_control string, observed_control_event_id string, latency_kind string, start_event_id string, end_event_id string"
+    p = spark.createDataFrame([(1, "a", True, "go", "x", "stop", "x", "y"), (1, "b", True, "go", None, "stop", "x", "y"), (1, "c", True, "go", "x", "stop", "x", "z"), (1, "c", True, "go", "x", "stop", "x", "z"), (2, "a", True, "go", "x", "stop", "x", "y"), (2, None, False, None, None, None, None, None), (2, None, False, None, None, None, None, None)], probe)
+    e = spark.createDataFrame([(1, "x", 0, "go"), (1, "y", 5_000_000, "go"), (1, "y", 90_000_000, "go"), (1, None, 7, "go"), (2, "x", 0, "go"), (2, "y", 1_000_000, "go")], "run_id bigint, event_id string, ns bigint, control string")
+    c = spark.createDataFrame([(1, 0), (3, 0)], "run_id bigint, uncertainty_ns bigint")
+    out = audio.turn_probes(p, e, c, {"stop_latency_max_ms": 20.0, "clock_uncertainty_max_ms": 4.0})
+    none = (2, None, "N/A", "probe_opportunity_not_present")
+    want = [(1, "a", "passed", "latency_interval_within_maximum"), (1, "a", "failed", "latency_interval_exceeds_maximum"), *[(1, "b", "contract_invalid", "observed control event missing")] * 2, *[(1, "c", "contract_invalid", "duplicate probe_id")] * 2, (2, "a", "contract_invalid", "clock missing"), none, none]
+    assert sorted(map(tuple, out.select("run_id", "probe_id", "status", "reason").collect()), key=str) == sorted(want, key=str)
+    assert exchanges(out) == 1
+
+
 def test_state_by_run_is_shuffled_once(spark, small_parts):
     sf = "/root/testdata/sf0.001"
     # orders join their lines, then initial state and changes are dealt; no cell is shuffled
