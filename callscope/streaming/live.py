@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from ..functions import sketch
 
@@ -28,69 +29,68 @@ def score_landed(stream: DataFrame, score: Callable[[DataFrame], DataFrame], out
 PAIR = "run_id bigint, tool string, call_seq bigint, result_seq bigint, outcome string"
 
 
-class Pairing(StatefulProcessor):
-    """Queue of open calls per (run_id, tool), and a timer for the oldest of them."""
-
-    def __init__(self, patience_ms: int):
-        self.patience_ms = patience_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", "seq bigint, at bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        waiting, out = deque(self.open.get()), []
-        batch = pd.concat(list(rows)).sort_values("seq")
-        for seq, kind, at in zip(batch["seq"].tolist(), batch["event_type"].tolist(), batch["at"].tolist(), strict=True):
-            if kind == "tool_call":
-                waiting.append((seq, at))
-                continue
-            # a call whose time is over isn't answered any more, whenever its timer comes
-            out += self._over(key, waiting, at)
-            if waiting:
-                out.append((*key, waiting.popleft()[0], seq, "answered"))
-        self._keep(waiting)
-        yield pd.DataFrame(out, columns=["run_id", "tool", "call_seq", "result_seq", "outcome"])
-
-    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        waiting = deque(self.open.get())
-        # all that the watermark has passed: a timer set here would fire with the next micro-batch only
-        out = self._over(key, waiting, timerValues.getCurrentWatermarkInMs())
-        self._keep(waiting)
-        yield pd.DataFrame(out, columns=["run_id", "tool", "call_seq", "result_seq", "outcome"])
-
-    def _over(self, key, waiting: deque, now: int) -> list[tuple]:
-        out = []
-        while waiting and waiting[0][1] + self.patience_ms <= now:
-            out.append((*key, waiting.popleft()[0], None, "missing_result"))
-        return out
-
-    def _keep(self, waiting: deque) -> None:
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        if waiting:
-            self.open.put(list(waiting))
-            self.handle.registerTimer(waiting[0][1] + self.patience_ms)
-        else:
-            self.open.clear()
-
-    def close(self) -> None:
-        pass
+#: The open calls of a shard, as columns by seq within run and tool.
+OPEN = "runs array<bigint>, tools array<string>, seqs array<bigint>, ats array<bigint>"
+#: Shards of the state: a call of Python and one state each, whatever the number of runs and tools. A call holds
+#: its shard's rows of a micro-batch and its open calls; checkpoints hold to the number they began with.
+SHARDS = 512
+
+
+def _pairing(patience_ms: int):
+    """Queues of open calls per (run_id, tool) of a shard, and a time-out for the oldest call of them all."""
+
+    def pair(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, out = {}, []
+        for run, tool, seq, at in zip(*state.get) if state.exists else ():
+            waiting.setdefault((run, tool), deque()).append((seq, at))
+
+        def over(k, now: int) -> deque:
+            calls = waiting.get(k, ())
+            while calls and calls[0][1] + patience_ms <= now:
+                out.append((*k, calls.popleft()[0], None, "missing_result"))
+            return calls
+
+        # a timed-out shard has no rows
+        batch = pd.concat(list(rows)).astype({"seq": "int64", "at": "int64"}).sort_values("seq") if not state.hasTimedOut else None
+        if batch is not None:
+            # runs of null have shards of their own
+            runs = [None] * len(batch) if key[0] else batch["run_id"].tolist()
+            for run, tool, seq, kind, at in zip(runs, *(batch[c].tolist() for c in ("tool", "seq", "event_type", "at")), strict=True):
+                if kind == "tool_call":
+                    waiting.setdefault((run, tool), deque()).append((seq, at))
+                # a call whose time is over isn't answered any more, whenever its time-out comes
+                elif calls := over((run, tool), at):
+                    out.append((run, tool, calls.popleft()[0], seq, "answered"))
+        # all that the watermark has passed: a time-out set there would come with the next micro-batch only
+        for k in waiting:
+            over(k, state.getCurrentWatermarkMs())
+        left = [(*k, *call) for k, calls in waiting.items() for call in calls]
+        if left:
+            state.update(tuple(map(list, zip(*left, strict=True))))
+            # it comes when the watermark is beyond it
+            state.setTimeoutTimestamp(max(1, min(calls[0][1] for calls in waiting.values() if calls) + patience_ms - 1))
+        elif state.exists:
+            state.remove()
+        made = pd.DataFrame(out, columns=["run_id", "tool", "call_seq", "result_seq", "outcome"])
+        yield made.astype({"run_id": "Int64", "call_seq": "Int64", "result_seq": "Int64"})
+
+    return pair
 
 
 def pair_calls(events: DataFrame, patience: str = "1 hour", late: str = "1 minute") -> DataFrame:
     """First-in first-out pairing of calls and results as they arrive.
 
-    events: run_id, tool, seq, event_type, ts (timestamp). State per (run_id, tool) is the queue of open
-    calls; rows of a micro-batch are taken by seq. A call is over when patience has passed since it, by the
-    event time of a result or by the watermark, whichever comes first: its timer emits missing_result
-    and its state goes. Results without a call drop; rows behind the watermark drop and are counted
-    (late_rows). Needs the RocksDB state store (state_store).
+    events: run_id, tool, seq, event_type, ts (timestamp). State is the queues of open calls per (run_id,
+    tool), in SHARDS shards by hash: a micro-batch calls Python once a shard, not once a queue. Rows of a
+    micro-batch are taken by seq. A call is over when patience has passed since it, by the event time of a
+    result or by the watermark, whichever comes first: its shard's time-out emits missing_result and its
+    state goes. Results without a call drop; rows behind the watermark drop and are counted (late_rows).
     """
     kept = events.where(F.col("event_type").isin("tool_call", "tool_result") & F.col("tool").isNotNull())
-    kept = kept.select("run_id", "tool", "seq", "event_type", F.unix_millis("ts").alias("at"), "ts").withWatermark("ts", late)
-    seconds = kept.sparkSession.sql(f"SELECT unix_millis(timestamp_millis(0) + interval {patience}) AS ms").first()["ms"]
-    return kept.groupBy("run_id", "tool").transformWithStateInPandas(Pairing(seconds), PAIR, "append", "eventTime")
+    shard = F.pmod(F.xxhash64("run_id", "tool"), F.lit(SHARDS)).alias("_shard")
+    kept = kept.select(F.col("run_id").isNull().alias("_none"), shard, "run_id", "tool", "seq", "event_type", F.unix_millis("ts").alias("at"), "ts").withWatermark("ts", late)
+    ms = kept.sparkSession.sql(f"SELECT unix_millis(timestamp_millis(0) + interval {patience}) AS ms").first()["ms"]
+    return kept.groupBy("_none", "_shard").applyInPandasWithState(_pairing(ms), PAIR, OPEN, "append", "EventTimeTimeout")
 
 
 CHECKED = "run_id bigint, pos bigint, seq bigint, quarantined boolean"

@@ -72,6 +72,18 @@ def test_pairing_with_timers(spark, tmp_path):
     assert live.late_rows(q) == 2
 
 
+def test_pairing_keeps_state_by_shard(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "SHARDS", 3, raising=False)
+    r = random.Random(2)
+    rows = [(run, i, "tool_call" if r.random() < 0.6 else "tool_result", r.choice("abc"), 1000 + 10 * i) for i in range(40) for run in [None, *range(2**60, 2**60 + 12)] if r.random() < 0.5]
+    beats = [[(-1, i, "tool_call", "a", 10**9 + i)] for i in range(2)]
+    slices = [[x for x in rows if x[1] < 20], [x for x in rows if x[1] >= 20], *beats]
+    queries, got = replayed(spark, [events_of(spark, s) for s in slices], lambda s: live.pair_calls(s, patience="100 seconds"), tmp_path)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_pairs(rows, 100)
+    # 39 queues, some of them without a run
+    assert live.state_rows(queries[0]) <= 2 * 3
+
+
 def test_pairing_equals_batch(spark, tmp_path):
     rows = [(r, i, "tool_call" if (i * 7 + r) % 3 else "tool_result", "ab"[(i + r) % 2], 1000 + i) for r in range(4) for i in range(40)]
     slices = [[x for x in rows if x[1] < 20], [x for x in rows if x[1] >= 20], *([(-1, i, "tool_call", "a", 10**9 + i)] for i in range(2))]
