@@ -234,10 +234,7 @@ def _nce(model: Model, ctx: np.ndarray, goal: np.ndarray, drawn: np.ndarray, log
     true = np.einsum("bd,bd->b", hidden, goal_vec) + (model.bias - log_noise)[goal]
     false = hidden @ noise_vec.T
     false += model.bias[drawn] - log_noise[drawn]
-    # (1 + tanh(x / 2)) / 2 is the logistic function, without overflow
-    g_true, g_false = 0.5 * np.tanh(0.5 * true) - 0.5, np.tanh(0.5 * false)
-    g_false *= 0.5
-    g_false += 0.5
+    g_true, g_false = -_logistic(-true), _logistic(false)
     d_hidden = g_true[:, None] * goal_vec + g_false @ noise_vec
     grad = Model(np.zeros_like(model.source), np.einsum("cbd,bd->cd", sources, d_hidden), np.zeros_like(model.target), np.zeros_like(model.bias))
     _add(grad.source, ctx.ravel(), (d_hidden[None] * model.weight[:, None]).reshape(-1, SIZE))
@@ -247,6 +244,12 @@ def _nce(model: Model, ctx: np.ndarray, goal: np.ndarray, drawn: np.ndarray, log
     return true, false, grad
 
 
+def _logistic(x: np.ndarray) -> np.ndarray:
+    out = np.exp(-np.clip(x, -80, 80))
+    out += 1
+    return np.reciprocal(out, out=out)
+
+
 def _add(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     """Add values to rows that may repeat."""
     order = np.argsort(rows.astype(np.int16), kind="stable")
@@ -342,12 +345,11 @@ def _trainer(state, round_: int):
         from pyspark import TaskContext
 
         flat, squares, noise, frequent = state.value
-        known, symbol = Symbols(frequent), _symbol_table(frequent, frequent)
+        symbols = FrequentSymbols(frequent)
         trainer = Trainer(flat, squares, noise, 1000 * TaskContext.get().partitionId() + round_)
         for batch in batches:
             for piece in text_slices(batch, 0, max_bytes=1 << 20):
-                _, codes, ends = _encoded(as_bytes(piece.column(0)), known)
-                trainer.feed(_to_symbols(codes, symbol), ends)
+                trainer.feed(*symbols.of(as_bytes(piece.column(0))))
         trainer.flush()
         if trainer.tokens:
             yield _model_row(np.concatenate([trainer.model.pack(), trainer.squares.pack()]), float(trainer.tokens))
@@ -379,6 +381,58 @@ def _to_symbols(codes: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return out
 
 
+#: What parts words, as bytes; and odd factors that mix a word's bytes and length into a key.
+SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\v\f", dtype=np.uint8))
+MIXED = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
+
+
+class FrequentSymbols:
+    """Symbols of texts as _encoded and _to_symbols give them where only the frequent words are known, found
+    for all words of some texts together: training needs no word itself."""
+
+    def __init__(self, frequent: list[bytes]):
+        two = [bytes([a, b]) for a in range(256) for b in range(256)] + [bytes([a]) for a in range(256)]
+        self.by_end = np.array([1 + FREQUENT + suffix(w) for w in two], dtype=np.int64)
+        self.frequent = frequent
+        keys = np.concatenate([self._words(w)[2] for w in frequent]) if frequent else np.zeros(0, dtype=np.uint64)
+        self.place = np.argsort(keys, kind="stable")
+        self.keys = keys[self.place]
+
+    @staticmethod
+    def _words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where words start and stop (in the text after 8 blanks), their keys, and that text."""
+        flat = np.frombuffer(b"".join((b" " * 8, text, b" " * 8)), dtype=np.uint8)
+        space = SPACE[flat]
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        starts, stops = edges[::2], edges[1::2]
+        eight = np.ndarray(len(flat) - 7, dtype="<u8", buffer=flat, strides=(1,))
+        unused = (64 - 8 * np.minimum(stops - starts, 8)).astype(np.uint64)
+        first, last = (eight[starts] << unused) >> unused, eight[stops - 8] >> unused
+        return starts, stops, first * MIXED[0] + last * MIXED[1] + (stops - starts).astype(np.uint64) * MIXED[2], flat
+
+    def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of these texts, and the places of their ends."""
+        texts = [t or b"" for t in texts]
+        starts, stops, keys, flat = self._words(b" ".join(texts).lower())
+        size = stops - starts
+        end = flat[stops - 1].astype(np.int64)
+        found = self.by_end[np.where(size > 1, 256 * flat[stops - 2].astype(np.int64), 65536) + end]
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = self.keys[at] == keys
+            # a key holds 16 bytes of a word
+            for i in np.flatnonzero(hit & (size > 16)).tolist():
+                hit[i] = flat[starts[i] : stops[i]].tobytes() == self.frequent[self.place[at[i]]]
+            found[hit] = 1 + self.place[at[hit]]
+        upto = 8 + np.cumsum([len(t) + 1 for t in texts])
+        ends = np.searchsorted(starts, upto) + np.arange(len(texts))
+        out = np.zeros(len(found) + len(texts), dtype=np.int64)
+        word = np.ones(len(out), dtype=bool)
+        word[ends] = False
+        out[word] = found
+        return out, ends
+
+
 # --- scoring
 
 
@@ -393,19 +447,21 @@ def symbol_log10(model: Model, symbols: np.ndarray, ends: np.ndarray) -> np.ndar
     out, ctx = np.empty(len(symbols)), contexts(symbols, ends)
     true = model.bias[symbols].astype(np.float64)
     for part, before in zip(parts, ctx, strict=True):
-        true += part[before, symbols]
+        true += np.take(part.ravel(), before * SYMBOLS + symbols, mode="clip")
     if sum(float(np.abs(p).max()) for p in parts) + float(np.abs(model.bias).max()) < SAFE:
         raised = [np.exp(p) for p in parts]
         raised[0] *= np.exp(model.bias)
-        rows = np.empty((CONTEXT, SCORED, SYMBOLS), dtype=raised[0].dtype)
+        # two blocks of rows, which stay in the processor's cache
+        product, factor = np.empty((2, SCORED, SYMBOLS), dtype=raised[0].dtype)
         for i in range(0, len(symbols), SCORED):
             n = min(SCORED, len(symbols) - i)
-            for j in range(CONTEXT):
-                np.take(raised[j], ctx[j, i : i + n], axis=0, mode="clip", out=rows[j, :n])
-            half = CONTEXT // 2
-            for j in [*range(1, half), *range(half + 1, CONTEXT)]:
-                rows[0 if j < half else half, :n] *= rows[j, :n]
-            out[i : i + n] = np.log(np.einsum("tj,tj->t", rows[0, :n], rows[half, :n]))
+            np.take(raised[0], ctx[0, i : i + n], axis=0, mode="clip", out=product[:n])
+            for j in range(1, CONTEXT):
+                np.take(raised[j], ctx[j, i : i + n], axis=0, mode="clip", out=factor[:n])
+                if j < CONTEXT - 1:
+                    product[:n] *= factor[:n]
+            out[i : i + n] = np.vecdot(product[:n], factor[:n])
+        np.log(out, out=out)
     else:
         for i in range(0, len(symbols), SCORED):
             logits = model.bias + sum(p[c[i : i + SCORED]] for p, c in zip(parts, ctx, strict=True))
@@ -476,9 +532,13 @@ def _scorer(given):
                 digests = [xxhash.xxh3_128(k + b"\x00" + (t or b"")).intdigest() for k, t in zip(keys, texts, strict=True)]
                 k1 = np.array([d >> 64 for d in digests], dtype=np.uint64).view(np.int64)
                 k2 = np.array([d & (1 << 64) - 1 for d in digests], dtype=np.uint64).view(np.int64)
-                owner = np.searchsorted(ends, np.flatnonzero(rare))
-                held = Counter(zip(owner.tolist(), (word_key(listed[i]) for i in np.flatnonzero(rare).tolist()), strict=True))
-                who = np.fromiter((d for d, _ in held), dtype=np.int64, count=len(held))
+                # distinct rare words of the piece by number, then a row a document and word
+                at = np.flatnonzero(rare)
+                number: dict[bytes, int] = {}
+                which = np.fromiter((number.setdefault(listed[i], len(number)) for i in at.tolist()), dtype=np.int64, count=len(at))
+                pairs, times = np.unique(np.searchsorted(ends, at) * max(len(number), 1) + which, return_counts=True)
+                who, which = np.divmod(pairs, max(len(number), 1))
+                rare_words = pa.array(list(map(word_key, number)), pa.binary()).take(pa.array(which))
                 known_here = near | end & (ends_count > 0)
                 heads = pa.StructArray.from_arrays(
                     [piece.column(0), piece.column(1), pa.array(ends - starts + 1), pa.array(np.add.reduceat(known_here.astype(np.int64), starts)), pa.array(np.add.reduceat(base_part, starts)), pa.array(np.add.reduceat(model_part, starts))],
@@ -487,7 +547,7 @@ def _scorer(given):
                 own = pa.array([b"\xff\xff" + d.to_bytes(16) for d in digests], pa.binary())
                 yield pa.RecordBatch.from_arrays([own, pa.array(k1), pa.array(k2), pa.array(np.ones(len(k1), dtype=np.int64)), heads], names=["w", "k1", "k2", "n", "head"])
                 if len(who):
-                    yield pa.RecordBatch.from_arrays([pa.array([w for _, w in held], pa.binary()), pa.array(k1[who]), pa.array(k2[who]), pa.array(list(held.values()), pa.int64()), pa.nulls(len(who), heads.type)], names=["w", "k1", "k2", "n", "head"])
+                    yield pa.RecordBatch.from_arrays([rare_words, pa.array(k1[who]), pa.array(k2[who]), pa.array(times.astype(np.int64)), pa.nulls(len(who), heads.type)], names=["w", "k1", "k2", "n", "head"])
 
     return run
 

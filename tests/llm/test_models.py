@@ -281,6 +281,17 @@ def test_gradients_are_those_of_the_loss():
             assert getattr(grad, name)[at] == pytest.approx((up - down) / (2 * eps), abs=1e-4)
 
 
+def test_training_finds_symbols_without_looking_up_each_word(texts):
+    long = [b"aaaaaaaa" + bytes([c]) + b"bbbbbbbb" for c in b"yz"]
+    given = [None if t is None else t.encode() for t in texts] + [b"", b"\t a  B\n", b" AAAAAAAAybbbbbbbb " + long[1], None]
+    counted = collections.Counter(w for t in given for w in lm.words(t))
+    for frequent in ([w for w, _ in counted.most_common(200)] + long[:1], []):
+        _, codes, ends = lm._encoded(given, lm.Symbols(frequent))
+        symbols, places = lm.FrequentSymbols(frequent).of(given)
+        assert symbols.tolist() == lm._to_symbols(codes, lm._symbol_table(frequent, frequent)).tolist()
+        assert places.tolist() == ends.tolist()
+
+
 def test_the_model_learns_what_follows_what(spark):
     """Two languages with the same word counts: only the words before tell which word comes."""
     r = random.Random(4)
