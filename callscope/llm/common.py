@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 SPAN = "struct<s:int,e:int,m:string>"
@@ -29,6 +29,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame, *sums: Column) -> tuple[DataFrame, list]:
+    """A checkpoint and the values of sums over its rows, taken as it is written instead of by a second job."""
+    seen = Observation()
+    done = checkpointed(df.observe(seen, *[x.alias(f"s{i}") for i, x in enumerate(sums)]))
+    return done, [seen.get[f"s{i}"] for i in range(len(sums))]
+
+
 def kept_columns(keep: list[str] | None, id_col: str, made: tuple[str, ...]) -> list[str]:
     """The columns to carry besides the id, each once; one with the name of a made column is refused."""
     keep = [c for c in dict.fromkeys(keep or []) if c != id_col]

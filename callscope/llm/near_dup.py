@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, checkpointed, text_slices
+from .common import WordHashes, as_bytes, checkpointed, counted, text_slices
 from .shingles import band_keys, shingle_set, sketch
 
 WIDTH = 5
@@ -39,6 +39,8 @@ BLOCK = 1024
 SKETCHED = 256
 #: Most document ids that are broadcast to pick texts; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Edges that one task reads, from EDGE_TASKS tasks on, so that few edges don't cost a task per shuffle partition.
+EDGES, EDGE_TASKS = 50_000, 8
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -71,12 +73,12 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
     return picked.mapInArrow(run, f"id {kind}, cls binary, n bigint, keys binary")
 
 
-def sets_of(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Full set and long sketch of the classes in needed (nid, cls, id, keys), from the text of the row that
-    each names; their band keys come along. The sets are shuffled once, by class."""
+def sets_of(docs: DataFrame, needed: DataFrame, n_needed: int, id_col: str, text_col: str, width: int) -> DataFrame:
+    """Full set, long sketch and band tags of the n_needed classes in needed (nid, cls, id), from the text of the row
+    that each names. A tag is 32 bits of a band's key. The sets are shuffled once, by class."""
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ids = needed.select(F.col("id").alias("_id")).distinct()
-    ids = F.broadcast(ids) if needed.count() <= BROADCAST_IDS else ids
+    ids = F.broadcast(ids) if n_needed <= BROADCAST_IDS else ids
     picked = picked.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,11 +88,12 @@ def sets_of(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, widt
                 sets = found[begin : begin + SKETCHED]
                 two = (sketch(sets, LONG_SKETCH) & np.uint64(3)).astype(np.uint8).reshape(len(sets), -1, 4)
                 packed = two[:, :, 0] | two[:, :, 1] << 2 | two[:, :, 2] << 4 | two[:, :, 3] << 6
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([row.tobytes() for row in packed], pa.binary())], ["cls", "shingles", "sign"])
+                tags = band_keys(sketch(sets, ROWS * BANDS), ROWS).astype("<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([row.tobytes() for row in packed], pa.binary()), pa.array([row.tobytes() for row in tags], pa.binary())], ["cls", "shingles", "sign", "tags"])
 
-    made = picked.mapInArrow(run, "cls binary, shingles array<bigint>, sign binary")
-    once = made.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("shingles", "sign")])
-    return once.join(needed.select("nid", "cls", "keys"), "cls").select("nid", "shingles", "sign", "keys")
+    made = picked.mapInArrow(run, "cls binary, shingles array<bigint>, sign binary, tags binary")
+    once = made.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("shingles", "sign", "tags")])
+    return once.join(needed.select("nid", "cls"), "cls").select("nid", "shingles", "sign", "tags")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -105,20 +108,24 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of edges (a, b), comp being its component's smallest node.
 
-    Alternating large-star and small-star steps; each writes a checkpoint, and the loop ends when a
-    turn changes no edge.
+    Alternating large-star and small-star steps; each writes a checkpoint, counted as it is written, and the
+    loop ends when a turn changes no edge.
     """
-    mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    e = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    last = mark(e)
+    pair = lambda x, y, names: F.struct(x.alias(names[0]), y.alias(names[1]))
+
+    def turned(e: DataFrame) -> tuple[DataFrame, tuple]:
+        done, (n, hashes) = counted(e.distinct(), F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+        return done.coalesce(max(EDGE_TASKS, n // EDGES)), (n, hashes)
+
+    e, last = turned(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b"))
     while last[0]:
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        a, b, m = F.col("a"), F.col("b"), F.col("m")
+        both = e.select(F.explode(F.array(pair(a, b, "uv"), pair(b, a, "uv"))).alias("at")).select("at.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = checkpointed(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        now = mark(e)
+        up = F.when(b != m, F.array(pair(a, m, "ab"), pair(b, m, "ab"))).otherwise(F.array(pair(a, m, "ab")))
+        e, now = turned(large.join(low, "a").select(F.explode(up).alias("at")).select("at.*"))
         if now == last:
             break
         last = now
@@ -129,7 +136,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _across(members: DataFrame, signs: DataFrame) -> DataFrame:
     """Candidate pairs between components within mixed buckets.
 
-    members: key, band, pivot, nid, comp, lead, n; signs: nid, sign, keys. The leading component is one
+    members: key, band, pivot, nid, comp, lead, n; signs: nid, sign, tags. The leading component is one
     side; it is never compared within itself. Both sides are cut into blocks of about BLOCK rows; a
     group holds one pair of blocks. Sketches join the narrow rows last and are shuffled once.
     """
@@ -163,7 +170,8 @@ def _across(members: DataFrame, signs: DataFrame) -> DataFrame:
             left, right = right, left
         found = []
         for y in left.tolist():
-            # pairs with the pivot are settled, and a pair counts in the first bucket it shares
+            # pairs with the pivot are settled, and a pair counts in the first bucket it shares; by tags of
+            # 32 bits another comes first with a chance of 1e-8
             if nid[y] == pivot:
                 continue
             near = right[right > y] if alone else right
@@ -189,7 +197,7 @@ def _across(members: DataFrame, signs: DataFrame) -> DataFrame:
             if not done:
                 continue
             part = {c: np.asarray(whole.column(c)[:done]) for c in [*names, "band", "pivot", "nid", "comp", "n", "side"]}
-            part["tags"] = np.frombuffer(b"".join(whole.column("keys")[:done].to_pylist()), dtype="<u8").reshape(done, -1)
+            part["tags"] = np.frombuffer(b"".join(whole.column("tags")[:done].to_pylist()), dtype="<u4").reshape(done, -1)
             packed = np.frombuffer(b"".join(whole.column("sign")[:done].to_pylist()), dtype=np.uint8).reshape(done, -1)
             part["sign"] = np.stack([packed >> shift & 3 for shift in (0, 2, 4, 6)], axis=2).reshape(done, -1)
             found = []
@@ -224,19 +232,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
     packed = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.substring("keys", i * 8 + 1, F.lit(8)), i).alias("key")))
     member = classes.select("nid", "n", F.explode(packed).alias("b")).select("nid", "n", "b.band", "b.key")
-    pivots = member.groupBy("key").agg(F.min("nid").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("key", "pivot")
-    shared = checkpointed(member.join(pivots, "key"))
+    # a bucket has a class once, so a window needs one shuffle where a grouping and a join need two
+    bucket = Window.partitionBy("key")
+    shared = checkpointed(member.withColumns({"pivot": F.min("nid").over(bucket), "top": F.max("nid").over(bucket)}).where("pivot < top").drop("top"))
 
     sizes = classes.select(F.col("nid").alias("pivot"), F.col("n").alias("m"))
     stars = shared.where("nid != pivot").select("nid", "n", "pivot").distinct().join(sizes, "pivot").where(_fits(F.col("n"), F.col("m")))
-    needed = checkpointed(shared.select("nid").distinct().join(classes.select("nid", "cls", "id", "keys"), "nid"))
-    sets = checkpointed(sets_of(docs, needed, id_col, text_col, width))
-    links = checkpointed(confirmed(stars.select(F.col("pivot").alias("a"), F.col("nid").alias("b")), sets))
-    first = checkpointed(components(links))
+    needed, (n_needed,) = counted(shared.select("nid").distinct().join(classes.select("nid", "cls", "id"), "nid"), F.count(F.lit(1)))
+    sets = checkpointed(sets_of(docs, needed, n_needed, id_col, text_col, width))
+    first = checkpointed(components(confirmed(stars.select(F.col("pivot").alias("a"), F.col("nid").alias("b")), sets)))
 
     placed = shared.join(first.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lead"), F.max("comp").alias("top")).where("lead < top").select("key", "lead")
-    across = _across(placed.join(mixed, "key"), sets.select("nid", "sign", "keys"))
+    across = _across(placed.join(mixed, "key"), sets.select("nid", "sign", "tags"))
     more = confirmed(across, sets)
     label = first.withColumnRenamed("node", "a")
     ends = more.join(label, "a", "left").select(F.coalesce("comp", "a").alias("a"), "b")
@@ -264,17 +272,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.unhex(F.md5(text_col)).alias("digest"))
     keyed = docs.withColumn("_key", key)
     named = groups(keyed, "_key", text_col, width).where("n_shingles > 0").groupBy("_key", "kept").agg(F.count("*").alias("_n"))
-    named = checkpointed(named.where("not kept or _n > 1"))
+    named, (n_gone, n_repeated) = counted(named.where("not kept or _n > 1"), F.count_if(~F.col("kept")), F.count_if(F.col("kept")))
 
-    def some(condition: str) -> tuple[DataFrame, int]:
+    def some(condition: str, n: int) -> DataFrame:
         keys = named.where(condition).select("_key")
-        n = keys.count()
-        return (F.broadcast(keys) if n <= BROADCAST_IDS else keys), n
+        return F.broadcast(keys) if n <= BROADCAST_IDS else keys
 
-    gone, _ = some("not kept")
+    gone, repeated = some("not kept", n_gone), some("kept", n_repeated)
     left = keyed.join(gone, "_key", "left_anti")
-    repeated, n = some("kept")
-    if n:
+    if n_repeated:
         left = left.join(repeated, "_key", "left_anti").unionByName(left.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]))
     return left.select(*docs.columns)
 
